@@ -13,7 +13,7 @@ How it runs:
    from a fixed-size sketch; any order is lossless) and a count-min sketch drops
    prefix shingles that no second class holds.  Shingles held by the same
    classes count once.
-3. The classes behind each remaining shingle form signature trees: leaves hold
+3. The classes behind each remaining shingle, by ranges of set size, form signature trees: leaves hold
    token bitmaps and sizes, inner nodes the OR of their children's bitmaps, the
    size range and the largest collision slack.  Dual traversal drops node pairs
    whose greatest possible overlap is too small.  What survives is joined into
@@ -45,6 +45,8 @@ from .common import U64, RepeatSketch, connected_components, discard, hash_words
 #: Counters of the frequency sketch (fixed size) and members of a tree block.
 FREQUENCY_BITS, FREQUENCY_BLOCKS = 20, 64
 BLOCK, LEAF, FANOUT = 4096, 16, 4
+#: Candidate classes whose keys may be broadcast to read their texts (32 bytes each).
+BROADCAST_ROWS = 500_000
 #: Set elements that one exact cluster task holds.
 CLUSTER_ELEMENTS = 6_000_000
 
@@ -319,13 +321,15 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
                 rank = classes[(s >> U64(64 - FREQUENCY_BITS)).astype(np.int64)]
                 ordered = s[np.argsort(rank, kind="stable")] if rank.any() else s
                 prefix.append(ordered[: len(s) - (percent * len(s) + 99) // 100 + 1].tobytes())
-                words.append(bitmap(s, bitmap_width(len(s), 4)).tobytes())
+                words.append(bitmap(s, bitmap_width(len(s), 2)).tobytes())
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.binary()), pa.array(words, pa.binary())], names=["doc_id", "row_key", "n_shingles", "cls", "prefix", "bits"])
 
     sig = materialize(docs.mapInArrow(signatures, "doc_id long, row_key long, n_shingles long, cls long, prefix binary, bits binary"), "signatures")
     # rep: the class's smallest doc_id; at: the row through which its text is read
     classes = sig.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("at"), *(F.first(c).alias(c) for c in ("n_shingles", "prefix", "bits")))
     classes = materialize(classes, "classes")
+    slim = materialize(sig.select("doc_id", "n_shingles", "cls"), "document-classes")
+    discard(sig)
 
     # ---- postings of prefix shingles that another class may hold
     items = classes.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0.0
@@ -352,21 +356,27 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
             tokens = np.frombuffer(b"".join(parts), dtype=U64)
             owner = np.repeat(batch.column(0).to_numpy(), lengths)
             kept = sketch.repeated(table.value, tokens)
-            yield pa.record_batch([signed(tokens[kept]), pa.array(owner[kept])], names=["token", "cls"])
-
-    postings = materialize(classes.select("cls", "prefix").mapInArrow(post, "token long, cls long"), "postings")
-    groups = postings.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.hash("cls").cast("long")).alias("y")).where("n > 1")
-    groups = groups.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = postings.join(groups, "token").join(classes.select("cls", "n_shingles", "bits"), "cls")
-    rows = _in_blocks(rows, "token", "blocks", "cls").select("token", "i", "j", "cls", "side", "n_shingles", "bits")
+            size = np.repeat(batch.column(2).to_numpy(), lengths)
+            yield pa.record_batch([signed(tokens[kept]), pa.array(owner[kept]), pa.array(size[kept])], names=["token", "cls", "n_shingles"])
+
+    # Sizes fall into ranges a threshold's ratio wide; linked sets lie in the same
+    # or in neighbouring ranges, so every class joins its own and the next.
+    size_range = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
+    postings = classes.select("cls", "prefix", "n_shingles").mapInArrow(post, "token long, cls long, n_shingles long")
+    postings = materialize(postings.withColumn("sizes", size_range).drop("n_shingles"), "postings")
+    postings = postings.withColumn("sizes", F.explode(F.array("sizes", F.col("sizes") + 1)))
+    groups = postings.groupBy("token", "sizes").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.hash("cls").cast("long")).alias("y")).where("n > 1")
+    groups = groups.groupBy("n", "x", "y").agg(F.min(F.struct("token", "sizes")).alias("g")).select("g.token", "g.sizes", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rows = postings.join(groups, ["token", "sizes"]).join(classes.select("cls", "n_shingles", "bits"), "cls")
+    rows = _in_blocks(rows, "token", "blocks", "cls").select("token", F.col("sizes").cast("long").alias("sizes"), "i", "j", "cls", "side", "n_shingles", "bits")
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for _, t in runs(batches, 3):
+            for _, t in runs(batches, 4):
                 if t.num_rows < 2:
                     continue
-                ids, side, sizes = (t.column(c).to_numpy() for c in (3, 4, 5))
-                words = [np.frombuffer(x, dtype=U64) for x in t.column(6).to_pylist()]
+                ids, side, sizes = (t.column(c).to_numpy() for c in (4, 5, 6))
+                words = [np.frombuffer(x, dtype=U64) for x in t.column(7).to_pylist()]
                 joined = UnionFind(len(ids))
                 for a, b in links_by_width(words, sizes, side, percent):
                     _unite(joined, a, b)
@@ -374,13 +384,15 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
 
         return _edge_batches(found())
 
-    loose = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(candidates, "a long, b long")
+    loose = rows.repartition("token", "sizes", "i", "j").sortWithinPartitions("token", "sizes", "i", "j").mapInArrow(candidates, "a long, b long")
     clusters = materialize(connected_components(loose, "candidates").withColumnsRenamed({"node": "cls", "component": "cluster"}), "clusters")
 
     # ---- exact overlaps within candidate clusters
     members = clusters.join(classes.select("cls", F.col("at").alias("row_key"), "n_shingles"), "cls")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CLUSTER_ELEMENTS).alias("blocks"))
     members = members.join(blocks, "cluster").select("cls", "cluster", "blocks", "row_key")
+    if clusters.count() <= BROADCAST_ROWS:  # four longs a row; beyond, a shuffled join
+        members = F.broadcast(members)
     texts = docs.select("row_key", "text").join(members, "row_key").select("cls", "cluster", "blocks", "text")
 
     def whole_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,7 +420,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     named = classes.select("cls", "rep").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(names, "component").select("cls", "component_id"), "components")
-    out = sig.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    out = slim.join(named, "cls", "left")
     discard(postings), discard(clusters), discard(classes)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
