@@ -3,3 +3,4 @@
 
 def load() -> None:
     """Import every plan module, which registers its queries."""
+    from arborkit.plans import morphometry, volumes  # noqa: F401
