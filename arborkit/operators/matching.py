@@ -32,8 +32,9 @@ def direct_synapses(a: DataFrame, b: DataFrame, s: float, max_length: float = 0.
     for n in "xyz":
         pairs = pairs.where(F.abs(F.col(f"a{n}0") - F.col(f"b{n}0")) <= reach)
     ends = [[f"{t}{n}{e}" for n in "xyz"] for t in "ab" for e in "01"]
-    near = with_segment_distance(pairs, *ends).where(F.col("distance") <= s)
-    return near.groupBy("neuron_a", "neuron_b").agg(F.count("*").alias("n"))
+    # counted, not filtered: a filter would be pushed down and repeat the arithmetic
+    met = with_segment_distance(pairs, *ends).groupBy("neuron_a", "neuron_b").agg(F.count_if(F.col("distance") <= s).alias("n"))
+    return met.where("n > 0")
 
 
 def expected_synapses(pairs: DataFrame, sigma: float, s: float, angle: str = "theta") -> DataFrame:
