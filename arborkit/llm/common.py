@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL_FOLDER: list[str] = []
 U64 = np.uint64
@@ -56,6 +57,26 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Name under which :func:`boxed` carries a table's own columns.
+BOX = "__row"
+
+
+def boxed(docs: DataFrame, *names: str) -> DataFrame:
+    """``names`` and the whole row as one struct, so that no added column can clash."""
+    return docs.select(*names, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(BOX))
+
+
+def unboxed(judged: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The boxed columns again, with ``new`` ones in place of those of that name."""
+    return judged.select(*[new[c].alias(c) if c in new else F.col(BOX)[c].alias(c) for c in columns])
+
+
+def schema_of(df: DataFrame, columns: list[str], added: str) -> T.StructType:
+    """Some columns of ``df`` and the DDL of what a function adds."""
+    own = {f.name: f for f in df.schema.fields}
+    return T.StructType([own[c] for c in columns] + T.StructType.fromDDL(added).fields)
+
+
 # ------------------------------------------------------------------ text hashing
 class WordHashes(dict):
     """Word bytes to 64-bit hash, remembered up to a bound."""

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import boxed, materialize, unboxed
 
 #: log2 of sketch slots: a relative standard error of 1.6 %.
 SKETCH_BITS = 12
@@ -71,5 +71,5 @@ def judge_lines(docs: DataFrame, min_sites: int = 15, site: str = "source") -> D
 
 def remove_boilerplate_lines(docs: DataFrame, min_sites: int = 15, site: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text``."""
-    judged = judge_lines(docs, min_sites, site)
-    return judged.select(*[F.col("kept_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    judged = judge_lines(boxed(docs, *dict.fromkeys(("doc_id", "text", site))), min_sites, site)
+    return unboxed(judged, docs.columns, text=F.col("kept_text"))

@@ -117,9 +117,9 @@ win AS (
   SELECT doc_id, s, hash(array_to_string(words[s:s + 34], ' ')) AS h
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS s FROM w)),
 rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
-hit AS (SELECT doc_id, list(s ORDER BY s) AS at FROM win SEMI JOIN rep USING (h) GROUP BY doc_id),
+hit AS (SELECT doc_id, list(s ORDER BY s) AS starts FROM win SEMI JOIN rep USING (h) GROUP BY doc_id),
 gone AS (
-  SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM (SELECT doc_id, unnest(at) AS s FROM hit)),
+  SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM (SELECT doc_id, unnest(starts) AS s FROM hit)),
 kept AS (
   SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS kept, count(*) AS n
   FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w) x

@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, RepeatSketch, ascii_words, chunked, hash_words, mix64, signed, window_hashes
+from .common import U64, RepeatSketch, ascii_words, boxed, chunked, hash_words, schema_of, signed, unboxed, window_hashes
 
 #: Words of the grams among which a window's anchor is chosen.
 GRAM = 8
+KEY, HITS = "__row_key", "__windows"
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -126,20 +127,21 @@ def repeated_windows(docs: DataFrame, k: int) -> DataFrame:
 
 def judge_windows(docs: DataFrame, k: int = 35, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` with ``n_words, n_removed, kept_sha256`` (``kept_text``)."""
-    keyed = docs.withColumn("row_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    hits = repeated_windows(keyed.select("row_key", F.col("text").cast("string").alias("text")), k)
+    keyed = docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    hits = repeated_windows(keyed.select(F.col(KEY).alias("row_key"), F.col("text").cast("string").alias("text")), k)
     return _judged(keyed, hits, k, keep_text)
 
 
 def _judged(keyed: DataFrame, hits: DataFrame, k: int, keep_text: bool) -> DataFrame:
-    outputs = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    others = [c for c in keyed.columns if c not in ("text", "row_key", "windows", "n_words", "n_removed", "kept_sha256", "kept_text")]
-    joined = keyed.select(*others, "text", "row_key").join(hits, "row_key", "left").select(*others, F.col("text").cast("string").alias("text"), "windows")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*others, *(["text"] if keep_text else [])).schema) + ", " + outputs
+    added = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    others = [c for c in keyed.columns if c not in ("text", KEY, "n_words", "n_removed", "kept_sha256", "kept_text")]
+    hits = hits.select(F.col("row_key").alias(KEY), F.col("windows").alias(HITS))
+    joined = keyed.select(*others, F.col("text").cast("string").alias("text"), KEY).join(hits, KEY, "left").drop(KEY)
+    schema = schema_of(joined, [*others, *(["text"] if keep_text else [])], added)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, windows = batch.column("text").to_pylist(), batch.column("windows")
+            texts, windows = batch.column("text").to_pylist(), batch.column(HITS)
             n_words, n_removed, digests, kept_texts = [], [], [], []
             for i, text in enumerate(texts):
                 words = ascii_words(text)
@@ -168,6 +170,6 @@ def _judged(keyed: DataFrame, hits: DataFrame, k: int, keep_text: bool) -> DataF
 
 def remove_repeated_windows(docs: DataFrame, k: int = 35) -> DataFrame:
     """``docs`` with repeated windows cut from ``text`` (untouched texts stay as they are)."""
-    judged = judge_windows(docs.select("doc_id", *[c for c in docs.columns if c != "doc_id"]), k)
+    judged = judge_windows(boxed(docs, "doc_id", "text"), k)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return judged.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return unboxed(judged, docs.columns, text=text)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words
+from .common import boxed, hash_words, schema_of, unboxed
 
 #: Bound of the training sample in rows; hashed features; least documents that a feature is in.
 MAX_LABELLED, BUCKET_BITS, MIN_DOCS = 6000, 20, 5
@@ -129,7 +129,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [c for c in docs.columns if c not in ("severity", "p_toxic", "toxic")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema) + ", severity double, p_toxic double"
+    schema = schema_of(docs, own, "severity double, p_toxic double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -147,4 +147,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows judged toxic."""
-    return score_toxicity(docs, labels).where("not toxic").select(*docs.columns)
+    return unboxed(score_toxicity(boxed(docs, "doc_id", "text"), labels).where("not toxic"), docs.columns)

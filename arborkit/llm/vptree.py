@@ -86,7 +86,7 @@ class TreeSearch:
     def _meet(self, who: np.ndarray, a: int, d: np.ndarray) -> None:
         """Take the rows from ``a`` on within the radius into account."""
         d = np.where(self.own[who, None] == np.arange(a, a + d.shape[1])[None, :], np.inf, d)
-        i, j = np.nonzero(d <= self.radius[who, None] + 1e-9)
+        i, j = np.nonzero((d <= self.radius[who, None] + 1e-9) & np.isfinite(d))
         if not len(i):
             return
         self.pairs.append((who[i], a + j))
