@@ -13,7 +13,7 @@ language; words are scored once per chunk of texts and added up.
 
 ``und`` with score 0 where text is null or has no letter, or where nothing could
 be learnt.  Only text and non-null languages of rows that are not held out are
-learnt from.  Null ``doc_id`` trains.  Repeated rows are predicted alike.
+learnt from; rows without a ``doc_id`` are predicted, not sampled.  Repeated rows are predicted alike.
 """
 
 from __future__ import annotations
@@ -112,7 +112,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: lis
 
 def train(docs: DataFrame, modulus: int, remainder: int) -> LanguageModel | None:
     rows = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"), modulus, remainder))
-    rows = rows.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id", "lang").limit(MAX_LABELLED)
+    # ids first, so that only the sample's texts travel
+    chosen = rows.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    rows = rows.join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,6 +124,7 @@ def train(docs: DataFrame, modulus: int, remainder: int) -> LanguageModel | None
     got = rows.select("lang", "text").mapInArrow(run, "lang string, ids binary, counts binary").toArrow()
     if not got.num_rows:
         return None
+    got = got.sort_by([("ids", "ascending"), ("counts", "ascending"), ("lang", "ascending")])
     languages = sorted(set(got.column("lang").to_pylist()))
     number = {x: i for i, x in enumerate(languages)}
     sample = []
