@@ -5,7 +5,9 @@ toxic rows only (0/1) are graded for training: a toxic row that holds more of th
 screened words than the usual (median) toxic row is severe.  One
 weight vector over hashed words serves every threshold: ``P(grade >= k) =
 sigmoid(w.x - t_k)`` with ``t_1 < t_2``.  A text's features are its distinct
-words and word beginnings (ASCII letters lower-cased, other ASCII as separators), whole text.
+words, word beginnings, and beginnings that two or three of its distinct words share (a stem
+that clean words meet by chance recurs in toxic texts); ASCII letters lower-cased, other ASCII
+as separators, whole text.
 Features are screened and weights fitted by proximal gradient in numpy on a bounded
 sample of labelled rows (``MAX_LABELLED``, lowest id hashes); scoring covers every row.
 
@@ -17,6 +19,7 @@ nothing is toxic.  Repeated rows score alike.  Extra columns pass through.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,20 +31,24 @@ from pyspark.sql import functions as F
 from .common import boxed, hash_words, schema_of, unboxed
 
 #: Bound of the training sample in rows; hashed features; least documents that a feature is in.
-MAX_LABELLED, BUCKET_BITS, MIN_DOCS = 6000, 20, 5
+MAX_LABELLED, BUCKET_BITS, MIN_DOCS = 6000, 22, 5
 #: Lengths in bytes of word beginnings, for words built on a stem.
 BEGINNINGS = (4, 5, 6)
+#: Most distinct words sharing a beginning that are told apart.
+SHARED = 3
 GRADES = 3
 SCREEN, SCREEN_Z, L1, STEPS = 0.5, 3.5, 1e-6, 3000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct buckets of a whole text's words and word beginnings."""
+    """Sorted distinct buckets of a whole text's words, beginnings and shared beginnings."""
     words = set(text.encode("utf-8", "surrogatepass").translate(_FOLD).split()) if text else set()
+    found = list(words)
     for n in BEGINNINGS:
-        words |= {b"^" + w[:n] for w in words if len(w) >= n and w[:1] != b"^"}
-    return np.unique(hash_words(list(words)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        for start, times in Counter([w[:n] for w in words if len(w) >= n]).items():
+            found.extend(b"^" * level + start for level in range(1, min(times, SHARED) + 1))
+    return np.unique(hash_words(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
 @dataclass

@@ -314,6 +314,19 @@ def test_toxicity_learns_and_orders(spark):
     assert got.severity[k == 4].mean() > got.severity[k == 1].mean() > got.severity[k == 0].mean()
 
 
+def test_toxicity_learns_stems_met_once_by_clean_texts(spark):
+    r, ends, rows = random.Random(5), [f"{a}{b}" for a in "aeiou" for b in "lmnrst"], []
+    for i in range(600):
+        w = words(i, 40, 300)
+        rude = i % 10 == 0
+        w += ["bomen" + e for e in r.sample(ends, 3 if rude else int(r.random() < 0.3))]
+        rows.append((i, " ".join(w), int(rude)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, truth int")
+    marks = spark.createDataFrame([(i, 1, t) for i, _, t in rows[:400]], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(docs, marks).toPandas().sort_values("doc_id")
+    assert (got.toxic == (got.truth > 0)).all()
+
+
 def test_toxicity_awkward_rows(docs, empty, labels):
     out = toxicity.score_toxicity(docs, labels)
     assert out.count() == len(fixture_rows()) and out.where("toxic").count() == 0
