@@ -13,7 +13,8 @@ How it runs:
    from a fixed-size sketch; any order is lossless) and a count-min sketch drops
    prefix shingles that no second class holds.  Shingles held by the same
    classes count once.
-3. The classes behind each remaining shingle, by ranges of set size, form signature trees: leaves hold
+3. The classes behind each remaining shingle, by ranges of set size, form signature trees
+   (groups that cannot hold a pair's first common shingle are left out): leaves hold
    token bitmaps and sizes, inner nodes the OR of their children's bitmaps, the
    size range and the largest collision slack.  Dual traversal drops node pairs
    whose greatest possible overlap is too small.  What survives is joined into
@@ -356,18 +357,26 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
             tokens = np.frombuffer(b"".join(parts), dtype=U64)
             owner = np.repeat(batch.column(0).to_numpy(), lengths)
             kept = sketch.repeated(table.value, tokens)
-            size = np.repeat(batch.column(2).to_numpy(), lengths)
-            yield pa.record_batch([signed(tokens[kept]), pa.array(owner[kept]), pa.array(size[kept])], names=["token", "cls", "n_shingles"])
+            sizes = batch.column(2).to_numpy()
+            size = np.repeat(sizes, lengths)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            lead = place < np.repeat(sizes - (2 * percent * sizes + 99 + percent) // (100 + percent) + 1, lengths)
+            yield pa.record_batch([signed(tokens[kept]), pa.array(owner[kept]), pa.array(size[kept]), pa.array(lead[kept])], names=["token", "cls", "n_shingles", "lead"])
 
     # Sizes fall into ranges a threshold's ratio wide; linked sets lie in the same
-    # or in neighbouring ranges, so every class joins its own and the next.
+    # or in neighbouring ranges, so every class joins its own and the next.  The
+    # overlap of a linked pair is at least 2t/(1+t) of its smaller set, so the first
+    # shingle they share lies in that set's shorter lead; and pairs of a range below
+    # met in that range: groups without a lead, or without a class of their own
+    # range, hold no link of their own.
     size_range = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
-    postings = classes.select("cls", "prefix", "n_shingles").mapInArrow(post, "token long, cls long, n_shingles long")
+    postings = classes.select("cls", "prefix", "n_shingles").mapInArrow(post, "token long, cls long, n_shingles long, lead boolean")
     postings = materialize(postings.withColumn("sizes", size_range).drop("n_shingles"), "postings")
-    postings = postings.withColumn("sizes", F.explode(F.array("sizes", F.col("sizes") + 1)))
-    groups = postings.groupBy("token", "sizes").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.hash("cls").cast("long")).alias("y")).where("n > 1")
+    postings = postings.select("token", "cls", "lead", F.posexplode(F.array("sizes", F.col("sizes") + 1)).alias("above", "sizes"))
+    groups = postings.groupBy("token", "sizes").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.hash("cls").cast("long")).alias("y"), F.max("lead").alias("lead"), F.min("above").alias("above"))
+    groups = groups.where("n > 1 and lead and above = 0")
     groups = groups.groupBy("n", "x", "y").agg(F.min(F.struct("token", "sizes")).alias("g")).select("g.token", "g.sizes", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = postings.join(groups, ["token", "sizes"]).join(classes.select("cls", "n_shingles", "bits"), "cls")
+    rows = postings.select("token", "sizes", "cls").join(groups, ["token", "sizes"]).join(classes.select("cls", "n_shingles", "bits"), "cls")
     rows = _in_blocks(rows, "token", "blocks", "cls").select("token", F.col("sizes").cast("long").alias("sizes"), "i", "j", "cls", "side", "n_shingles", "bits")
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
