@@ -108,6 +108,11 @@ def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
 
 # --------------------------------------------------------------------- bitmaps
 def bitmap_width(n: int, times: int) -> int:
+    """Bits of a set's bitmap: a power of two, ``times`` to twice ``times`` its size.
+
+    At one bit an element two unrelated sets of n still share at most 0.77 n by the
+    bound, below the 0.89 n that a similarity of 0.8 asks.
+    """
     return max(64, 1 << int(times * n - 1).bit_length())
 
 
@@ -322,7 +327,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
                 rank = classes[(s >> U64(64 - FREQUENCY_BITS)).astype(np.int64)]
                 ordered = s[np.argsort(rank, kind="stable")] if rank.any() else s
                 prefix.append(ordered[: len(s) - (percent * len(s) + 99) // 100 + 1].tobytes())
-                words.append(bitmap(s, bitmap_width(len(s), 2)).tobytes())
+                words.append(bitmap(s, bitmap_width(len(s), 1)).tobytes())
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.binary()), pa.array(words, pa.binary())], names=["doc_id", "row_key", "n_shingles", "cls", "prefix", "bits"])
 
     sig = materialize(docs.mapInArrow(signatures, "doc_id long, row_key long, n_shingles long, cls long, prefix binary, bits binary"), "signatures")
