@@ -149,6 +149,19 @@ def signed(values: np.ndarray) -> pa.Array:
 
 
 # ---------------------------------------------------------------- repeat sketch
+def pack_ascending(values: np.ndarray) -> bytes:
+    """Ascending uint32 as 16-bit gaps where they fit, after a byte that says which."""
+    gaps = np.diff(values, prepend=values.dtype.type(0))
+    return b"\x02" + gaps.astype(np.uint16).tobytes() if gaps.max(initial=0) < 1 << 16 else b"\x04" + values.tobytes()
+
+
+def unpack_ascending(data: bytes | pa.Buffer) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8)
+    if raw[0] == 2:
+        return np.cumsum(np.frombuffer(data, dtype=np.uint16, offset=1), dtype=np.uint32)
+    return np.frombuffer(data, dtype=np.uint32, offset=1)
+
+
 class RepeatSketch:
     """Count-min sketch whose counters saturate at two.
 
@@ -182,7 +195,7 @@ class RepeatSketch:
             names, starts = np.unique(blocks, return_index=True)
             for name, lo, hi in zip(names, starts, [*starts[1:], len(blocks)]):
                 slot_column.append(row << 32 | int(name))
-                payloads.append(offsets[lo:hi].tobytes())
+                payloads.append(pack_ascending(offsets[lo:hi]))
         return pa.record_batch([pa.array(slot_column, pa.int64()), pa.array(payloads, pa.binary())], names=["block", "part"])
 
     def merge(self, parts: DataFrame) -> np.ndarray:
@@ -201,7 +214,7 @@ class RepeatSketch:
                         if current is not None:
                             yield out()
                         current, counts = block, np.zeros(width, dtype=np.uint8)
-                    data = np.frombuffer(part.as_buffer(), dtype=np.uint32)
+                    data = unpack_ascending(part.as_buffer())
                     at = data >> 1
                     counts[at] = np.minimum(counts[at] + 1 + (data & 1), 2)
             if current is not None:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborkit.llm import langid, line_dedup, lm_score, ngram_join, packing, segment_topk, sentencepiece_codec, substring_dedup, toxicity, vptree
-from arborkit.llm.common import RepeatSketch, connected_components
+from arborkit.llm.common import RepeatSketch, connected_components, pack_ascending, unpack_ascending
 from arborkit.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, windows string, bits string"
@@ -296,6 +296,12 @@ def test_vantage_points_are_exact_at_factor_one(spark, monkeypatch):
     assert vptree.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("values", [[], [0], [0, 1, 65536], [70000], [5, 65540, 65541], [65535, 131071, 2**19 - 1]])
+def test_ascending_codes_round_trip(values):
+    values = np.array(values, dtype=np.uint32)
+    assert np.array_equal(unpack_ascending(pack_ascending(values)), values)
+
+
 def test_toxicity_learns_and_orders(spark):
     r = random.Random(3)
     rude, rows, marks = ["scum", "idiot", "moron", "trash"], [], []
