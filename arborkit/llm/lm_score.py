@@ -3,11 +3,14 @@
 Counts come from every training document (all but those that ``held_out``
 marks).  A count c of an n-gram is quantised to level ``1 + floor(log_B c)``, and
 the n-gram enters the filter once per level up to its own; a reader probes level
-after level until one is missing.  Two filters are built block by block on the
-executors (a block holds the n-grams with the same leading hash bits, so each
-n-gram is counted and inserted in one place) and broadcast: all unigrams, and
-bigrams seen ``min_count`` times.  Their sizes follow the corpus up to fixed
-bounds; beyond these the false-positive rate grows, never a missing count.
+after level until one is missing or the highest level put in is passed.  Two
+filters are built block by block on the executors (a block holds the n-grams
+with the same leading hash bits, so each n-gram is counted and inserted in one
+place): all unigrams, and bigrams seen ``min_count`` times.  Their sizes follow
+the levels counted, so at most a quarter of the bits or so is set in a corpus of
+any size.  Filters of up to ``BROADCAST_BITS`` together are broadcast; larger
+ones stay in their blocks, and the distinct n-grams of each chunk of texts are
+sent to the blocks and the counts found are sent back.
 
 ``score`` is the log10 probability under ``L * c(hw)/c(h) + (1 - L) * (c(w) +
 1)/(N + V + 1)`` with counts read from the filters.  ``base_score`` is the exact
@@ -22,6 +25,7 @@ occur.  Without training documents N and V are 0.  Empty table: empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, chunked, hash_words, materialize, mix64, signed
+from .common import U64, ascii_words, chunked, discard, hash_words, materialize, mix64, signed
 from .ngram_join import runs
 
 #: The end token; no word hashes to it but by chance.
 END = np.uint64(0xE14D0E0D5EED)
-#: Rows of the broadcast table of exact counts; bounds of the filters in bits.
-HEAD_ROWS, UNIGRAM_BITS, BIGRAM_BITS = 1 << 19, 1 << 27, 1 << 28
+#: Rows of the broadcast table of exact counts; bits of both filters up to which they are broadcast.
+HEAD_ROWS, BROADCAST_BITS = 1 << 19, 5 << 27
+#: Bits a probe of a level put in.
+SPARE = 4
 BASE, PROBES, MIN_COUNT, MIX = 1.5, 3, 2, 0.4
 
 
@@ -46,8 +52,9 @@ def held_out(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
 class LogFrequencyFilter:
     """``blocks`` Bloom filters of ``2**bits`` bits; a hash's top bits name its block."""
 
-    def __init__(self, total_bits: int, blocks: int):
+    def __init__(self, total_bits: int, blocks: int, top: int = 64):
         self.block_bits = max(10, int(np.log2(total_bits / blocks)))
+        self.top = top
         self.blocks = blocks
         self.shift = U64(64 - int(np.log2(blocks)))
 
@@ -62,8 +69,10 @@ class LogFrequencyFilter:
 
     def fill(self, h: np.ndarray, counts: np.ndarray) -> bytes:
         """Bits of one block."""
+        return self.fill_levels(h, self.level(counts))
+
+    def fill_levels(self, h: np.ndarray, levels: np.ndarray) -> bytes:
         bits = np.zeros(1 << self.block_bits, dtype=bool)
-        levels = self.level(counts)
         for level in range(1, int(levels.max(initial=0)) + 1):
             own = h[levels >= level]
             for probe in range(PROBES):
@@ -72,12 +81,16 @@ class LogFrequencyFilter:
 
     def read(self, table: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Counts that the levels found stand for (0 if not even the first is)."""
+        return self.stand_for(self.read_levels(table, h, self.block_of(h)))
+
+    def read_levels(self, table: np.ndarray, h: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Levels found; ``blocks`` says where in the table each hash's block is."""
         levels = np.zeros(len(h), dtype=np.int64)
         alive = np.arange(len(h))
         level = 1
-        while len(alive):
+        while len(alive) and level <= self.top:
             own = h[alive]
-            base = self.block_of(own).astype(U64) << U64(self.block_bits)
+            base = blocks[alive].astype(U64) << U64(self.block_bits)
             found = np.ones(len(own), dtype=bool)
             for probe in range(PROBES):
                 at = base + self.places(own, level, probe)
@@ -85,11 +98,14 @@ class LogFrequencyFilter:
             alive = alive[found]
             levels[alive] = level
             level += 1
+        return levels
+
+    def stand_for(self, levels: np.ndarray) -> np.ndarray:
         low = np.ceil(BASE ** (levels - 1.0) - 1e-9)
         return np.where(levels > 0, np.sqrt(low * np.maximum(low, np.ceil(BASE**levels - 1e-9) - 1)), 0.0)
 
-    def build(self, parts: DataFrame, min_count: int) -> np.ndarray:
-        """Merge ``block, hashes, counts`` parts and fill; the bits go to the driver."""
+    def counted(self, parts: DataFrame, min_count: int, tag: str) -> DataFrame:
+        """Merge ``block, hashes, counts`` parts: a row a block with its n-grams and their levels."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (block,), t in runs(batches, 1):
@@ -100,21 +116,67 @@ class LogFrequencyFilter:
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
                 n, h = np.add.reduceat(n, first), h[first]
                 kept = n >= min_count
-                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([self.fill(h[kept], n[kept])], pa.binary())], names=["block", "bits"])
+                levels = self.level(n[kept])
+                yield _block_row(block, h[kept].tobytes(), levels.astype(np.uint8))
+
+        made = parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, COUNTED)
+        return materialize(made, tag)
+
+    def counted_words(self, counts: DataFrame, tag: str) -> DataFrame:
+        """The same for ``h, n`` rows with exact counts: a row a block and batch, none cut."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    h = batch.column(0).to_numpy().view(U64)
+                    order = np.argsort(h)
+                    h, levels = h[order], self.level(batch.column(1).to_numpy()[order])
+                    blocks, starts = np.unique(self.block_of(h), return_index=True)
+                    cuts = [*starts.tolist(), len(h)]
+                    yield pa.record_batch([pa.array(blocks, pa.int64()), *[pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (h, levels.astype(np.uint8))]], names=["block", "hashes", "levels"])
+
+        def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (block,), t in runs(batches, 1):
+                yield _block_row(block, b"".join(t.column(1).to_pylist()), np.frombuffer(b"".join(t.column(2).to_pylist()), dtype=np.uint8))
 
-        made = parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, bits binary")
-        table = np.zeros(self.blocks << (self.block_bits - 3), dtype=np.uint8)
-        for block, bits in made.toLocalIterator():  # a fixed number of bits in all
+        parts = counts.mapInArrow(run, "block long, hashes binary, levels binary")
+        return materialize(parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, COUNTED), tag)
+
+    def fitted(self, counted: DataFrame) -> LogFrequencyFilter:
+        """A filter with these blocks and room for the levels counted."""
+        put, top = counted.agg(F.sum("put"), F.max("top")).first()
+        bits = 1 << max(18, int(np.ceil(np.log2(max(1, put or 0) * PROBES * SPARE))))
+        return LogFrequencyFilter(bits, self.blocks, top or 0)
+
+    def filled(self, counted: DataFrame) -> DataFrame:
+        """Each block's bits."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, h, levels in zip(batch.column(0), batch.column(1), batch.column(2)):
+                    bits = self.fill_levels(np.frombuffer(h.as_buffer(), dtype=U64), np.frombuffer(levels.as_buffer(), dtype=np.uint8))
+                    yield pa.record_batch([pa.array([block.as_py()], pa.int64()), pa.array([bits], pa.binary())], names=["block", "bits"])
+
+        return counted.select("block", "hashes", "levels").mapInArrow(run, "block long, bits binary")
+
+    def gathered(self, counted: DataFrame) -> np.ndarray:
+        """All blocks' bits on the driver, for filters small enough to broadcast."""
+        table = np.zeros(self.bits >> 3, dtype=np.uint8)
+        for block, bits in self.filled(counted).toLocalIterator():  # a bounded number of bits in all
             at = block << (self.block_bits - 3)
             table[at : at + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
         return table
 
+    @property
+    def bits(self) -> int:
+        return self.blocks << self.block_bits
+
     def parts(self, h: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         """Sorted hashes and their counts, cut by block."""
         blocks = self.block_of(h)
         names, starts = np.unique(blocks, return_index=True)
         cuts = [*starts.tolist(), len(h)]
-        counts = np.minimum(counts, 2**32 - 1).astype(np.uint32)
+        counts = counts.astype(np.uint32)  # of one chunk
         return pa.record_batch(
             [pa.array(names), pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
             names=["block", "hashes", "counts"],
@@ -122,11 +184,18 @@ class LogFrequencyFilter:
 
 
 PARTS = "block long, hashes binary, counts binary"
+COUNTED = "block long, put long, top long, hashes binary, levels binary"
+
 
+def _block_row(block: int, hashes: bytes, levels: np.ndarray) -> pa.RecordBatch:
+    numbers = (block, int(levels.sum(dtype=np.int64)), int(levels.max(initial=0)))
+    return pa.record_batch([*[pa.array([x], pa.int64()) for x in numbers], *[pa.array([x], pa.binary()) for x in (hashes, levels.tobytes())]], names=["block", "put", "top", "hashes", "levels"])
 
-def _sized(chars: float, per_bit: float, bound: int) -> LogFrequencyFilter:
-    bits = min(bound, 1 << max(18, int(np.ceil(np.log2(max(1.0, chars) / per_bit)))))
-    return LogFrequencyFilter(bits, max(16, min(4096, bits >> 17)))
+
+def _blocks(chars: float, per_bit: float) -> LogFrequencyFilter:
+    """Blocks by the text's size; their bits are known once the n-grams are counted."""
+    bits = 1 << max(18, int(np.ceil(np.log2(max(1.0, chars) / per_bit))))
+    return LogFrequencyFilter(bits, max(16, min(4096, bits >> 17), bits >> 24))
 
 
 def token_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +213,79 @@ def bigram_hashes(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix64(before * U64(0x9E3779B97F4A7C15) + tokens)
 
 
+def _scored_by_blocks(docs: DataFrame, filters: tuple, counted: tuple, scores, schema: str) -> DataFrame:
+    """Scores from filters that stay in their blocks.
+
+    Texts are cut into chunks.  Each chunk's distinct n-grams go to their blocks,
+    where the bits are read; only n-grams found come back, with their levels, and
+    meet the chunk's texts.  A row's ``kind`` is 0 and 1 for uni- and bigrams.
+    """
+
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in chunked(batch.column(1).to_pylist()):
+                names = pa.array([uuid.uuid4().int >> 65] * (hi - lo), pa.int64())
+                yield pa.record_batch([names, *batch.slice(lo, hi - lo).columns], names=["chunk", "doc_id", "text", "held_out"])
+
+    chunks = materialize(docs.mapInArrow(named, "chunk long, doc_id long, text string, held_out boolean"), "chunks")
+
+    def asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (chunk,), t in runs(batches, 1):
+            tokens, starts = token_hashes(t.column(1).to_pylist())
+            for kind, h in enumerate((tokens, bigram_hashes(tokens, starts))):
+                h = np.unique(h)
+                blocks, first = np.unique(filters[kind].block_of(h), return_index=True)
+                cuts = [*first.tolist(), len(h)]
+                n = len(blocks)
+                yield pa.record_batch([pa.array([kind] * n, pa.int64()), pa.array(blocks, pa.int64()), pa.array([chunk] * n, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["kind", "block", "chunk", "data"])
+
+    questions = chunks.select("chunk", "text").mapInArrow(asked, "kind long, block long, chunk long, data binary")
+    bits = [f.filled(c).select(F.lit(kind).cast("long").alias("kind"), "block", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data")) for kind, (f, c) in enumerate(zip(filters, counted))]
+
+    def answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, table = None, None  # a block's bits come before the questions to it
+        for batch in batches:
+            found: list[tuple] = []
+            for kind, block, chunk, data in zip(*[batch.column(c).to_pylist() for c in range(4)]):
+                if chunk == -1:
+                    at, table = (kind, block), np.frombuffer(data, dtype=np.uint8)
+                elif at == (kind, block):  # no bits: no n-gram of this block was put in
+                    h = np.frombuffer(data, dtype=U64)
+                    levels = filters[kind].read_levels(table, h, np.zeros(len(h), dtype=np.int64))
+                    if levels.any():
+                        found.append((chunk, kind, h[levels > 0].tobytes(), levels[levels > 0].astype(np.uint8).tobytes()))
+            if found:
+                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "kind", "hashes", "levels"])
+
+    asked_of = bits[0].unionByName(bits[1]).unionByName(questions).repartition("kind", "block").sortWithinPartitions("kind", "block", "chunk")
+    answers = asked_of.mapInArrow(answered, "chunk long, kind long, hashes binary, levels binary")
+
+    def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in runs(batches, 1):
+            kinds = t.column(1).to_numpy()
+            put = []
+            for kind in (0, 1):
+                own = t.filter(pa.array(kinds == kind))
+                h, levels = (np.frombuffer(b"".join(own.column(c).to_pylist()), dtype=x) for c, x in ((2, U64), (3, np.uint8)))
+                h, first = np.unique(h, return_index=True)
+                put.append((h, levels[first].astype(np.int64)))
+
+            def levels_of(*wanted: np.ndarray, put=put) -> list[np.ndarray]:
+                out = []
+                for (h, levels), want in zip(put, wanted):
+                    at = np.minimum(np.searchsorted(h, want), max(0, len(h) - 1))
+                    out.append(np.where(h[at] == want, levels[at], 0) if len(h) else np.zeros(len(want), dtype=np.int64))
+                return out
+
+            for part in t.filter(pa.array(kinds == 2)).select([4, 5, 6]).combine_chunks().to_batches():
+                yield scores(part, levels_of)
+
+    nothing = {"hashes": "binary", "levels": "binary", "doc_id": "long", "text": "string", "held_out": "boolean"}
+    texts = chunks.withColumn("kind", F.lit(2).cast("long"))
+    both = [df.select("chunk", "kind", *[c if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in nothing.items()]) for df in (answers, texts)]
+    return both[0].unionByName(both[1]).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(final, schema)
+
+
 def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
@@ -174,14 +316,8 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> Da
     order = np.argsort(head.column("h").to_numpy().view(U64))
     head_h, head_n = head.column("h").to_numpy().view(U64)[order], head.column("n").to_numpy()[order]
 
-    one = _sized(chars, 4, UNIGRAM_BITS)
-    two = _sized(chars, 2, BIGRAM_BITS)
-
-    def as_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(U64)
-            order = np.argsort(h)
-            yield one.parts(h[order], batch.column(1).to_numpy()[order])
+    one, two = _blocks(chars, 4), _blocks(chars, 2)
+    counted1 = one.counted_words(counts, "words")
 
     def bigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,42 +325,59 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> Da
             for lo, hi in chunked(texts, 16_000_000):
                 yield two.parts(*np.unique(bigram_hashes(*token_hashes(texts[lo:hi])), return_counts=True))
 
-    shared = spark.sparkContext.broadcast((one.build(counts.mapInArrow(as_parts, PARTS), 1), two.build(training.mapInArrow(bigrams, PARTS), MIN_COUNT), head_h, head_n))
+    counted2 = two.counted(training.mapInArrow(bigrams, PARTS), MIN_COUNT, "bigrams")
+    one, two = one.fitted(counted1), two.fitted(counted2)
     denominator = float(total + distinct + 1)
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table1, table2, known_h, known_n = shared.value
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in chunked(texts):
-                tokens, starts = token_hashes(texts[lo:hi])
-                uniq, inverse = np.unique(tokens, return_inverse=True)
-                uni = one.read(table1, uniq)
-                pairs, back = np.unique(bigram_hashes(tokens, starts), return_inverse=True)
-                joint = two.read(table2, pairs)[back]
-                single = uni[inverse]
-                before = np.empty_like(single)
-                before[1:] = single[:-1]
-                before[starts] = uni[np.searchsorted(uniq, END)]
-                ratio = np.minimum(1.0, joint / np.maximum(before, 1.0))
-                p = MIX * ratio + (1 - MIX) * (single + 1) / denominator
-                model = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
-                at = np.minimum(np.searchsorted(known_h, uniq), max(0, len(known_h) - 1))
-                frequent = known_h[at] == uniq if len(known_h) else np.zeros(len(uniq), dtype=bool)
-                exact = np.where(frequent, known_n[at] if len(known_n) else 0, 0)
-                own = np.where(frequent, np.log10((exact + 1) / denominator), 0.0)
-                base = np.add.reduceat(own[inverse], starts)
-                seen = np.add.reduceat(frequent[inverse].astype(np.int64), starts)
-                lengths = np.diff([*starts, len(tokens)])
-                rare = np.flatnonzero(~frequent[inverse])
-                owner = np.repeat(np.arange(len(starts)), lengths)[rare]
-                offsets = np.searchsorted(owner, np.arange(len(starts) + 1)).astype(np.int32)
-                others = pa.ListArray.from_arrays(pa.array(offsets), signed(tokens[rare]))
-                part = batch.slice(lo, hi - lo)
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(lengths), pa.array(seen), pa.array(base), pa.array(model), others], names=["doc_id", "held_out", "n_tokens", "seen", "base", "score", "others"])
+    known = spark.sparkContext.broadcast((head_h, head_n))
+
+    def scores(part: pa.RecordBatch, levels_of) -> pa.RecordBatch:
+        """Rows of ``doc_id, text, held_out``, scored with the levels of some unigrams and bigrams."""
+        known_h, known_n = known.value
+        tokens, starts = token_hashes(part.column(1).to_pylist())
+        uniq, inverse = np.unique(tokens, return_inverse=True)
+        pairs, back = np.unique(bigram_hashes(tokens, starts), return_inverse=True)
+        found1, found2 = levels_of(uniq, pairs)
+        uni, joint = one.stand_for(found1), two.stand_for(found2)[back]
+        single = uni[inverse]
+        before = np.empty_like(single)
+        before[1:] = single[:-1]
+        before[starts] = uni[np.searchsorted(uniq, END)]
+        ratio = np.minimum(1.0, joint / np.maximum(before, 1.0))
+        p = MIX * ratio + (1 - MIX) * (single + 1) / denominator
+        model = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
+        at = np.minimum(np.searchsorted(known_h, uniq), max(0, len(known_h) - 1))
+        frequent = known_h[at] == uniq if len(known_h) else np.zeros(len(uniq), dtype=bool)
+        exact = np.where(frequent, known_n[at] if len(known_n) else 0, 0)
+        own = np.where(frequent, np.log10((exact + 1) / denominator), 0.0)
+        base = np.add.reduceat(own[inverse], starts)
+        seen = np.add.reduceat(frequent[inverse].astype(np.int64), starts)
+        lengths = np.diff([*starts, len(tokens)])
+        rare = np.flatnonzero(~frequent[inverse])
+        owner = np.repeat(np.arange(len(starts)), lengths)[rare]
+        offsets = np.searchsorted(owner, np.arange(len(starts) + 1)).astype(np.int32)
+        others = pa.ListArray.from_arrays(pa.array(offsets), signed(tokens[rare]))
+        return pa.record_batch([part.column(0), part.column(2), pa.array(lengths), pa.array(seen), pa.array(base), pa.array(model), others], names=["doc_id", "held_out", "n_tokens", "seen", "base", "score", "others"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, others array<long>"
-    scored = materialize(docs.select("doc_id", "text", "held_out").mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    if one.bits + two.bits <= BROADCAST_BITS:
+        shared = spark.sparkContext.broadcast((one.gathered(counted1), two.gathered(counted2)))
+
+        def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table1, table2 = shared.value
+
+            def levels_of(uniq: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                return one.read_levels(table1, uniq, one.block_of(uniq)), two.read_levels(table2, pairs, two.block_of(pairs))
+
+            for batch in batches:
+                for lo, hi in chunked(batch.column(1).to_pylist()):
+                    yield scores(batch.slice(lo, hi - lo), levels_of)
+
+        scored = docs.select("doc_id", "text", "held_out").mapInArrow(score, schema)
+    else:
+        scored = _scored_by_blocks(docs.select("doc_id", "text", "held_out"), (one, two), (counted1, counted2), scores, schema)
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    for counted in (counted1, counted2):
+        discard(counted)
     rare = scored.select("row", F.explode("others").alias("h")).join(counts, "h", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(denominator))).alias("more"), F.count("n").alias("known"))
     return scored.drop("others").join(rare, "row", "left").select(

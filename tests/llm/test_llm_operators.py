@@ -362,3 +362,31 @@ def test_words_are_ascii_runs():
 
     text = "a b\x1cc\td\x0be\x0cf\rg\nh i"
     assert [w.decode() for w in ascii_words(text)] == re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def test_lm_scoring_holds_to_exact_counts_beyond_the_broadcast(spark, monkeypatch):
+    r = random.Random(11)
+    texts = [" ".join(f"w{int(r.paretovariate(0.6)) % 3000}" for _ in range(150)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bound in ("UNIGRAM_BITS", "BIGRAM_BITS", "BROADCAST_BITS"):  # all filters are larger
+        monkeypatch.setattr(lm_score, bound, 1 << 14, raising=False)
+    got = {x.doc_id: (x.held_out, x.score) for x in lm_score.score_documents(df).collect()}
+    monkeypatch.setattr(lm_score, "BROADCAST_BITS", 1 << 29, raising=False)
+    assert {x.doc_id: x.score for x in lm_score.score_documents(df).collect()} == pytest.approx({i: s for i, (_, s) in got.items()})
+    tokens = [[*t.split(), "\n"] for t in texts]
+    one = collections.Counter(t for i, ts in enumerate(tokens) if not got[i][0] for t in ts)
+    two = collections.Counter(p for i, ts in enumerate(tokens) if not got[i][0] for p in zip(["\n", *ts], ts))
+    rest = sum(one.values()) + len(one) + 1
+    assert 1 in two.values() and len(two) > 5000  # bigrams seen once are in no filter
+
+    def exact(ts):
+        pairs = [two[p] if two[p] >= 2 else 0 for p in zip(["\n", *ts], ts)]
+        return sum(math.log10(0.4 * min(1, n / max(1, one[a])) + 0.6 * (one[b] + 1) / rest) for n, a, b in zip(pairs, ["\n", *ts], ts))
+
+    off = [(got[i][1] - exact(ts)) / len(ts) for i, ts in enumerate(tokens)]
+    assert max(map(abs, off)) < 0.05 and abs(sum(off)) / len(off) < 0.03
+
+
+def test_log_frequency_filter_stops_at_the_highest_level():
+    f = lm_score.LogFrequencyFilter(1 << 14, 16, 9)
+    assert (f.read_levels(np.full(16 << (f.block_bits - 3), 255, dtype=np.uint8), np.arange(50, dtype=np.uint64), np.zeros(50, dtype=np.int64)) == 9).all()
