@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,17 +40,41 @@ def tree_counts(points: DataFrame) -> DataFrame:
     return points.groupBy(KEY).agg(F.count("*").alias("n_points"), F.count_if(F.col("parent") != -1).alias("n_edges")).withColumn("n_trees", F.col("n_points") - F.col("n_edges"))
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared checkpoint folder (a local one where none is set) and read back."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="arborkit-")
+    path = f"{folder.rstrip('/')}/tree-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _drop(df: DataFrame, path: str) -> None:
+    where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _sums_to_root(points: DataFrame) -> DataFrame:
+    """``value`` of ``(neuron_id, point_no, parent, value)`` summed from each point up to its root.
+
+    Pointer doubling: each round adds the sum that the ancestor reached holds and
+    doubles the reach, so a path of n points takes log2(n) joins.  Points that
+    no root is above (a missing parent, a cycle) give none.
+    """
+    now, path = _written(points.select(KEY, "point_no", F.col("parent").alias("above"), "value"))
+    rounds = now.count().bit_length() + 1  # a point still under way after these is on or below a cycle
+    while rounds and now.where("above <> -1").limit(1).count():
+        up = now.select(KEY, F.col("point_no").alias("above"), F.col("above").alias("next"), F.col("value").alias("more"))
+        moved = now.where("above <> -1").join(up, [KEY, "above"]).select(KEY, "point_no", F.col("next").alias("above"), (F.col("value") + F.col("more")).alias("value"))
+        after, new_path = _written(now.where("above = -1").unionByName(moved))
+        _drop(now, path)
+        now, path, rounds = after, new_path, rounds - 1
+    return now.where("above = -1").select(KEY, "point_no", "value")
+
+
 def depths(points: DataFrame) -> DataFrame:
-    """Edges between each point and its root (recursive SQL)."""
-    name = f"_tree_points_{abs(id(points))}"
-    points.select(KEY, "point_no", "parent").createOrReplaceTempView(name)
-    return points.sparkSession.sql(f"""
-        WITH RECURSIVE walk(neuron_id, point_no, depth) AS (
-          SELECT neuron_id, point_no, 0 FROM {name} WHERE parent = -1
-          UNION ALL
-          SELECT p.neuron_id, p.point_no, w.depth + 1 FROM walk w JOIN {name} p
-          ON p.neuron_id = w.neuron_id AND p.parent = w.point_no)
-        SELECT * FROM walk""")
+    """Edges between each point and its root."""
+    return _sums_to_root(points.withColumn("value", F.lit(1))).select(KEY, "point_no", (F.col("value") - 1).alias("depth"))
 
 
 def reroot(points: DataFrame, new_roots: DataFrame) -> DataFrame:
@@ -55,44 +82,41 @@ def reroot(points: DataFrame, new_roots: DataFrame) -> DataFrame:
 
     Only edges on the path from the old root to the new one turn round.
     """
-    name, roots = f"_reroot_{abs(id(points))}", f"_roots_{abs(id(new_roots))}"
-    points.select(KEY, "point_no", "parent").createOrReplaceTempView(name)
-    new_roots.createOrReplaceTempView(roots)
-    path = points.sparkSession.sql(f"""
-        WITH RECURSIVE up(neuron_id, point_no, parent, was) AS (
-          SELECT p.neuron_id, p.point_no, p.parent, -1 FROM {roots} r JOIN {name} p
-          ON p.neuron_id = r.neuron_id AND p.point_no = r.point_no
-          UNION ALL
-          SELECT p.neuron_id, p.point_no, p.parent, u.point_no FROM up u JOIN {name} p
-          ON p.neuron_id = u.neuron_id AND p.point_no = u.parent)
-        SELECT neuron_id, point_no, was AS turned FROM up""")
+    up = path_to_root(points, new_roots)
+    below = up.select(KEY, "start", (F.col("step") + 1).alias("step"), F.col("point_no").alias("was"))
+    path = up.join(below, [KEY, "start", "step"], "left").select(KEY, "point_no", F.coalesce("was", F.lit(-1)).alias("turned"))
     return points.join(path, [KEY, "point_no"], "left").withColumn("parent", F.coalesce("turned", "parent")).drop("turned")
 
 
 def path_to_root(points: DataFrame, starts: DataFrame) -> DataFrame:
-    """Points from ``starts(neuron_id, point_no)`` up to the root with ``step``."""
-    name, first = f"_path_{abs(id(points))}", f"_starts_{abs(id(starts))}"
-    points.select(KEY, "point_no", "parent").createOrReplaceTempView(name)
-    starts.createOrReplaceTempView(first)
-    return points.sparkSession.sql(f"""
-        WITH RECURSIVE up(neuron_id, start, point_no, parent, step) AS (
-          SELECT p.neuron_id, p.point_no, p.point_no, p.parent, 0 FROM {first} r JOIN {name} p
-          ON p.neuron_id = r.neuron_id AND p.point_no = r.point_no
-          UNION ALL
-          SELECT u.neuron_id, u.start, p.point_no, p.parent, u.step + 1 FROM up u JOIN {name} p
-          ON p.neuron_id = u.neuron_id AND p.point_no = u.parent)
-        SELECT neuron_id, start, step, point_no FROM up""")
+    """Points from ``starts(neuron_id, point_no)`` up to the root with ``step``.
+
+    Pointer doubling: each round moves the path so far up by its own length.
+    """
+    own = points.join(starts.select(KEY).distinct(), KEY, "left_semi")
+    jump, jump_path = _written(own.where("parent <> -1").select(KEY, "point_no", F.col("parent").alias("above")).join(own.select(KEY, F.col("point_no").alias("above")), [KEY, "above"], "left_semi").select(KEY, "point_no", "above"))
+    first = starts.select(KEY, "point_no").join(points.select(KEY, "point_no"), [KEY, "point_no"])
+    now, path = _written(first.select(KEY, F.col("point_no").alias("start"), F.lit(0).alias("step"), "point_no"))
+    reach, most = 1, jump.count()
+    while True:
+        moved = now.join(jump, [KEY, "point_no"]).select(KEY, "start", (F.col("step") + reach).alias("step"), F.col("above").alias("point_no"))
+        new, new_path = _written(moved)
+        if not new.limit(1).count():
+            _drop(new, new_path)
+            _drop(jump, jump_path)
+            return now
+        if reach > most:
+            raise ValueError("a path to the root meets a cycle")
+        after, after_path = _written(now.unionByName(new))
+        far = jump.select(KEY, F.col("point_no").alias("above"), F.col("above").alias("next"))
+        further, further_path = _written(jump.join(far, [KEY, "above"]).select(KEY, "point_no", F.col("next").alias("above")))
+        for df, at in ((now, path), (new, new_path), (jump, jump_path)):
+            _drop(df, at)
+        now, path, jump, jump_path, reach = after, after_path, further, further_path, 2 * reach
 
 
 def branch_orders(points: DataFrame) -> DataFrame:
     """Branch order: branch points between each point and the root."""
-    classed = point_classes(points).select(KEY, "point_no", "parent", (F.col("n_children") > 1).cast("int").alias("branch"))
-    name = f"_order_{abs(id(points))}"
-    classed.createOrReplaceTempView(name)
-    return points.sparkSession.sql(f"""
-        WITH RECURSIVE walk(neuron_id, point_no, branch_order, branch) AS (
-          SELECT neuron_id, point_no, 0, branch FROM {name} WHERE parent = -1
-          UNION ALL
-          SELECT p.neuron_id, p.point_no, w.branch_order + w.branch, p.branch FROM walk w JOIN {name} p
-          ON p.neuron_id = w.neuron_id AND p.parent = w.point_no)
-        SELECT neuron_id, point_no, branch_order FROM walk""")
+    own = point_classes(points).select(KEY, "point_no", "parent", (F.col("n_children") > 1).cast("int").alias("value"))
+    before = own.select(KEY, "point_no", F.col("value").alias("own"))
+    return _sums_to_root(own).join(before, [KEY, "point_no"]).select(KEY, "point_no", (F.col("value") - F.col("own")).alias("branch_order"))

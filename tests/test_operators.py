@@ -134,3 +134,20 @@ def test_swc_round_trip(spark, points, tmp_path):
     assert got == [("cell", 1, 3.0, -1), ("cell", 2, 1.0, 1)]
     write_swc(points.withColumn("label", F.lit(2)), str(tmp_path / "out"))
     assert len(spark.read.text(str(tmp_path / "out")).collect()) == 6
+
+
+def test_long_paths(spark):
+    n = 150
+    path = spark.createDataFrame([("n", i, i - 1 if i > 1 else -1) for i in range(1, n + 1)] + [("n", n + 1, 1), ("n", n + 3, n + 2)], "neuron_id string, point_no int, parent int")
+    assert dict(rows(tree.depths(path), "point_no", "depth")) == {i: i - 1 for i in range(1, n + 1)} | {n + 1: 1}
+    assert dict(rows(tree.branch_orders(path), "point_no", "branch_order")) == {1: 0} | {i: 1 for i in range(2, n + 2)}
+    start = spark.createDataFrame([("n", n)], "neuron_id string, point_no int")
+    assert rows(tree.path_to_root(path, start), "start", "step", "point_no") == [(n, i, n - i) for i in range(n)]
+    assert dict(rows(tree.reroot(path, start), "point_no", "parent")) == {i: i + 1 for i in range(1, n)} | {n: -1, n + 1: 1, n + 3: n + 2}
+
+
+def test_points_on_a_cycle_have_no_depth(spark):
+    ring = spark.createDataFrame([("n", 1, -1), ("n", 2, 3), ("n", 3, 2), ("n", 4, 3)], "neuron_id string, point_no int, parent int")
+    assert rows(tree.depths(ring), "point_no", "depth") == [(1, 0)]
+    with pytest.raises(ValueError):
+        tree.path_to_root(ring, spark.createDataFrame([("n", 4)], "neuron_id string, point_no int"))
