@@ -16,13 +16,66 @@ def _cells(df: DataFrame, size: float, prefix: str) -> DataFrame:
     return df.withColumns({f"c{a}": F.floor(F.col(f"{prefix}{a}0") / size) for a in "xyz"})
 
 
-def direct_synapses(a: DataFrame, b: DataFrame, s: float, max_length: float = 0.5) -> DataFrame:
+def _covered(df: DataFrame, size: float, s: float) -> DataFrame:
+    """A row for each cell that a segment meets, as ``cx, cy, cz``.
+
+    A segment is cut into pieces no longer than a cell; each piece takes the
+    cells of its bounding box, grown by a little over half of ``s``.
+    """
+    length = F.sqrt(sum(((F.col(f"{n}1") - F.col(f"{n}0")) ** 2 for n in "xyz"), F.lit(0.0)))
+    pieces = F.greatest(F.lit(1), F.ceil(length / size))
+    grown = 0.51 * s + 1e-6 * size
+
+    def cells(piece):
+        spans = []
+        for n in "xyz":
+            ends = [F.col(f"{n}0") + (F.col(f"{n}1") - F.col(f"{n}0")) * (piece + e) / F.col("pieces") for e in (0, 1)]
+            spans.append(F.sequence(F.floor((F.least(*ends) - grown) / size), F.floor((F.greatest(*ends) + grown) / size)))
+        along = lambda x, y: F.transform(spans[2], lambda z: F.struct(x.alias("cx"), y.alias("cy"), z.alias("cz")))
+        return F.flatten(F.transform(spans[0], lambda x: F.flatten(F.transform(spans[1], lambda y: along(x, y)))))
+
+    cut = df.where(length.isNotNull()).withColumn("pieces", pieces)
+    met = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), cells)))
+    return cut.withColumn("cell", F.explode(met)).select(*df.columns, "cell.*")
+
+
+def _all_synapses(a: DataFrame, b: DataFrame, s: float) -> DataFrame:
+    """Pairs within ``s`` whatever the segments' lengths.
+
+    Two segments within ``s`` share a cell.  The mean length sets the cells'
+    size, so that the cells covered grow with the number of segments only.
+    """
+    def numbered(df):
+        return df.select("neuron_id", *SEG, F.xxhash64("neuron_id", *SEG).alias("key")).groupBy("neuron_id", *SEG, "key").agg(F.count("*").alias("copies"))
+
+    length = F.sqrt(sum(((F.col(f"{n}1") - F.col(f"{n}0")) ** 2 for n in "xyz"), F.lit(0.0)))
+    mean = a.select(*SEG).unionAll(b.select(*SEG)).agg(F.avg(length)).first()[0] or 0.0
+    size = max(mean / 16, 2 * s, 1e-9)
+    sides = []
+    for df, t in ((a, "a"), (b, "b")):
+        side = _covered(numbered(df), size, s)
+        sides.append(side.select("cx", "cy", "cz", F.col("neuron_id").alias(f"neuron_{t}"), F.col("key").alias(f"key_{t}"), F.col("copies").alias(f"copies_{t}"), *[F.col(c).alias(t + c) for c in SEG]))
+    pairs = sides[0].join(sides[1], ["cx", "cy", "cz"]).where("neuron_a < neuron_b")
+    for n in "xyz":  # bounding boxes within s
+        low, high = ([f([F.col(f"{t}{n}{e}") for e in "01"]) for t in "ab"] for f in (lambda x: F.least(*x), lambda x: F.greatest(*x)))
+        pairs = pairs.where((low[0] <= high[1] + s * 1.01) & (low[1] <= high[0] + s * 1.01))
+    ends = [[f"{t}{n}{e}" for n in "xyz"] for t in "ab" for e in "01"]
+    # exploded, as a plain filter would be pushed down and repeat the arithmetic
+    near = F.explode(F.array(F.col("distance") <= s)).alias("near")
+    met = with_segment_distance(pairs, *ends).select("neuron_a", "neuron_b", "key_a", "key_b", (F.col("copies_a") * F.col("copies_b")).alias("n"), near).where("near")
+    return met.distinct().groupBy("neuron_a", "neuron_b").agg(F.sum("n").alias("n"))
+
+
+def direct_synapses(a: DataFrame, b: DataFrame, s: float, max_length: float | None = 0.5) -> DataFrame:
     """Segment pairs of different neurons within ``s``: ``neuron_a, neuron_b, n``.
 
-    Candidates have heads within ``2 max_length + 2 s`` on every axis.  A grid
+    With ``max_length`` None every pair is found.  Otherwise, as in the reference,
+    candidates have heads within ``2 max_length + 2 s`` on every axis.  A grid
     whose cells are that wide turns the band join into an equi-join: the second
     side is copied to its 27 neighbouring cells, the first is not.
     """
+    if max_length is None:
+        return _all_synapses(a, b, s)
     reach = 2 * max_length + 2 * s
     left = _cells(a.select(F.col("neuron_id").alias("neuron_a"), *[F.col(c).alias("a" + c) for c in SEG]), reach, "a")
     right = b.select(F.col("neuron_id").alias("neuron_b"), *[F.col(c).alias("b" + c) for c in SEG])

@@ -198,7 +198,7 @@ def rank_correlation(spark, sf_dir):
 @register("direct_synapses")
 def direct_synapses(spark, sf_dir):
     pieces = s.seglets(points(spark, sf_dir))
-    return m.direct_synapses(pieces, pieces, 0.05, 0.2)
+    return m.direct_synapses(pieces, pieces, 0.05, None)
 
 
 @register("prefix_match", """WITH k AS (SELECT DISTINCT left(n_name, 4) AS key FROM nation), h AS (SELECT key, n_name FROM k LEFT JOIN nation ON starts_with(upper(n_name), upper(key)))

@@ -151,3 +151,17 @@ def test_points_on_a_cycle_have_no_depth(spark):
     assert rows(tree.depths(ring), "point_no", "depth") == [(1, 0)]
     with pytest.raises(ValueError):
         tree.path_to_root(ring, spark.createDataFrame([("n", 4)], "neuron_id string, point_no int"))
+
+
+def test_direct_synapses_query_finds_contacts_of_long_segments(spark, tmp_path):
+    from arborkit.plans import volumes
+    from arborkit.sources import adapters
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_orderkey < 120").write.parquet(str(tmp_path / "lineitem.parquet"))
+    cols = [c + e for e in "01" for c in "xyz"]
+    pieces = segments.seglets(adapters.points(spark, str(tmp_path))).select("neuron_id", *cols)
+    pairs = pieces.select(F.col("neuron_id").alias("p"), *[F.col(c).alias("p" + c) for c in cols]).crossJoin(pieces.select(F.col("neuron_id").alias("q"), *[F.col(c).alias("q" + c) for c in cols])).where("p < q")
+    far = geometry.with_segment_distance(pairs, *[[t + n + e for n in "xyz"] for t in "pq" for e in "01"])
+    want = rows(far.groupBy("p", "q").agg(F.count_if(F.col("distance") <= 0.05).alias("n")).where("n > 0"), "p", "q", "n")
+    assert len(want) > 20
+    assert rows(volumes.direct_synapses(spark, str(tmp_path)), "neuron_a", "neuron_b", "n") == want
