@@ -210,4 +210,4 @@ def prefix_match(spark, sf_dir):
 
 @register("gaussian_smooth")
 def gaussian_smooth(spark, sf_dir):
-    return d.gaussian_smooth(voxels(spark, sf_dir), GRID, 3.0, 1.0, BY).withColumn("value", r(F.col("value"), 6))
+    return d.gaussian_smooth(voxels(spark, sf_dir), GRID, 3.0, by=BY).withColumn("value", r(F.col("value"), 6))

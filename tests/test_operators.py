@@ -165,3 +165,19 @@ def test_direct_synapses_query_finds_contacts_of_long_segments(spark, tmp_path):
     want = rows(far.groupBy("p", "q").agg(F.count_if(F.col("distance") <= 0.05).alias("n")).where("n > 0"), "p", "q", "n")
     assert len(want) > 20
     assert rows(volumes.direct_synapses(spark, str(tmp_path)), "neuron_a", "neuron_b", "n") == want
+
+
+def test_gaussian_smooth_query_equals_a_brute_force_sum(spark):
+    from arborkit.plans import volumes
+
+    grid = volumes.GRID
+    dense = {}
+    for r in volumes.voxels(spark, "/root/testdata/sf0.001").collect():
+        dense.setdefault(r.density_id, np.zeros(grid.n))[r.i, r.j, r.k] = r.value
+    for axis, (n, d) in enumerate(zip(grid.n, grid.voxel)):
+        o = np.arange(-40, 41)
+        w = np.exp(-((o * d) ** 2) / (2 * 3.0**2))
+        m = np.array([[w[a - b + 40] for b in range(n)] for a in range(n)]) / w.sum()
+        dense = {k: np.moveaxis(np.tensordot(m, v, (1, axis)), 0, axis) for k, v in dense.items()}
+    got = volumes.gaussian_smooth(spark, "/root/testdata/sf0.001").collect()
+    assert got and max(abs(r.value - dense[r.density_id][r.i, r.j, r.k]) for r in got) < 1e-3
