@@ -29,10 +29,12 @@ CHUNK_CHARS = 4_000_000
 
 # ---------------------------------------------------------------- shared tables
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set (tests)."""
+    """The cluster's shared folder; a local one only where none is set on one machine (tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL_FOLDER:
         _LOCAL_FOLDER.append("file://" + tempfile.mkdtemp(prefix="arborkit-"))
     return _LOCAL_FOLDER[0]
@@ -57,18 +59,23 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Name under which :func:`boxed` carries a table's own columns.
+#: Name under which :func:`boxed` carries the columns that a function does not read.
 BOX = "__row"
 
 
-def boxed(docs: DataFrame, *names: str) -> DataFrame:
-    """``names`` and the whole row as one struct, so that no added column can clash."""
-    return docs.select(*names, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(BOX))
+def boxed(docs: DataFrame, *read: str) -> DataFrame:
+    """Columns ``read`` and all others in one struct, so that no added column can clash."""
+    others = [c for c in docs.columns if c not in read]
+    return docs.select(*[F.col(f"`{c}`") for c in read], F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(others)]).alias(BOX))
 
 
-def unboxed(judged: DataFrame, columns: list[str], **new) -> DataFrame:
-    """The boxed columns again, with ``new`` ones in place of those of that name."""
-    return judged.select(*[new[c].alias(c) if c in new else F.col(BOX)[c].alias(c) for c in columns])
+def unboxed(judged: DataFrame, columns: list[str], read: Iterable[str], *added: str, **new) -> DataFrame:
+    """``columns`` of a table boxed with ``read``, ``new`` ones in place of those of that name, and ``added`` ones."""
+    read = list(read)
+    others = [c for c in columns if c not in read]
+    place = {c: i for i, c in enumerate(others)}
+    own = [new[c].alias(c) if c in new else F.col(f"`{c}`") if c in read else F.col(BOX)[f"f{place[c]}"].alias(c) for c in columns]
+    return judged.select(*own, *added)
 
 
 def schema_of(df: DataFrame, columns: list[str], added: str) -> T.StructType:
@@ -242,9 +249,11 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
 
     ``edges(a long, b long)``; returns ``(node, component)`` for every node of an
     edge between two different nodes, ``component`` being the smallest node id.
-    Each step is two aggregations by key with map-side minima and a join that
-    adaptive execution may split, so a hub of any degree is never gathered.
-    Labels are written to the shared folder between steps.
+    Each step is two aggregations by key with map-side minima, each written
+    before it meets the edges again: both sides of that join are then plain
+    shuffles (or the minima are small enough to broadcast), which adaptive
+    execution splits where a hub makes one partition large.  Labels are written
+    to the shared folder between steps.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = materialize(edges.where("a is not null and b is not null and a <> b").select(high.alias("a"), low.alias("b")).distinct(), tag)
@@ -252,16 +261,17 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     while True:
         # Large star: each node's larger neighbours join the smallest node seen.
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), tag + "-least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: each node and its smaller neighbours join the smallest.
-        large = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        low_of = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag + "-large")
+        low_of = materialize(large.groupBy("a").agg(F.min("b").alias("m")), tag + "-low")
         small = large.join(low_of, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         after = materialize(small.where("a <> b").distinct(), tag)
         seen = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.countDistinct("a")).first()
-        discard(now)
+        for old in (now, least, large, low_of):
+            discard(old)
         now = after
         if tuple(seen) == state or seen[0] == seen[2] and not after.join(after.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
             break

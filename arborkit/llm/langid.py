@@ -1,8 +1,8 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax.
 
 A text's subwords are the 3- to 5-byte grams of its words, each word between
-``<`` and ``>`` (ASCII letters lower-cased, other ASCII as separators), over the
-whole text.  Their embeddings are averaged and a softmax layer chooses the
+``<`` and ``>`` (letters lower-cased, ASCII that is no letter as separators), over
+the whole text.  Their embeddings are averaged and a softmax layer chooses the
 language; both are trained by stochastic gradient descent in numpy on a bounded
 sample of labelled rows (``MAX_LABELLED``, lowest id hashes).  A temperature is
 fitted on a fifth of the sample that SGD never sees, and ``rejected`` marks
@@ -13,7 +13,11 @@ language; words are scored once per chunk of texts and added up.
 
 ``und`` with score 0 where text is null or has no letter, or where nothing could
 be learnt.  Only text and non-null languages of rows that are not held out are
-learnt from; rows without a ``doc_id`` are predicted, not sampled.  Repeated rows are predicted alike.
+learnt from; rows without a ``doc_id`` are predicted, not sampled.  Of rows that
+share an id only one is sampled (the least by language and subwords), so the
+bound holds for rows as well.  Equal texts are predicted alike; of languages with
+equal probability the first by name is taken.  Texts of any length are read
+whole.  Extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,9 +123,11 @@ def train(docs: DataFrame, modulus: int, remainder: int) -> LanguageModel | None
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(subwords(words_of(x))[0], return_counts=True) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([b.astype(np.int32).tobytes() for _, b in found], pa.binary())], names=["lang", "ids", "counts"])
+            yield pa.record_batch([batch.column(2), batch.column(0), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([b.astype(np.int32).tobytes() for _, b in found], pa.binary())], names=["doc_id", "lang", "ids", "counts"])
 
-    got = rows.select("lang", "text").mapInArrow(run, "lang string, ids binary, counts binary").toArrow()
+    got = rows.select("lang", "text", "doc_id").mapInArrow(run, "doc_id long, lang string, ids binary, counts binary")
+    # one row an id: at most MAX_LABELLED reach the driver
+    got = got.groupBy("doc_id").agg(F.min(F.struct("lang", "ids", "counts")).alias("s")).select("s.*").toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by([("ids", "ascending"), ("counts", "ascending"), ("lang", "ascending")])

@@ -12,8 +12,12 @@ equi-join, which adaptive execution may split for a line that is everywhere,
 and each document drops its lines by position.
 
 Line identity is a pair of independent hashes (64 and 32 bits).  Null site:
-counts as no site.  Null text stays null, with 0 lines; ``doc_id`` may be null
-or repeated: rows are told apart by id and text.  Extra columns pass through.
+counts as no site.  Null text stays null, with 0 lines; empty text is one blank
+line.  ``doc_id`` may be null or repeated: rows are told apart by id and text.
+A text of one line, of blank lines only or of millions of lines is judged like
+any other.  Extra columns pass through whatever their names, but for older ones
+named ``n_lines``, ``n_removed`` or ``kept_text``, which the outputs replace.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,9 +56,10 @@ def boilerplate_lines(lines: DataFrame, min_sites: int, near: float = NEAR) -> D
 
 def judge_lines(docs: DataFrame, min_sites: int = 15, site: str = "source") -> DataFrame:
     """All columns of ``docs`` with ``n_lines, n_removed, kept_text``."""
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")]
-    keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("__key"), F.xxhash64("text").alias("__text"))
-    placed = keyed.select("__key", "__text", F.col(site).cast("string").alias("site"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    read = tuple(dict.fromkeys(("doc_id", "text", site)))
+    keyed = boxed(docs, *read).withColumn("text", F.col("text").cast("string"))
+    keyed = keyed.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "__text": F.xxhash64("text")})
+    placed = keyed.select("__key", "__text", F.col(f"`{site}`").cast("string").alias("site"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     placed = placed.withColumn("line", F.trim("line")).where("line <> ''").select("__key", "__text", "site", "pos", *_key(F.col("line")))
     found = boilerplate_lines(placed.select("h1", "h2", "site"), min_sites)
     gone = placed.select("__key", "__text", "pos", "h1", "h2").join(found, ["h1", "h2"], "left_semi")
@@ -66,10 +71,13 @@ def judge_lines(docs: DataFrame, min_sites: int = 15, site: str = "source") -> D
     joined = joined.withColumn("n_lines", size.cast("long")).withColumn("__stay", F.when(F.col("__gone").isNotNull(), stay))
     text = F.when(F.col("__stay").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__stay", lambda p: F.get("__lines", p)), "\n"))
     removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
-    return joined.select(*own, "n_lines", removed.cast("long").alias("n_removed"), text.alias("kept_text"))
+    joined = joined.withColumns({"n_removed": removed.cast("long"), "kept_text": text})
+    added = ("n_lines", "n_removed", "kept_text")
+    own = {c: F.col(c) for c in added if c in docs.columns}
+    return unboxed(joined, docs.columns, read, *[c for c in added if c not in own], **own)
 
 
 def remove_boilerplate_lines(docs: DataFrame, min_sites: int = 15, site: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text``."""
-    judged = judge_lines(boxed(docs, *dict.fromkeys(("doc_id", "text", site))), min_sites, site)
-    return unboxed(judged, docs.columns, text=F.col("kept_text"))
+    read = tuple(dict.fromkeys(("doc_id", "text", site)))
+    return unboxed(judge_lines(boxed(docs, *read), min_sites, site), docs.columns, read, text=F.col("kept_text"))

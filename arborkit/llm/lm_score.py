@@ -6,11 +6,13 @@ the n-gram enters the filter once per level up to its own; a reader probes level
 after level until one is missing or the highest level put in is passed.  Two
 filters are built block by block on the executors (a block holds the n-grams
 with the same leading hash bits, so each n-gram is counted and inserted in one
-place): all unigrams, and bigrams seen ``min_count`` times.  Their sizes follow
-the levels counted, so at most a quarter of the bits or so is set in a corpus of
-any size.  Filters of up to ``BROADCAST_BITS`` together are broadcast; larger
-ones stay in their blocks, and the distinct n-grams of each chunk of texts are
-sent to the blocks and the counts found are sent back.
+place): all unigrams and all bigrams, those seen once as well.  Their sizes
+follow the levels counted, so that 1 - exp(-1 / SPARE) of the bits are set in a
+corpus of any size, and an n-gram that was never put in passes a level by chance
+with that to the power of PROBES (2.3 %).  Filters of up to ``BROADCAST_BITS``
+together are broadcast; larger ones stay in their blocks, and the distinct
+n-grams of each chunk of texts are sent to the blocks and the counts found are
+sent back.
 
 ``score`` is the log10 probability under ``L * c(hw)/c(h) + (1 - L) * (c(w) +
 1)/(N + V + 1)`` with counts read from the filters.  ``base_score`` is the exact
@@ -20,7 +22,8 @@ added up while scanning, all others meet their exact counts in a join.
 Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased, and one end token
 closes each text.  Words are told apart by 64-bit hashes.  Null text: empty (the
 end token alone).  Null ``doc_id`` trains.  Repeated rows count as often as they
-occur.  Without training documents N and V are 0.  Empty table: empty result.
+occur.  Texts of any length are scored whole.  Without training documents N and
+V are 0.  Only ``doc_id`` and ``text`` are read.  Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -39,10 +42,10 @@ from .ngram_join import runs
 #: The end token; no word hashes to it but by chance.
 END = np.uint64(0xE14D0E0D5EED)
 #: Rows of the broadcast table of exact counts; bits of both filters up to which they are broadcast.
-HEAD_ROWS, BROADCAST_BITS = 1 << 19, 5 << 27
+HEAD_ROWS, BROADCAST_BITS = 1 << 19, 7 << 27
 #: Bits a probe of a level put in.
-SPARE = 4
-BASE, PROBES, MIN_COUNT, MIX = 1.5, 3, 2, 0.4
+SPARE = 3
+BASE, PROBES, MIX = 1.5, 3, 0.4
 
 
 def held_out(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
@@ -50,10 +53,10 @@ def held_out(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
 
 
 class LogFrequencyFilter:
-    """``blocks`` Bloom filters of ``2**bits`` bits; a hash's top bits name its block."""
+    """``blocks`` (a power of two) Bloom filters of ``width`` bits; a hash's top bits name its block."""
 
     def __init__(self, total_bits: int, blocks: int, top: int = 64):
-        self.block_bits = max(10, int(np.log2(total_bits / blocks)))
+        self.width = max(1024, -(-total_bits // blocks // 64) * 64)
         self.top = top
         self.blocks = blocks
         self.shift = U64(64 - int(np.log2(blocks)))
@@ -62,7 +65,7 @@ class LogFrequencyFilter:
         return (h >> self.shift).astype(np.int64) if self.blocks > 1 else np.zeros(len(h), dtype=np.int64)
 
     def places(self, h: np.ndarray, level: int, probe: int) -> np.ndarray:
-        return mix64(h + U64((level * PROBES + probe + 1) * 0xD1342543DE82EF95 % 2**64)) & U64((1 << self.block_bits) - 1)
+        return (mix64(h + U64((level * PROBES + probe + 1) * 0xD1342543DE82EF95 % 2**64)) >> U64(32)) * U64(self.width) >> U64(32)
 
     def level(self, counts: np.ndarray) -> np.ndarray:
         return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
@@ -72,7 +75,7 @@ class LogFrequencyFilter:
         return self.fill_levels(h, self.level(counts))
 
     def fill_levels(self, h: np.ndarray, levels: np.ndarray) -> bytes:
-        bits = np.zeros(1 << self.block_bits, dtype=bool)
+        bits = np.zeros(self.width, dtype=bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             own = h[levels >= level]
             for probe in range(PROBES):
@@ -90,7 +93,7 @@ class LogFrequencyFilter:
         level = 1
         while len(alive) and level <= self.top:
             own = h[alive]
-            base = blocks[alive].astype(U64) << U64(self.block_bits)
+            base = blocks[alive].astype(U64) * U64(self.width)
             found = np.ones(len(own), dtype=bool)
             for probe in range(PROBES):
                 at = base + self.places(own, level, probe)
@@ -104,7 +107,7 @@ class LogFrequencyFilter:
         low = np.ceil(BASE ** (levels - 1.0) - 1e-9)
         return np.where(levels > 0, np.sqrt(low * np.maximum(low, np.ceil(BASE**levels - 1e-9) - 1)), 0.0)
 
-    def counted(self, parts: DataFrame, min_count: int, tag: str) -> DataFrame:
+    def counted(self, parts: DataFrame, tag: str) -> DataFrame:
         """Merge ``block, hashes, counts`` parts: a row a block with its n-grams and their levels."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +118,7 @@ class LogFrequencyFilter:
                 h, n = h[order], n[order]
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
                 n, h = np.add.reduceat(n, first), h[first]
-                kept = n >= min_count
-                levels = self.level(n[kept])
-                yield _block_row(block, h[kept].tobytes(), levels.astype(np.uint8))
+                yield _block_row(block, h.tobytes(), self.level(n).astype(np.uint8))
 
         made = parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, COUNTED)
         return materialize(made, tag)
@@ -145,8 +146,7 @@ class LogFrequencyFilter:
     def fitted(self, counted: DataFrame) -> LogFrequencyFilter:
         """A filter with these blocks and room for the levels counted."""
         put, top = counted.agg(F.sum("put"), F.max("top")).first()
-        bits = 1 << max(18, int(np.ceil(np.log2(max(1, put or 0) * PROBES * SPARE))))
-        return LogFrequencyFilter(bits, self.blocks, top or 0)
+        return LogFrequencyFilter((put or 0) * PROBES * SPARE, self.blocks, top or 0)
 
     def filled(self, counted: DataFrame) -> DataFrame:
         """Each block's bits."""
@@ -163,13 +163,13 @@ class LogFrequencyFilter:
         """All blocks' bits on the driver, for filters small enough to broadcast."""
         table = np.zeros(self.bits >> 3, dtype=np.uint8)
         for block, bits in self.filled(counted).toLocalIterator():  # a bounded number of bits in all
-            at = block << (self.block_bits - 3)
+            at = block * (self.width >> 3)
             table[at : at + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
         return table
 
     @property
     def bits(self) -> int:
-        return self.blocks << self.block_bits
+        return self.blocks * self.width
 
     def parts(self, h: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         """Sorted hashes and their counts, cut by block."""
@@ -325,7 +325,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> Da
             for lo, hi in chunked(texts, 16_000_000):
                 yield two.parts(*np.unique(bigram_hashes(*token_hashes(texts[lo:hi])), return_counts=True))
 
-    counted2 = two.counted(training.mapInArrow(bigrams, PARTS), MIN_COUNT, "bigrams")
+    counted2 = two.counted(training.mapInArrow(bigrams, PARTS), "bigrams")
     one, two = one.fitted(counted1), two.fitted(counted2)
     denominator = float(total + distinct + 1)
     known = spark.sparkContext.broadcast((head_h, head_n))

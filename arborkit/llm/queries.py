@@ -109,7 +109,7 @@ FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 """
 
 
-#: Components need recursion over all links; shingles by regular expression.
+#: Windows of 35 words that start at two places or more, and the words they cover.
 OP10_SQL = """
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),

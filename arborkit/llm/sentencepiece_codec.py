@@ -10,11 +10,13 @@ space-led part is encoded once and remembered.
 
 In every Arrow batch all newly met parts, and the batch's first text whole
 (encoding and decoding), are checked against the sentencepiece library; a batch
-in which the two differ takes the library's ids.  Texts with characters that the
-model's normaliser rewrites go to the library whole.
+in which the two differ takes the library's ids.  Texts of any script take the
+agenda; only those that the model's normaliser rewrites, or that hold U+2581 or
+U+0000 themselves, go to the library whole (``by_library`` counts them).
 
-Null text: as empty (no ids).  Repeated rows: encoded alike.  Only ``doc_id``
-and ``text`` are read.  An empty table gives an empty result.
+Null text: as empty (no ids).  Repeated rows: encoded alike.  Texts and unbroken
+words of any length are encoded whole.  Only ``doc_id`` and ``text`` are read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,12 +62,14 @@ class MergeCodec:
         self.new: list[str] = []
         # neighbours that no piece holds side by side never merge
         self.pairs = {x[i : i + 2] for x in self.ids for i in range(len(x) - 1)}
-        self.differ = 0
-        # characters that normalisation leaves alone, found by asking the library
+        self.differ = self.by_library = 0
+        # common characters that normalisation leaves alone, found by asking the library; texts
+        # with others are normalised whole to see whether they stay as they are
         probe = [chr(c) for c in (*range(0x20, 0x250), *range(0x370, 0x530), *range(0x2010, 0x2030))] + ["\n", "\t", "\r"]
         plain = [c for c in probe if self.library.normalize(f"a{c}b") == f"{SPACE}a{c if c != ' ' else SPACE}b"]
         spaces = self.library.normalize(" a  b ") == f"{SPACE}{SPACE}a{SPACE}{SPACE}b{SPACE}"
-        self.odd = re.compile("[^" + "".join(map(re.escape, plain)) + "]") if spaces and self.separable else re.compile("(?s:.)")
+        self.odd = re.compile("[^" + "".join(map(re.escape, plain)) + "]")
+        self.whole = not (spaces and self.separable)
 
     # ---- the agenda
     def merge(self, text: str) -> list[int]:
@@ -155,16 +159,22 @@ class MergeCodec:
             out.append(SPACE * len(lead) + word if lead else word if word == "\n" else BARE + word)
         return out
 
+    def rewritten(self, text: str) -> bool:
+        """Whether a text with uncommon characters reaches the model as another."""
+        return SPACE in text or BARE in text or self.library.normalize(text) != SPACE + text.replace(" ", SPACE)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Comma-joined decimal ids of every text."""
         known = self.parts.__getitem__
         out = []
         for text in texts:
-            if self.odd.search(text):
+            if self.whole or self.odd.search(text) and self.rewritten(text):
+                self.by_library += 1
                 out.append(",".join(map(str, self.library.encode(text))).encode())
             else:
                 out.append(b",".join(map(known, self.split(text))) if text else b"")
         if not self.checked():  # never seen; the library's word stands
+            self.by_library += len(texts)
             self.parts.clear(), self.parts.before.clear()
             out = [",".join(map(str, ids)).encode() for ids in self.library.encode(texts, num_threads=1)]
         return out

@@ -13,16 +13,22 @@ How it runs:
    anchor places (a fourteenth of the windows) overestimates window counts.
    Partition sketches are merged; the bitmap "reached two" is broadcast (its
    size is fixed by the sketch, see ``RepeatSketch.for_items``).
-2. Only windows estimated repeated are grouped exactly, by 64-bit hash, counts
-   being added up within each batch before the shuffle.
+2. Only windows estimated repeated are listed (once, in a table), with their
+   counts within a text, and grouped exactly by 64-bit hash, counts being added
+   up on the map side.  The repeated ones are written before they meet the list
+   again, so that both sides of that join are plain shuffles, which adaptive
+   execution splits where one passage is everywhere.
 3. Each document gets the set of its repeated windows and drops their words.
 
 Beyond the sketch's largest size the estimate passes more windows on to the
 exact pass; it never loses one.
 
 Null text: no words.  Null or repeated ``doc_id``: rows are judged by their own
-words.  Empty tables give empty results.  Columns other than ``doc_id`` and
-``text`` pass through :func:`remove_repeated_windows` untouched.
+words.  A text that repeats a window within itself loses every occurrence, one
+unbroken word of any length is one word, and texts of millions of words are
+judged whole.  Empty tables give empty results.  Columns other than ``doc_id``
+and ``text`` pass through untouched whatever their names, but for older ones
+named like an output of :func:`judge_windows`, which replaces them.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, RepeatSketch, ascii_words, boxed, chunked, hash_words, schema_of, signed, unboxed, window_hashes
+from .common import BOX, U64, RepeatSketch, ascii_words, boxed, chunked, hash_words, materialize, schema_of, signed, unboxed, window_hashes
 
 #: Words of the grams among which a window's anchor is chosen.
 GRAM = 8
@@ -120,24 +126,29 @@ def repeated_windows(docs: DataFrame, k: int) -> DataFrame:
                     yield pa.record_batch([signed(np.concatenate(window)), pa.array(np.concatenate(owner)), pa.array(np.minimum(np.concatenate(times), 2).astype(np.int32))], names=["window", "row_key", "n"])
 
     rows = docs.select("row_key", "text").mapInArrow(candidates, "window long, row_key long, n int")
-    repeated = rows.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
+    rows = materialize(rows, "windows")
+    repeated = materialize(rows.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window"), "repeated-windows")
     hits = rows.select("window", "row_key").join(repeated, "window").groupBy("row_key").agg(F.collect_set("window").alias("windows"))
     return hits
 
 
 def judge_windows(docs: DataFrame, k: int = 35, keep_text: bool = True) -> DataFrame:
-    """All columns of ``docs`` with ``n_words, n_removed, kept_sha256`` (``kept_text``)."""
-    keyed = docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    hits = repeated_windows(keyed.select(F.col(KEY).alias("row_key"), F.col("text").cast("string").alias("text")), k)
-    return _judged(keyed, hits, k, keep_text)
+    """All columns of ``docs`` with ``n_words, n_removed, kept_sha256`` (``kept_text``; else without ``text``)."""
+    read = ("doc_id", "text")
+    keyed = boxed(docs, *read).withColumn("text", F.col("text").cast("string")).withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    hits = repeated_windows(keyed.select(F.col(KEY).alias("row_key"), "text"), k)
+    added = ["n_words", "n_removed", "kept_sha256", *(["kept_text"] if keep_text else [])]
+    own = {c: F.col(c) for c in added if c in docs.columns}
+    columns = [c for c in docs.columns if keep_text or c != "text"]
+    return unboxed(_judged(keyed, hits, k, keep_text), columns, read, *[c for c in added if c not in own], **own)
 
 
 def _judged(keyed: DataFrame, hits: DataFrame, k: int, keep_text: bool) -> DataFrame:
     added = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    others = [c for c in keyed.columns if c not in ("text", KEY, "n_words", "n_removed", "kept_sha256", "kept_text")]
     hits = hits.select(F.col("row_key").alias(KEY), F.col("windows").alias(HITS))
-    joined = keyed.select(*others, F.col("text").cast("string").alias("text"), KEY).join(hits, KEY, "left").drop(KEY)
-    schema = schema_of(joined, [*others, *(["text"] if keep_text else [])], added)
+    joined = keyed.join(hits, KEY, "left").drop(KEY)
+    others = ["doc_id", BOX, *(["text"] if keep_text else [])]
+    schema = schema_of(joined, others, added)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,16 +171,16 @@ def _judged(keyed: DataFrame, hits: DataFrame, k: int, keep_text: bool) -> DataF
                 digests.append(hashlib.sha256(kept).hexdigest())
                 if keep_text:
                     kept_texts.append(kept.decode("utf-8", "surrogatepass") if removed else text)
-            columns = [batch.column(c) for c in others] + ([batch.column("text")] if keep_text else [])
+            columns = [batch.column(c) for c in others]
             columns += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
             columns += [pa.array(kept_texts, pa.string())] if keep_text else []
-            yield pa.record_batch(columns, names=[*others, *(["text"] if keep_text else []), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if keep_text else [])])
+            yield pa.record_batch(columns, names=[*others, "n_words", "n_removed", "kept_sha256", *(["kept_text"] if keep_text else [])])
 
     return joined.mapInArrow(run, schema)
 
 
 def remove_repeated_windows(docs: DataFrame, k: int = 35) -> DataFrame:
     """``docs`` with repeated windows cut from ``text`` (untouched texts stay as they are)."""
-    judged = judge_windows(boxed(docs, "doc_id", "text"), k)
+    read = ("doc_id", "text")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return unboxed(judged, docs.columns, text=text)
+    return unboxed(judge_windows(boxed(docs, *read), k), docs.columns, read, text=text)

@@ -14,7 +14,10 @@ sample of labelled rows (``MAX_LABELLED``, lowest id hashes); scoring covers eve
 Output: ``severity`` (expected grade), ``p_toxic`` (P(grade >= 1)) and ``toxic``
 (p_toxic >= 0.5).  Null or wordless text: severity and p_toxic 0, not toxic.
 Null or unmatched labels are not trained on; without both toxic and clean labels
-nothing is toxic.  Repeated rows score alike.  Extra columns pass through.
+nothing is toxic.  Of labelled rows that share an id only one is trained on (the
+one whose text has the least hash), so the bound holds for rows as well.  Repeated
+rows score alike.  Texts of any length are read whole.  Extra columns pass
+through, but for older ones named like an output.  Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -123,9 +126,13 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel | None:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(x) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "grade", "features"])
+            order = [hash_words([x.encode("utf-8", "surrogatepass") if x else b""]).view(np.int64)[0] for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(order, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "grade", "hash", "features"])
 
-    sample = rows.mapInArrow(run, "doc_id long, grade int, features binary").toArrow()
+    found = rows.mapInArrow(run, "doc_id long, grade int, hash long, features binary")
+    # one row an id: at most MAX_LABELLED reach the driver
+    found = found.groupBy("doc_id", "grade").agg(F.min(F.struct("hash", "features")).alias("f"))
+    sample = found.select("doc_id", "grade", F.col("f.features").alias("features")).toArrow()
     order = np.argsort(sample.column("doc_id").to_numpy(), kind="stable")
     found = [np.frombuffer(x, dtype=np.int32) for x in sample.column("features").to_pylist()]
     return fit([found[i] for i in order], sample.column("grade").to_numpy()[order].astype(np.int64))
@@ -154,4 +161,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows judged toxic."""
-    return unboxed(score_toxicity(boxed(docs, "doc_id", "text"), labels).where("not toxic"), docs.columns)
+    read = ("doc_id", "text")
+    return unboxed(score_toxicity(boxed(docs, *read), labels).where("not toxic"), docs.columns, read)

@@ -1,4 +1,11 @@
-"""Vector tables in packed shards, and query blocks of bounded size."""
+"""Vector tables in packed shards, and query blocks that are dealt against them.
+
+Shards and query blocks are rows of two tables.  Shards are dealt into groups of
+a bounded number; every block goes to every group (a stated query set against
+all rows, in blocks), where it meets the group's shards one after another and
+leaves each query's best of the group.  Only those are merged.  Nothing goes
+through the driver but counts.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-#: Vectors of one shard and queries of one broadcast block.
-SHARD, QUERIES, SAMPLE = 4096, 4096, 2048
+#: Bytes of the vectors of a shard and of a block of queries; shards of a group; rows of a sample.
+SHARD_BYTES, BLOCK_BYTES, GROUP_SHARDS, SAMPLE = 2 << 20, 1 << 20, 16, 2048
 PACKED = "shard long, ids binary, dim int, vectors binary"
 
 
@@ -28,10 +33,10 @@ def distinct_vectors(table: DataFrame, zero: bool) -> DataFrame:
     return rows.where("vec_id is not null").where(usable(F.col("v"), zero)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def packed(rows: DataFrame, tag: str) -> DataFrame:
-    """Shards of about SHARD vectors with one dimension each, written once."""
-    rows = materialize(rows, tag + "-rows")
-    shards = max(1, -(-rows.count() // SHARD))
+def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """``rows(vec_id, v)``, read twice, in shards of about ``size`` bytes with one dimension each."""
+    total = rows.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
+    shards = max(1, -(-8 * total // size))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .ngram_join import runs
@@ -42,48 +47,37 @@ def packed(rows: DataFrame, tag: str) -> DataFrame:
             yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["shard", "ids", "dim", "vectors"])
 
     dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.size("v").alias("dim"), "vec_id", "v")
-    return materialize(dealt.repartition("shard").sortWithinPartitions("shard", "dim", "vec_id").mapInArrow(run, PACKED), tag)
+    return dealt.repartition("shard").sortWithinPartitions("shard", "dim", "vec_id").mapInArrow(run, PACKED), shards
 
 
-def unpack(row) -> tuple[np.ndarray, np.ndarray]:
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Ids and a (n, dim) matrix of one packed row."""
     ids = np.frombuffer(row["ids"], dtype=np.int64)
     return ids, np.frombuffer(row["vectors"], dtype=np.float64).reshape(len(ids), -1)
 
 
-def query_blocks(rows: DataFrame, every: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Queries (ids divisible by ``every``) in blocks of about QUERIES, by dimension."""
-    queries = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-queries.count() // QUERIES))
-    for b in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()  # a bounded block
-        ids, vectors = got.column("vec_id").to_numpy(), got.column("v").to_pylist()
-        by_dim: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors):
-            by_dim.setdefault(len(v), []).append(i)
-        yield {dim: (ids[at], np.array([vectors[i] for i in at])) for dim, at in by_dim.items()}
-
-
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row inner products, summed alike for equal rows."""
     return np.einsum("ij,ij->i", a, b)
 
 
-def floor_scores(index: DataFrame, block: dict, k: int) -> dict[int, np.ndarray]:
-    """For each query a score that ``k`` other vectors reach: its k-th in a sample."""
-    out = {}
-    for dim, (ids, q) in block.items():
-        row = index.where(F.col("dim") == dim).orderBy(F.length("ids").desc(), "shard").limit(1).first()
-        floor = np.full(len(ids), -np.inf)
-        if row is not None:
-            own, v = unpack(row)
-            own, v = own[:SAMPLE], v[:SAMPLE]
-            scores = q @ v.T
-            scores[ids[:, None] == own[None, :]] = -np.inf
-            if scores.shape[1] > k:
-                floor = np.partition(scores, -k, axis=1)[:, -k]
-        out[dim] = floor
-    return out
+def with_floors(blocks: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """Adds ``extra``: for each query a score that ``k`` other vectors reach, its k-th in a sample."""
+    sample = index.groupBy("dim").agg(F.max_by(F.struct("ids", "vectors"), F.struct(F.length("ids"), "shard")).alias("s"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, q = unpack(row)
+                own, v = unpack({"ids": row.pop("known_ids"), "vectors": row.pop("known")})
+                own, v = own[:SAMPLE], v[:SAMPLE]
+                scores = q @ v.T
+                scores[ids[:, None] == own[None, :]] = -np.inf
+                row["extra"] = (np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), -np.inf)).tobytes()
+                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("dim", pa.int32()), ("vectors", pa.binary()), ("extra", pa.binary())]))
+
+    both = blocks.join(sample, "dim").select("shard", "ids", "dim", "vectors", F.col("s.ids").alias("known_ids"), F.col("s.vectors").alias("known"))
+    return both.mapInArrow(run, PACKED + ", extra binary")
 
 
 def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -95,26 +89,54 @@ def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def top_k(rows: DataFrame, index: DataFrame, every: int, k: int, search: Callable, kind: str) -> DataFrame:
-    """Each query's ``k`` best over all shards, from the shards' own bests."""
-    spark = rows.sparkSession
-    found = None
-    for block in query_blocks(rows, every):
-        shared = spark.sparkContext.broadcast((block, floor_scores(index, block, k)))
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            queries, floors = shared.value
-            for batch in batches:
-                for row in batch.to_pylist():
-                    if row["dim"] not in queries:
-                        continue
-                    ids, v = unpack(row)
-                    qids, q = queries[row["dim"]]
-                    at, to, score = search(q, qids, v, ids, floors[row["dim"]], row)
-                    keep = best(at, ids[to], score, k)
-                    yield pa.record_batch([pa.array(qids[at[keep]]), pa.array(ids[to[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
-
-        part = index.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
-        found = part if found is None else found.unionByName(part)
+def raised(floor: np.ndarray, query: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Each query's ``k``-th highest of some scores, where that is above its floor."""
+    order = np.lexsort((-score, query))
+    who, first = np.unique(query[order], return_index=True)
+    full = np.diff([*first, len(order)]) >= k
+    floor = floor.copy()
+    floor[who[full]] = np.maximum(floor[who[full]], score[order][first[full] + k - 1])
+    return floor
+
+
+def top_k(queries: DataFrame, index: DataFrame, shards: int, k: int, open_shard: Callable, search: Callable, kind: str) -> DataFrame:
+    """Each query's ``k`` best over all shards, from the groups' own bests.
+
+    ``queries`` and ``index`` are packed; ``index`` has ``extra`` as well.
+    ``open_shard(v, extra)`` prepares a shard once, ``search(shard, q, floor, own)``
+    gives pairs (query, row) and their scores; rows whose score is below a
+    query's floor need not be among them, ``own`` is a query's own row or -1.
+    """
+    parallel = 4 * index.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-shards // GROUP_SHARDS), min(shards, parallel))
+    asked = with_floors(queries, index, k).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    own = index.withColumn("grp", F.pmod("shard", F.lit(groups)))
+    sides = [df.select("dim", F.col("grp").cast("int").alias("grp"), F.lit(n).alias("kind"), "shard", "ids", "vectors", "extra") for n, df in enumerate((own, asked))]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, opened = None, []  # a group's shards come before its queries
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if (row["dim"], row["grp"]) != at:
+                    at, opened = (row["dim"], row["grp"]), []
+                ids, v = unpack(row)
+                if row["kind"] == 0:
+                    opened.append((ids, open_shard(v, row["extra"])))
+                    continue
+                floor = np.frombuffer(row["extra"], dtype=np.float64)
+                who, to, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64 if kind == "long" else np.float64)
+                for names, shard in opened:
+                    order = np.argsort(names, kind="stable")
+                    place = order[np.minimum(np.searchsorted(names[order], ids), len(names) - 1)]
+                    a, b, s = search(shard, v, floor, np.where(names[place] == ids, place, -1))
+                    who, to, score = np.concatenate([who, a]), np.concatenate([to, names[b]]), np.concatenate([score, s])
+                    keep = best(who, to, score, k)
+                    who, to, score = who[keep], to[keep], score[keep]
+                    floor = raised(floor, who, score, k)
+                yield pa.record_batch([pa.array(ids[who]), pa.array(to), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    met = sides[0].unionByName(sides[1]).repartitionById(groups, F.col("grp")).sortWithinPartitions("dim", "grp", "kind", "shard")
+    found = met.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

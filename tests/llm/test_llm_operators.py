@@ -226,7 +226,7 @@ def test_log_frequency_filter_reads_what_was_put_in():
     f = lm_score.LogFrequencyFilter(1 << 18, 16)
     h = np.random.default_rng(5).integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2)
     n = np.random.default_rng(6).integers(1, 500, 3000)
-    table = np.zeros(16 << (f.block_bits - 3), dtype=np.uint8)
+    table = np.zeros(f.bits >> 3, dtype=np.uint8)
     for b in range(16):
         own = f.block_of(h) == b
         bits = f.fill(h[own], n[own])
@@ -292,7 +292,7 @@ def test_vantage_points_are_exact_at_factor_one(spark, monkeypatch):
     got = vptree.nearest(df, factor=1.0).collect()
     assert len(got) == len(want)
     assert all(abs(want[r.query_id, r["rank"]][1] - r.score) < 1e-6 for r in got)
-    assert sum(want[r.query_id, r["rank"]][0] == r.vec_id for r in got) >= 0.99 * len(got)
+    assert all(want[r.query_id, r["rank"]][0] == r.vec_id for r in got)
     assert vptree.nearest(df.limit(0)).count() == 0
 
 
@@ -368,19 +368,18 @@ def test_lm_scoring_holds_to_exact_counts_beyond_the_broadcast(spark, monkeypatc
     r = random.Random(11)
     texts = [" ".join(f"w{int(r.paretovariate(0.6)) % 3000}" for _ in range(150)) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for bound in ("UNIGRAM_BITS", "BIGRAM_BITS", "BROADCAST_BITS"):  # all filters are larger
-        monkeypatch.setattr(lm_score, bound, 1 << 14, raising=False)
+    monkeypatch.setattr(lm_score, "BROADCAST_BITS", 1 << 14)  # the filters are larger
     got = {x.doc_id: (x.held_out, x.score) for x in lm_score.score_documents(df).collect()}
-    monkeypatch.setattr(lm_score, "BROADCAST_BITS", 1 << 29, raising=False)
+    monkeypatch.setattr(lm_score, "BROADCAST_BITS", 1 << 29)
     assert {x.doc_id: x.score for x in lm_score.score_documents(df).collect()} == pytest.approx({i: s for i, (_, s) in got.items()})
     tokens = [[*t.split(), "\n"] for t in texts]
     one = collections.Counter(t for i, ts in enumerate(tokens) if not got[i][0] for t in ts)
     two = collections.Counter(p for i, ts in enumerate(tokens) if not got[i][0] for p in zip(["\n", *ts], ts))
     rest = sum(one.values()) + len(one) + 1
-    assert 1 in two.values() and len(two) > 5000  # bigrams seen once are in no filter
+    assert 1 in two.values() and len(two) > 5000  # bigrams seen once are in the filter too
 
     def exact(ts):
-        pairs = [two[p] if two[p] >= 2 else 0 for p in zip(["\n", *ts], ts)]
+        pairs = [two[p] for p in zip(["\n", *ts], ts)]
         return sum(math.log10(0.4 * min(1, n / max(1, one[a])) + 0.6 * (one[b] + 1) / rest) for n, a, b in zip(pairs, ["\n", *ts], ts))
 
     off = [(got[i][1] - exact(ts)) / len(ts) for i, ts in enumerate(tokens)]
@@ -389,4 +388,4 @@ def test_lm_scoring_holds_to_exact_counts_beyond_the_broadcast(spark, monkeypatc
 
 def test_log_frequency_filter_stops_at_the_highest_level():
     f = lm_score.LogFrequencyFilter(1 << 14, 16, 9)
-    assert (f.read_levels(np.full(16 << (f.block_bits - 3), 255, dtype=np.uint8), np.arange(50, dtype=np.uint64), np.zeros(50, dtype=np.int64)) == 9).all()
+    assert (f.read_levels(np.full(f.bits >> 3, 255, dtype=np.uint8), np.arange(50, dtype=np.uint64), np.zeros(50, dtype=np.int64)) == 9).all()
