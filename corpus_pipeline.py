@@ -4,9 +4,11 @@ Every stage takes all rows that the one before it kept, whole, and returns the
 columns of ``documents`` (the last returns placed pieces).  ``run`` writes each
 stage's rows as Parquet to the shared folder and rereads them for the next.
 
-Null or repeated rows: each stage's operator defines them.  ``n_chars`` follows
-the text where a stage changes it.  Among near duplicates the smallest id stays;
-rows with a null id stay, and repeated rows of that id all stay.
+Null or repeated rows, empty and very long texts: each stage's operator defines
+them.  Extra columns pass through all stages but the last, whatever their names.
+``n_chars`` follows the text where a stage changes it.  Among near duplicates the
+smallest id stays; rows with a null id stay, and repeated rows of that id all
+stay.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborkit.llm import line_dedup, ngram_join, packing, substring_dedup, toxicity
-from arborkit.llm.common import materialize
+from arborkit.llm.common import discard, materialize
 from arborkit.llm.queries import MIN_SITES, vocabulary
 
 #: Shingles of five words and a similarity of 0.8; windows of 35 words.
@@ -64,5 +66,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return docs
