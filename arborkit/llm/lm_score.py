@@ -43,6 +43,8 @@ from .ngram_join import runs
 END = np.uint64(0xE14D0E0D5EED)
 #: Rows of the broadcast table of exact counts; bits of both filters up to which they are broadcast.
 HEAD_ROWS, BROADCAST_BITS = 1 << 19, 7 << 27
+#: Characters of text that a worker holds tokenised while it scores, and while it counts bigrams.
+SCORE_CHARS, BIGRAM_CHARS = 1_500_000, 6_000_000
 #: Bits a probe of a level put in.
 SPARE = 3
 BASE, PROBES, MIX = 1.5, 3, 0.4
@@ -322,7 +324,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> Da
     def bigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for lo, hi in chunked(texts, 16_000_000):
+            for lo, hi in chunked(texts, BIGRAM_CHARS):
                 yield two.parts(*np.unique(bigram_hashes(*token_hashes(texts[lo:hi])), return_counts=True))
 
     counted2 = two.counted(training.mapInArrow(bigrams, PARTS), "bigrams")
@@ -369,7 +371,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> Da
                 return one.read_levels(table1, uniq, one.block_of(uniq)), two.read_levels(table2, pairs, two.block_of(pairs))
 
             for batch in batches:
-                for lo, hi in chunked(batch.column(1).to_pylist()):
+                for lo, hi in chunked(batch.column(1).to_pylist(), SCORE_CHARS):
                     yield scores(batch.slice(lo, hi - lo), levels_of)
 
         scored = docs.select("doc_id", "text", "held_out").mapInArrow(score, schema)
