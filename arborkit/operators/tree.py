@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborkit.sources.files import scratch
+
 KEY = "neuron_id"
 
 
@@ -40,11 +39,16 @@ def tree_counts(points: DataFrame) -> DataFrame:
     return points.groupBy(KEY).agg(F.count("*").alias("n_points"), F.count_if(F.col("parent") != -1).alias("n_edges")).withColumn("n_trees", F.col("n_points") - F.col("n_edges"))
 
 
+def trees_in_edges(double: DataFrame) -> DataFrame:
+    """Trees of each neuron's double edge list: vertices minus half the edges."""
+    ends = double.groupBy(KEY).agg(F.countDistinct("src").alias("v"), F.count("*").alias("e"))
+    return ends.select(KEY, (F.col("v") - F.col("e") / 2).cast("long").alias("n_trees"))
+
+
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written to the shared checkpoint folder (a local one where none is set) and read back."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="arborkit-")
-    path = f"{folder.rstrip('/')}/tree-{uuid.uuid4().hex}"
+    path = scratch(spark, "tree")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -56,3 +56,38 @@ seglets AS (
          sqrt((c.x - p.x) ** 2 + (c.y - p.y) ** 2 + (c.z - p.z) ** 2) AS len
   FROM points c JOIN points p ON c.neuron_id = p.neuron_id AND c.parent = p.point_no)
 """
+
+
+def arbors(spark: SparkSession, sf_dir: str, forest: bool = True) -> DataFrame:
+    """Point table of deep trees: each supplier's lines, chained, with a side branch every 13th point.
+
+    In a ``forest`` every 401st point begins a tree of its own.
+    """
+    number = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", *_ORDER))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", number.alias("point_no"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    n = F.col("point_no")
+    return rows.select(
+        F.col("l_suppkey").alias("neuron_id"),
+        "point_no",
+        F.lit(2).alias("label"),
+        F.col("l_quantity").alias("x"),
+        (F.col("l_extendedprice") / 1000).alias("y"),
+        (F.col("l_discount") * 100).alias("z"),
+        (2 * F.col("l_tax")).alias("w"),
+        F.when((n == 1) | (F.lit(forest) & (n % 401 == 0)), -1).when(n % 13 == 0, F.floor(n / 2)).otherwise(n - 1).cast("int").alias("parent"),
+        F.col("l_returnflag").alias("region"),
+    )
+
+
+ARBORS_SQL = f"""
+arbors AS MATERIALIZED (
+  SELECT neuron_id, point_no, 2 AS label, x, y, z, w, region,
+         CASE WHEN point_no = 1 OR point_no % 401 = 0 THEN -1 WHEN point_no % 13 = 0 THEN point_no // 2 ELSE point_no - 1 END AS parent
+  FROM (SELECT l_suppkey AS neuron_id, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z,
+               2 * l_tax AS w, l_returnflag AS region,
+               CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, {', '.join(_ORDER)}) AS INTEGER) AS point_no
+        FROM lineitem))
+"""
+
+#: One tree a neuron.
+TREES_SQL = ARBORS_SQL.replace("arbors AS", "trees AS").replace(" OR point_no % 401 = 0", "")

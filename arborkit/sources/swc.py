@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+KEY = "neuron_id"
+
 
 def read_swc(spark: SparkSession, path: str) -> DataFrame:
-    """Point table of all files under ``path``; ``neuron_id`` is the file's name."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_name").alias("file"))
+    """Point table of all files under ``path``; ``neuron_id`` is the file's name, or as folders ``neuron_id=..`` name it."""
+    text = spark.read.text(path)
+    file = F.col(KEY).cast("string") if KEY in text.columns else F.col("_metadata.file_name")
+    lines = text.select(F.trim("value").alias("line"), file.alias("file"))
     f = F.split(F.col("line"), r"\s+")
     rows = lines.where("line <> '' and not startswith(line, '#')")
     names = ("point_no int", "label int", "x double", "y double", "z double", "w double", "parent int")
@@ -27,7 +31,7 @@ def write_swc(points: DataFrame, path: str) -> None:
 def read_landmarks(spark: SparkSession, path: str) -> DataFrame:
     """ASCII landmark sets: ``set_no, marker_no, x, y, z`` of each ``@n`` section."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("pair_id"), "value")
-    parts = whole.select("pair_id", F.posexplode(F.slice(F.split("value", r"(?m)^@\d+\s*$"), 2, 100)).alias("set", "body"))
+    parts = whole.select("pair_id", F.posexplode(F.expr(r"slice(split(value, '(?m)^@\\d+\\s*$'), 2, 2147483647)")).alias("set", "body"))
     lines = parts.select("pair_id", (F.col("set") + 1).alias("set_no"), F.posexplode(F.filter(F.split(F.trim("body"), "\n"), lambda l: F.trim(l) != "")).alias("marker_no", "line"))
     f = F.split(F.trim("line"), r"\s+")
     return lines.select("pair_id", "set_no", (F.col("marker_no") + 1).alias("marker_no"), *[f.getItem(i).try_cast("double").alias(a) for i, a in enumerate("xyz")])
