@@ -23,8 +23,10 @@ def midpoints(pieces: DataFrame) -> DataFrame:
     return pieces.select(KEY, "point_no", *[((F.col(a + "0") + F.col(a + "1")) / 2).alias(a) for a in "xyz"], F.col("len").alias("weight"))
 
 
-def fraction_below(pieces: DataFrame, limit: float = 0.49) -> DataFrame:
-    return pieces.groupBy(KEY).agg(F.avg(F.when(F.col("len") < limit, 1.0).otherwise(0.0)).alias("fraction"))
+def fraction_below(pieces: DataFrame, limit: float = 0.49, comparator: str = "<") -> DataFrame:
+    """Share of seglets whose length compares so with ``limit``."""
+    held = {"<": F.col("len") < limit, "<=": F.col("len") <= limit, ">": F.col("len") > limit, ">=": F.col("len") >= limit, "==": F.col("len") == limit}[comparator]
+    return pieces.groupBy(KEY).agg(F.avg(F.when(held, 1.0).otherwise(0.0)).alias("fraction"))
 
 
 def polyline(points: DataFrame) -> DataFrame:

@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import every plan module, which registers its queries."""
-    from arborkit.plans import files, morphometry, skeletons, volumes  # noqa: F401
+    from arborkit.plans import files, morphometry, scalars, skeletons, volumes  # noqa: F401

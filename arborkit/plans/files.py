@@ -339,7 +339,7 @@ def regs(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     key, region = F.col("n_nationkey"), F.col("n_regionkey")
     values = [key + 1.0, region * 2.0, F.lit(3.0), key / 2, F.lit(4.0), region * 1.0, F.lit(1.1), F.lit(0.9), 1.0 + region / 10]
-    return n.select(key.alias("reg_id"), *[v.cast("double").alias(c) for c, v in zip(MOVES, values)])
+    return n.select(key.cast("long").alias("reg_id"), *[v.cast("double").alias(c) for c, v in zip(MOVES, values)])
 
 
 def _params(c: dict) -> np.ndarray:
