@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .geometry import angle_between, with_segment_distance
 
+#: Longest prefix by which names are met.
+MOST_LENGTHS = 64
 SEG = [a + e for e in "01" for a in "xyz"]
 
 
@@ -133,24 +135,100 @@ def symmetrise(distances: DataFrame, how: str = "mean") -> DataFrame:
     return distances.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(f("d").alias("d"))
 
 
+def subset(distances: DataFrame, kept: DataFrame) -> DataFrame:
+    """Distances both of whose ends are among ``kept(id)``."""
+    ids = kept.select("id").distinct()
+    return distances.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", "d")
+
+
+def matched_distances(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Both distances of the pairs that two tables share."""
+    return one.select("a", "b", F.col("d").alias("d1")).join(two.select("a", "b", F.col("d").alias("d2")), ["a", "b"])
+
+
+def _names(distances: DataFrame) -> DataFrame:
+    return distances.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def randomise(distances: DataFrame, seed: int) -> DataFrame:
+    """The same distances under a random bijection of the names (rows and columns alike).
+
+    Names in order meet names in the order of a seeded hash; both numberings are
+    range-partitioned, so no task holds all names.
+    """
+    names = _names(distances)
+    order, mixed = numbered(names, [F.col("id")]), numbered(names.withColumn("h", F.xxhash64("id", F.lit(seed))), [F.col("h"), F.col("id")])
+    renamed = order.select("place", F.col("id").alias("old")).join(mixed.select("place", F.col("id").alias("new")), "place").select("old", "new")
+    a, b = renamed.withColumnsRenamed({"old": "a", "new": "na"}), renamed.withColumnsRenamed({"old": "b", "new": "nb"})
+    return distances.join(a, "a").join(b, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "d")
+
+
+def numbered(df: DataFrame, order: list) -> DataFrame:
+    """Adds ``place`` from 0 in an order of all rows, without one task holding them all.
+
+    Rows are range-partitioned and sorted; the partitions' counts give each its start.
+    """
+    from arborkit.sources.files import scratch
+
+    path = scratch(df.sparkSession, "ordered")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("n"))
+    # one row a partition: their running sum is small
+    starts = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_row")).drop("_part", "_row", "_start")
+
+
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation (average ranks for ties) of two columns.
 
-    Ranks come from counts per distinct value, so the ordering window holds
-    distinct values only.
+    Ranks come from counts per distinct value; the running sum over distinct
+    values goes by range partitions, each starting where those before it end.
     """
     def ranked(c):
-        n = pairs.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return n.select(c, (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        n = numbered_sums(pairs.groupBy(c).agg(F.count("*").alias("n")), c)
+        return n.select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     return pairs.join(ranked(x), x).join(ranked(y), y).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("rho"))
 
 
+def numbered_sums(counts: DataFrame, value: str) -> DataFrame:
+    """Adds ``before``, the sum of ``n`` over all smaller values, range partition by range partition."""
+    from arborkit.sources.files import scratch
+
+    path = scratch(counts.sparkSession, "ranks")
+    counts.repartitionByRange(value).sortWithinPartitions(value).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = counts.sparkSession.read.parquet(path)
+    starts = rows.groupBy("_part").agg(F.sum("n").alias("m"))
+    starts = starts.select("_part", F.coalesce(F.sum("m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn("before", F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
+
+
+def mantel(one: DataFrame, two: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """Correlation of two distance tables, and the share of random renamings that reach it."""
+    r = lambda other: matched_distances(one, other).agg(F.corr("d1", "d2").alias("r"))
+    found = r(two)
+    for i in range(permutations):
+        found = found.unionByName(r(randomise(two, seed + i)))
+    rows = [x[0] for x in found.collect()]  # one number a permutation
+    least = sum(x >= rows[0] for x in rows[1:] if x is not None)
+    return one.sparkSession.createDataFrame([(rows[0], (1 + least) / (1 + permutations))], "r double, p double")
+
+
 def prefix_match(keys: DataFrame, key: str, names: DataFrame, name: str) -> DataFrame:
-    """Case-insensitive unique prefix (or exact) match; ambiguous or none: null."""
+    """Case-insensitive unique prefix (or exact) match; ambiguous or none: null.
+
+    Names give their prefixes of the lengths that keys have (at most
+    ``MOST_LENGTHS`` of them; longer keys meet by their longest such prefix and
+    are compared after), so that the match is an equi-join.
+    """
     k, n = F.upper(F.col(key)), F.upper(F.col(name))
-    hits = keys.join(names, n.startswith(k), "left")
+    lengths = sorted(x[0] for x in keys.select(F.least(F.length(key), F.lit(MOST_LENGTHS)).alias("n")).where("n is not null").distinct().collect())
+    cuts = names.select(name, F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, lengths or [0])), lambda i: F.substring(n, F.lit(1), i)))).alias("_cut"))
+    met = keys.withColumn("_cut", F.substring(k, F.lit(1), F.least(F.length(key), F.lit(MOST_LENGTHS)))).join(cuts, "_cut", "left")
+    name_of = F.when(n.startswith(k), F.col(name))
     exact = F.max(F.when(n == k, F.col(name)))
-    one = F.when(F.countDistinct(name) == 1, F.max(name))
-    return hits.groupBy(key).agg(F.coalesce(exact, one).alias("matched"))
+    one = F.when(F.countDistinct(name_of) == 1, F.max(name_of))
+    return met.groupBy(key).agg(F.coalesce(exact, one).alias("matched"))

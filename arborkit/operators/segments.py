@@ -65,6 +65,14 @@ def moving_average(points: DataFrame, weights: tuple[float, float, float] = (1.0
     return points.withColumns(smooth)
 
 
+def line_pairs(points: DataFrame) -> DataFrame:
+    """Points as the ends of separate line pieces: all but the first and last twice, ``pos`` in order."""
+    w = Window.partitionBy(KEY).orderBy("point_no")
+    pieces = points.select(KEY, "point_no", *"xyz", F.lead(F.struct("point_no", *"xyz")).over(w).alias("_next"), (F.row_number().over(w) - 1).alias("_n")).where("_next is not null")
+    ends = F.posexplode(F.array(F.struct("point_no", *"xyz"), F.col("_next"))).alias("_end", "_p")
+    return pieces.select(KEY, "_n", ends).select(KEY, (2 * F.col("_n") + F.col("_end")).alias("pos"), "_p.*")
+
+
 def line_mismatch(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sum of ``l d^2 + l^3 / 6 (1 - cos theta)`` over index-aligned polylines."""
     w = Window.partitionBy(KEY).orderBy("point_no")
