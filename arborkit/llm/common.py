@@ -88,7 +88,7 @@ def schema_of(df: DataFrame, columns: list[str], added: str) -> T.StructType:
 class WordHashes(dict):
     """Word bytes to 64-bit hash, remembered up to a bound."""
 
-    limit = 400_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -151,6 +151,13 @@ def chunked(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller ones, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 

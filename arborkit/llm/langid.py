@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunked, mix64
+from .common import U64, chunked, mix64, slices
 from .lm_score import held_out
 
 MAX_LABELLED, BUCKET_BITS, DIMENSIONS, GRAMS = 3000, 15, 16, (3, 4, 5)
@@ -121,7 +121,7 @@ def train(docs: DataFrame, modulus: int, remainder: int) -> LanguageModel | None
     rows = rows.join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.unique(subwords(words_of(x))[0], return_counts=True) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(2), batch.column(0), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([b.astype(np.int32).tobytes() for _, b in found], pa.binary())], names=["doc_id", "lang", "ids", "counts"])
 
@@ -147,7 +147,7 @@ def predict_language(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> D
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             for lo, hi in chunked(texts):
                 part = texts[lo:hi]

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, RepeatSketch, connected_components, discard, hash_words, materialize, mix64, signed, window_hashes
+from .common import U64, RepeatSketch, connected_components, discard, hash_words, materialize, mix64, signed, slices, window_hashes
 
 #: Counters of the frequency sketch (fixed size) and members of a tree block.
 FREQUENCY_BITS, FREQUENCY_BLOCKS = 20, 64
@@ -80,7 +80,7 @@ def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, n = np.zeros(width, dtype=np.uint32), 0
-        for batch in batches:
+        for batch in slices(batches):
             for s in _sets(batch.column(0).to_pylist(), k):
                 np.add.at(totals, (s >> U64(64 - FREQUENCY_BITS)).astype(np.int64), 1)
                 n += len(s)
@@ -316,7 +316,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
 
     def signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = heavy.value
-        for batch in batches:
+        for batch in slices(batches):
             n, key, prefix, words = [], [], [], []
             for s in _sets(batch.column(1).to_pylist(), k):
                 n.append(len(s))
@@ -410,7 +410,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     texts = docs.select("row_key", "text").join(members, "row_key").select("cls", "cluster", "blocks", "text")
 
     def whole_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(_sets(batch.column(3).to_pylist(), k))
             # rows that share an id may hold other texts: only the class's own counts
             own = [i for i, (s, c) in enumerate(zip(sets, batch.column(0).to_pylist())) if len(s) and class_key(s) == c]

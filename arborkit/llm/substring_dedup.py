@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BOX, U64, RepeatSketch, ascii_words, boxed, chunked, hash_words, materialize, schema_of, signed, unboxed, window_hashes
+from .common import BOX, U64, RepeatSketch, ascii_words, boxed, chunked, hash_words, materialize, schema_of, signed, slices, unboxed, window_hashes
 
 #: Words of the grams among which a window's anchor is chosen.
 GRAM = 8
@@ -92,7 +92,7 @@ def repeated_windows(docs: DataFrame, k: int) -> DataFrame:
 
     def touch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 places = anchors(hash_words(ascii_words(text)), k)[1]
                 if len(places):
@@ -107,7 +107,7 @@ def repeated_windows(docs: DataFrame, k: int) -> DataFrame:
     table = spark.sparkContext.broadcast(sketch.merge(docs.select("text").mapInArrow(touch, "block long, part binary")))
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for lo, hi in chunked(texts):
                 owner, window, times = [], [], []
@@ -151,7 +151,7 @@ def _judged(keyed: DataFrame, hits: DataFrame, k: int, keep_text: bool) -> DataF
     schema = schema_of(joined, others, added)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, windows = batch.column("text").to_pylist(), batch.column(HITS)
             n_words, n_removed, digests, kept_texts = [], [], [], []
             for i, text in enumerate(texts):

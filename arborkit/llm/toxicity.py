@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, hash_words, schema_of, unboxed
+from .common import boxed, hash_words, schema_of, slices, unboxed
 
 #: Bound of the training sample in rows; hashed features; least documents that a feature is in.
 MAX_LABELLED, BUCKET_BITS, MIN_DOCS = 6000, 22, 5
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel | None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", grade.cast("int").alias("grade"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(x) for x in batch.column(1).to_pylist()]
             order = [hash_words([x.encode("utf-8", "surrogatepass") if x else b""]).view(np.int64)[0] for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(order, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "grade", "hash", "features"])
@@ -147,7 +147,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(x) if m else () for x in batch.column("text").to_pylist()]
             if m:
                 score = np.array([m.weights[x].sum() for x in found])
