@@ -82,15 +82,18 @@ def blend(voxels: DataFrame, weights: DataFrame, scale: float = 1.0) -> DataFram
 #: Measures of a projection along one axis.
 MEASURES = {
     "min": F.min, "max": F.max, "mean": F.avg, "sum": F.sum, "median": lambda c: F.percentile(c, F.lit(0.5)), "variance": F.var_pop, "sd": F.stddev_pop,
-    "product": F.product, "l1": lambda c: F.sum(F.abs(c)), "l2": lambda c: F.sqrt(F.sum(F.col(c) ** 2)), "linf": lambda c: F.max(F.abs(c)), "skew": F.skewness, "mode": F.mode,
-    "count": F.count, "first": lambda c: F.min_by(c, "k"), "last": lambda c: F.max_by(c, "k"),
+    "product": F.product, "l1": lambda c: F.sum(F.abs(c)), "l2": lambda c: F.sqrt(F.sum(F.col(c) ** 2)), "linf": lambda c: F.max(F.abs(c)), "skew": F.skewness, "mode": lambda c: F.mode(c, True), "count": F.count,
 }
+#: Measures that go by the place along the axis.
+PLACED = {"first": F.min_by, "last": F.max_by, "slope": F.regr_slope, "intercept": F.regr_intercept}
 
 
 def project(voxels: DataFrame, axis: str, measure: str, by: list[str]) -> DataFrame:
-    if measure not in MEASURES:
+    """One value a line along ``axis``; of equally frequent values ``mode`` is the least."""
+    if measure not in MEASURES and measure not in PLACED:
         raise ValueError(f"unknown measure {measure}")
-    return voxels.groupBy(*by, *[v for v in VOXEL if v != axis]).agg(MEASURES[measure]("value").alias("value"))
+    value = PLACED[measure]("value", axis) if measure in PLACED else MEASURES[measure]("value")
+    return voxels.groupBy(*by, *[v for v in VOXEL if v != axis]).agg(value.alias("value"))
 
 
 def combine(a: DataFrame, b: DataFrame, operation: str, keys: list[str]) -> DataFrame:

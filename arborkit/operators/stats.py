@@ -43,12 +43,25 @@ def pooled_t(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     return m.select(*by, "n1", "n2", t.alias("t"))
 
 
+#: Quantiles of a null distribution that are kept.
+EXTREMES = (0.0, 0.001, 0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99, 0.999, 1.0)
+
+
+def permuted_t(df: DataFrame, by: list[str], subject: str, value: str, permutations: int, seed: int) -> DataFrame:
+    """t maps under random relabellings: in each, half of the subjects (those first by a seeded digest) are one group."""
+    subjects = df.select(subject).distinct()
+    half = subjects.agg(F.floor(F.count("*") / 2).alias("_half"))
+    digest = F.md5(F.concat(F.col(subject).cast("string"), F.lit(":"), F.col("perm").cast("string"), F.lit(f":{seed}")))
+    labels = subjects.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    place = F.row_number().over(Window.partitionBy("perm").orderBy(digest, subject))
+    labels = labels.crossJoin(F.broadcast(half)).withColumn("one", place <= F.col("_half")).drop("_half")
+    return pooled_t(df.join(labels, subject), ["perm", *by], "one", value)
+
+
 def permutation_extremes(df: DataFrame, by: list[str], subject: str, value: str, permutations: int, seed: int) -> DataFrame:
-    """Eleven quantiles of the t map under each random relabelling of subjects."""
-    labels = df.select(subject).distinct().withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    labels = labels.withColumn("one", F.pmod(F.xxhash64(subject, "perm", F.lit(seed)), F.lit(2)) == 0)
-    maps = pooled_t(df.join(labels, subject), ["perm", *by], "one", value)
-    return maps.groupBy("perm").agg(F.percentile("t", F.array(*[F.lit(q / 10) for q in range(11)])).alias("quantiles"))
+    """Eleven quantiles (:data:`EXTREMES`) of the t map under each random relabelling of subjects."""
+    maps = permuted_t(df, by, subject, value, permutations, seed)
+    return maps.groupBy("perm").agg(F.percentile("t", F.array(*map(F.lit, EXTREMES))).alias("quantiles"))
 
 
 def histogram(df: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -127,10 +127,15 @@ def pooled_t_map(spark, sf_dir):
     return stats.pooled_t(e, ["voxel"], "one", "value").withColumn("t", r(F.col("t")))
 
 
-@register("permutation_extremes")
+@register("permutation_extremes", """WITH e AS (SELECT hour(ts)::INTEGER AS voxel, user_id, value FROM events WHERE value IS NOT NULL), u AS (SELECT DISTINCT user_id FROM e), n1 AS (SELECT count(*) // 2 AS n FROM u),
+l AS (SELECT user_id, perm::INTEGER AS perm, row_number() OVER (PARTITION BY perm ORDER BY md5(concat(user_id, ':', perm, ':11')), user_id) <= (SELECT n FROM n1) AS one FROM u, range(1, 6) p(perm)),
+g AS (SELECT perm, voxel, count(*) FILTER (WHERE one) AS n1, count(*) FILTER (WHERE NOT one) AS n2, avg(value) FILTER (WHERE one) AS m1, avg(value) FILTER (WHERE NOT one) AS m2, var_samp(value) FILTER (WHERE one) AS v1, var_samp(value) FILTER (WHERE NOT one) AS v2 FROM e JOIN l USING (user_id) GROUP BY ALL),
+t AS (SELECT perm, (m1 - m2) / sqrt(((n1-1)*v1 + (n2-1)*v2)/(n1+n2-2) * (1.0/n1 + 1.0/n2)) AS t FROM g WHERE n1 > 1 AND n2 > 1)
+SELECT perm, q, round(quantile_cont(t, [0, 0.001, 0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99, 0.999, 1])[q + 1], 4) AS value FROM t, range(11) r(q) GROUP BY perm, q""")
 def permutation_extremes(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value is not null").select(F.hour("ts").alias("voxel"), "user_id", "value")
-    return stats.permutation_extremes(e, ["voxel"], "user_id", "value", 5, 11)
+    out = stats.permutation_extremes(e, ["voxel"], "user_id", "value", 5, 11)
+    return out.select("perm", F.posexplode("quantiles").alias("q", "value")).withColumn("value", r(F.col("value")))
 
 
 @register("value_histogram", """WITH b AS (SELECT event_type, least(floor(value / (100.0 / 50)), 49)::INTEGER AS bin FROM events WHERE value BETWEEN 0 AND 100),
