@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import every plan module, which registers its queries."""
-    from arborkit.plans import files, images, morphometry, scalars, similarity, skeletons, volumes  # noqa: F401
+    from arborkit.plans import files, images, morphometry, rendering, scalars, similarity, skeletons, volumes  # noqa: F401
