@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from arborkit.sources.adapters import ARBORS_SQL, arbors, points, table
 
 from .files import DENSE
 from .morphometry import r
-from .volumes import BY, GRID, VOX, voxels
+from .volumes import BY, GRID, VOX, gauss_sql, voxels
 
 TARGET = im.grid_of([20, 12, 8, 2.55, 9.0, 1.4, 1.275, 4.5, 0.7])
 CENTRES = [l + v / 2 for l, v in zip(GRID.low, GRID.voxel)]
@@ -89,10 +87,10 @@ ip AS (SELECT co.*, d.density_id, {w} AS w FROM co, (SELECT DISTINCT density_id
 _MET = "LEFT JOIN vox v ON v.density_id = ip.density_id AND v.i = lx + ox AND v.j = ly + oy AND v.k = lz + oz"
 
 
-@register("interpolated_linear", f"{VOX}, pts AS (SELECT neuron_id, point_no, x, y, z FROM points), {_linear('pts')} SELECT neuron_id, point_no, ip.density_id, CASE WHEN any_value(inside) THEN round(sum(w * coalesce(v.value, 0)), 3) END AS value FROM ip {_MET} GROUP BY ALL")
+@register("interpolated_linear", f"{VOX}, pts AS (SELECT neuron_id, point_no, x, y, z FROM points), {_linear('pts')} SELECT neuron_id, point_no, ip.density_id, CASE WHEN any_value(inside) THEN round(sum(w * coalesce(v.value, 0)), 6) END AS value FROM ip {_MET} GROUP BY ALL")
 def interpolated_linear(spark, sf_dir):
     p = points(spark, sf_dir).select("neuron_id", "point_no", *"xyz")
-    return im.interpolated(p, voxels(spark, sf_dir), GRID, ["neuron_id", "point_no"], BY).withColumn("value", r(F.col("value"), 3))
+    return im.interpolated(p, voxels(spark, sf_dir), GRID, ["neuron_id", "point_no"], BY).withColumn("value", r(F.col("value"), 6))
 
 
 @register("interpolated_constant", f"{VOX}, q AS (SELECT neuron_id, point_no, floor(x / {DX!r})::INTEGER AS i, floor(y / {DY!r})::INTEGER AS j, floor(z / {DZ!r})::INTEGER AS k FROM points) SELECT neuron_id, point_no, d.density_id, CASE WHEN q.i BETWEEN 0 AND 9 AND q.j BETWEEN 0 AND 11 AND q.k BETWEEN 0 AND 7 THEN coalesce(v.value, 0)::DOUBLE END AS value FROM q, (SELECT DISTINCT density_id FROM vox) d LEFT JOIN vox v ON v.density_id = d.density_id AND v.i = q.i AND v.j = q.j AND v.k = q.k")
@@ -104,14 +102,14 @@ def interpolated_constant(spark, sf_dir):
 TGT = "tgt AS (SELECT i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, 1.275 + i * 2.55 AS x, 4.5 + j * 9.0 AS y, 0.7 + k * 1.4 AS z FROM range(20) a(i), range(12) b(j), range(8) c(k))"
 
 
-@register("resampled_volume", f"{VOX}, {TGT}, {_linear('tgt')} SELECT ip.density_id, ip.i, ip.j, ip.k, CASE WHEN any_value(inside) THEN round(sum(w * coalesce(v.value, 0)), 3) END AS value FROM ip {_MET} GROUP BY ALL")
+@register("resampled_volume", f"{VOX}, {TGT}, {_linear('tgt')} SELECT ip.density_id, ip.i, ip.j, ip.k, CASE WHEN any_value(inside) THEN round(sum(w * coalesce(v.value, 0)), 6) END AS value FROM ip {_MET} GROUP BY ALL")
 def resampled_volume(spark, sf_dir):
-    return im.resampled(spark, voxels(spark, sf_dir), GRID, TARGET, BY).withColumn("value", r(F.col("value"), 3))
+    return im.resampled(spark, voxels(spark, sf_dir), GRID, TARGET, BY).withColumn("value", r(F.col("value"), 6))
 
 
-@register("reformatted_volume", f"{VOX}, {TGT.replace('tgt AS', 'raw AS')}, tgt AS (SELECT i, j, k, x + 2.0 AS x, y - 3.0 AS y, z + 0.35 AS z FROM raw), {_linear('tgt')} SELECT ip.density_id, ip.i, ip.j, ip.k, CASE WHEN any_value(inside) THEN round(sum(w * coalesce(v.value, 0)), 3) END AS value FROM ip {_MET} GROUP BY ALL")
+@register("reformatted_volume", f"{VOX}, {TGT.replace('tgt AS', 'raw AS')}, tgt AS (SELECT i, j, k, x + 2.0 AS x, y - 3.0 AS y, z + 0.35 AS z FROM raw), {_linear('tgt')} SELECT ip.density_id, ip.i, ip.j, ip.k, CASE WHEN any_value(inside) THEN round(sum(w * coalesce(v.value, 0)), 6) END AS value FROM ip {_MET} GROUP BY ALL")
 def reformatted_volume(spark, sf_dir):
-    return im.resampled(spark, voxels(spark, sf_dir), GRID, TARGET, BY, g.translation(2.0, -3.0, 0.35)).withColumn("value", r(F.col("value"), 3))
+    return im.resampled(spark, voxels(spark, sf_dir), GRID, TARGET, BY, g.translation(2.0, -3.0, 0.35)).withColumn("value", r(F.col("value"), 6))
 
 
 @register("shrunk_volume", f"{VOX} SELECT density_id, i // 2 AS i, j // 3 AS j, k // 2 AS k, round(sum(value) / 12, 4) AS value FROM vox GROUP BY ALL")
@@ -136,26 +134,7 @@ def unstacked_volumes(spark, sf_dir):
     return stacked_volumes(spark, sf_dir).unpivot(["i", "j", "k"], ["A", "N", "R"], "density_id", "value").where("value is not null").select("density_id", "i", "j", "k", F.col("value").cast("long").alias("value"))
 
 
-def _gauss_sql(sigma, reach, source):
-    sql, prev = "", source
-    for axis, v, n, dv in zip("xyz", "ijk", GRID.n, GRID.voxel):
-        rest = ", ".join(c for c in "ijk" if c != v)
-        taps = ", ".join(f"({o}, {math.exp(-((o * dv) ** 2) / (2 * sigma**2)) / sum(math.exp(-((q * dv) ** 2) / (2 * sigma**2)) for q in range(-reach, reach + 1))!r})" for o in range(-reach, reach + 1))
-        sql += f", g{axis} AS (SELECT density_id, {rest}, {v} + o AS {v}, sum(value * w) AS value FROM {prev}, (VALUES {taps}) t(o, w) WHERE {v} + o BETWEEN 0 AND {n - 1} GROUP BY ALL)"
-        prev = f"g{axis}"
-    return sql
-
-
-def _reach(sigma, sds):
-    return max(1, math.ceil(sds * max(math.ceil(sigma / v) for v in GRID.voxel)))
-
-
-@register("smoothed_volume", f"{VOX}{_gauss_sql(3.0, _reach(3.0, 4.0), 'vox')} SELECT density_id, i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, round(value, 6) AS value FROM gz")
-def smoothed_volume(spark, sf_dir):
-    return d.gaussian_smooth(voxels(spark, sf_dir), GRID, 3.0, by=BY).withColumn("value", r(F.col("value"), 6))
-
-
-@register("normalised_and_smoothed", f"{VOX}, nm AS (SELECT density_id, i, j, k, (greatest(2, least(20, value)) - 2) / 18.0 AS value FROM vox){_gauss_sql(3.0, _reach(3.0, 2.5), 'nm')} SELECT density_id, i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, round(value, 6) AS value FROM gz")
+@register("normalised_and_smoothed", f"{VOX}, nm AS (SELECT density_id, i, j, k, (greatest(2, least(20, value)) - 2) / 18.0 AS value FROM vox){gauss_sql(3.0, 2.5, 'nm')} SELECT density_id, i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, round(value, 6) AS value FROM gz")
 def normalised_and_smoothed(spark, sf_dir):
     return im.normalised_and_smoothed(voxels(spark, sf_dir), GRID, 2.0, 20.0, 3.0, BY).withColumn("value", r(F.col("value"), 6))
 
@@ -342,9 +321,9 @@ def _boxed(spark, sf_dir):
     return p.unionByName(box.select("neuron_id", corners.alias("c")).select("neuron_id", "c.*"))
 
 
-@register("hull_volumes", f"WITH {ARBORS_SQL}, b AS (SELECT neuron_id, {_RANGE} FROM arbors GROUP BY 1) SELECT neuron_id, round((x1-x0)*(y1-y0)*(z1-z0), 3) AS volume, round(2*((x1-x0)*(y1-y0)+(x1-x0)*(z1-z0)+(y1-y0)*(z1-z0)), 3) AS area FROM b")
+@register("hull_volumes", f"WITH {ARBORS_SQL}, b AS (SELECT neuron_id, {_RANGE} FROM arbors GROUP BY 1) SELECT neuron_id, round((x1-x0)*(y1-y0)*(z1-z0), 5) AS volume, round(2*((x1-x0)*(y1-y0)+(x1-x0)*(z1-z0)+(y1-y0)*(z1-z0)), 5) AS area FROM b")
 def hull_volumes(spark, sf_dir):
-    return im.hull_measures(_boxed(spark, sf_dir), "neuron_id").select("neuron_id", *[r(F.col(c), 3).alias(c) for c in ("volume", "area")])
+    return im.hull_measures(_boxed(spark, sf_dir), "neuron_id").select("neuron_id", *[r(F.col(c), 5).alias(c) for c in ("volume", "area")])
 
 
 @register("hull_planes", f"WITH {ARBORS_SQL}, b AS (SELECT neuron_id, {_RANGE} FROM arbors GROUP BY 1) SELECT neuron_id, a, b, c, round(d, 5) AS d FROM (" + " UNION ALL ".join(f"SELECT neuron_id, {s * (i == 0):.1f} AS a, {s * (i == 1):.1f} AS b, {s * (i == 2):.1f} AS c, {'-' if s > 0 else ''}{a}{1 if s > 0 else 0} AS d FROM b" for i, a in enumerate("xyz") for s in (1, -1)) + ")")
@@ -359,11 +338,11 @@ def inside_hull(spark, sf_dir):
     return im.inside_hull(p, im.hull_planes(_boxed(spark, sf_dir), "neuron_id"), "neuron_id", ["point_no"])
 
 
-@register("hull_overlaps", f"WITH {ARBORS_SQL}, b AS (SELECT neuron_id, {_RANGE} FROM arbors GROUP BY 1), v AS (SELECT a.neuron_id AS id_a, b.neuron_id AS id_b, (a.x1-a.x0)*(a.y1-a.y0)*(a.z1-a.z0) AS va, (b.x1-b.x0)*(b.y1-b.y0)*(b.z1-b.z0) AS vb FROM b a JOIN b ON b.neuron_id = a.neuron_id + 1) SELECT id_a, id_b, round(va, 3) AS va, round(vb, 3) AS vb FROM v")
+@register("hull_overlaps", f"WITH {ARBORS_SQL}, b AS (SELECT neuron_id, {_RANGE} FROM arbors GROUP BY 1), v AS (SELECT a.neuron_id AS id_a, b.neuron_id AS id_b, (a.x1-a.x0)*(a.y1-a.y0)*(a.z1-a.z0) AS va, (b.x1-b.x0)*(b.y1-b.y0)*(b.z1-b.z0) AS vb FROM b a JOIN b ON b.neuron_id = a.neuron_id + 1) SELECT id_a, id_b, round(va, 5) AS va, round(vb, 5) AS vb FROM v")
 def hull_overlaps(spark, sf_dir):
     v = im.hull_measures(_boxed(spark, sf_dir), "neuron_id").select("neuron_id", "volume")
     a, b = v.select(F.col("neuron_id").alias("id_a"), F.col("volume").alias("va"), (F.col("neuron_id") + 1).alias("id_b")), v.select(F.col("neuron_id").alias("id_b"), F.col("volume").alias("vb"))
-    return a.join(b, "id_b").select("id_a", "id_b", r(F.col("va"), 3).alias("va"), r(F.col("vb"), 3).alias("vb"))
+    return a.join(b, "id_b").select("id_a", "id_b", r(F.col("va"), 5).alias("va"), r(F.col("vb"), 5).alias("vb"))
 
 
 # ------------------------------------------------------------------------------ planes

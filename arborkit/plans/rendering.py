@@ -109,9 +109,9 @@ def bright_voxels(spark, sf_dir):
     return rd.bright_voxels(voxels(spark, sf_dir), BY).withColumn("alpha", r(F.col("alpha"), 5))
 
 
-@register("slice_levels", f"{VOX} SELECT density_id, i, j, CASE WHEN value BETWEEN 1 AND 11 THEN least(floor((value - 1) / 2.0), 4)::INTEGER END AS level FROM vox WHERE k = 3")
+@register("slice_levels", f"{VOX} SELECT density_id, i, j, CASE WHEN value BETWEEN 1 AND 11 THEN least(floor((value - 1) / 2.0), 4)::INTEGER ELSE -1 END AS level FROM vox WHERE k = 3")
 def slice_levels(spark, sf_dir):
-    return rd.levels(voxels(spark, sf_dir).where("k = 3"), 1.0, 11.0, 5).select("density_id", "i", "j", "level")
+    return rd.levels(voxels(spark, sf_dir).where("k = 3"), 1.0, 11.0, 5).select("density_id", "i", "j", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 @register("scale_bar", "SELECT i::INTEGER AS level, round(2 + i * 0.5, 6) AS low, round(2.5 + i * 0.5, 6) AS high, round(2.25 + i * 0.5, 6) AS middle FROM range(12) t(i)")

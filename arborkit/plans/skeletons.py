@@ -199,10 +199,10 @@ def smooth_segments(spark, sf_dir):
 @register("resample_segments", f"""{WALK}, i AS (SELECT *, unnest(range(floor(s / 20)::BIGINT + 1, ceil(s1 / 20)::BIGINT)) * 20.0::DOUBLE AS spot FROM meas WHERE x1 IS NOT NULL),
 n AS (SELECT neuron_id, tree_no, seg_no, spot AS s, x + (spot - s) / (s1 - s) * (x1 - x) AS x, y + (spot - s) / (s1 - s) * (y1 - y) AS y, z + (spot - s) / (s1 - s) * (z1 - z) AS z FROM i WHERE spot < total
 UNION ALL SELECT neuron_id, tree_no, seg_no, s, x, y, z FROM meas WHERE x1 IS NULL OR pos = 0 AND seg_no = 1)
-SELECT neuron_id, tree_no, seg_no, round(s, 4) AS s, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM n""")
+SELECT neuron_id, tree_no, seg_no, round(s, 7) AS s, round(x, 7) AS x, round(y, 7) AS y, round(z, 7) AS z FROM n""")
 def resample_segments(spark, sf_dir):
     points, segments = both(spark, sf_dir)
-    return k.resample_segments(segments, points, 20.0).select("neuron_id", "tree_no", "seg_no", *[r(F.col(a)).alias(a) for a in ("s", *"xyz")])
+    return k.resample_segments(segments, points, 20.0).select("neuron_id", "tree_no", "seg_no", *[r(F.col(a), 7).alias(a) for a in ("s", *"xyz")])
 
 
 @register("divide_segments", f"""{WALK}, p AS (SELECT neuron_id, tree_no, seg_no, total, unnest(range(0, 5)) AS part FROM meas WHERE pos = 0 AND total > 0),

@@ -22,6 +22,21 @@ SELECT density_id, i, j, k, count(*)::BIGINT AS value FROM (
 BY = ["density_id"]
 
 
+def gauss_sql(sigma: float, sds: float, source: str = "vox") -> str:
+    """Three common tables, the last named gz, that smooth ``source`` axis by axis."""
+    import math
+
+    reach = max(1, math.ceil(sds * max(math.ceil(sigma / v) for v in GRID.voxel)))
+    sql, before = "", source
+    for axis, v, n, size in zip("xyz", "ijk", GRID.n, GRID.voxel):
+        weights = {o: math.exp(-((o * size) ** 2) / (2 * sigma**2)) for o in range(-reach, reach + 1)}
+        taps = ", ".join(f"({o}, {w / sum(weights.values())!r})" for o, w in weights.items())
+        rest = ", ".join(c for c in "ijk" if c != v)
+        sql += f", g{axis} AS (SELECT density_id, {rest}, {v} + o AS {v}, sum(value * w) AS value FROM {before}, (VALUES {taps}) t(o, w) WHERE {v} + o BETWEEN 0 AND {n - 1} GROUP BY ALL)"
+        before = f"g{axis}"
+    return sql
+
+
 def voxels(spark, sf_dir):
     return d.bin3d(points(spark, sf_dir).withColumnRenamed("region", "density_id"), GRID, BY)
 
@@ -213,6 +228,6 @@ def prefix_match(spark, sf_dir):
     return m.prefix_match(n.select(F.substring("n_name", 1, 4).alias("key")).distinct(), "key", n, "n_name")
 
 
-@register("gaussian_smooth")
+@register("gaussian_smooth", f"{VOX}{gauss_sql(3.0, 4.0)} SELECT density_id, i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, round(value, 6) AS value FROM gz")
 def gaussian_smooth(spark, sf_dir):
     return d.gaussian_smooth(voxels(spark, sf_dir), GRID, 3.0, by=BY).withColumn("value", r(F.col("value"), 6))
