@@ -29,10 +29,10 @@ CHUNK_CHARS = 4_000_000
 
 # ---------------------------------------------------------------- shared tables
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set on one machine (tests)."""
+    """This application's part of the cluster's shared folder; a local one only where none is set on one machine (tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
-        return folder.rstrip("/")
+        return f"{folder.rstrip('/')}/arborkit-{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL_FOLDER:
@@ -59,6 +59,13 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote, once its results are saved elsewhere."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _LOCAL_FOLDER.clear()
+
+
 #: Name under which :func:`boxed` carries the columns that a function does not read.
 BOX = "__row"
 

@@ -27,8 +27,9 @@ Groups above a bound are cut into blocks and joined block by block.  Shingles
 are compared by 64-bit hashes.
 
 Null or blank text: ``n_shingles`` 0, its own component (null ``doc_id`` stays
-null).  Repeated rows link like any equal texts.  Other columns are not read.
-An empty table gives an empty result.
+null).  Repeated rows link like any equal texts.  Texts of any length are read
+whole; one unbroken word is one shingle.  Other columns are not read.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,15 +46,13 @@ from .common import U64, RepeatSketch, connected_components, discard, hash_words
 
 #: Counters of the frequency sketch (fixed size) and members of a tree block.
 FREQUENCY_BITS, FREQUENCY_BLOCKS = 20, 64
-BLOCK, LEAF, FANOUT = 4096, 16, 4
+BLOCK, LEAF, FANOUT = 4096, 4, 4
 #: Candidate classes whose keys may be broadcast to read their texts (32 bytes each).
 BROADCAST_ROWS = 500_000
 #: Set elements that one exact cluster task holds.
 CLUSTER_ELEMENTS = 6_000_000
 
 
-
-
 def _sets(texts: list, k: int) -> Iterator[np.ndarray]:
     for text in texts:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []

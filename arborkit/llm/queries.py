@@ -95,6 +95,23 @@ GROUP BY c.doc_id
 """
 
 
+#: Shingle sets, all links between documents that share a shingle, and the smallest document reachable.
+OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(words[s:s + 3], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) AS s FROM w WHERE len(words) > 0)),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM met JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(other), w.doc_id)) AS component_id
+FROM w LEFT JOIN size USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY w.doc_id, n
+"""
+
+
 #: All pairs by integer inner product.
 OP7_SQL = """
 WITH v AS (
@@ -131,4 +148,4 @@ FROM w LEFT JOIN kept k USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op7_exact_top_k": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op10_substring_dedup": OP10_SQL}
