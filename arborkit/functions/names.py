@@ -30,3 +30,13 @@ def projection_class(cell_type: Column) -> Column:
 
 def tidy_date(value: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(value, r"\\N", ""), F.lit("yyyy-MM-dd")).cast("date")
+
+
+def neuron_name(path: Column) -> Column:
+    """A file's name up to its first full stop or underscore."""
+    return image_name(base_name(path))
+
+
+def trace_path(folder: str, cell_type: Column, file: Column, suffix: str) -> Column:
+    """Where a neuron's trace is expected: folder, cell type, and the file's name with another ending."""
+    return F.concat(F.lit(folder.rstrip("/") + "/"), cell_type, F.lit("/"), F.regexp_replace(base_name(file), r"\.[^.]*$", ""), F.lit(suffix))

@@ -407,3 +407,169 @@ def colormaps(spark, sf_dir):
     made = encoded(rows, "reg_id", ["idx"], ["r", "g", "b"], lambda c: f.write_colormap(np.array(_rows(c, ["r", "g", "b"]))), "")
     read = lambda name, data: [(i, *(round(float(v), 5) for v in x)) for i, x in enumerate(f.section(f.read_mesh(data), "Data"))]
     return decoded(made, read, "idx int, r double, g double, b double, a double").select(F.col("name").cast("long").alias("reg_id"), "idx", "r", "g", "b", "a")
+
+
+# ------------------------------------------------------------- more of each format
+@register("contour_files", f"WITH {SPOTS} SELECT set_id, 1 + (marker_no - 1) // 50 AS number, marker_no, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM spots JOIN (SELECT set_id, max(marker_no) AS n FROM spots GROUP BY 1) USING (set_id) WHERE n - (marker_no - 1) // 50 * 50 >= 5")
+def contour_files(spark, sf_dir):
+    """Contours of 50 points in tracing files; blocks of fewer than five points are markers."""
+    def write(c):
+        rows, out = _rows(c, ["marker_no", "x", "y", "z"]), []
+        for lo in range(0, len(rows), 50):
+            out += ['("LH"', *[f"  ( {x!r} {y!r} {z!r} 0.5)  ; {n}" for n, x, y, z in rows[lo : lo + 50]], ")"]
+        return "\n".join(out).encode()
+
+    made = encoded(spots(spark, sf_dir), "set_id", ["marker_no"], ["marker_no", "x", "y", "z"], write, ".asc")
+
+    def read(name, data):
+        seen, out = {}, []
+        for _, number, *xyz in f.read_asc(data)["contours"]:
+            seen[number] = seen.get(number, 0) + 1
+            out.append((number, (number - 1) * 50 + seen[number], *xyz))
+        return out
+
+    rows = decoded(made, read, "number long, marker_no int, x double, y double, z double")
+    return rows.select(_set("name"), "number", "marker_no", *[r(F.col(a), 5).alias(a) for a in "xyz"])
+
+
+@register("mesh_headers", f"{VOX} SELECT DISTINCT density_id, 'Lattice' AS grp, 'ScalarField' AS name, 'ushort' AS kind, 10 * 12 * 8 AS n, 'uniform' AS parameter FROM vox")
+def mesh_headers(spark, sf_dir):
+    def read(name, data):
+        mesh = f.read_mesh(data, only_header=True)
+        return [(x["group"], x["name"], x["kind"], x["n"], mesh["parameters"]["CoordType"]) for x in mesh["sections"]]
+
+    rows = decoded(_volumes(spark, sf_dir, _lattice("binary", "big", "ushort"), ".am"), read, "grp string, section string, kind string, n int, parameter string")
+    return rows.select(F.substring_index("name", ".", 1).alias("density_id"), "grp", F.col("section").alias("name"), "kind", "n", "parameter")
+
+
+@register("rectilinear_lattices", f"{DENSE} SELECT density_id, i, j, k, value, round(i * i + 1.0, 4) AS x FROM dense")
+def rectilinear_lattices(spark, sf_dir):
+    axes = [[i * i + 1.0 for i in range(n)] for n in GRID.n]
+
+    def read(name, data):
+        v, (x, _, _) = f.read_rectilinear(data)
+        return [(*map(int, at), float(v[at]), round(x[at[0]], 4)) for at in np.ndindex(v.shape)]
+
+    rows = decoded(_volumes(spark, sf_dir, lambda v: f.write_rectilinear(v, axes), ".am"), read, "i int, j int, k int, value double, x double")
+    return rows.select(F.substring_index("name", ".", 1).alias("density_id"), "i", "j", "k", "value", "x")
+
+
+def _converted(name, kind, conversion, sql):
+    @register(name, f"{DENSE}, m AS (SELECT density_id, min(value) AS lo, max(value) AS hi FROM dense GROUP BY 1) SELECT density_id, i, j, k, {sql}::DOUBLE AS value FROM dense JOIN m USING (density_id)")
+    def run(spark, sf_dir):
+        made = _volumes(spark, sf_dir, lambda v: f.mesh_from_nrrd(f.write_nrrd(v, "float", "gzip", list(GRID.voxel)), kind, conversion), ".am")
+        return _voxels(made, _read_lattice)
+
+    return run
+
+
+_converted("volumes_converted_by_range", "byte", "scale", "floor((value - lo) / (hi - lo) * 255 + 0.5)")
+_converted("volumes_converted_by_cast", "ushort", "cast", "value")
+
+
+@register("analyze_volumes", f"{DENSE} SELECT density_id, i, j, k, value FROM dense")
+def analyze_volumes(spark, sf_dir):
+    def both(v):
+        head, image = f.write_analyze(v, list(GRID.voxel))
+        return head + image
+
+    return _voxels(_volumes(spark, sf_dir, both, ".img"), lambda data: f.read_analyze(data[:348], data[348:])[0])
+
+
+@register("nrrd_names", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'uint8' ELSE 'int16' END AS kind, CASE WHEN n_nationkey % 2 = 0 THEN 'axismins' ELSE 'space origin' END AS field, concat_ws(',', concat('s', lpad(n_nationkey::VARCHAR, 3, '0'), '.raw'), concat('s', lpad((n_nationkey + 2)::VARCHAR, 3, '0'), '.raw')) AS files FROM nation")
+def nrrd_names(spark, sf_dir):
+    def read(name, data):
+        fields, _ = f.read_nrrd_header(data)
+        field = next(x for x in fields if x in ("axismins", "space origin"))
+        return [(f.nrrd_type(fields["type"]), field, ",".join(f.nrrd_data_files(fields)))]
+
+    def write(c):
+        i = c["n_nationkey"][0]
+        kind, field = ("unsigned char", "axis mins") if i % 2 == 0 else ("signed short int", "space origin")
+        return f"NRRD0004\ntype: {kind}\ndimension: 3\n{field}: 1\ndata file: s%03d.raw {i} {i + 2} 2\n\n".encode()
+
+    rows = decoded(encoded(table(spark, sf_dir, "nation"), "n_nationkey", [], [], write, ""), read, "kind string, field string, files string")
+    return rows.select(F.col("name").cast("long").alias("id"), "kind", "field", "files")
+
+
+@register("warp_files", f"WITH {REGS} SELECT reg_id, i::INTEGER AS place, round(reg_id + i * 0.5, 4) AS x, round(i * 1.25, 4) AS y, 3.0 AS z, (i % 2)::INTEGER AS active, round(sx * sy * sz, 5) AS scale FROM regs, range(24) t(i)")
+def warp_files(spark, sf_dir):
+    def write(c):
+        i = c["reg_id"][0]
+        controls = [[i + n * 0.5, n * 1.25, 3.0] for n in range(24)]
+        return f.write_warp([4, 3, 2], [10.0, 10.0, 5.0], np.array(controls), [n % 2 for n in range(24)], _params(c))
+
+    def read(name, data):
+        warp = f.read_warp(data)
+        scale = round(float(np.prod(warp["affine"]["scale"])), 5)
+        return [(i, *(round(float(v), 4) for v in row), int(on), scale) for i, (row, on) in enumerate(zip(warp["controls"], warp["active"]))]
+
+    rows = decoded(encoded(regs(spark, sf_dir), "reg_id", [], MOVES, write, ""), read, "place int, x double, y double, z double, active int, scale double")
+    return rows.select(F.col("name").cast("long").alias("reg_id"), "place", "x", "y", "z", "active", "scale")
+
+
+@register("registration_folders", f"WITH {REGS} SELECT concat(reg_id, '.list/', file) AS name, reg_id FROM regs, (VALUES ('registration'), ('studylist')) t(file)")
+def registration_folders(spark, sf_dir):
+    made = encoded(regs(spark, sf_dir), "reg_id", [], MOVES, lambda c: f.write_typed_stream(g.registration(_params(c), "ref", "float")), ".list")
+    parts = decoded(made, lambda name, data: f.registration_folder(name, f.read_typed_stream(data)), "file string, content binary").select(F.col("file").alias("name"), "content")
+    folder = scratch(spark, "registrations")
+    write_files(parts, folder).where("not written").count()
+    path = F.regexp_extract("_metadata.file_path", r"(\d+\.list/\w+)$", 1)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(path.alias("name"))
+    return rows.select("name", F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("reg_id"))
+
+
+@register("neuron_folders", f"WITH {ARBORS_SQL} SELECT concat('type', neuron_id % 3, '/', neuron_id, '.swc') AS path, count(*)::BIGINT AS n_points FROM arbors GROUP BY ALL")
+def neuron_folders(spark, sf_dir):
+    """A folder a class, chosen by an expression over a neuron's row."""
+    names = ["point_no", "label", "x", "y", "z", "w", "parent"]
+    made = encoded(arbors(spark, sf_dir), ID, ["point_no"], names, lambda c: f.write_swc(_rows(c, names)), ".swc")
+    placed = made.select(F.concat(F.lit("type"), F.regexp_extract("name", r"^(\d+)", 1).cast("long") % 3, F.lit("/"), "name").alias("name"), "content")
+    folder = scratch(spark, "neurons")
+    write_files(placed, folder).where("not written").count()
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    rows = rows.select(F.regexp_extract("_metadata.file_path", r"(type\d+/\d+\.swc)$", 1).alias("name"), "content")
+    return decoded(rows, lambda name, data: [(len(f.read_swc(data)),)], "n_points long").withColumnRenamed("name", "path")
+
+
+@register("surfaces_transformed", f"WITH {SPOTS} SELECT set_id, marker_no - 1 AS vertex, round(x + 10, 7) AS x, round(y - 5, 7) AS y, round(2 * z, 7) AS z FROM spots")
+def surfaces_transformed(spark, sf_dir):
+    names = ["marker_no", "x", "y", "z"]
+    matrix = np.array([[1, 0, 0, 10.0], [0, 1, 0, -5.0], [0, 0, 2, 0], [0, 0, 0, 1]])
+    made = encoded(spots(spark, sf_dir), "set_id", ["marker_no"], names, lambda c: f.write_surface([x[1:] for x in _rows(c, names)], _faces(_rows(c, names)), "inner"), ".surf")
+
+    def read(name, data):
+        points_, faces = f.read_surface(data)
+        moved = points_ @ matrix[:3, :3].T + matrix[:3, 3]
+        again = f.read_surface(f.write_surface(moved.tolist(), [x[2] for x in faces], "inner"))[0]
+        return [(i, *map(float, p)) for i, p in enumerate(again)]
+
+    rows = decoded(made, read, "vertex int, x double, y double, z double")
+    return rows.select(_set("name"), "vertex", *[r(F.col(a), 7).alias(a) for a in "xyz"])
+
+
+@register("dots_from_files", f"WITH {SPOTS} SELECT set_id, count(*)::BIGINT AS n, true AS unit, true AS dated FROM spots GROUP BY 1")
+def dots_from_files(spark, sf_dir):
+    """Dot properties of clouds read from comma-separated files, with each file's time and size."""
+    from arborkit.operators import similarity as sim
+
+    few = spots(spark, sf_dir)
+    write = lambda c: "".join(f"{x!r},{y!r},{z!r}\n" for _, x, y, z in _rows(c, ["marker_no", "x", "y", "z"])).encode()
+    folder = scratch(spark, "csv")
+    write_files(encoded(few, "set_id", ["marker_no"], ["marker_no", "x", "y", "z"], write, ".csv"), folder).where("not written").count()
+    found = files(spark, folder)
+    rows = decoded(found, lambda name, data: [(i, *map(float, line.split(","))) for i, line in enumerate(data.decode().splitlines())], "point_no int, x double, y double, z double")
+    near = sim.dot_properties(rows.select(F.substring_index("name", ".", 1).alias(ID), "point_no", *"xyz"), 5)
+    size = F.abs(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2 - 1)
+    stated = near.groupBy(F.col(ID).alias("set_id")).agg(F.count("*").alias("n"), (F.max(size) < 1e-9).alias("unit"))
+    told = found.select(F.substring_index("name", ".", 1).alias("set_id"), (F.col("modified").isNotNull() & (F.col("size") > 0)).alias("dated"))
+    return stated.join(told, "set_id")
+
+
+@register("file_names", "SELECT page_id, string_split_regex(regexp_extract(url, '([^/]*)/?$', 1), '[._]')[1] AS neuron, concat('/traces/', 'type', page_id % 4, '/', regexp_replace(regexp_extract(url, '([^/]*)/?$', 1), '\\.[^.]*$', ''), '.asc') AS trace FROM pages")
+def file_names(spark, sf_dir):
+    from arborkit.functions import names
+
+    p = table(spark, sf_dir, "pages")
+    kind = F.concat(F.lit("type"), F.col("page_id") % 4)
+    return p.select("page_id", names.neuron_name(F.col("url")).alias("neuron"), names.trace_path("/traces", kind, F.col("url"), ".asc").alias("trace"))

@@ -426,6 +426,32 @@ def mesh_nrrd_header(data: bytes, file: str) -> bytes:
     return ("NRRD0004\n" + "".join(f"{k}: {v}\n" for k, v in fields.items()) + f"data file: {file}\n\n").encode()
 
 
+def write_rectilinear(values: np.ndarray, axes: list[list[float]]) -> bytes:
+    """A lattice whose axes have coordinates of their own."""
+    parts = [{"group": "Lattice", "name": "ScalarField", "kind": "float", "values": values.ravel(order="F")}, {"group": "Coordinates", "name": "xyz", "kind": "float", "values": [x for axis in axes for x in axis]}]
+    return write_mesh({"Lattice": list(values.shape), "Coordinates": [sum(values.shape)]}, parts, {"CoordType": "rectilinear"})
+
+
+def read_rectilinear(data: bytes) -> tuple[np.ndarray, list[list[float]]]:
+    mesh = read_mesh(data)
+    sizes, flat_axes = mesh["sizes"]["Lattice"], section(mesh, "xyz").ravel().tolist()
+    cuts = np.cumsum([0, *sizes])
+    return section(mesh, "ScalarField").reshape(sizes, order="F"), [flat_axes[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def mesh_from_nrrd(data: bytes, kind: str, conversion: str = "scale") -> bytes:
+    """A NRRD volume as a lattice of another type: values cast, or their range scaled to that of a whole-number type."""
+    fields, values = read_nrrd(data)
+    values = values.astype(float)
+    if conversion == "scale" and kind not in ("float", "double"):
+        top = {"byte": 255, "short": 32767, "ushort": 65535, "int": 2**31 - 1}[kind]
+        low, high = float(values.min()), float(values.max())
+        values = np.floor((values - low) / ((high - low) or 1.0) * top + 0.5)
+    voxel, origin = nrrd_voxel(fields), nrrd_origin(fields)
+    box = [x for o, v, n in zip(origin, voxel or [1.0] * values.ndim, values.shape) for x in (o, o + v * (n - 1))]
+    return write_mesh({"Lattice": list(values.shape)}, [{"group": "Lattice", "name": "ScalarField", "kind": kind, "values": values.ravel(order="F")}], {"CoordType": "uniform", "BoundingBox": box}, "binary")
+
+
 # ------------------------------------------------------------------- raw volumes
 RAW_MAGIC = b"raw_image_stack_by_hpeng"
 RAW_KINDS = {1: "u1", 2: "u2", 4: "f4"}
@@ -462,6 +488,15 @@ def write_analyze(values: np.ndarray, pixel: list[float]) -> tuple[bytes, bytes]
     return bytes(head), values.ravel(order="F").astype("<f4").tobytes()
 
 
+def read_analyze(head: bytes, image: bytes) -> tuple[np.ndarray, list[float]]:
+    """Values and pixel sizes of an Analyze volume of floats."""
+    n = struct.unpack_from("<h", head, 40)[0]
+    sizes, kind = struct.unpack_from(f"<{n}h", head, 42), struct.unpack_from("<h", head, 70)[0]
+    if kind != 16:
+        raise FormatError("only volumes of floats are read")
+    return np.frombuffer(image, dtype="<f4").astype(float).reshape(sizes, order="F"), list(struct.unpack_from(f"<{n}f", head, 80))
+
+
 def read_irtk_matrix(data: bytes, order: str = ">") -> np.ndarray:
     head, _, body = data.partition(b"\n")
     found = re.match(rb"irtkMatrix\s+(\d+)\s+x\s+(\d+)", head)
@@ -757,6 +792,21 @@ def read_warp(data: bytes) -> dict:
     return {"dims": dims, "domain": warp.get("domain"), "controls": at, "active": None if active is None else active, "affine": warp.get("affine_xform")}
 
 
+def write_warp(dims: list[int], domain: list[float], controls: np.ndarray, active: list[int], params: np.ndarray) -> bytes:
+    move, degrees, scale, shear, centre = np.asarray(params, dtype=float).reshape(5, 3).tolist()
+    affine = {"xlate": move, "rotate": degrees, "scale": scale, "shear": shear, "center": centre}
+    warp = {"affine_xform": affine, "absolute": "yes", "dims": dims, "domain": domain, "coefficients": np.asarray(controls).ravel().tolist(), "active": active}
+    return write_typed_stream({"registration": {"reference_study": "reference", "floating_study": "floating", "spline_warp": warp}})
+
+
+def registration_folder(name: str, document: dict) -> list[tuple[str, bytes]]:
+    """The files of a registration's folder: the registration and the list of its studies."""
+    inner = document["registration"]
+    moving = inner.get("floating_study") or inner.get("model_study")
+    studies = "! TYPEDSTREAM 2.4\n\n" + "".join(f'source {{\n\tstudyname "{x}"\n}}\n' for x in (inner["reference_study"], moving))
+    return [(f"{name}/registration", write_typed_stream(document)), (f"{name}/studylist", studies.encode())]
+
+
 def read_picture_header(data: bytes) -> dict:
     """Sizes, depth, name and notes of a confocal picture file (76-byte header, notes after the data)."""
     nx, ny, n = struct.unpack("<3h", data[:6])
