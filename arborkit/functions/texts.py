@@ -44,3 +44,14 @@ def file_lists(scores: DataFrame, paths: DataFrame, by: str, most: int) -> DataF
     first = paths.groupBy("brain").agg(F.min_by("path", "place").alias("path"))
     place = F.row_number().over(Window.partitionBy(by).orderBy("score", "brain"))
     return scores.join(first, "brain").withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+def without_comments(lines: DataFrame, column: str, mark: str = "#") -> DataFrame:
+    """Lines that are not blank and do not begin with a comment mark."""
+    text = F.ltrim(column)
+    return lines.where((text != "") & ~text.startswith(mark))
+
+
+def path_and_score(lines: DataFrame, column: str) -> DataFrame:
+    """``path, score`` of lines that hold both, separated by white space."""
+    return lines.withColumns({"path": F.regexp_extract(column, r"^(\S+)\s+\S+\s*$", 1), "score": F.regexp_extract(column, r"^\S+\s+(\S+)\s*$", 1).try_cast("double")})

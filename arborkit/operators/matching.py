@@ -105,6 +105,28 @@ def expected_synapses(pairs: DataFrame, sigma: float, s: float, angle: str = "th
     return pairs.where("al > 0 and bl > 0").groupBy("neuron_a", "neuron_b").agg((2 * s * F.sum(term)).alias("expected"))
 
 
+def potential_synapses(a: DataFrame, b: DataFrame, s: float, method: str = "direct", scale: float | None = None) -> DataFrame:
+    """Contacts of two segment sets: counted (``direct``; ``scale`` is the longest segment, None for any) or ``expected``.
+
+    Expected counts take middles within ten ``scale`` (sigma) of each other, which
+    meet over a grid of that width; further ones add less than 1e-10 of a term.
+    """
+    if method == "direct":
+        return direct_synapses(a, b, s, scale)
+    reach, sides = 10 * scale, []
+    for df, t in ((a, "a"), (b, "b")):
+        mid = {f"{t}{n}": (F.col(n + "0") + F.col(n + "1")) / 2 for n in "xyz"}
+        step = {f"{t}d{n}": F.col(n + "1") - F.col(n + "0") for n in "xyz"}
+        length = F.sqrt(sum(((F.col(n + "1") - F.col(n + "0")) ** 2 for n in "xyz"), F.lit(0.0)))
+        rows = df.select(F.col("neuron_id").alias(f"neuron_{t}"), *[c.alias(n) for n, c in (mid | step).items()], length.alias(f"{t}l"))
+        sides.append(rows.withColumns({f"c{n}": F.floor(F.col(f"{t}{n}") / reach) for n in "xyz"}))
+    around = F.explode(F.array(*[F.struct(*[F.lit(d).alias(f"d{n}") for n, d in zip("xyz", (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
+    right = sides[1].withColumn("d", around).withColumns({f"c{n}": F.col(f"c{n}") + F.col(f"d.d{n}") for n in "xyz"}).drop("d")
+    r2 = sum(((F.col(f"a{n}") - F.col(f"b{n}")) ** 2 for n in "xyz"), F.lit(0.0))
+    pairs = sides[0].join(right, ["cx", "cy", "cz"]).where("neuron_a < neuron_b").where(r2 <= reach**2)
+    return expected_synapses(pairs, scale, s)
+
+
 def nearest_points(queries: DataFrame, targets: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each point of a query cloud its nearest point in the paired target cloud.
 

@@ -573,3 +573,36 @@ def file_names(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     kind = F.concat(F.lit("type"), F.col("page_id") % 4)
     return p.select("page_id", names.neuron_name(F.col("url")).alias("neuron"), names.trace_path("/traces", kind, F.col("url"), ".asc").alias("trace"))
+
+
+@register("tracing_lines", f"WITH {TREES_SQL} SELECT neuron_id, (count(*) + 1)::BIGINT AS data_lines FROM trees GROUP BY 1")
+def tracing_lines(spark, sf_dir):
+    """Lines of tracing files without blank and comment lines, and those that hold a point or open the tree."""
+    from arborkit.functions import texts
+
+    made = encoded(arbors(spark, sf_dir, False), ID, ["point_no"], PLACED, lambda c: f.write_asc(_rows(c, PLACED)), ".asc")
+    lines = made.select("name", F.explode(F.split(F.col("content").cast("string"), r"\r\n|\r|\n")).alias("line"))
+    kept = texts.without_comments(lines, "line", ";").where(F.col("line").rlike(r"^\s*\(\s*[-+\d.]|\(Axon\)"))
+    return kept.groupBy(_whole("name")).agg(F.count("*").alias("data_lines"))
+
+
+@register("file_list_lines", "SELECT s_suppkey AS id, concat('/models/', s_suppkey % 7, '/n', s_suppkey, '.am') AS path, s_nationkey / 4 AS score FROM supplier")
+def file_list_lines(spark, sf_dir):
+    """Lines ``path score`` of per-class lists, written and read back."""
+    from arborkit.functions import texts
+
+    s = table(spark, sf_dir, "supplier")
+    lines = s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("/models/"), F.col("s_suppkey") % 7, F.lit("/n"), F.col("s_suppkey"), F.lit(".am "), F.col("s_nationkey") / 4).alias("line"))
+    return texts.path_and_score(lines, "line").select("id", "path", "score")
+
+
+@register("class_colours", "SELECT o_orderkey AS neuron_id, CASE o_orderpriority WHEN '1-URGENT' THEN '31,0,0' WHEN '2-HIGH' THEN '0,31,0' WHEN '3-MEDIUM' THEN '0,0,31' ELSE '31,31,31' END AS rgb FROM orders")
+def class_colours(spark, sf_dir):
+    """Colours of neurons from a table of colours by class; other classes are white."""
+    from arborkit.functions.scalars import colour
+    from arborkit.sources.adapters import neurons
+
+    chosen = spark.createDataFrame([("1-URGENT", "red"), ("2-HIGH", "green"), ("3-MEDIUM", "blue")], "cell_type string, colour string")
+    rows = neurons(spark, sf_dir).join(F.broadcast(chosen), "cell_type", "left")
+    rgb = F.array_join(F.transform(colour(F.coalesce("colour", F.lit("white"))), lambda x: x.cast("string")), ",")
+    return rows.select("neuron_id", rgb.alias("rgb"))

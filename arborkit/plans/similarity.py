@@ -151,16 +151,13 @@ def nearest_to_place(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ synapses, planes
-@register("expected_synapses", f"""WITH {POINTS_SQL}, p AS (SELECT neuron_id, neuron_id // 32 AS g, (x0+x1)/2 AS x, (y0+y1)/2 AS y, (z0+z1)/2 AS z, len AS l, x1-x0 AS dx, y1-y0 AS dy, z1-z0 AS dz FROM seglets WHERE len > 0),
-j AS (SELECT a.neuron_id AS neuron_a, b.neuron_id AS neuron_b, a.l * b.l * acos(greatest(-1.0, least(1.0, (a.dx*b.dx+a.dy*b.dy+a.dz*b.dz) / (sqrt(a.dx*a.dx+a.dy*a.dy+a.dz*a.dz) * sqrt(b.dx*b.dx+b.dy*b.dy+b.dz*b.dz))))) * exp(-((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) / 16) / (16 * pi()) ** 1.5 AS t FROM p a JOIN p b ON a.g = b.g AND a.neuron_id < b.neuron_id)
-SELECT neuron_a, neuron_b, round(4 * sum(t), 3) AS expected FROM j GROUP BY ALL""")
+@register("expected_synapses", f"""WITH {POINTS_SQL}, p AS (SELECT neuron_id, (x0+x1)/2 AS x, (y0+y1)/2 AS y, (z0+z1)/2 AS z, len AS l, x1-x0 AS dx, y1-y0 AS dy, z1-z0 AS dz FROM seglets WHERE len > 0),
+j AS (SELECT a.neuron_id AS neuron_a, b.neuron_id AS neuron_b, a.l * b.l * acos(greatest(-1.0, least(1.0, (a.dx*b.dx+a.dy*b.dy+a.dz*b.dz) / (a.l * b.l)))) * exp(-((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) / 0.04) / (0.04 * pi()) ** 1.5 AS t FROM p a JOIN p b ON b.y BETWEEN a.y - 1 AND a.y + 1 WHERE a.neuron_id < b.neuron_id AND (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 <= 1)
+SELECT neuron_a, neuron_b, round(0.1 * sum(t), 2) AS expected FROM j GROUP BY ALL""")
 def expected_synapses(spark, sf_dir):
-    """Pairs of neurons of one group of 32 ids."""
-    p = s.seglets(points(spark, sf_dir)).where("len > 0")
-    mid = p.select("neuron_id", F.floor(F.col("neuron_id") / 32).alias("g"), *[((F.col(a + "0") + F.col(a + "1")) / 2).alias(a) for a in "xyz"], F.col("len").alias("l"), *[(F.col(a + "1") - F.col(a + "0")).alias("d" + a) for a in "xyz"])
-    sides = [mid.select("g", F.col("neuron_id").alias(f"neuron_{t}"), *[F.col(c).alias(t + c) for c in ("x", "y", "z", "l", "dx", "dy", "dz")]) for t in "ab"]
-    pairs = sides[0].join(sides[1], "g").where("neuron_a < neuron_b")
-    return m.expected_synapses(pairs, 2.0, 2.0).withColumn("expected", r(F.col("expected"), 3))
+    """All pairs of neurons with middles of segments within ten sigma."""
+    p = s.seglets(points(spark, sf_dir))
+    return m.potential_synapses(p, p, 0.05, "expected", 0.1).withColumn("expected", r(F.col("expected"), 2))
 
 
 @register("line_plane_crossings", f"""WITH {POINTS_SQL} SELECT neuron_id, point_no, round(x0 + u * (x1 - x0), 3) AS x, round(y0 + u * (y1 - y0), 3) AS y, round(z0 + u * (z1 - z0), 3) AS z FROM (SELECT *, (x0 + y0 - 40) / ((x0 - x1) + (y0 - y1)) AS u FROM seglets WHERE abs((x0 - x1) + (y0 - y1)) > 1)""")
@@ -241,3 +238,52 @@ def ward_clusters(spark, sf_dir):
 
     out = sim.pairwise(sim.packed(clouds(spark, sf_dir)), lambda a, b: sim.median_distance(a, b, True), "d double")
     return clustering.clusters(out.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "d"), 4)
+
+
+#: Squared distance of two segments: the ends against the other segment, and the lines' closest points if inside both.
+def _held(x):
+    return f"least(1.0, greatest(0.0, coalesce({x}, 0.0)))"
+
+
+def _gap(s, t):
+    return f"(ww + ({s}) * ({s}) * uu + ({t}) * ({t}) * vv + 2 * ({s}) * uw - 2 * ({t}) * vw - 2 * ({s}) * ({t}) * uv)"
+
+
+_UV = ", ".join(f"a.{c}1 - a.{c}0 AS u{c}, b.{c}1 - b.{c}0 AS v{c}, a.{c}0 - b.{c}0 AS w{c}" for c in "xyz")
+_DOT = ", ".join(f"u.{a}x*u.{b}x + u.{a}y*u.{b}y + u.{a}z*u.{b}z AS {a}{b}" for a, b in ("uu", "vv", "uv", "uw", "vw", "ww"))
+_ENDS = [_gap(0.0, _held("vw / nullif(vv, 0)")), _gap(1.0, _held("(vw + uv) / nullif(vv, 0)")), _gap(_held("(-uw) / nullif(uu, 0)"), 0.0), _gap(_held("(uv - uw) / nullif(uu, 0)"), 1.0)]
+_S, _T = "(uv * vw - vv * uw) / nullif(uu * vv - uv * uv, 0)", "(uu * vw - uv * uw) / nullif(uu * vv - uv * uv, 0)"
+_INSIDE = f"CASE WHEN uu * vv - uv * uv > 1e-12 * uu * vv AND {_S} BETWEEN 0 AND 1 AND {_T} BETWEEN 0 AND 1 THEN {_gap(_S, _T)} END"
+BOUNDED = f"""WITH {POINTS_SQL}, box AS (SELECT * FROM seglets WHERE x0 BETWEEN 10 AND 20 AND y0 BETWEEN 20 AND 40 AND z0 BETWEEN 2 AND 6),
+u AS (SELECT a.neuron_id AS neuron_a, b.neuron_id AS neuron_b, {_UV} FROM box a JOIN box b ON a.neuron_id < b.neuron_id), k AS (SELECT neuron_a, neuron_b, {_DOT} FROM u),
+g AS (SELECT neuron_a, neuron_b, sqrt(greatest(0, least({', '.join(_ENDS)}, coalesce({_INSIDE}, 1e18)))) AS d FROM k)"""
+
+
+def _box(spark, sf_dir):
+    from arborkit.operators import geometry as g
+
+    return g.restrict_to_bounds(s.seglets(points(spark, sf_dir)), {"x": (10, 20), "y": (20, 40), "z": (2, 6)}, suffix="0")
+
+
+@register("synapses_in_bounds", f"{BOUNDED} SELECT neuron_a, neuron_b, count(*)::BIGINT AS n FROM g WHERE d <= 0.501 GROUP BY ALL")
+def synapses_in_bounds(spark, sf_dir):
+    """Contacts of segments whose heads lie in a box, of any length."""
+    box = _box(spark, sf_dir)
+    return m.potential_synapses(box, box, 0.501, "direct", None)
+
+
+@register("expected_synapses_in_bounds", f"""WITH {POINTS_SQL}, box AS (SELECT * FROM seglets WHERE len > 0 AND x0 BETWEEN 10 AND 20 AND y0 BETWEEN 20 AND 40 AND z0 BETWEEN 2 AND 6),
+p AS (SELECT neuron_id, (x0+x1)/2 AS x, (y0+y1)/2 AS y, (z0+z1)/2 AS z, len AS l, x1-x0 AS dx, y1-y0 AS dy, z1-z0 AS dz FROM box),
+j AS (SELECT a.neuron_id AS neuron_a, b.neuron_id AS neuron_b, a.l * b.l * acos(greatest(-1.0, least(1.0, (a.dx*b.dx+a.dy*b.dy+a.dz*b.dz) / (a.l * b.l)))) * exp(-((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) / 16) / (16 * pi()) ** 1.5 AS t, (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 AS r2 FROM p a JOIN p b ON a.neuron_id < b.neuron_id)
+SELECT neuron_a, neuron_b, round(4 * sum(t), 3) AS expected FROM j WHERE r2 <= 400 GROUP BY ALL""")
+def expected_synapses_in_bounds(spark, sf_dir):
+    """Expected contacts of segments in a box whose middles lie within ten sigma."""
+    box = _box(spark, sf_dir)
+    return m.potential_synapses(box, box, 2.0, "expected", 2.0).withColumn("expected", r(F.col("expected"), 3))
+
+
+@register("step_vectors", f"{WALK} SELECT neuron_id, tree_no, seg_no, pos, round(x1 - x, 5) AS dx, round(y1 - y, 5) AS dy, round(z1 - z, 5) AS dz FROM piece WHERE x1 IS NOT NULL")
+def step_vectors(spark, sf_dir):
+    p = arbors(spark, sf_dir)
+    rows = k.start_end_list(k.segment_list(p), p)
+    return rows.select("neuron_id", "tree_no", "seg_no", "pos", *[r(F.col(a + "1") - F.col(a + "0"), 5).alias("d" + a) for a in "xyz"])

@@ -241,3 +241,30 @@ def spline_smooth_segments(spark, sf_dir):
 def bspline_smooth_segments(spark, sf_dir):
     points, segments = both(spark, sf_dir)
     return k.bspline_smooth(segments, points).select("neuron_id", "tree_no", "seg_no", "pos", *[r(F.col(a)).alias(a) for a in "xyz"])
+
+
+@register("lengths_filled", f"{WALK}, l AS (SELECT neuron_id, round(sum(step), 4) AS length FROM long GROUP BY 1) SELECT neuron_id, CASE WHEN neuron_id % 3 = 0 THEN -1.0 ELSE length END AS length FROM l")
+def lengths_filled(spark, sf_dir):
+    """Neurons that have a length keep it, the others get theirs."""
+    points, segments = both(spark, sf_dir)
+    known = points.select("neuron_id").distinct().withColumn("length", F.when(F.col("neuron_id") % 3 == 0, -1.0))
+    new = k.segment_lengths(segments, points).groupBy("neuron_id").agg(r(F.sum("length")).alias("new"))
+    return known.join(new, "neuron_id").select("neuron_id", F.coalesce("length", "new").alias("length"))
+
+
+@register("key_points_filled", f"{WALK}, t AS (SELECT neuron_id, seg_no, max(seg_order) AS o, arg_max(point_no, pos) AS tail FROM seg WHERE tree_no = 1 GROUP BY ALL), q AS (SELECT neuron_id, min(tail) FILTER (WHERE o = 2) AS p FROM t GROUP BY 1) SELECT neuron_id, CASE WHEN neuron_id % 2 = 0 THEN 7 ELSE p END AS branch_point FROM q")
+def key_points_filled(spark, sf_dir):
+    """Key points given by a table; where none is, the least tail of the second order's segments."""
+    segments = both(spark, sf_dir)[1].where("tree_no = 1")
+    tails = segments.groupBy("neuron_id", "seg_no", "seg_order").agg(F.max_by("point_no", "pos").alias("tail"))
+    found = tails.groupBy("neuron_id").agg(F.min(F.when(F.col("seg_order") == 2, F.col("tail"))).alias("found"))
+    given = found.where("neuron_id % 2 = 0").select("neuron_id", F.lit(7).alias("given"))
+    return found.join(given, "neuron_id", "left").select("neuron_id", F.coalesce("given", "found").alias("branch_point"))
+
+
+@register("neurons_in_order", "SELECT o_orderkey AS neuron_id, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place FROM orders")
+def neurons_in_order(spark, sf_dir):
+    from arborkit.operators.matching import numbered
+    from arborkit.sources.adapters import neurons
+
+    return numbered(neurons(spark, sf_dir).select("neuron_id", "brain"), [F.col("brain"), F.col("neuron_id")]).select("neuron_id", "place")

@@ -105,6 +105,13 @@ for _name, (_op, _sql) in {"max": ("max", "greatest(x, y)"), "min": ("min", "lea
     _combination(_name, _op, _sql)
 
 
+@register("volumes_folded", f"{VOX} SELECT i, j, k, max(value)::DOUBLE AS greatest, min(value)::DOUBLE AS least, sum(value)::DOUBLE AS total, product(value)::DOUBLE AS product FROM vox GROUP BY ALL")
+def volumes_folded(spark, sf_dir):
+    """All volumes in one: the voxels that any has, folded four ways in one aggregation."""
+    v = voxels(spark, sf_dir)
+    return v.groupBy(*d.VOXEL).agg(F.max("value").cast("double").alias("greatest"), F.min("value").cast("double").alias("least"), F.sum("value").cast("double").alias("total"), F.product("value").alias("product"))
+
+
 @register("flip_volume", f"{VOX} SELECT density_id, 9 - i AS i, j, k, value FROM vox")
 def flip_volume(spark, sf_dir):
     return d.flip(voxels(spark, sf_dir), "i", 10)
@@ -173,15 +180,17 @@ def background_parameters(spark, sf_dir):
 
 CLOUDS = """WITH cl AS (SELECT vec_id AS neuron_id, dot_id::INTEGER AS dot_id, embedding[dot_id*3+1]::DOUBLE AS x, embedding[dot_id*3+2]::DOUBLE AS y, embedding[dot_id*3+3]::DOUBLE AS z
 FROM (SELECT vec_id, embedding, unnest(range(0, 21)) AS dot_id FROM embeddings)),
-pr AS (SELECT a.vec_id AS query_id, b.vec_id AS target_id FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+pr AS (SELECT a.vec_id AS query_id, b.target_id FROM embeddings a JOIN (SELECT min(vec_id) AS target_id FROM embeddings GROUP BY label) b ON a.vec_id <> b.target_id),
 nn AS (SELECT query_id, target_id, q.dot_id AS q_dot, min(sqrt((q.x-t.x)**2 + (q.y-t.y)**2 + (q.z-t.z)**2)) AS distance
 FROM pr JOIN cl q ON q.neuron_id = query_id JOIN cl t ON t.neuron_id = target_id GROUP BY ALL)"""
 
 
 def _nearest(spark, sf_dir):
+    """Every cloud against the first cloud of each label."""
     c = clouds(spark, sf_dir)
-    ids = table(spark, sf_dir, "embeddings").select("vec_id")
-    pairs = ids.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("target_id")).join(ids.withColumnRenamed("vec_id", "target_id"), "target_id")
+    e = table(spark, sf_dir, "embeddings")
+    first = e.groupBy("label").agg(F.min("vec_id").alias("target_id")).select("target_id")
+    pairs = e.select(F.col("vec_id").alias("query_id")).crossJoin(F.broadcast(first)).where("query_id <> target_id")
     return m.nearest_points(c, c, pairs)
 
 
