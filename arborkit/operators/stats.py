@@ -20,9 +20,8 @@ def entropies(pairs: DataFrame, bins: int = 99) -> DataFrame:
     spans = pairs.groupBy("pair").agg(low.alias("low"), high.alias("high"))
     cut = lambda c: F.ceil((F.col(c) - F.col("low")) / ((F.col("high") - F.col("low")) / bins)).cast("int")
     binned = pairs.join(spans, "pair").where((F.col("a") > F.col("low")) & (F.col("b") > F.col("low"))).select("pair", cut("a").alias("ba"), cut("b").alias("bb"))
-    name = f"_binned_{abs(id(pairs))}"
-    binned.createOrReplaceTempView(name)
-    counts = pairs.sparkSession.sql(f"SELECT pair, grouping(bb) * 2 + grouping(ba) AS g, count(*) AS n FROM {name} GROUP BY GROUPING SETS ((pair, ba, bb), (pair, ba), (pair, bb))")
+    sets = [["pair", "ba", "bb"], ["pair", "ba"], ["pair", "bb"]]
+    counts = binned.groupingSets([[F.col(c) for c in s] for s in sets], "pair", "ba", "bb").agg((F.grouping("bb") * 2 + F.grouping("ba")).alias("g"), F.count("*").alias("n"))
     total = F.sum(F.when(F.col("g") == 0, F.col("n"))).over(Window.partitionBy("pair"))
     terms = counts.withColumn("p", F.col("n") / total).withColumn("t", -F.col("p") * F.log("p"))
     return terms.groupBy("pair").agg(*[F.sum(F.when(F.col("g") == g, F.col("t"))).alias(n) for g, n in ((2, "ha"), (1, "hb"), (0, "hab"))])
@@ -78,14 +77,32 @@ def cumulative(hist: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
-    """Linear-interpolation (type 7) quantiles."""
-    return df.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(f"q{round(q * 100)}") for q in at])
+    """Exact linear-interpolation (type 7) quantiles of groups of any size.
 
-
-def background(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Background mean, deviation, maximum and threshold (mean + 2 deviations)."""
-    out = df.groupBy(*by).agg(F.avg(value).alias("mu"), F.stddev_samp(value).alias("sigma"), F.max(value).alias("top"))
-    return out.withColumn("threshold", F.col("mu") + 2 * F.col("sigma"))
+    Distinct values are counted, range-partitioned by group and value, and each
+    partition starts where those before it end; no task holds a group's values.
+    """
+    from arborkit.sources.files import scratch
+
+    path = scratch(df.sparkSession, "quantiles")
+    keys = [F.col(c) for c in by]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts.repartitionByRange(*keys, F.col("_v")).sortWithinPartitions(*keys, "_v").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    starts = rows.groupBy(*by, "_part").agg(F.sum("_n").alias("_m"))
+    before, whole = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    starts = starts.select(*by, "_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"), F.sum("_m").over(whole).alias("_all"))
+    own = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_own", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(F.broadcast(starts), [*by, "_part"]).withColumn("_first", F.col("_start") + F.col("_own"))
+    held = lambda rank: F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n")), F.col("_v")))
+    out, place = [], {}
+    for i, q in enumerate(at):
+        spot = (F.col("_all") - 1) * q
+        out += [held(F.floor(spot)).alias(f"_lo{i}"), held(F.ceil(spot)).alias(f"_hi{i}")]
+        place[q] = (F.col("_all") - 1) * q - F.floor((F.col("_all") - 1) * q)
+    found = placed.groupBy(*by, "_all").agg(*out)
+    named = [(F.col(f"_lo{i}") + place[q] * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{round(q * 100)}") for i, q in enumerate(at)]
+    return found.select(*by, *named)
 
 
 def first_n(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:

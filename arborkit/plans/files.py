@@ -606,3 +606,16 @@ def class_colours(spark, sf_dir):
     rows = neurons(spark, sf_dir).join(F.broadcast(chosen), "cell_type", "left")
     rgb = F.array_join(F.transform(colour(F.coalesce("colour", F.lit("white"))), lambda x: x.cast("string")), ",")
     return rows.select("neuron_id", rgb.alias("rgb"))
+
+
+@register("volume_checksums", f"{VOX} SELECT DISTINCT density_id, true AS alike FROM vox")
+def volume_checksums(spark, sf_dir):
+    """CRC-32 of a volume's payload as the file's check finds it, and as the engine computes it over the bytes."""
+    made = _volumes(spark, sf_dir, lambda v: f.write_nrrd(v, "float", "gzip"), ".nrrd")
+
+    def read(name, data):
+        fields, size = f.read_nrrd_header(data)
+        return [(f.nrrd_checks(data)["crc"], f.nrrd_payload(fields, data[size:]))]
+
+    rows = decoded(made, read, "crc string, payload binary")
+    return rows.select(F.substring_index("name", ".", 1).alias("density_id"), (F.col("crc") == F.lpad(F.lower(F.hex(F.crc32("payload"))), 8, "0")).alias("alike"))

@@ -420,3 +420,19 @@ def component_mask(spark, sf_dir):
 @register("independent_components")
 def independent_components(spark, sf_dir):
     return im.independent_components(voxels(spark, sf_dir), "density_id", 2)[1].withColumn("value", r(F.col("value")))
+
+
+@register("density_estimate_2d", f"""WITH {ARBORS_SQL}, g AS (SELECT i::INTEGER AS i, j::INTEGER AS j, (i + 0.5) * 5.1 AS gx, (j + 0.5) * 9.0 AS gy FROM range(10) a(i), range(12) b(j)),
+v AS (SELECT region, i, j, sum(exp(-((x-gx)**2) / 32 - ((y-gy)**2) / 128)) AS value FROM arbors, g GROUP BY ALL) SELECT region, i, j, round(value / sum(value) OVER (PARTITION BY region), 8) AS value FROM v""")
+def density_estimate_2d(spark, sf_dir):
+    flat = arbors(spark, sf_dir).withColumn("z", F.lit(0.0))
+    out = im.density_estimate(spark, flat, d.Grid((10, 12, 1), (0.0, 0.0, -1.0), (51.0, 108.0, 1.0)), (4.0, 8.0, 1.0), ["region"])
+    return out.select("region", "i", "j", r(F.col("value"), 8).alias("value"))
+
+
+@register("registrations_of_brains", "WITH k AS (SELECT DISTINCT o_custkey AS brain FROM orders), n AS (SELECT c_custkey, c_name FROM customer) SELECT brain, concat('/reg/', c_name, '.list') AS path FROM k LEFT JOIN n ON c_custkey = brain AND brain % 3 > 0")
+def registrations_of_brains(spark, sf_dir):
+    """Registration paths by brain from a table of traces; unknown brains stay, without a path."""
+    brains = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("brain")).distinct()
+    known = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("brain"), F.concat(F.lit("/reg/"), "c_name", F.lit(".list")).alias("path"))
+    return rg.names_of(known, brains, "brain")

@@ -173,11 +173,6 @@ def value_quantiles(spark, sf_dir):
     return stats.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.1, 0.5, 0.9]).select("event_type", *[r(F.col(c)).alias(c) for c in ("q10", "q50", "q90")])
 
 
-@register("background_parameters", "SELECT event_type, round(avg(value), 4) AS mu, round(stddev_samp(value), 4) AS sigma, round(max(value), 4) AS top, round(avg(value) + 2 * stddev_samp(value), 4) AS threshold FROM events GROUP BY event_type")
-def background_parameters(spark, sf_dir):
-    return stats.background(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", *[r(F.col(c)).alias(c) for c in ("mu", "sigma", "top", "threshold")])
-
-
 CLOUDS = """WITH cl AS (SELECT vec_id AS neuron_id, dot_id::INTEGER AS dot_id, embedding[dot_id*3+1]::DOUBLE AS x, embedding[dot_id*3+2]::DOUBLE AS y, embedding[dot_id*3+3]::DOUBLE AS z
 FROM (SELECT vec_id, embedding, unnest(range(0, 21)) AS dot_id FROM embeddings)),
 pr AS (SELECT a.vec_id AS query_id, b.target_id FROM embeddings a JOIN (SELECT min(vec_id) AS target_id FROM embeddings GROUP BY label) b ON a.vec_id <> b.target_id),
