@@ -430,7 +430,7 @@ def density_estimate_2d(spark, sf_dir):
     return out.select("region", "i", "j", r(F.col("value"), 8).alias("value"))
 
 
-@register("registrations_of_brains", "WITH k AS (SELECT DISTINCT o_custkey AS brain FROM orders), n AS (SELECT c_custkey, c_name FROM customer) SELECT brain, concat('/reg/', c_name, '.list') AS path FROM k LEFT JOIN n ON c_custkey = brain AND brain % 3 > 0")
+@register("registrations_of_brains", "WITH k AS (SELECT DISTINCT o_custkey AS brain FROM orders), n AS (SELECT c_custkey, c_name FROM customer) SELECT brain, '/reg/' || c_name || '.list' AS path FROM k LEFT JOIN n ON c_custkey = brain AND brain % 3 > 0")
 def registrations_of_brains(spark, sf_dir):
     """Registration paths by brain from a table of traces; unknown brains stay, without a path."""
     brains = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("brain")).distinct()
