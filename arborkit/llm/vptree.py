@@ -8,7 +8,8 @@ halves, and every row keeps its distances to the vantage points above it.  A
 half, or a row of a leaf, is passed over where the triangle inequality puts it
 further away than ``factor`` times the query's present search radius; factor one
 restores exact search, smaller factors prune more.  All queries of a block go
-down a tree together.
+down a tree together, and every node is met once: the search radius starts from a
+sample of the table, so little is gained by visiting nearer halves first.
 
 Scores are exact inner products in double precision on the vectors as given;
 ties go to smaller ids.  Rows whose id is null or whose vector is null, empty,
@@ -70,12 +71,20 @@ def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 class TreeSearch:
-    """Search of one tree; ``measured`` counts the pairs that got a distance."""
+    """Search of one tree; ``measured`` counts the pairs that got a distance.
+
+    Rows' distances to the vantage points above them are held in 256 steps a level,
+    and a query's reach is widened to whole steps, so nothing in reach is missed.
+    """
 
     def __init__(self, x: np.ndarray, nodes: np.ndarray, ranges: np.ndarray, path: np.ndarray, k: int, factor: float):
-        self.x, self.path, self.k, self.factor = x, path, k, factor
+        self.x, self.k, self.factor = x, k, factor
         self.at = {(int(a), int(b)): (int(m), r) for (a, b, m), r in zip(nodes, ranges)}
         self.norms = (x**2).sum(axis=1)
+        self.low = path.min(axis=0, initial=np.inf)
+        span = path.max(axis=0, initial=-np.inf) - self.low
+        self.step = np.where(span > 0, span / 255, 1.0)
+        self.path = np.ascontiguousarray(((path - self.low) / self.step).clip(0, 255).astype(np.uint8).T)
         self.measured = 0
 
     def run(self, q: np.ndarray, own: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,38 +95,54 @@ class TreeSearch:
         self.qnorms = (q**2).sum(axis=1)
         # what rounding may add to a distance, near zero as well
         self.slack = 1e-6 * np.sqrt(self.qnorms + self.norms.max(initial=0.0))
-        self.above = np.zeros((len(q), self.path.shape[1]))
+        self.above = np.zeros((len(q), len(self.path)))
         self._visit(0, len(self.x), np.arange(len(q)), 0)
         if not self.pairs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.concatenate(c) for c in zip(*self.pairs))
 
-    def _distances(self, who: np.ndarray, a: int, b: int) -> np.ndarray:
-        d = self.qnorms[who, None] + self.norms[None, a:b] - 2 * (self.q[who] @ self.x[a:b].T)
-        return np.sqrt(np.maximum(d, 0))
+    def _squares(self, who: np.ndarray, a: int, b: int) -> np.ndarray:
+        d = self.q[who] @ self.x[a:b].T
+        d *= -2
+        d += self.qnorms[who, None]
+        d += self.norms[None, a:b]
+        return d
 
-    def _meet(self, who: np.ndarray, a: int, d: np.ndarray) -> None:
+    def _meet(self, who: np.ndarray, a: int, squares: np.ndarray, alive: np.ndarray | None) -> None:
         """Take the rows from ``a`` on within the radius into account."""
-        d[self.own[who, None] == np.arange(a, a + d.shape[1])[None, :]] = np.inf
-        i, j = np.nonzero((d <= (self.radius[who] + self.slack[who])[:, None]) & np.isfinite(d))
+        near = squares <= ((self.radius[who] + self.slack[who]) ** 2)[:, None]
+        if alive is not None:
+            near &= alive
+        mine = self.own[who] - a
+        inside = np.flatnonzero((mine >= 0) & (mine < squares.shape[1]))
+        near[inside, mine[inside]] = False
+        i, j = np.nonzero(near)
         if not len(i):
             return
         self.pairs.append((who[i], a + j))
-        near = np.unique(i)
-        merged = np.concatenate([self.best[who[near]], d[near]], axis=1)
-        self.best[who[near]] = np.partition(merged, self.k - 1, axis=1)[:, : self.k]
-        self.radius[who[near]] = self.best[who[near]].max(axis=1)
+        rows = np.unique(i)
+        found = np.where(near[rows], np.sqrt(np.maximum(squares[rows], 0)), np.inf)
+        merged = np.concatenate([self.best[who[rows]], found], axis=1)
+        self.best[who[rows]] = np.partition(merged, self.k - 1, axis=1)[:, : self.k]
+        self.radius[who[rows]] = self.best[who[rows]].max(axis=1)
 
     def _leaf(self, a: int, b: int, who: np.ndarray, depth: int) -> None:
         """Rows that no vantage point above puts too far away get a distance."""
         reach = self.factor * self.radius[who] + self.slack[who]
         alive = np.ones((len(who), b - a), dtype=bool)
         for level in range(depth):
-            alive &= np.abs(self.above[who, level][:, None] - self.path[None, a:b, level]) <= reach[:, None]
+            centre = (self.above[who, level] - self.low[level]) / self.step[level]
+            width = np.minimum(reach / self.step[level], 1e300)
+            first, last = np.floor(centre - width), np.floor(centre + width)
+            none = (first > 255) | (last < 0)
+            first, last = first.clip(0, 255).astype(np.uint8), last.clip(0, 255).astype(np.uint8)
+            # within first..last, as one comparison of unsigned differences
+            alive &= (self.path[level, None, a:b] - first[:, None]) <= (last - first)[:, None]
+            alive[none] = False
         some = np.flatnonzero(alive.any(axis=1))
-        self.measured += int(alive.sum())
+        self.measured += int(np.count_nonzero(alive))
         if len(some):
-            self._meet(who[some], a, np.where(alive[some], self._distances(who[some], a, b), np.inf))
+            self._meet(who[some], a, self._squares(who[some], a, b), alive[some])
 
     def _visit(self, a: int, b: int, who: np.ndarray, depth: int) -> None:
         if not len(who) or a >= b:
@@ -125,18 +150,13 @@ class TreeSearch:
         middle, (lo1, hi1, lo2, hi2) = self.at[a, b]
         if middle < 0:
             return self._leaf(a, b, who, depth)
-        d = self._distances(who, a, a + 1)
+        squares = self._squares(who, a, a + 1)
         self.measured += len(who)
-        self.above[who, depth] = d[:, 0]
-        self._meet(who, a, d.copy())
-        d = d[:, 0]
-        inner = d <= (hi1 + lo2) / 2
-        halves = ((a + 1, middle, lo1, hi1), (middle, b, lo2, hi2))
-        for first, second, chosen in ((halves[0], halves[1], inner), (halves[1], halves[0], ~inner)):
-            mine, dist = who[chosen], d[chosen]
-            for start, end, lo, hi in (first, second):
-                gap = np.maximum(np.maximum(dist - hi, lo - dist), 0)
-                self._visit(start, end, mine[gap <= self.factor * self.radius[mine] + self.slack[mine]], depth + 1)
+        d = self.above[who, depth] = np.sqrt(np.maximum(squares[:, 0], 0))
+        self._meet(who, a, squares, None)
+        for start, end, lo, hi in ((a + 1, middle, lo1, hi1), (middle, b, lo2, hi2)):
+            gap = np.maximum(np.maximum(d - hi, lo - d), 0)
+            self._visit(start, end, who[gap <= self.factor * self.radius[who] + self.slack[who]], depth + 1)
 
 
 def lifted(v: np.ndarray, norm: float) -> np.ndarray:

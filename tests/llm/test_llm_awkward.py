@@ -205,6 +205,21 @@ def test_trees_leave_rows_without_a_distance():
     assert search.measured < 0.8 * 50 * 3000
 
 
+@pytest.mark.parametrize("spread", [0.0, 1e-13, 1e-3])
+def test_rows_at_one_distance_from_a_vantage_point(monkeypatch, spread):
+    monkeypatch.setattr(vptree, "LEAF", 8)
+    r = np.random.default_rng(2)
+    x = np.array([1.0, 0, 0, 0]) + spread * r.normal(size=(60, 4))
+    order, *tree = vptree.build(vptree.lifted(x, 1.2))
+    q = r.normal(size=(5, 4))
+    search = vptree.TreeSearch(vptree.lifted(x[order], 1.2), *tree, 20, 1.0)
+    at, to = search.run(np.c_[q, np.zeros(5)], np.full(5, -1), np.full(5, np.inf))
+    score = q @ x[order].T
+    for i in range(5):
+        found = np.sort(score[i, to[at == i]])[::-1][:20]
+        assert np.allclose(found, np.sort(score[i])[::-1][:20], rtol=0, atol=1e-15)
+
+
 def test_shards_and_query_blocks_may_be_many(spark, monkeypatch):
     for name, size in (("SHARD_BYTES", 4096), ("BLOCK_BYTES", 1024)):
         for module in (vptree, segment_topk):
