@@ -45,6 +45,8 @@ from .common import BOX, U64, RepeatSketch, ascii_words, boxed, chunked, hash_wo
 
 #: Words of the grams among which a window's anchor is chosen.
 GRAM = 8
+#: log2 of the sketch's counters a row at most: two rows' bitmaps take 134 MB.
+SKETCH_BITS = 29
 KEY, HITS = "__row_key", "__windows"
 
 
@@ -88,7 +90,7 @@ def repeated_windows(docs: DataFrame, k: int) -> DataFrame:
     """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    sketch = RepeatSketch.for_items(chars / 5 / max(1.0, (k - min(GRAM, k) + 2) / 2), max_bits=30)
+    sketch = RepeatSketch.for_items(chars / 5 / max(1.0, (k - min(GRAM, k) + 2) / 2), max_bits=SKETCH_BITS)
 
     def touch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
