@@ -10,9 +10,9 @@ place): all unigrams and all bigrams, those seen once as well.  Their sizes
 follow the levels counted, so that 1 - exp(-1 / SPARE) of the bits are set in a
 corpus of any size, and an n-gram that was never put in passes a level by chance
 with that to the power of PROBES (2.3 %).  Filters of up to ``BROADCAST_BITS``
-together are broadcast; larger ones stay in their blocks, and the distinct
-n-grams of each chunk of texts are sent to the blocks and the counts found are
-sent back.
+together are broadcast; larger ones stay in their blocks: each chunk of texts asks the blocks for its distinct
+n-grams (in order, 40 bits each) and gets their levels back in that order, one
+byte each.
 
 ``score`` is the log10 probability under ``L * c(hw)/c(h) + (1 - L) * (c(w) +
 1)/(N + V + 1)`` with counts read from the filters.  ``base_score`` is the exact
@@ -28,6 +28,7 @@ V are 0.  Only ``doc_id`` and ``text`` are read.  Empty table: empty result.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -43,8 +44,8 @@ from .ngram_join import runs
 END = np.uint64(0xE14D0E0D5EED)
 #: Rows of the broadcast table of exact counts; bits of both filters up to which they are broadcast.
 HEAD_ROWS, BROADCAST_BITS = 1 << 19, 7 << 27
-#: Characters of text that a worker holds tokenised while it scores, and while it counts bigrams.
-SCORE_CHARS, BIGRAM_CHARS = 1_500_000, 6_000_000
+#: Characters of text that a worker holds tokenised while it scores, counts bigrams, or asks for them.
+SCORE_CHARS, BIGRAM_CHARS, ASK_CHARS = 1_500_000, 6_000_000, 3_000_000
 #: Bits a probe of a level put in.
 SPARE = 3
 BASE, PROBES, MIX = 1.5, 3, 0.4
@@ -61,11 +62,28 @@ class LogFrequencyFilter:
         self.width = max(1024, -(-total_bits // blocks // 64) * 64)
         self.top = top
         self.blocks = blocks
-        self.shift = U64(64 - int(np.log2(blocks)))
+        # bits that name the block; of the rest, 40 tell n-grams apart
+        self.lead = int(np.log2(blocks))
+        self.shift, self.rest = U64(64 - self.lead), U64(max(0, 24 - self.lead))
 
     def block_of(self, h: np.ndarray) -> np.ndarray:
         return (h >> self.shift).astype(np.int64) if self.blocks > 1 else np.zeros(len(h), dtype=np.int64)
 
+    def told_apart(self, h: np.ndarray) -> np.ndarray:
+        """Hashes by what a question carries of them."""
+        return h >> self.rest << self.rest
+
+    def packed(self, h: np.ndarray) -> bytes:
+        """40 bits of each hash of one block."""
+        low = (h << U64(self.lead)) >> U64(24)
+        return np.ascontiguousarray(low.reshape(-1, 1).view(np.uint8)[:, :5]).tobytes()
+
+    def unpacked(self, data: bytes, block: int) -> np.ndarray:
+        wide = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+        wide[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+        low = wide.view(U64).ravel() << self.rest
+        return low | U64(block) << self.shift if self.lead else low
+
     def places(self, h: np.ndarray, level: int, probe: int) -> np.ndarray:
         return (mix64(h + U64((level * PROBES + probe + 1) * 0xD1342543DE82EF95 % 2**64)) >> U64(32)) * U64(self.width) >> U64(32)
 
@@ -77,6 +95,7 @@ class LogFrequencyFilter:
         return self.fill_levels(h, self.level(counts))
 
     def fill_levels(self, h: np.ndarray, levels: np.ndarray) -> bytes:
+        h = self.told_apart(h)
         bits = np.zeros(self.width, dtype=bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             own = h[levels >= level]
@@ -90,6 +109,7 @@ class LogFrequencyFilter:
 
     def read_levels(self, table: np.ndarray, h: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Levels found; ``blocks`` says where in the table each hash's block is."""
+        h = self.told_apart(h)
         levels = np.zeros(len(h), dtype=np.int64)
         alive = np.arange(len(h))
         level = 1
@@ -197,7 +217,7 @@ def _block_row(block: int, hashes: bytes, levels: np.ndarray) -> pa.RecordBatch:
 def _blocks(chars: float, per_bit: float) -> LogFrequencyFilter:
     """Blocks by the text's size; their bits are known once the n-grams are counted."""
     bits = 1 << max(18, int(np.ceil(np.log2(max(1.0, chars) / per_bit))))
-    return LogFrequencyFilter(bits, max(16, min(4096, bits >> 17), bits >> 24))
+    return LogFrequencyFilter(bits, min(1 << 24, max(16, min(4096, bits >> 17), bits >> 24)))
 
 
 def token_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -218,14 +238,14 @@ def bigram_hashes(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _scored_by_blocks(docs: DataFrame, filters: tuple, counted: tuple, scores, schema: str) -> DataFrame:
     """Scores from filters that stay in their blocks.
 
-    Texts are cut into chunks.  Each chunk's distinct n-grams go to their blocks,
-    where the bits are read; only n-grams found come back, with their levels, and
-    meet the chunk's texts.  A row's ``kind`` is 0 and 1 for uni- and bigrams.
+    Texts are cut into chunks.  Each chunk's distinct n-grams, in order, go to
+    their blocks, where the bits are read; their levels come back in that order
+    and meet the chunk's texts.  A row's ``kind`` is 0 and 1 for uni- and bigrams.
     """
 
     def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in chunked(batch.column(1).to_pylist()):
+            for lo, hi in chunked(batch.column(1).to_pylist(), ASK_CHARS):
                 names = pa.array([uuid.uuid4().int >> 65] * (hi - lo), pa.int64())
                 yield pa.record_batch([names, *batch.slice(lo, hi - lo).columns], names=["chunk", "doc_id", "text", "held_out"])
 
@@ -239,7 +259,7 @@ def _scored_by_blocks(docs: DataFrame, filters: tuple, counted: tuple, scores, s
                 blocks, first = np.unique(filters[kind].block_of(h), return_index=True)
                 cuts = [*first.tolist(), len(h)]
                 n = len(blocks)
-                yield pa.record_batch([pa.array([kind] * n, pa.int64()), pa.array(blocks, pa.int64()), pa.array([chunk] * n, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["kind", "block", "chunk", "data"])
+                yield pa.record_batch([pa.array([kind] * n, pa.int64()), pa.array(blocks, pa.int64()), pa.array([chunk] * n, pa.int64()), pa.array([filters[kind].packed(h[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["kind", "block", "chunk", "data"])
 
     questions = chunks.select("chunk", "text").mapInArrow(asked, "kind long, block long, chunk long, data binary")
     bits = [f.filled(c).select(F.lit(kind).cast("long").alias("kind"), "block", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data")) for kind, (f, c) in enumerate(zip(filters, counted))]
@@ -248,44 +268,47 @@ def _scored_by_blocks(docs: DataFrame, filters: tuple, counted: tuple, scores, s
         at, table = None, None  # a block's bits come before the questions to it
         for batch in batches:
             found: list[tuple] = []
-            for kind, block, chunk, data in zip(*[batch.column(c).to_pylist() for c in range(4)]):
-                if chunk == -1:
-                    at, table = (kind, block), np.frombuffer(data, dtype=np.uint8)
-                elif at == (kind, block):  # no bits: no n-gram of this block was put in
-                    h = np.frombuffer(data, dtype=U64)
-                    levels = filters[kind].read_levels(table, h, np.zeros(len(h), dtype=np.int64))
-                    if levels.any():
-                        found.append((chunk, kind, h[levels > 0].tobytes(), levels[levels > 0].astype(np.uint8).tobytes()))
+            rows = list(zip(*[batch.column(c).to_pylist() for c in range(4)]))
+            for place, group in itertools.groupby(rows, lambda row: row[:2]):
+                kind, block = place
+                asked_for = []
+                for _, _, chunk, data in group:
+                    if chunk == -1:
+                        at, table = place, np.frombuffer(data, dtype=np.uint8)
+                    else:
+                        asked_for.append((chunk, data))
+                # all chunks' questions to a block in one reading
+                h = filters[kind].unpacked(b"".join(data for _, data in asked_for), block)
+                levels = np.zeros(len(h), dtype=np.int64)
+                if at == place:  # no bits: no n-gram of this block was put in
+                    levels = filters[kind].read_levels(table, h, levels)
+                levels, start = levels.astype(np.uint8), 0
+                for chunk, data in asked_for:
+                    n = len(data) // 5
+                    found.append((chunk, kind, block, levels[start : start + n].tobytes()))
+                    start += n
             if found:
-                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "kind", "hashes", "levels"])
+                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "kind", "block", "levels"])
 
     asked_of = bits[0].unionByName(bits[1]).unionByName(questions).repartition("kind", "block").sortWithinPartitions("kind", "block", "chunk")
-    answers = asked_of.mapInArrow(answered, "chunk long, kind long, hashes binary, levels binary")
+    answers = asked_of.mapInArrow(answered, "chunk long, kind long, block long, levels binary")
 
     def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs(batches, 1):
             kinds = t.column(1).to_numpy()
-            put = []
-            for kind in (0, 1):
-                own = t.filter(pa.array(kinds == kind))
-                h, levels = (np.frombuffer(b"".join(own.column(c).to_pylist()), dtype=x) for c, x in ((2, U64), (3, np.uint8)))
-                h, first = np.unique(h, return_index=True)
-                put.append((h, levels[first].astype(np.int64)))
+            put = [np.frombuffer(b"".join(t.column(3).filter(pa.array(kinds == kind)).to_pylist()), dtype=np.uint8) for kind in (0, 1)]
 
             def levels_of(*wanted: np.ndarray, put=put) -> list[np.ndarray]:
-                out = []
-                for (h, levels), want in zip(put, wanted):
-                    at = np.minimum(np.searchsorted(h, want), max(0, len(h) - 1))
-                    out.append(np.where(h[at] == want, levels[at], 0) if len(h) else np.zeros(len(want), dtype=np.int64))
-                return out
+                if [len(x) for x in put] != [len(x) for x in wanted]:
+                    raise ValueError("a chunk's answers do not fit its n-grams")
+                return [x.astype(np.int64) for x in put]
 
-            for part in t.filter(pa.array(kinds == 2)).select([4, 5, 6]).combine_chunks().to_batches():
-                yield scores(part, levels_of)
+            yield scores(t.filter(pa.array(kinds == 2)).select([4, 5, 6]).combine_chunks().to_batches()[0], levels_of)
 
-    nothing = {"hashes": "binary", "levels": "binary", "doc_id": "long", "text": "string", "held_out": "boolean"}
+    nothing = {"block": "long", "levels": "binary", "doc_id": "long", "text": "string", "held_out": "boolean"}
     texts = chunks.withColumn("kind", F.lit(2).cast("long"))
     both = [df.select("chunk", "kind", *[c if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in nothing.items()]) for df in (answers, texts)]
-    return both[0].unionByName(both[1]).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(final, schema)
+    return both[0].unionByName(both[1]).repartition("chunk").sortWithinPartitions("chunk", "kind", "block").mapInArrow(final, schema)
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:

@@ -233,7 +233,11 @@ def test_log_frequency_filter_reads_what_was_put_in():
         table[b * len(bits) : (b + 1) * len(bits)] = np.frombuffer(bits, dtype=np.uint8)
     read = f.read(table, h)
     assert (f.level(np.maximum(read, 1).astype(int)) >= f.level(n) - 1).all() and np.median(read / n) < 1.6
-    assert (f.read(table, h + np.uint64(1)) == 0).mean() > 0.9
+    absent = np.random.default_rng(7).integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2)
+    assert (f.read(table, absent) == 0).mean() > 0.9
+    for b in range(16):
+        own = h[f.block_of(h) == b]
+        assert np.array_equal(f.unpacked(f.packed(own), b), f.told_apart(own))
 
 
 def test_sentencepiece(docs, empty):
