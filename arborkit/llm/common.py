@@ -7,6 +7,7 @@ and never a result.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -59,6 +60,16 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of steps whose results are written.
+
+    It does so when the driver's JVM finds their plans unreachable, which a driver
+    with little to do may put off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_tables(spark: SparkSession) -> None:
     """Delete all tables that this application wrote, once its results are saved elsewhere."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

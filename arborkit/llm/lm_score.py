@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, chunked, discard, hash_words, materialize, mix64, signed
+from .common import U64, ascii_words, chunked, discard, hash_words, materialize, mix64, release_shuffles, signed
 from .ngram_join import runs
 
 #: The end token; no word hashes to it but by chance.
@@ -134,13 +134,13 @@ class LogFrequencyFilter:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (block,), t in runs(batches, 1):
-                h = np.frombuffer(b"".join(t.column(1).to_pylist()), dtype=U64)
+                h = self.unpacked(b"".join(t.column(1).to_pylist()), block)
                 n = np.frombuffer(b"".join(t.column(2).to_pylist()), dtype=np.uint32).astype(np.int64)
                 order = np.argsort(h)
                 h, n = h[order], n[order]
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
                 n, h = np.add.reduceat(n, first), h[first]
-                yield _block_row(block, h.tobytes(), self.level(n).astype(np.uint8))
+                yield _block_row(block, self.packed(h), self.level(n).astype(np.uint8))
 
         made = parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, COUNTED)
         return materialize(made, tag)
@@ -153,10 +153,11 @@ class LogFrequencyFilter:
                 if batch.num_rows:
                     h = batch.column(0).to_numpy().view(U64)
                     order = np.argsort(h)
-                    h, levels = h[order], self.level(batch.column(1).to_numpy()[order])
+                    h, levels = h[order], self.level(batch.column(1).to_numpy()[order]).astype(np.uint8)
                     blocks, starts = np.unique(self.block_of(h), return_index=True)
                     cuts = [*starts.tolist(), len(h)]
-                    yield pa.record_batch([pa.array(blocks, pa.int64()), *[pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (h, levels.astype(np.uint8))]], names=["block", "hashes", "levels"])
+                    own = [[f(a, b) for a, b in zip(cuts, cuts[1:])] for f in (lambda a, b: self.packed(h[a:b]), lambda a, b: levels[a:b].tobytes())]
+                    yield pa.record_batch([pa.array(blocks, pa.int64()), *[pa.array(x, pa.binary()) for x in own]], names=["block", "hashes", "levels"])
 
         def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (block,), t in runs(batches, 1):
@@ -176,7 +177,7 @@ class LogFrequencyFilter:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block, h, levels in zip(batch.column(0), batch.column(1), batch.column(2)):
-                    bits = self.fill_levels(np.frombuffer(h.as_buffer(), dtype=U64), np.frombuffer(levels.as_buffer(), dtype=np.uint8))
+                    bits = self.fill_levels(self.unpacked(h.as_py(), block.as_py()), np.frombuffer(levels.as_buffer(), dtype=np.uint8))
                     yield pa.record_batch([pa.array([block.as_py()], pa.int64()), pa.array([bits], pa.binary())], names=["block", "bits"])
 
         return counted.select("block", "hashes", "levels").mapInArrow(run, "block long, bits binary")
@@ -200,7 +201,7 @@ class LogFrequencyFilter:
         cuts = [*starts.tolist(), len(h)]
         counts = counts.astype(np.uint32)  # of one chunk
         return pa.record_batch(
-            [pa.array(names), pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+            [pa.array(names), pa.array([self.packed(h[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
             names=["block", "hashes", "counts"],
         )
 
@@ -351,6 +352,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> Da
                 yield two.parts(*np.unique(bigram_hashes(*token_hashes(texts[lo:hi])), return_counts=True))
 
     counted2 = two.counted(training.mapInArrow(bigrams, PARTS), "bigrams")
+    release_shuffles(spark)
     one, two = one.fitted(counted1), two.fitted(counted2)
     denominator = float(total + distinct + 1)
     known = spark.sparkContext.broadcast((head_h, head_n))
