@@ -114,3 +114,16 @@ def test_sql_counterparts(spark, name):
     want = con.sql(queries.oracle_sql()[name]).df()[list(got.columns)]
     order = list(got.columns)[:3]
     assert got.sort_values(order).astype(str).to_numpy().tolist() == want.sort_values(order).astype(str).to_numpy().tolist()
+
+
+def test_tables_can_be_cleared(spark):
+    from arborkit.llm import common
+
+    table = common.materialize(spark.range(5), "to-clear")
+    assert table.count() == 5
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._shared_path)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert files.exists(path)
+    common.clear_tables(spark)
+    assert not files.exists(path)
+    assert common.materialize(spark.range(3), "again").count() == 3
