@@ -453,6 +453,7 @@ def mesh_from_nrrd(data: bytes, kind: str, conversion: str = "scale") -> bytes:
 
 
 # ------------------------------------------------------------------- raw volumes
+#: What a raw stack begins with, and the numpy kind of each element size.
 RAW_MAGIC = b"raw_image_stack_by_hpeng"
 RAW_KINDS = {1: "u1", 2: "u2", 4: "f4"}
 
@@ -511,6 +512,7 @@ def write_irtk_matrix(m: np.ndarray, order: str = ">") -> bytes:
 
 
 # ------------------------------------------------------------------ small tables
+#: Fixed value: the number that one kind of look-up table begins with.
 LUT_MAGIC = 1229147980
 
 
