@@ -127,20 +127,6 @@ def potential_synapses(a: DataFrame, b: DataFrame, s: float, method: str = "dire
     return expected_synapses(pairs, scale, s)
 
 
-def nearest_points(queries: DataFrame, targets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each point of a query cloud its nearest point in the paired target cloud.
-
-    ``pairs(query_id, target_id)`` says which clouds meet; ties go to the smaller
-    ``dot_id``.  One aggregation with map-side minima, no per-point windows.
-    """
-    q = queries.select(F.col("neuron_id").alias("query_id"), F.col("dot_id").alias("q_dot"), *[F.col(c).alias("q" + c) for c in "xyz"])
-    t = targets.select(F.col("neuron_id").alias("target_id"), F.col("dot_id").alias("t_dot"), *[F.col(c).alias("t" + c) for c in "xyz"])
-    d2 = sum(((F.col("q" + c) - F.col("t" + c)) ** 2 for c in "xyz"), F.lit(0.0))
-    met = pairs.join(q, "query_id").join(t, "target_id").select("query_id", "target_id", "q_dot", F.struct(d2.alias("d2"), "t_dot").alias("m"))
-    best = met.groupBy("query_id", "target_id", "q_dot").agg(F.min("m").alias("m"))
-    return best.select("query_id", "target_id", "q_dot", F.col("m.t_dot").alias("t_dot"), F.sqrt("m.d2").alias("distance"))
-
-
 def neighbour_score(nearest: DataFrame, sd: float = 4.0) -> DataFrame:
     """Mean normal density of nearest-neighbour distances."""
     density = F.exp(-(F.col("distance") ** 2) / (2 * sd**2)) / (sd * math.sqrt(2 * math.pi))

@@ -1,43 +1,33 @@
 """Tangents of point clouds, nearest points, pair scores and alignments of neurons.
 
 A cloud travels as one row (``neuron_id`` and a list of its dots).  Pairs of clouds
-are met block by block: clouds are dealt into blocks of ``BLOCK``, every pair of
-blocks is one group, so no task holds more than two blocks and each unordered
-pair is scored once (or both ways round).
+are met block by block: clouds are dealt into blocks of ``BLOCK`` clouds or
+``BLOCK_DOTS`` dots, every pair of blocks is one group, so no task holds more than two
+blocks and each unordered pair is scored once (or both ways round).  Within a group
+one cloud is scored against all others at once: their dots stand in one array.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .neighbours import nearest, squares
+
 KEY = "neuron_id"
-BLOCK = 256
-#: Distances that one step of a nearest-point search holds.
-CHUNK = 4_000_000
+BLOCK, BLOCK_DOTS = 256, 400_000
+#: Cells that the tables of one batch of alignments hold.
+CELLS = 2_000_000
+#: Others' dots in one array, where each other begins, and their numbers.
+Stack = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 # --------------------------------------------------------------------- tangents
-def nearest(query: np.ndarray, target: np.ndarray, k: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``target`` of each query's ``k`` nearest points and their distances; ties to earlier points."""
-    k = min(k, len(target))
-    at, far = np.zeros((len(query), k), dtype=np.int64), np.zeros((len(query), k))
-    step = max(1, CHUNK // max(1, len(target)))
-    for lo in range(0, len(query), step):
-        d = ((query[lo : lo + step, None, :] - target[None, :, :]) ** 2).sum(axis=2)
-        if k == 1:
-            order = d.argmin(axis=1)[:, None]
-        else:
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        at[lo : lo + step], far[lo : lo + step] = order, np.sqrt(np.take_along_axis(d, order, axis=1))
-    return at, far
-
-
 def tangents(points: np.ndarray, k: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Unit tangent and alpha, ``(e1 - e2) / (e1 + e2 + e3)``, of each point from its ``k`` nearest (itself included)."""
     near = points[nearest(points, points, k)[0]]
@@ -71,9 +61,20 @@ def packed(dots: DataFrame, number: str = "dot_id", columns: tuple[str, ...] = (
     return dots.groupBy(KEY).agg(F.flatten(F.transform(rows, lambda s: s["v"])).alias("dots"), F.lit(len(columns)).alias("width"))
 
 
-def pairwise(clouds: DataFrame, score: Callable[[np.ndarray, np.ndarray], tuple], schema: str, both: bool = False, block: int = BLOCK) -> DataFrame:
-    """``id_a, id_b`` and what ``score(a, b)`` gives for every pair with ``id_a < id_b`` (``both``: every ordered pair)."""
-    blocks = max(1, -(-clouds.count() // block))
+def stacked(clouds: list[np.ndarray]) -> Stack:
+    sizes = np.array([len(c) for c in clouds], dtype=np.int64)
+    return np.concatenate(clouds), np.cumsum(sizes) - sizes, sizes
+
+
+def pairwise(clouds: DataFrame, score: Callable[..., tuple], schema: str, both: bool = False, block: int = BLOCK, prepare: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``id_a, id_b`` and the columns that ``score(a, *others)`` gives for every pair with ``id_a < id_b`` (``both``: every ordered pair).
+
+    ``others`` is the :data:`Stack` of the clouds that meet ``a``; a column has one
+    value for each.  ``prepare`` is applied to each cloud once.  Empty clouds take no part.
+    """
+    clouds = clouds.where(F.size("dots") > 0)
+    n, dots = clouds.agg(F.count("*"), F.sum(F.size("dots") / F.col("width"))).first()
+    blocks = max(1, -(-n // block), -(-int(dots or 0) // BLOCK_DOTS))
     kind = clouds.schema[KEY].dataType.simpleString()
     names = [x.split()[0] for x in schema.split(", ")]
     own = F.pmod(F.xxhash64(KEY), F.lit(blocks)).cast("int")
@@ -81,23 +82,33 @@ def pairwise(clouds: DataFrame, score: Callable[[np.ndarray, np.ndarray], tuple]
     dealt = dealt.select(KEY, "dots", "width", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by(KEY)
+        t = t.sort_by(KEY).combine_chunks()
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        ids, owner = t.column(KEY).to_pylist(), t.column("own").to_pylist()
-        clouds_ = [np.asarray(d.values.to_numpy(zero_copy_only=False)).reshape(-1, w) for d, w in zip(t.column("dots"), t.column("width").to_pylist())]
-        rows = []
-        for a in range(len(ids)):
-            for b in range(a + 1, len(ids)):
-                if i != j and owner[a] == owner[b]:
-                    continue
-                rows.append((ids[a], ids[b], *score(clouds_[a], clouds_[b])))
-                if both:
-                    rows.append((ids[b], ids[a], *score(clouds_[b], clouds_[a])))
-        columns = list(zip(*rows)) if rows else [[]] * (2 + len(names))
-        key = t.schema.field(KEY).type
+        ids, owner = t.column(KEY).combine_chunks(), t.column("own").to_numpy()
+        own = [np.asarray(d.values.to_numpy(zero_copy_only=False)).reshape(-1, w) for d, w in zip(t.column("dots"), t.column("width").to_numpy())]
+        own = [c if prepare is None else prepare(c) for c in own]
+        whole, starts, sizes = stacked(own)
+        one, two, columns = [], [], [[] for _ in names]
+        for a in range(len(own)):
+            meets = np.ones(len(own), dtype=bool) if i == j else owner != owner[a]
+            meets[: a + (not both)] = meets[: a + (not both)] & both
+            meets[a] = False
+            b = np.flatnonzero(meets)
+            if not len(b):
+                continue
+            sized = sizes[b]
+            if len(b) == len(own) - a - 1 and not both:  # all that follow
+                others = whole[starts[a + 1] :]
+            else:
+                others = np.concatenate([whole[starts[x] : starts[x] + sizes[x]] for x in b])
+            found = score(own[a], others, np.cumsum(sized) - sized, sized)
+            one.append(np.full(len(b), a)), two.append(b)
+            for column, values in zip(columns, found):
+                column.append(values)
         kinds = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
-        types = [key, key, *[kinds[x.split()[1]] for x in schema.split(", ")]]
-        return pa.table([pa.array(list(c), x) for c, x in zip(columns, types)], names=["id_a", "id_b", *names])
+        flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        made = [pa.array(flat(c).astype(kinds[x.split()[1]].to_pandas_dtype())) for c, x in zip(columns, schema.split(", "))]
+        return pa.table([ids.take(pa.array(flat(one))), ids.take(pa.array(flat(two))), *made], names=["id_a", "id_b", *names])
 
     return dealt.groupBy("i", "j").applyInArrow(run, f"id_a {kind}, id_b {kind}, {schema}")
 
@@ -106,15 +117,38 @@ def normal(x: np.ndarray, sd: float) -> np.ndarray:
     return np.exp(-(x**2) / (2 * sd**2)) / (sd * math.sqrt(2 * math.pi))
 
 
-def median_distance(a: np.ndarray, b: np.ndarray, both: bool = False) -> tuple[float]:
-    """Median distance of ``b``'s points to their nearest in ``a``; ``both``: mean of that and its reverse."""
-    one = float(np.median(nearest(b[:, :3], a[:, :3])[1]))
-    return ((one + float(np.median(nearest(a[:, :3], b[:, :3])[1]))) / 2,) if both else (one,)
+def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts)
+
+
+def medians(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Median of each run of ``sizes`` values."""
+    ordered = values[np.lexsort((values, np.repeat(np.arange(len(sizes)), sizes)))]
+    return (ordered[starts + (sizes - 1) // 2] + ordered[starts + sizes // 2]) / 2
+
+
+def median_distance(a: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray, both: bool = False) -> tuple[np.ndarray]:
+    """Median distance of each other's points to their nearest in ``a``; ``both``: mean of that and its reverse."""
+    one = medians(nearest(others[:, :3], a[:, :3])[1][:, 0], starts, sizes)
+    if not both:
+        return (one,)
+    back = np.empty(len(sizes))
+    if len(a) * int(sizes.max(initial=0)) > CELLS:  # large clouds: one search each
+        for n, (s, m) in enumerate(zip(starts, sizes)):
+            back[n] = np.median(nearest(a[:, :3], others[s : s + m, :3])[1])
+        return ((one + back) / 2,)
+    step = max(1, CELLS // (len(a) * int(sizes.max(initial=1))))
+    for lo in range(0, len(sizes), step):  # least distances of a's points, other by other
+        hi = min(lo + step, len(sizes))
+        first, last = starts[lo], starts[hi - 1] + sizes[hi - 1]
+        least = np.minimum.reduceat(squares(a[:, :3], others[first:last, :3]), starts[lo:hi] - first, axis=1)
+        back[lo:hi] = np.median(np.sqrt(least), axis=0)
+    return ((one + back) / 2,)
 
 
-def weighted_distance(a: np.ndarray, b: np.ndarray, sd: float = 4.0) -> tuple[float]:
-    """Mean normal density of ``b``'s nearest distances in ``a``."""
-    return (float(normal(nearest(b[:, :3], a[:, :3])[1][:, 0], sd).mean()),)
+def weighted_distance(a: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sd: float = 4.0) -> tuple[np.ndarray]:
+    """Mean normal density of each other's nearest distances in ``a``."""
+    return (sums(normal(nearest(others[:, :3], a[:, :3])[1][:, 0], sd), starts) / sizes,)
 
 
 def matched(a: np.ndarray, b: np.ndarray, use_alpha: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -130,33 +164,44 @@ def matched(a: np.ndarray, b: np.ndarray, use_alpha: bool = False) -> tuple[np.n
     return d[:, 0], dots
 
 
-def pair_scores(a: np.ndarray, b: np.ndarray, sd: float = 3.0, threshold: float | None = None, use_alpha: bool = False) -> tuple[float, float, float, float, float]:
-    """Distance, sum, thresholded score, and the distance and direction terms apart."""
-    d, dots = matched(a, b, use_alpha)
+def pair_scores(a: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sd: float = 3.0, threshold: float | None = None, use_alpha: bool = False) -> tuple[np.ndarray, ...]:
+    """Distance, sum, thresholded score, and the distance and direction terms apart, of each other cloud."""
+    d, dots = matched(a, others, use_alpha)
     top, least = normal(np.zeros(1), sd)[0], normal(np.array([2 * sd if threshold is None else threshold]), sd)[0]
-    term = np.sqrt(normal(d, sd) * dots / top)
-    kept = term[np.isfinite(term)]
-    score = (normal(d, sd) - least) / (top - least) * dots
-    return (1 - float(kept.mean()) if len(kept) else float("nan"), float(kept.sum()), float(score[np.isfinite(score)].sum()), 1 - float((normal(d, sd) / top).mean()), 1 - float(np.nanmean(dots)) if len(dots) else float("nan"))
+    density = normal(d, sd)
+    term, score = np.sqrt(density * dots / top), (density - least) / (top - least) * dots
 
+    def finite(values):
+        ok = np.isfinite(values)
+        return sums(np.where(ok, values, 0.0), starts), sums(ok.astype(float), starts)
 
-def lineset_mismatch(a: np.ndarray, b: np.ndarray) -> tuple[float]:
-    """Sum of ``l d^2 + l^3 / 6 (1 - cos theta)`` over ``b``'s points and their nearest in ``a``; columns 3.. are directions."""
-    at, d = nearest(b[:, :3], a[:, :3])
-    u, v = b[:, 3:6], a[at[:, 0], 3:6]
+    total, n = finite(term)
+    turned, known = finite(dots)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return 1 - total / n, total, finite(score)[0], 1 - sums(density / top, starts) / sizes, 1 - turned / known
+
+
+def lineset_mismatch(a: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray]:
+    """Sum of ``l d^2 + l^3 / 6 (1 - cos theta)`` over each other's points and their nearest in ``a``; columns 3.. are directions."""
+    at, d = nearest(others[:, :3], a[:, :3])
+    u, v = others[:, 3:6], a[at[:, 0], 3:6]
     length, other = np.sqrt((u**2).sum(axis=1)), np.sqrt((v**2).sum(axis=1))
     size = length * other
     cosine = np.divide((u * v).sum(axis=1), size, out=np.ones(len(u)), where=size > 0)
-    return (max(0.0, float((length * d[:, 0] ** 2 + length**3 / 6 * (1 - cosine)).sum())),)
+    return (np.maximum(0.0, sums(length * d[:, 0] ** 2 + length**3 / 6 * (1 - cosine), starts)),)
 
 
-def polyline_mismatch(a: np.ndarray, b: np.ndarray) -> tuple[float]:
-    """The same for two polylines of equal numbers of points, point by point."""
-    u, v = np.diff(a[:, :3], axis=0), np.diff(b[:, :3], axis=0)
-    length, other = np.sqrt((u**2).sum(axis=1)), np.sqrt((v**2).sum(axis=1))
-    cosine = np.divide((u * v).sum(axis=1), length * other, out=np.ones(len(u)), where=length * other > 0)
-    gap = ((a[:-1, :3] - b[:-1, :3]) ** 2).sum(axis=1)
-    return (float((length * gap + length**3 / 6 * (1 - cosine)).sum()),)
+def polyline_mismatch(a: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray]:
+    """The same for polylines of as many points as ``a``, point by point; others get NaN."""
+    out = np.full(len(sizes), np.nan)
+    same = np.flatnonzero(sizes == len(a))
+    b = others[(starts[same, None] + np.arange(len(a))).ravel()].reshape(len(same), len(a), -1)[:, :, :3]
+    u, v = np.diff(a[:, :3], axis=0)[None], np.diff(b, axis=1)
+    length, other = np.sqrt((u**2).sum(axis=2)), np.sqrt((v**2).sum(axis=2))
+    cosine = np.divide((u * v).sum(axis=2), length * other, out=np.ones(other.shape), where=length * other > 0)
+    gap = ((a[None, :-1, :3] - b[:, :-1]) ** 2).sum(axis=2)
+    out[same] = (length * gap + length**3 / 6 * (1 - cosine)).sum(axis=1)
+    return (out,)
 
 
 def divided(xyz: np.ndarray, n: int) -> np.ndarray:
@@ -166,62 +211,118 @@ def divided(xyz: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.interp(at, s, xyz[:, i]) for i in range(3)], axis=1)
 
 
-def longest_segment_mismatch(a: np.ndarray, b: np.ndarray, n: int = 10) -> tuple[float]:
-    return polyline_mismatch(divided(a[:, :3], n), divided(b[:, :3], n))
+def longest_segment_mismatch(clouds: DataFrame, n: int = 10) -> DataFrame:
+    """``id_a, id_b, mismatch`` of lines, each brought to ``n + 1`` points once."""
+    return pairwise(clouds, polyline_mismatch, "mismatch double", prepare=lambda xyz: divided(xyz[:, :3], n))
+
+
+# -------------------------------------------------------------------- alignments
+def _padded(others: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of rows as (runs, longest, columns); rows beyond a run's end repeat its last."""
+    at = starts[:, None] + np.minimum(np.arange(sizes.max()), sizes[:, None] - 1)
+    return others[at]
+
+
+def _lots(n: int, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Others of like sizes, as many as CELLS allows (one at least)."""
+    order = np.argsort(sizes, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * (n + 1) * (sizes[order[hi]] + 1) <= CELLS:
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
+
+def _diagonals(n: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cells (i, j) of an n by m table, counted from 1, one anti-diagonal after another."""
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        yield i, d - i
 
 
-def aligned(a: np.ndarray, b: np.ndarray, k: int = 10, missing: float | None = None) -> tuple[float, int]:
-    """Dynamic time warping of two point sequences: cost by steps of both lines, and path length.
+def aligned(a: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int = 10, missing: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Dynamic time warping with point sequences: cost by steps of both lines, and path length.
 
-    A pair costs its distance where ``b``'s point is among the ``k`` nearest of
+    A pair costs its distance where the other's point is among the ``k`` nearest of
     ``a``'s, else ``missing`` (as default the greatest of those distances).  Steps
     are one on either line (weight 1) or on both (weight 2); the cost is divided
-    by the lines' lengths together.
+    by the lines' lengths together.  Tables of many pairs are filled together, one
+    anti-diagonal at a time.
     """
-    at, d = nearest(a[:, :3], b[:, :3], k)
-    cost = np.full((len(a), len(b)), float(d.max()) if missing is None else missing)
-    cost[np.arange(len(a))[:, None], at] = d
-    n, m = cost.shape
-    total = np.full((n + 1, m + 1), np.inf)
-    steps = np.zeros((n + 1, m + 1), dtype=np.int64)
-    total[0, 0] = 0.0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            c = cost[i - 1, j - 1]
-            ways = ((total[i - 1, j - 1] + (2 * c if i > 1 or j > 1 else c), steps[i - 1, j - 1]), (total[i - 1, j] + c, steps[i - 1, j]), (total[i, j - 1] + c, steps[i, j - 1]))
-            best = min(range(3), key=lambda w: ways[w][0])
-            total[i, j], steps[i, j] = ways[best][0], ways[best][1] + 1
-    return float(total[n, m] / (n + m)), int(steps[n, m])
-
-
-def chunks_matched(a: np.ndarray, b: np.ndarray, delta: float, skip_ends: bool = False) -> tuple[float, int, int, int]:
-    """Edit distance of two lines as strings of steps of length ``delta``: cost, mutations, insertions, deletions.
+    out, path, n = np.zeros(len(sizes)), np.zeros(len(sizes), dtype=np.int64), len(a)
+    for lot in _lots(n, sizes):
+        b, size = _padded(others[:, :3], starts[lot], sizes[lot]), sizes[lot]
+        m = b.shape[1]
+        d = np.sqrt(sum((a[None, :, None, c] - b[:, None, :, c]) ** 2 for c in range(3)))
+        d[np.broadcast_to(np.arange(m) >= size[:, None, None], d.shape)] = np.inf
+        near = np.argsort(d, axis=2, kind="stable")[:, :, :k]
+        dear = np.take_along_axis(d, near, axis=2)
+        rest = np.where(np.isfinite(dear), dear, -np.inf).max(axis=(1, 2)) if missing is None else np.full(len(lot), missing)
+        cost = np.broadcast_to(rest[:, None, None], d.shape).copy()
+        np.put_along_axis(cost, near, dear, axis=2)
+        total, steps = np.full((len(lot), n + 1, m + 1), np.inf), np.zeros((len(lot), n + 1, m + 1), dtype=np.int32)
+        total[:, 0, 0] = 0.0
+        for i, j in _diagonals(n, m):
+            c = cost[:, i - 1, j - 1]
+            ways = np.stack([total[:, i - 1, j - 1] + c * np.where((i > 1) | (j > 1), 2.0, 1.0), total[:, i - 1, j] + c, total[:, i, j - 1] + c])
+            best = ways.argmin(axis=0)
+            total[:, i, j] = np.take_along_axis(ways, best[None], axis=0)[0]
+            steps[:, i, j] = 1 + np.choose(best, [steps[:, i - 1, j - 1], steps[:, i - 1, j], steps[:, i, j - 1]])
+        rows = np.arange(len(lot))
+        out[lot], path[lot] = total[rows, n, size] / (n + size), steps[rows, n, size]
+    return out, path
+
+
+def steps_of(xyz: np.ndarray, delta: float) -> np.ndarray:
+    """A line as a string of steps of about length ``delta``."""
+    length = np.sqrt((np.diff(xyz[:, :3], axis=0) ** 2).sum(axis=1)).sum()
+    return np.diff(divided(xyz[:, :3], max(1, int(length // delta))), axis=0)
+
+
+def chunks_matched(u: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray, delta: float, skip_ends: bool = False) -> tuple[np.ndarray, ...]:
+    """Edit distance of a string of steps (:func:`steps_of`) to others: cost, mutations, insertions, deletions.
 
     Turning one step into another costs the length of their difference, leaving
     one out or putting one in costs ``delta``.  ``skip_ends`` lets either line run
     over at its ends for nothing.
     """
-    u, v = (np.diff(divided(x[:, :3], max(1, int(np.sqrt((np.diff(x[:, :3], axis=0) ** 2).sum(axis=1)).sum() // delta))), axis=0) for x in (a, b))
-    n, m = len(u), len(v)
-    change = np.sqrt(((u[:, None, :] - v[None, :, :]) ** 2).sum(axis=2))
-    cost = np.zeros((n + 1, m + 1))
-    cost[:, 0], cost[0, :] = (0 if skip_ends else delta) * np.arange(n + 1), (0 if skip_ends else delta) * np.arange(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + change[i - 1, j - 1], cost[i - 1, j] + delta, cost[i, j - 1] + delta)
-    i, j = (n, m) if not skip_ends else max(((n, int(cost[n].argmin())), (int(cost[:, m].argmin()), m)), key=lambda p: -cost[p])
-    final, counts = float(cost[i, j]), [0, 0, 0]
-    while i and j:
-        if math.isclose(cost[i, j], cost[i - 1, j - 1] + change[i - 1, j - 1], rel_tol=1e-12, abs_tol=1e-12):
-            i, j, counts[0] = i - 1, j - 1, counts[0] + 1
-        elif math.isclose(cost[i, j], cost[i - 1, j] + delta, rel_tol=1e-12, abs_tol=1e-12):
-            i, counts[2] = i - 1, counts[2] + 1
-        else:
-            j, counts[1] = j - 1, counts[1] + 1
-    if not skip_ends:
-        counts[1] += j
-        counts[2] += i
-    return (final, *counts)
+    n, edge = len(u), 0.0 if skip_ends else delta
+    final, counts = np.zeros(len(sizes)), np.zeros((3, len(sizes)), dtype=np.int64)
+    for lot in _lots(n, sizes):
+        v, size = _padded(others, starts[lot], sizes[lot]), sizes[lot]
+        m, rows = v.shape[1], np.arange(len(lot))
+        change = np.sqrt(sum((u[None, :, None, c] - v[:, None, :, c]) ** 2 for c in range(3)))
+        cost = np.zeros((len(lot), n + 1, m + 1))
+        cost[:, :, 0], cost[:, 0, :] = edge * np.arange(n + 1), edge * np.arange(m + 1)
+        for i, j in _diagonals(n, m):
+            cost[:, i, j] = np.minimum(cost[:, i - 1, j - 1] + change[:, i - 1, j - 1], np.minimum(cost[:, i - 1, j], cost[:, i, j - 1]) + delta)
+        i, j = np.full(len(lot), n), size.copy()
+        if skip_ends:
+            last_column = np.take_along_axis(cost, size[:, None, None], axis=2)[:, :, 0]
+            last_row = np.where(np.arange(m + 1) > size[:, None], np.inf, cost[:, n, :])
+            along, down = last_row.argmin(axis=1), last_column.argmin(axis=1)
+            on_row = last_row[rows, along] <= last_column[rows, down]
+            i, j = np.where(on_row, n, down), np.where(on_row, along, size)
+        final[lot] = cost[rows, i, j]
+        done = np.zeros((3, len(lot)), dtype=np.int64)
+        close = lambda x, y: np.abs(x - y) <= np.maximum(1e-12 * np.maximum(np.abs(x), np.abs(y)), 1e-12)
+        while (open_ := np.flatnonzero((i > 0) & (j > 0))).size:
+            p, q = i[open_], j[open_]
+            now = cost[open_, p, q]
+            both = close(now, cost[open_, p - 1, q - 1] + change[open_, p - 1, q - 1])
+            out = ~both & close(now, cost[open_, p - 1, q] + delta)
+            put = ~both & ~out
+            for kind, hit in enumerate((both, put, out)):
+                done[kind, open_] += hit
+            i[open_] -= both | out
+            j[open_] -= both | put
+        if not skip_ends:
+            done[1] += j
+            done[2] += i
+        counts[:, lot] = done
+    return final, *counts
 
 
 def nearest_to(dots: DataFrame, query: tuple[float, float, float], k: int = 1) -> DataFrame:

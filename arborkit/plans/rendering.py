@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -150,7 +151,7 @@ def dendrogram(spark, sf_dir):
 
     from arborkit.operators import clustering
 
-    pairs = sim.pairwise(sim.packed(clouds(spark, sf_dir)), lambda a, b: sim.median_distance(a, b, True), "d double")
+    pairs = sim.pairwise(sim.packed(clouds(spark, sf_dir)), partial(sim.median_distance, both=True), "d double")
     names, matrix = clustering.square(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "d"))
     merges = clustering.ward(matrix)
     labels = rd.merged_labels(merges, [int(x) for x in np.array(names) % 2])
@@ -162,7 +163,7 @@ def dendrogram(spark, sf_dir):
 def clusters_in_order(spark, sf_dir):
     from arborkit.operators import clustering
 
-    pairs = sim.pairwise(sim.packed(clouds(spark, sf_dir)), lambda a, b: sim.median_distance(a, b), "d double")
+    pairs = sim.pairwise(sim.packed(clouds(spark, sf_dir)), sim.median_distance, "d double")
     return clustering.clusters(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "d"), 7)
 
 

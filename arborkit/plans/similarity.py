@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -73,11 +75,11 @@ SELECT id_a, id_b, {', '.join(f'round({sql[n]}, {digits}) AS {n}' for n in names
     return run
 
 
-_pairs("pair_median_distance", lambda a, b: sim.median_distance(a, b), "median double", {"median": "quantile_cont(d, 0.5)"}, both=True)
-_pairs("pair_weighted_distance", lambda a, b: sim.weighted_distance(a, b, 0.3), "score double", {"score": "avg(g) / (0.3 * sqrt(2 * pi()))"})
+_pairs("pair_median_distance", sim.median_distance, "median double", {"median": "quantile_cont(d, 0.5)"}, both=True)
+_pairs("pair_weighted_distance", partial(sim.weighted_distance, sd=0.3), "score double", {"score": "avg(g) / (0.3 * sqrt(2 * pi()))"})
 _LOW = "exp(-2.0)"
 _pairs(
-    "pair_scores", lambda a, b: sim.pair_scores(a, b, 0.3), "distance double, total double, score double, apart double, turned double",
+    "pair_scores", partial(sim.pair_scores, sd=0.3), "distance double, total double, score double, apart double, turned double",
     {"distance": "1 - avg(sqrt(g * dot))", "total": "sum(sqrt(g * dot))", "score": f"sum((g - {_LOW}) / (1 - {_LOW}) * dot)", "apart": "1 - avg(g)", "turned": "1 - avg(dot)"},
 )
 _LEN = "sqrt(b.ux**2 + b.uy**2 + b.uz**2)"
@@ -90,7 +92,7 @@ _pairs(
 @register("pair_median_both_ways", f"""WITH {CL}, nn AS (SELECT a.neuron_id AS id_a, b.neuron_id AS id_b, b.dot_id, sqrt(min((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2)) AS d FROM dp a JOIN dp b ON a.neuron_id <> b.neuron_id GROUP BY ALL),
 m AS (SELECT id_a, id_b, quantile_cont(d, 0.5) AS m FROM nn GROUP BY ALL) SELECT a.id_a, a.id_b, round((a.m + b.m) / 2, 5) AS median FROM m a JOIN m b ON a.id_a = b.id_b AND a.id_b = b.id_a WHERE a.id_a < a.id_b""")
 def pair_median_both_ways(spark, sf_dir):
-    out = sim.pairwise(sim.packed(dotted(spark, sf_dir)), lambda a, b: sim.median_distance(a, b, True), "median double")
+    out = sim.pairwise(sim.packed(dotted(spark, sf_dir)), partial(sim.median_distance, both=True), "median double")
     return out.withColumn("median", r(F.col("median"), 5))
 
 
@@ -111,15 +113,42 @@ def line_mismatch_by_index(spark, sf_dir):
     return s.line_mismatch(a, b).withColumn("mismatch", r(F.col("mismatch"), 5))
 
 
-@register("longest_segment_mismatch")
+#: Points of each neuron's longest segment, numbered from 1, with their places along it.
+LONGEST = f"""{WALK}, tot AS (SELECT neuron_id, tree_no, seg_no, sum(step) AS length FROM long GROUP BY ALL),
+best AS (SELECT neuron_id, tree_no, seg_no FROM tot QUALIFY row_number() OVER (PARTITION BY neuron_id ORDER BY length DESC, tree_no, seg_no) = 1),
+line AS MATERIALIZED (SELECT *, (pos + 1)::INTEGER AS i, count(*) OVER (PARTITION BY neuron_id) AS n FROM meas SEMI JOIN best USING (neuron_id, tree_no, seg_no))"""
+#: Dynamic time warping, one anti-diagonal a step: a row knows its cell's total and that of the cell before it.
+ALIGNED = f"""{LONGEST}, met AS (
+  SELECT a.neuron_id AS id_a, b.neuron_id AS id_b, a.i, b.i AS j, a.n, b.n AS m, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d,
+         row_number() OVER (PARTITION BY a.neuron_id, b.neuron_id, a.i ORDER BY (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2, b.i) <= 10 AS near FROM line a JOIN line b ON a.neuron_id < b.neuron_id),
+cell AS MATERIALIZED (SELECT id_a, id_b, i, j, n, m, CASE WHEN near THEN d ELSE max(d) FILTER (WHERE near) OVER (PARTITION BY id_a, id_b) END AS c FROM met),
+front AS (
+  SELECT id_a, id_b, i, 2 AS diagonal, c AS total, 1 AS steps, NULL::DOUBLE AS before, 0 AS steps_before FROM cell WHERE i = 1 AND j = 1
+  UNION ALL
+  SELECT id_a, id_b, i, diagonal, best.total, best.steps + 1, kept, kept_steps FROM (
+    SELECT w.id_a, w.id_b, w.i, w.diagonal, min(struct_pack(total := w.t + w.weight * c.c, way := w.way, steps := w.s)) AS best, max(w.t) FILTER (WHERE w.way = 2) AS kept, max(w.s) FILTER (WHERE w.way = 2) AS kept_steps
+    FROM (SELECT id_a, id_b, i, diagonal + 1 AS diagonal, 2 AS way, 1 AS weight, total AS t, steps AS s FROM front
+          UNION ALL SELECT id_a, id_b, i + 1, diagonal + 1, 1, 1, total, steps FROM front
+          UNION ALL SELECT id_a, id_b, i + 1, diagonal + 1, 0, 2, before, steps_before FROM front WHERE before IS NOT NULL) w
+    JOIN cell c ON c.id_a = w.id_a AND c.id_b = w.id_b AND c.i = w.i AND c.j = w.diagonal - w.i GROUP BY ALL))
+SELECT f.id_a, f.id_b, round(f.total / f.diagonal, 4) AS cost, f.steps::INTEGER AS steps FROM front f JOIN (SELECT DISTINCT id_a, id_b, n, m FROM cell) e ON e.id_a = f.id_a AND e.id_b = f.id_b AND f.i = e.n AND f.diagonal = e.n + e.m"""
+
+
+@register("longest_segment_mismatch", f"""{LONGEST}, part AS (SELECT neuron_id, total, unnest(range(0, 11))::INTEGER AS p FROM line WHERE pos = 0),
+stand AS (SELECT q.neuron_id, q.p, l.x + (p * q.total / 10 - s) / (s1 - s) * (x1 - x) AS x, l.y + (p * q.total / 10 - s) / (s1 - s) * (y1 - y) AS y, l.z + (p * q.total / 10 - s) / (s1 - s) * (z1 - z) AS z
+  FROM part q JOIN line l USING (neuron_id) WHERE x1 IS NOT NULL AND p < 10 AND s <= p * q.total / 10 AND p * q.total / 10 < s1
+  UNION ALL SELECT neuron_id, 10, x, y, z FROM line WHERE x1 IS NULL),
+v AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(z) OVER w - z AS dz FROM stand WINDOW w AS (PARTITION BY neuron_id ORDER BY p)),
+j AS (SELECT a.neuron_id AS id_a, b.neuron_id AS id_b, sqrt(a.dx**2+a.dy**2+a.dz**2) AS l, sqrt(b.dx**2+b.dy**2+b.dz**2) AS o, a.dx*b.dx + a.dy*b.dy + a.dz*b.dz AS dot, (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 AS g FROM v a JOIN v b ON a.p = b.p AND a.neuron_id < b.neuron_id WHERE a.dx IS NOT NULL)
+SELECT id_a, id_b, round(sum(l * g + l**3 / 6 * (1 - dot / (l * o))), 3) AS mismatch FROM j GROUP BY ALL""")
 def longest_segment_mismatch(spark, sf_dir):
     points_ = arbors(spark, sf_dir)
     longest = k.longest_segment(k.segment_list(points_), points_)
-    out = sim.pairwise(sim.packed(longest, "pos"), sim.longest_segment_mismatch, "mismatch double")
+    out = sim.longest_segment_mismatch(sim.packed(longest, "pos"))
     return out.withColumn("mismatch", r(F.col("mismatch"), 3))
 
 
-@register("alignments")
+@register("alignments", ALIGNED)
 def alignments(spark, sf_dir):
     points_ = arbors(spark, sf_dir)
     longest = k.longest_segment(k.segment_list(points_), points_)
@@ -130,7 +159,7 @@ def alignments(spark, sf_dir):
 def step_strings_matched(spark, sf_dir):
     points_ = arbors(spark, sf_dir)
     longest = k.longest_segment(k.segment_list(points_), points_)
-    out = sim.pairwise(sim.packed(longest, "pos"), lambda a, b: sim.chunks_matched(a, b, 10.0), "cost double, mutated int, inserted int, deleted int")
+    out = sim.pairwise(sim.packed(longest, "pos"), partial(sim.chunks_matched, delta=10.0), "cost double, mutated int, inserted int, deleted int", prepare=partial(sim.steps_of, delta=10.0))
     return out.withColumn("cost", r(F.col("cost")))
 
 
@@ -236,7 +265,7 @@ def mantel_correlation(spark, sf_dir):
 def ward_clusters(spark, sf_dir):
     from arborkit.operators import clustering
 
-    out = sim.pairwise(sim.packed(clouds(spark, sf_dir)), lambda a, b: sim.median_distance(a, b, True), "d double")
+    out = sim.pairwise(sim.packed(clouds(spark, sf_dir)), partial(sim.median_distance, both=True), "d double")
     return clustering.clusters(out.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "d"), 4)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from arborkit.catalog import register
 from arborkit.operators import density as d
 from arborkit.operators import matching as m
+from arborkit.operators import neighbours
 from arborkit.operators import segments as s
 from arborkit.operators import stats
 from arborkit.sources.adapters import POINTS_SQL, clouds, points, table
@@ -186,7 +187,7 @@ def _nearest(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     first = e.groupBy("label").agg(F.min("vec_id").alias("target_id")).select("target_id")
     pairs = e.select(F.col("vec_id").alias("query_id")).crossJoin(F.broadcast(first)).where("query_id <> target_id")
-    return m.nearest_points(c, c, pairs)
+    return neighbours.nearest_points(c, c, pairs)
 
 
 @register("nearest_points", f"{CLOUDS} SELECT query_id, target_id, q_dot, round(distance, 5) AS distance FROM nn")
