@@ -389,6 +389,55 @@ def inside_hull(points: DataFrame, planes: DataFrame, by: str, keys: list[str])
     return points.join(planes, by).groupBy(by, *keys).agg((F.max(out) <= 1e-6).alias("inside"))
 
 
+def hull_overlap(one: DataFrame, two: DataFrame, by: str) -> DataFrame:
+    """Volumes of two sets' hulls less that of the hull around both: ``overlap``, and as a share of the first and of both.
+
+    Sets whose hulls are apart get a negative overlap, as the hull around both spans the gap.
+    """
+    both = one.select(by, *AXES).unionByName(two.select(by, *AXES))
+    parts = [hull_measures(points, by).select(by, F.col("volume").alias(n)) for n, points in (("v1", one), ("v2", two), ("v12", both))]
+    met = parts[0].join(parts[1], by).join(parts[2], by)
+    overlap = F.col("v1") + F.col("v2") - F.col("v12")
+    share = lambda whole: overlap / F.nullif(whole, F.lit(0.0))
+    return met.select(by, overlap.alias("overlap"), share(F.col("v1")).alias("of_first"), share(F.col("v1") + F.col("v2")).alias("of_both"), "v1", "v2", "v12")
+
+
+def hull_2d(xy: np.ndarray) -> np.ndarray:
+    """Places of the corners of a flat point set's hull, in the set's order; points on an edge are no corners."""
+    order = np.lexsort((xy[:, 1], xy[:, 0]))
+    order = order[np.r_[True, (np.diff(xy[order], axis=0) != 0).any(axis=1)]] if len(order) else order
+    if len(order) < 3:
+        return np.sort(order)
+
+    def half(places):
+        out: list[int] = []
+        for p in places:
+            while len(out) > 1 and np.linalg.det([xy[out[-1]] - xy[out[-2]], xy[p] - xy[out[-2]]]) <= 0:
+                out.pop()
+            out.append(int(p))
+        return out
+
+    return np.unique(half(order) + half(order[::-1]))
+
+
+def outlines(points: DataFrame, by: list[str], number: str, least: int = 3) -> DataFrame:
+    """Contours thinned to the corners of their hull in x and y, in their own order, as ``place`` from 1.
+
+    Points without all coordinates and contours of fewer than ``least`` points are left out.
+    """
+    kinds = {c: points.schema[c].dataType.simpleString() for c in (*by, number)}
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(number)
+        xyz = np.stack([t.column(c).to_numpy().astype(float) for c in AXES], axis=1)
+        kept = hull_2d(xyz[:, :2]) if len(xyz) >= least else np.zeros(0, dtype=np.int64)
+        own = t.take(pa.array(kept, pa.int64()))
+        return pa.table({**{c: own.column(c) for c in (*by, number)}, "place": pa.array(np.arange(1, len(kept) + 1), pa.int32()), **{c: pa.array(xyz[kept, i]) for i, c in enumerate(AXES)}})
+
+    rows = points.where("x is not null and y is not null and z is not null").select(*by, number, *AXES)
+    return rows.groupBy(*by).applyInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", place int, x double, y double, z double")
+
+
 # -------------------------------------------------------------------------------- ICA
 def component_mask(voxels: DataFrame, share: float = 0.1) -> DataFrame:
     """Voxels whose sum over volumes is at least a share of the greatest such sum."""

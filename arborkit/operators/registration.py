@@ -10,11 +10,13 @@ transformed by expressions, landmark sets are fitted one Arrow call a set.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .geometry import AXES, transform_points
 
@@ -181,27 +183,167 @@ def invert(points: DataFrame, matrix: np.ndarray) -> DataFrame:
     return transform_points(points, np.linalg.inv(matrix))
 
 
+def invert_by(points: DataFrame, transforms: DataFrame, key: str) -> DataFrame:
+    """x, y, z through the inverse of the matrix that ``transforms(key, matrix)`` has for a row's key.
+
+    Rows without a matrix, or with a singular one, get nulls.
+    """
+    m = lambda i, j: F.get("matrix", F.lit(4 * i + j))
+    joined = points.join(transforms.select(key, "matrix"), key, "left")
+    moved = [F.col(a) - m(i, 3) for i, a in enumerate(AXES)]
+    solved = solve3([[m(i, j) for j in range(3)] for i in range(3)], moved)
+    return joined.withColumns(dict(zip(AXES, solved))).drop("matrix")
+
+
+def det3(m: list[list[Column]]) -> Column:
+    return m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
+
+
+def solve3(m: list[list[Column]], right: list[Column]) -> list[Column]:
+    """Solution of three linear equations (null where they are singular)."""
+    whole = F.nullif(det3(m), F.lit(0.0))
+    swapped = [[[right[i] if j == c else m[i][j] for j in range(3)] for i in range(3)] for c in range(3)]
+    return [det3(s) / whole for s in swapped]
+
+
 # --------------------------------------------------------------- spline warps
-def bspline_weights(u: Column) -> list[Column]:
-    """The four uniform cubic B-spline weights of a fraction."""
-    return [(1 - u) ** 3 / 6, (3 * u**3 - 6 * u**2 + 4) / 6, (-3 * u**3 + 3 * u**2 + 3 * u + 1) / 6, u**3 / 6]
+def bspline_weights(u: np.ndarray) -> np.ndarray:
+    """The four uniform cubic B-spline weights of fractions, one row each."""
+    return np.stack([(1 - u) ** 3, 3 * u**3 - 6 * u**2 + 4, -3 * u**3 + 3 * u**2 + 3 * u + 1, u**3], axis=1) / 6
+
+
+def bspline_slopes(u: np.ndarray) -> np.ndarray:
+    """Derivatives of the four weights by the fraction."""
+    return np.stack([-((1 - u) ** 2), 3 * u**2 - 4 * u, -3 * u**2 + 2 * u + 1, u**2], axis=1) / 2
 
 
-def warp_points(points: DataFrame, controls: DataFrame, spacing: tuple[float, float, float], keys: list[str]) -> DataFrame:
+CELL = ["_ci", "_cj", "_ck"]
+
+
+def warp_cells(controls: DataFrame) -> DataFrame:
+    """For each cell of a control grid that has all of them, its 64 control points: arrays ``_px, _py, _pz``.
+
+    A control point belongs to the 64 cells whose lowest index is up to three less on
+    each axis; of several with one index the least counts.
+    """
+    one = controls.groupBy("i", "j", "k").agg(F.min(F.struct("cx", "cy", "cz")).alias("c")).where("c.cx is not null and c.cy is not null and c.cz is not null")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("o")
+    rows = one.select("i", "j", "k", "c", spread)
+    place = {"_ci": F.col("i") - F.floor(F.col("o") / 16), "_cj": F.col("j") - F.floor(F.col("o") / 4) % 4, "_ck": F.col("k") - F.col("o") % 4}
+    rows = rows.select(*[v.cast("long").alias(n) for n, v in place.items()], "o", "c")
+    listed = F.array_sort(F.collect_list(F.struct("o", "c")))
+    cells = rows.groupBy(*CELL).agg(listed.alias("l")).where(F.size("l") == 64)
+    return cells.select(*CELL, *[F.col(f"l.c.c{n}").alias(f"_p{n}") for n in AXES])
+
+
+IMAGES = [f"_t{a}" for a in AXES]
+SLOPES = [f"_j{a}{b}" for a in AXES for b in AXES]
+
+
+def _contracted(control: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    """Sums of (n, 4, 4, 4) control points by three (n, 4) weights."""
+    for w in reversed(weights):
+        control = (control * w.reshape(len(w), *[1] * (control.ndim - 2), 4)).sum(axis=-1)
+    return control
+
+
+def _evaluated(points: DataFrame, cells: DataFrame, spacing: tuple[float, float, float], at: tuple[str, ...], slopes: bool) -> DataFrame:
+    """Adds the warp's images ``_tx`` .. of the places ``at`` and, if asked, its derivatives ``_jxx`` (of x by x) ..; null without a cell."""
+    place = {c: F.floor(F.col(a) / d).cast("long") for c, a, d in zip(CELL, at, spacing)}
+    fractions = [(F.col(a) / d - F.floor(F.col(a) / d)).alias(f"_u{n}") for n, a, d in zip(AXES, at, spacing)]
+    met = points.withColumns(place).join(cells, CELL, "left").select(*points.columns, *fractions, *[f"_p{a}" for a in AXES])
+    added = IMAGES + (SLOPES if slopes else [])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, ux, uy, uz, px, py, pz = batch.columns
+            known = np.flatnonzero(px.is_valid().to_numpy(zero_copy_only=False))
+            taken = pa.array(known)
+            u = [c.take(taken).to_numpy(zero_copy_only=False) for c in (ux, uy, uz)]
+            control = [c.take(taken).flatten().to_numpy().reshape(-1, 4, 4, 4) for c in (px, py, pz)]
+            weights = [bspline_weights(x) for x in u]
+            values = [_contracted(c, weights) for c in control]
+            if slopes:
+                by_axis = [[bspline_slopes(u[n]) / spacing[n] if n == axis else weights[n] for n in range(3)] for axis in range(3)]
+                values += [_contracted(c, by_axis[axis]) for c in control for axis in range(3)]
+            columns = []
+            for value in values:
+                whole = np.zeros(batch.num_rows)
+                whole[known] = value
+                columns.append(pa.array(whole, mask=~px.is_valid().to_numpy(zero_copy_only=False)))
+            yield pa.record_batch([*own, *columns], names=[*batch.schema.names[: len(own)], *added])
+
+    schema = T.StructType([*points.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
+    return met.mapInArrow(run, schema)
+
+
+def warp_points(points: DataFrame, controls: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
     """Points through a B-spline warp given by absolute control points ``controls(i, j, k, cx, cy, cz)``.
 
-    Control point (i, j, k) stands at ``(index - 1) * spacing``.  Each point meets
-    its 64 control points in an equi-join; where one is missing the result is null.
+    Control point (i, j, k) stands at ``(index - 1) * spacing``.  Each point meets its
+    cell, one row with 64 control points; where the cell lacks one the result is
+    null.  ``from_x``, ``from_y`` and ``from_z`` keep the places before.
+    """
+    met = _evaluated(points, warp_cells(controls), spacing, AXES, slopes=False)
+    return met.withColumns({f"from_{a}": F.col(a) for a in AXES}).withColumns({a: F.col(f"_t{a}") for a in AXES}).drop(*IMAGES)
+
+
+def warp_jacobians(points: DataFrame, controls: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
+    """Adds the warp's derivatives at each point, ``jxx`` (of x by x), ``jxy`` ..., and their determinant ``change``."""
+    met = _evaluated(points, warp_cells(controls), spacing, AXES, slopes=True).drop(*IMAGES)
+    named = met.withColumnsRenamed({c: c[1:] for c in SLOPES})
+    return named.withColumn("change", det3([[F.col(f"j{a}{b}") for b in AXES] for a in AXES]))
+
+
+def unwarp_points(points: DataFrame, controls: DataFrame, spacing: tuple[float, float, float], rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
+    """Places that a warp takes to the points: Newton steps with the warp's own derivatives.
+
+    Each round the rows that are not done meet the cell of their present guess; they
+    are done when the guess's image is within ``tolerance`` on every axis.  Guesses
+    start at the point, move by a spacing at most and stay within the grid.  Rows that
+    stand still, meet an incomplete cell or are not done after ``rounds`` get nulls.
     """
-    cell = {f"_{a}": F.floor(F.col(a) / d).cast("int") for a, d in zip(AXES, spacing)}
-    part = {f"_u{a}": F.col(a) / d - F.floor(F.col(a) / d) for a, d in zip(AXES, spacing)}
-    w = {a: F.array(*bspline_weights(F.col(f"_u{a}"))) for a in AXES}
-    rows = points.withColumns(cell).withColumns(part).withColumns({f"_w{a}": w[a] for a in AXES})
-    for a, n in zip(AXES, "ijk"):
-        rows = rows.select("*", F.posexplode(f"_w{a}").alias(f"_o{a}", f"_v{a}")).withColumn(n, F.col(f"_{a}") + F.col(f"_o{a}"))
-    met = rows.join(controls.select("i", "j", "k", "cx", "cy", "cz"), ["i", "j", "k"], "left")
-    weight = F.col("_vx") * F.col("_vy") * F.col("_vz")
-    out = met.groupBy(*keys, *[F.col(a).alias(f"from_{a}") for a in AXES]).agg(*[F.when(F.count(f"c{a}") == 64, F.sum(weight * F.col(f"c{a}"))).alias(a) for a in AXES])
+    from arborkit.sources.files import scratch
+
+    spark = points.sparkSession
+    cells = warp_cells(controls)
+    path = scratch(spark, "warp-cells")
+    cells.write.parquet(path)
+    cells = spark.read.parquet(path)
+    ends = cells.agg(*[f(c) for c in CELL for f in (F.min, F.max)]).first()
+    if ends[0] is None:
+        return points.withColumns({f"from_{a}": F.col(a) for a in AXES} | {a: F.lit(None).cast("double") for a in AXES})
+    box = [(float(lo) * d, float(np.nextafter((hi + 1) * d, -np.inf))) for lo, hi, d in zip(ends[::2], ends[1::2], spacing)]
+    guess = [f"_g{a}" for a in AXES]
+    hold = lambda c, n: F.least(F.greatest(c, F.lit(box[n][0])), F.lit(box[n][1]))
+    state = points.withColumns({g: hold(F.col(a).cast("double"), n) for n, (g, a) in enumerate(zip(guess, AXES))})
+    columns, finished = points.columns, []
+
+    def ended(rows: DataFrame, found: bool) -> DataFrame:
+        own = {a: F.col(g) if found else F.lit(None).cast("double") for a, g in zip(AXES, guess)}
+        return rows.select(*[own.get(c, F.col(f"`{c}`")).alias(c) for c in columns], *[F.col(a).cast("double").alias(f"from_{a}") for a in AXES])
+
+    for _ in range(rounds):
+        met = _evaluated(state, cells, spacing, tuple(guess), slopes=True).withColumns({f"_r{a}": F.col(a) - F.col(f"_t{a}") for a in AXES})
+        step = solve3([[F.col(f"_j{a}{b}") for b in AXES] for a in AXES], [F.col(f"_r{a}") for a in AXES])
+        moved = [hold(F.col(g) + F.greatest(F.least(s, F.lit(float(d))), F.lit(-float(d))), n) for n, (g, s, d) in enumerate(zip(guess, step, spacing))]
+        miss = F.greatest(*[F.abs(f"_r{a}") for a in AXES])
+        known = F.col("_rx").isNotNull() & F.col("_ry").isNotNull() & F.col("_rz").isNotNull()
+        rows = met.withColumn("_miss", F.when(known, miss)).withColumns({f"_n{a}": v for a, v in zip(AXES, moved)})
+        still = F.coalesce((F.col("_nx") == F.col("_gx")) & (F.col("_ny") == F.col("_gy")) & (F.col("_nz") == F.col("_gz")), F.lit(True))
+        rows = rows.withColumn("_state", F.when(F.col("_miss") <= tolerance, 0).when(F.col("_miss").isNull() | still, 1).otherwise(2))
+        path = scratch(spark, "warp-round")
+        rows.select(*columns, *guess, *[f"_n{a}" for a in AXES], "_state").write.parquet(path)
+        rows = spark.read.parquet(path)
+        finished += [ended(rows.where("_state = 0"), True), ended(rows.where("_state = 1"), False)]
+        state = rows.where("_state = 2").select(*columns, *[F.col(f"_n{a}").alias(g) for a, g in zip(AXES, guess)])
+        if not state.take(1):
+            break
+    else:
+        finished.append(ended(state, False))
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionByName(part)
     return out
 
 

@@ -12,7 +12,7 @@ from arborkit.operators import images as im
 from arborkit.operators import registration as reg
 from arborkit.operators import regions as rg
 from arborkit.operators import stats
-from arborkit.sources.adapters import ARBORS_SQL, arbors, points, table
+from arborkit.sources.adapters import ARBORS_SQL, arbors, clouds, points, table
 
 from .files import DENSE
 from .morphometry import r
@@ -310,39 +310,66 @@ def neuron_table(spark, sf_dir):
 
 
 # ------------------------------------------------------------------------------ hulls
-_RANGE = ", ".join(f"min({a}) AS {a}0, max({a}) AS {a}1" for a in "xyz")
+def hull_sql(name: str, source: str, keys: str = "neuron_id") -> str:
+    """Facets of each set of points in general position: the triples that have all other points on one side.
 
+    ``{name}`` holds a facet's corners, outward normal (not unit) and first corner.
+    """
+    n = {"nx": "(b.y-a.y)*(c.z-a.z) - (b.z-a.z)*(c.y-a.y)", "ny": "(b.z-a.z)*(c.x-a.x) - (b.x-a.x)*(c.z-a.z)", "nz": "(b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x)"}
+    return f"""{name}_t AS (SELECT a.{keys}, a.dot_id AS p, b.dot_id AS q, c.dot_id AS r, a.x, a.y, a.z, {', '.join(f'{v} AS {k}' for k, v in n.items())}
+  FROM {source} a JOIN {source} b ON a.{keys} = b.{keys} AND a.dot_id < b.dot_id JOIN {source} c ON a.{keys} = c.{keys} AND b.dot_id < c.dot_id),
+{name}_s AS (SELECT t.*, bool_and(nx*(o.x-t.x) + ny*(o.y-t.y) + nz*(o.z-t.z) < 0) AS out, bool_and(nx*(o.x-t.x) + ny*(o.y-t.y) + nz*(o.z-t.z) > 0) AS inw
+  FROM {name}_t t JOIN {source} o ON o.{keys} = t.{keys} AND o.dot_id NOT IN (p, q, r) GROUP BY ALL),
+{name} AS (SELECT {keys}, p, q, r, x, y, z, CASE WHEN out THEN nx ELSE -nx END AS nx, CASE WHEN out THEN ny ELSE -ny END AS ny, CASE WHEN out THEN nz ELSE -nz END AS nz FROM {name}_s WHERE out OR inw)"""
 
-def _boxed(spark, sf_dir):
-    """Every neuron's points with the corners of their box, whose hull is that box."""
-    p = arbors(spark, sf_dir).select("neuron_id", *"xyz")
-    box = p.groupBy("neuron_id").agg(*[f(a).alias(f"{a}{n}") for a in "xyz" for n, f in ((0, F.min), (1, F.max))])
-    corners = F.explode(F.array(*[F.struct(*[F.col(f"{a}{n >> i & 1}").alias(a) for i, a in enumerate("xyz")]) for n in range(8)]))
-    return p.unionByName(box.select("neuron_id", corners.alias("c")).select("neuron_id", "c.*"))
 
+#: 21 points of each vector, and parts of them.
+DOTTED = """cl AS (SELECT vec_id AS neuron_id, dot_id::INTEGER AS dot_id, embedding[dot_id*3+1]::DOUBLE AS x, embedding[dot_id*3+2]::DOUBLE AS y, embedding[dot_id*3+3]::DOUBLE AS z
+FROM (SELECT vec_id, embedding, unnest(range(0, 21)) AS dot_id FROM embeddings))"""
 
-@register("hull_volumes", f"WITH {ARBORS_SQL}, b AS (SELECT neuron_id, {_RANGE} FROM arbors GROUP BY 1) SELECT neuron_id, round((x1-x0)*(y1-y0)*(z1-z0), 5) AS volume, round(2*((x1-x0)*(y1-y0)+(x1-x0)*(z1-z0)+(y1-y0)*(z1-z0)), 5) AS area FROM b")
+
+def _volumes(name, source):
+    """Volumes by the tetrahedra that facets make with the mean of the points."""
+    return f"""{hull_sql(name, source)}, {name}_v AS (SELECT neuron_id, sum((nx*(f.x-m.x) + ny*(f.y-m.y) + nz*(f.z-m.z)) / 6) AS volume, sum(sqrt(nx**2+ny**2+nz**2) / 2) AS area, count(*) / 2 + 2 AS corners
+  FROM {name} f JOIN (SELECT neuron_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {source} GROUP BY 1) m USING (neuron_id) GROUP BY 1)"""
+
+
+@register("hull_volumes", f"WITH {DOTTED}, {_volumes('f', 'cl')} SELECT neuron_id, round(volume, 7) AS volume, round(area, 6) AS area, corners::INTEGER AS corners FROM f_v")
 def hull_volumes(spark, sf_dir):
-    return im.hull_measures(_boxed(spark, sf_dir), "neuron_id").select("neuron_id", *[r(F.col(c), 5).alias(c) for c in ("volume", "area")])
+    return im.hull_measures(clouds(spark, sf_dir), "neuron_id").select("neuron_id", r(F.col("volume"), 7).alias("volume"), r(F.col("area"), 6).alias("area"), "corners")
 
 
-@register("hull_planes", f"WITH {ARBORS_SQL}, b AS (SELECT neuron_id, {_RANGE} FROM arbors GROUP BY 1) SELECT neuron_id, a, b, c, round(d, 5) AS d FROM (" + " UNION ALL ".join(f"SELECT neuron_id, {s * (i == 0):.1f} AS a, {s * (i == 1):.1f} AS b, {s * (i == 2):.1f} AS c, {'-' if s > 0 else ''}{a}{1 if s > 0 else 0} AS d FROM b" for i, a in enumerate("xyz") for s in (1, -1)) + ")")
+@register("hull_planes", f"WITH {DOTTED}, {hull_sql('f', 'cl')}, u AS (SELECT *, sqrt(nx**2+ny**2+nz**2) AS l FROM f) SELECT neuron_id, round(nx/l, 5) + 0.0 AS a, round(ny/l, 5) + 0.0 AS b, round(nz/l, 5) + 0.0 AS c, round(-(nx*x + ny*y + nz*z) / l, 5) + 0.0 AS d FROM u")
 def hull_planes(spark, sf_dir):
-    out = im.hull_planes(_boxed(spark, sf_dir), "neuron_id")
-    return out.select("neuron_id", *[r(F.col(c), 6).alias(c) for c in "abc"], r(F.col("d"), 5).alias("d"))
+    out = im.hull_planes(clouds(spark, sf_dir), "neuron_id")
+    return out.select("neuron_id", *[(r(F.col(c), 5) + 0.0).alias(c) for c in "abcd"])
 
 
-@register("inside_hull", f"WITH {ARBORS_SQL}, b AS (SELECT neuron_id, {_RANGE} FROM arbors GROUP BY 1) SELECT neuron_id, point_no, x + 5 <= x1 + 1e-6 AS inside FROM arbors JOIN b USING (neuron_id)")
+@register("inside_hull", f"""WITH {DOTTED}, part AS (SELECT * FROM cl WHERE dot_id < 13), {hull_sql('f', 'part')}
+SELECT cl.neuron_id, cl.dot_id, bool_and((nx*(cl.x-f.x) + ny*(cl.y-f.y) + nz*(cl.z-f.z)) / sqrt(nx**2+ny**2+nz**2) <= 1e-6) AS inside FROM cl JOIN f USING (neuron_id) GROUP BY ALL""")
 def inside_hull(spark, sf_dir):
-    p = arbors(spark, sf_dir).withColumn("x", F.col("x") + 5)
-    return im.inside_hull(p, im.hull_planes(_boxed(spark, sf_dir), "neuron_id"), "neuron_id", ["point_no"])
+    """All dots of a cloud against the hull of its first thirteen."""
+    dots = clouds(spark, sf_dir)
+    return im.inside_hull(dots, im.hull_planes(dots.where("dot_id < 13"), "neuron_id"), "neuron_id", ["dot_id"])
 
 
-@register("hull_overlaps", f"WITH {ARBORS_SQL}, b AS (SELECT neuron_id, {_RANGE} FROM arbors GROUP BY 1), v AS (SELECT a.neuron_id AS id_a, b.neuron_id AS id_b, (a.x1-a.x0)*(a.y1-a.y0)*(a.z1-a.z0) AS va, (b.x1-b.x0)*(b.y1-b.y0)*(b.z1-b.z0) AS vb FROM b a JOIN b ON b.neuron_id = a.neuron_id + 1) SELECT id_a, id_b, round(va, 5) AS va, round(vb, 5) AS vb FROM v")
+@register("hull_overlaps", f"""WITH {DOTTED}, one AS (SELECT * FROM cl WHERE dot_id <= 10), two AS (SELECT * FROM cl WHERE dot_id >= 10), {_volumes('f1', 'one')}, {_volumes('f2', 'two')}, {_volumes('f12', 'cl')}
+SELECT a.neuron_id, round(a.volume + b.volume - u.volume, 6) AS overlap, round((a.volume + b.volume - u.volume) / a.volume, 4) AS of_first, round((a.volume + b.volume - u.volume) / (a.volume + b.volume), 4) AS of_both
+FROM f1_v a JOIN f2_v b USING (neuron_id) JOIN f12_v u USING (neuron_id)""")
 def hull_overlaps(spark, sf_dir):
-    v = im.hull_measures(_boxed(spark, sf_dir), "neuron_id").select("neuron_id", "volume")
-    a, b = v.select(F.col("neuron_id").alias("id_a"), F.col("volume").alias("va"), (F.col("neuron_id") + 1).alias("id_b")), v.select(F.col("neuron_id").alias("id_b"), F.col("volume").alias("vb"))
-    return a.join(b, "id_b").select("id_a", "id_b", r(F.col("va"), 5).alias("va"), r(F.col("vb"), 5).alias("vb"))
+    """The first and the last dots of each cloud: volumes of both hulls less that of the hull around both."""
+    dots = clouds(spark, sf_dir)
+    out = im.hull_overlap(dots.where("dot_id <= 10"), dots.where("dot_id >= 10"), "neuron_id")
+    return out.select("neuron_id", r(F.col("overlap"), 6).alias("overlap"), *[r(F.col(c)).alias(c) for c in ("of_first", "of_both")])
+
+
+@register("outlines", f"""WITH {DOTTED}, side AS (SELECT a.neuron_id, a.dot_id, a.x, a.y, b.dot_id AS other, b.x - a.x AS ux, b.y - a.y AS uy, bool_and((b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) > 0) AS edge
+  FROM cl a JOIN cl b ON a.neuron_id = b.neuron_id AND a.dot_id <> b.dot_id JOIN cl c ON c.neuron_id = a.neuron_id AND c.dot_id NOT IN (a.dot_id, b.dot_id) GROUP BY ALL)
+SELECT neuron_id, row_number() OVER (PARTITION BY neuron_id ORDER BY dot_id)::INTEGER AS place, dot_id, round(x, 6) AS x, round(y, 6) AS y FROM side WHERE edge""")
+def outlines(spark, sf_dir):
+    """Clouds as contours, thinned to the corners of their hull in x and y, in their own order."""
+    out = im.outlines(clouds(spark, sf_dir), ["neuron_id"], "dot_id")
+    return out.select("neuron_id", "place", "dot_id", r(F.col("x"), 6).alias("x"), r(F.col("y"), 6).alias("y"))
 
 
 # ------------------------------------------------------------------------------ planes
@@ -364,51 +391,121 @@ def places_on_plane(spark, sf_dir):
 
 
 # ------------------------------------------------------------------------------- warps
-def _controls(spark, n=(16, 16, 16), spacing=(8.0, 16.0, 4.0)):
-    """Control points of a warp that is the affine map (1.5 x + 2, 0.5 y - 1, z + x / 4)."""
-    at = F.col("id")
-    index = {"i": (at % n[0] - 2).cast("int"), "j": (F.floor(at / n[0]) % n[1] - 2).cast("int"), "k": (F.floor(at / (n[0] * n[1])) - 2).cast("int")}
-    rows = spark.range(n[0] * n[1] * n[2]).select(*[c.alias(v) for v, c in index.items()])
-    x, y, z = ((F.col(v) - 1) * s for v, s in zip("ijk", spacing))
-    return rows.select("i", "j", "k", (1.5 * x + 2).alias("cx"), (0.5 * y - 1).alias("cy"), (z + x / 4).alias("cz"))
+SPACING = (8.0, 16.0, 4.0)
+#: A grid of 10 x 10 x 6 control points, each moved by what the first line of its keys says: a curved, invertible warp.
+CONTROLS_SQL = """first AS (SELECT l_orderkey % 10 AS i, l_partkey % 10 AS j, l_suppkey % 6 AS k, min((l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_tax, l_quantity)) AS f FROM lineitem GROUP BY ALL),
+ctl AS MATERIALIZED (SELECT i, j, k, (i - 1) * 8.0 + 20 * (f[5] - 0.05) AS cx, (j - 1) * 16.0 + 25 * (f[6] - 0.04) AS cy, (k - 1) * 4.0 + (f[7] - 25.5) / 50 AS cz FROM first)"""
+
+
+def _spline_sql(source: str, keys: str, controls: str = "ctl") -> str:
+    """``met``: each point with its 64 control points, their weights w and the weights' slopes d by axis."""
+    weight = "[(1-{u})**3/6, (3*{u}**3-6*{u}**2+4)/6, (-3*{u}**3+3*{u}**2+3*{u}+1)/6, {u}**3/6]"
+    slope = "[-((1-{u})**2)/2, (3*{u}**2-4*{u})/2, (-3*{u}**2+2*{u}+1)/2, {u}**2/2]"
+    lists = ", ".join(f"{form.format(u='u' + a)} AS {t}{a}" for a in "xyz" for t, form in (("w", weight), ("d", slope)))
+    picked = ", ".join(f"{t}{a}[c.{n} - g{a} + 1] AS {t}{a}" for a, n in zip("xyz", "ijk") for t in "wd")
+    return f"""frac AS (SELECT {keys}, x, y, z, {', '.join(f'floor({a}/{d})::BIGINT AS g{a}, {a}/{d} - floor({a}/{d}) AS u{a}' for a, d in zip('xyz', SPACING))} FROM {source}),
+lists AS (SELECT *, {lists} FROM frac),
+met AS (SELECT {keys}, l.x, l.y, l.z, {picked}, c.cx AS px, c.cy AS py, c.cz AS pz FROM lists l CROSS JOIN (SELECT a, b, c FROM range(4) t(a), range(4) s(b), range(4) q(c)) o JOIN {controls} c ON c.i = l.gx + o.a AND c.j = l.gy + o.b AND c.k = l.gz + o.c)"""
+
+
+_IMAGE = ", ".join(f"sum(wx*wy*wz*p{a}) AS t{a}" for a in "xyz") + ", count(*) AS n"
+_PLACED = "placed AS (SELECT neuron_id, point_no, x, y, z FROM arbors)"
+
+
+def _controls(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 10).alias("i"), (F.col("l_partkey") % 10).alias("j"), (F.col("l_suppkey") % 6).alias("k")).agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_quantity")).alias("f"))
+    moves = {"cx": (F.col("i") - 1) * 8.0 + 20 * (F.col("f.l_discount") - 0.05), "cy": (F.col("j") - 1) * 16.0 + 25 * (F.col("f.l_tax") - 0.04), "cz": (F.col("k") - 1) * 4.0 + (F.col("f.l_quantity") - 25.5) / 50}
+    return rows.select("i", "j", "k", *[v.alias(n) for n, v in moves.items()])
+
+
+def _placed(spark, sf_dir):
+    return arbors(spark, sf_dir).select("neuron_id", "point_no", *"xyz")
 
 
-@register("warped_points", f"WITH {ARBORS_SQL} SELECT neuron_id, point_no, round(1.5 * x + 2, 4) AS x, round(0.5 * y - 1, 6) AS y, round(z + x / 4, 4) AS z FROM arbors")
+@register("warped_points", f"WITH {ARBORS_SQL}, {CONTROLS_SQL}, {_PLACED}, {_spline_sql('placed', 'neuron_id, point_no')}, t AS (SELECT neuron_id, point_no, {_IMAGE} FROM met GROUP BY 1, 2) SELECT neuron_id, point_no, {', '.join(f'CASE WHEN n = 64 THEN round(t{a}, 5) END AS {a}' for a in 'xyz')} FROM placed LEFT JOIN t USING (neuron_id, point_no)")
 def warped_points(spark, sf_dir):
-    out = reg.warp_points(arbors(spark, sf_dir).select("neuron_id", "point_no", *"xyz"), _controls(spark), (8.0, 16.0, 4.0), ["neuron_id", "point_no"])
-    return out.select("neuron_id", "point_no", r(F.col("x")).alias("x"), r(F.col("y"), 6).alias("y"), r(F.col("z")).alias("z"))
+    out = reg.warp_points(_placed(spark, sf_dir), _controls(spark, sf_dir), SPACING)
+    return out.select("neuron_id", "point_no", *[r(F.col(a), 5).alias(a) for a in "xyz"])
 
 
-@register("warped_with_fallback", f"WITH {ARBORS_SQL} SELECT neuron_id, point_no, round(CASE WHEN x < 32 THEN 1.5 * x + 2 ELSE x + 100 END, 4) AS x FROM arbors")
+@register("warped_with_fallback", f"WITH {ARBORS_SQL}, {CONTROLS_SQL}, few AS (SELECT * FROM ctl WHERE i < 7), {_PLACED}, {_spline_sql('placed', 'neuron_id, point_no', 'few')}, t AS (SELECT neuron_id, point_no, {_IMAGE} FROM met GROUP BY 1, 2) SELECT neuron_id, point_no, round(CASE WHEN n = 64 THEN tx ELSE x + 100 END, 5) AS x FROM placed LEFT JOIN t USING (neuron_id, point_no)")
 def warped_with_fallback(spark, sf_dir):
-    """Control points beyond x = 32 are left out: points there take the affine map."""
-    controls = _controls(spark).where("(i - 1) * 8 <= 40")
-    out = reg.warp_points(arbors(spark, sf_dir).select("neuron_id", "point_no", *"xyz"), controls, (8.0, 16.0, 4.0), ["neuron_id", "point_no"])
-    return reg.with_fallback(out, g.translation(100, 0, 0)).select("neuron_id", "point_no", r(F.col("x")).alias("x"))
+    """Without the control points beyond the seventh, points there take an affine map."""
+    out = reg.warp_points(_placed(spark, sf_dir), _controls(spark, sf_dir).where("i < 7"), SPACING)
+    return reg.with_fallback(out, g.translation(100, 0, 0)).select("neuron_id", "point_no", r(F.col("x"), 5).alias("x"))
 
 
-@register("volume_changes", f"WITH {ARBORS_SQL} SELECT neuron_id, point_no, 0.75 AS change FROM arbors")
+_SLOPES = ", ".join(f"sum({'*'.join(('d' if n == b else 'w') + n for n in 'xyz')}*p{a}) / {d} AS j{a}{b}" for a in "xyz" for b, d in zip("xyz", SPACING))
+_JACOBIAN = f"WITH {ARBORS_SQL}, {CONTROLS_SQL}, {_PLACED}, {_spline_sql('placed', 'neuron_id, point_no')}, t AS (SELECT neuron_id, point_no, {_SLOPES}, count(*) AS n FROM met GROUP BY 1, 2 HAVING count(*) = 64)"
+
+
+@register("warp_jacobians", f"{_JACOBIAN} SELECT neuron_id, point_no, {', '.join(f'round(j{a}{b}, 6) AS j{a}{b}' for a in 'xyz' for b in 'xyz')} FROM placed LEFT JOIN t USING (neuron_id, point_no)")
+def warp_jacobians(spark, sf_dir):
+    out = reg.warp_jacobians(_placed(spark, sf_dir), _controls(spark, sf_dir), SPACING)
+    return out.select("neuron_id", "point_no", *[r(F.col(f"j{a}{b}"), 6).alias(f"j{a}{b}") for a in "xyz" for b in "xyz"])
+
+
+@register("volume_changes", f"{_JACOBIAN} SELECT neuron_id, point_no, round(jxx*(jyy*jzz - jyz*jzy) - jxy*(jyx*jzz - jyz*jzx) + jxz*(jyx*jzy - jyy*jzx), 5) AS change FROM placed LEFT JOIN t USING (neuron_id, point_no)")
 def volume_changes(spark, sf_dir):
-    """Volumes of small tetrahedra through the warp over their volumes before: its local scale."""
-    corners = reg.tetrahedra(arbors(spark, sf_dir).select("neuron_id", "point_no", *"xyz").withColumns({a: F.col(a) + 1 for a in "xyz"}), 0.5)
+    """The warp's local scale: the determinant of its derivatives."""
+    return reg.warp_jacobians(_placed(spark, sf_dir), _controls(spark, sf_dir), SPACING).select("neuron_id", "point_no", r(F.col("change"), 5).alias("change"))
+
+
+@register("volume_changes_by_tetrahedra", f"""WITH {ARBORS_SQL}, {CONTROLS_SQL}, corner AS (SELECT neuron_id, point_no, corner, x + h*sx AS x, y + h*sy AS y, z + h*sz AS z FROM arbors, (SELECT 0.5 / sqrt(8.0) AS h) s, (VALUES (0, 1, 1, 1), (1, 1, -1, -1), (2, -1, 1, -1), (3, -1, -1, 1)) c(corner, sx, sy, sz)),
+{_spline_sql('corner', 'neuron_id, point_no, corner')}, t AS (SELECT neuron_id, point_no, corner, {_IMAGE} FROM met GROUP BY 1, 2, 3),
+e AS (SELECT neuron_id, point_no, min(n) AS n, count(*) AS corners, {', '.join(f'max(t{a}) FILTER (WHERE corner = {c}) - max(t{a}) FILTER (WHERE corner = 0) AS {a}{c}' for a in 'xyz' for c in (1, 2, 3))} FROM t GROUP BY 1, 2)
+SELECT a.neuron_id, a.point_no, CASE WHEN n = 64 AND corners = 4 THEN round(abs(x1*(y2*z3 - z2*y3) + y1*(z2*x3 - x2*z3) + z1*(x2*y3 - y2*x3)) / 6 / (0.125 / (6 * sqrt(2.0))), 5) END AS change FROM arbors a LEFT JOIN e USING (neuron_id, point_no)""")
+def volume_changes_by_tetrahedra(spark, sf_dir):
+    """Volumes of small tetrahedra after the warp over their volumes before."""
+    corners = reg.tetrahedra(_placed(spark, sf_dir), 0.5)
     keys = ["neuron_id", "point_no"]
-    moved = reg.warp_points(corners, _controls(spark), (8.0, 16.0, 4.0), [*keys, "corner"])
+    moved = reg.warp_points(corners, _controls(spark, sf_dir), SPACING)
     after, before = reg.corner_volume(moved, keys), reg.corner_volume(corners, keys).withColumnRenamed("volume", "before")
-    return after.join(before, keys).select(*keys, r(F.col("volume") / F.col("before")).alias("change"))
+    return after.join(before, keys).select(*keys, r(F.col("volume") / F.col("before"), 5).alias("change"))
 
 
-@register("deformation_field", "SELECT round(i * 5.0, 4) AS from_x, round(j * 10.0, 4) AS from_y, round(k * 2.0, 4) AS from_z, round(1.5 * i * 5 + 2 - i * 5, 4) AS dx, round(0.5 * j * 10 - 1 - j * 10, 4) AS dy, round(i * 5 / 4.0, 4) AS dz FROM range(10) a(i), range(10) b(j), range(5) c(k)")
+@register("warp_undone", f"WITH {ARBORS_SQL}, {CONTROLS_SQL}, {_PLACED}, {_spline_sql('placed', 'neuron_id, point_no')}, t AS (SELECT neuron_id, point_no, count(*) AS n FROM met GROUP BY 1, 2) SELECT neuron_id, point_no, {', '.join(f'CASE WHEN n = 64 THEN round({a}, 6) END AS {a}' for a in 'xyz')} FROM placed LEFT JOIN t USING (neuron_id, point_no)")
+def warp_undone(spark, sf_dir):
+    """The inverse of the curved warp takes images back to where they came from."""
+    controls = _controls(spark, sf_dir)
+    moved = reg.warp_points(_placed(spark, sf_dir), controls, SPACING).select("neuron_id", "point_no", *"xyz")
+    return reg.unwarp_points(moved, controls, SPACING).select("neuron_id", "point_no", *[r(F.col(a), 6).alias(a) for a in "xyz"])
+
+
+@register("deformation_field", f"""WITH {ARBORS_SQL}, {CONTROLS_SQL}, box AS (SELECT region, {', '.join(f'min({a}) AS {a}0, max({a}) AS {a}1' for a in 'xyz')} FROM arbors GROUP BY 1),
+placed AS (SELECT region, i::INTEGER AS gi, j::INTEGER AS gj, k::INTEGER AS gk, x0 + i * (x1 - x0) / 9 AS x, y0 + j * (y1 - y0) / 9 AS y, z0 + k * (z1 - z0) / 4 AS z FROM box, range(10) a(i), range(10) b(j), range(5) c(k)),
+{_spline_sql('placed', 'region, gi, gj, gk')}, t AS (SELECT region, gi, gj, gk, {_IMAGE} FROM met GROUP BY 1, 2, 3, 4)
+SELECT region, gi, gj, gk, {', '.join(f'CASE WHEN n = 64 THEN round(t{a} - {a}, 5) END AS d{a}' for a in 'xyz')} FROM placed LEFT JOIN t USING (region, gi, gj, gk)""")
 def deformation_field(spark, sf_dir):
-    places = im.mesh(spark, (10, 10, 5), (45.0, 90.0, 8.0))
-    out = reg.warp_points(places, _controls(spark), (8.0, 16.0, 4.0), [])
-    return out.select(*[r(F.col(f"from_{a}")).alias(f"from_{a}") for a in "xyz"], *[r(F.col(a) - F.col(f"from_{a}")).alias(f"d{a}") for a in "xyz"])
+    """What the warp adds to the places of a grid over each region's box."""
+    box = arbors(spark, sf_dir).groupBy("region").agg(*[f(a).alias(f"{a}{n}") for a in "xyz" for n, f in ((0, F.min), (1, F.max))])
+    for c, n in (("gi", 9), ("gj", 9), ("gk", 4)):
+        box = box.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n))))
+    places = box.select("region", "gi", "gj", "gk", *[(F.col(f"{a}0") + F.col(c) * (F.col(f"{a}1") - F.col(f"{a}0")) / n).alias(a) for a, c, n in (("x", "gi", 9), ("y", "gj", 9), ("z", "gk", 4))])
+    out = reg.warp_points(places, _controls(spark, sf_dir), SPACING)
+    return out.select("region", "gi", "gj", "gk", *[r(F.col(a) - F.col(f"from_{a}"), 5).alias(f"d{a}") for a in "xyz"])
+
+
+#: A matrix for each neuron, from its supplier's row.
+_ENTRIES = ["1.2 + {n} / 100", "0.1 - {b}", "0.05", "3.0 + {n}", "{b}", "0.9", "0.2 - {n} / 200", "-2.0", "0.01 * {n}", "0.1", "1.1 + {b}", "5 * {b}"]
+_NUMBERS = {"n": "s_nationkey::DOUBLE", "b": "s_acctbal / 50000"}
+_M = [e.format(**_NUMBERS) for e in _ENTRIES]
+
+
+def _cramer():
+    m = [[f"m{i}{j}" for j in range(3)] for i in range(3)]
+    det = lambda a: f"({a[0][0]}*({a[1][1]}*{a[2][2]} - {a[1][2]}*{a[2][1]}) - {a[0][1]}*({a[1][0]}*{a[2][2]} - {a[1][2]}*{a[2][0]}) + {a[0][2]}*({a[1][0]}*{a[2][1]} - {a[1][1]}*{a[2][0]}))"
+    right = [f"({a} - m{i}3)" for i, a in enumerate("xyz")]
+    return ", ".join(f"round({det([[right[i] if j == c else m[i][j] for j in range(3)] for i in range(3)])} / {det(m)}, 5) AS {a}" for c, a in enumerate("xyz"))
 
 
-@register("affine_undone", f"WITH {ARBORS_SQL} SELECT neuron_id, point_no, round(x, 4) AS x, round(y, 5) AS y, round(z, 4) AS z FROM arbors")
+@register("affine_undone", f"WITH {ARBORS_SQL}, m AS (SELECT s_suppkey, {', '.join(f'{v} AS m{i // 4}{i % 4}' for i, v in enumerate(_M))} FROM supplier) SELECT neuron_id, point_no, {_cramer()} FROM arbors LEFT JOIN m ON s_suppkey = neuron_id")
 def affine_undone(spark, sf_dir):
-    m = reg.compose([[3, 4, 5], [10, 20, -15], [1.2, 0.8, 1.1], [0.02, 0.01, 0.03], [1, 2, 3]])
-    back = reg.invert(g.transform_points(arbors(spark, sf_dir), m), m)
-    return back.select("neuron_id", "point_no", r(F.col("x")).alias("x"), r(F.col("y"), 5).alias("y"), r(F.col("z")).alias("z"))
+    """Points through the inverse of their own neuron's matrix."""
+    entries = [e.format(n="cast(s_nationkey as double)", b="s_acctbal / 50000") for e in _ENTRIES]
+    matrices = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("neuron_id"), F.array(*[F.expr(f"cast({e} as double)") for e in entries]).alias("matrix"))
+    back = reg.invert_by(_placed(spark, sf_dir), matrices, "neuron_id")
+    return back.select("neuron_id", "point_no", *[r(F.col(a), 5).alias(a) for a in "xyz"])
 
 
 # --------------------------------------------------------------------------------- ICA
