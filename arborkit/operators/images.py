@@ -449,22 +449,37 @@ def component_mask(voxels: DataFrame, share: float = 0.1) -> DataFrame:
 def independent_components(voxels: DataFrame, by: str, n: int, seed: int = 1, rounds: int = 500) -> tuple[np.ndarray, DataFrame]:
     """Unmixing matrix and ``component, i, j, k, value`` of volumes seen as mixtures.
 
-    Covariances come from one aggregation; the fixed-point iteration (log cosh,
-    symmetric) runs on the driver over voxel rows of few columns, one a volume.
+    Voxels are written once with a column for each volume, and once whitened to
+    ``n`` columns.  Each round of the fixed-point iteration (log cosh, symmetric) is
+    one aggregation of moments over them; the driver holds matrices of a row and a
+    column for each volume or component, never voxels.
     """
+    from arborkit.sources.files import scratch
+
+    spark = voxels.sparkSession
     names = sorted(x[0] for x in voxels.select(by).distinct().collect())
-    wide = voxels.groupBy(*VOXEL).pivot(by, names).agg(F.sum("value")).na.fill(0)
-    table = wide.toArrow()
-    x = np.stack([table.column(str(c)).to_numpy().astype(float) for c in names])
-    x = x - x.mean(axis=1, keepdims=True)
-    values, vectors = np.linalg.eigh(x @ x.T / x.shape[1])
+    path = scratch(spark, "wide-voxels")
+    voxels.groupBy(*VOXEL).pivot(by, names).agg(F.sum("value").cast("double")).na.fill(0.0).toDF(*VOXEL, *[f"_x{i}" for i in range(len(names))]).write.parquet(path)
+    wide = spark.read.parquet(path)
+    x = [F.col(f"_x{i}") for i in range(len(names))]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    sums = wide.agg(*[F.avg(c) for c in x], *[F.covar_pop(x[i], x[j]) for i, j in pairs]).first()
+    mean, cov = np.array(sums[: len(x)], dtype=float), np.zeros((len(x), len(x)))
+    for (i, j), v in zip(pairs, sums[len(x) :]):
+        cov[i, j] = cov[j, i] = v
+    values, vectors = np.linalg.eigh(cov)
     top = np.argsort(values)[::-1][:n]
     white = (vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12))).T
-    z = white @ x
+    mixed = lambda rows, cols: [sum((float(w) * c for w, c in zip(row, cols)), F.lit(0.0)) for row in rows]
+    path = scratch(spark, "white-voxels")
+    wide.select(*[c.alias(f"_z{i}") for i, c in enumerate(mixed(white, [c - float(m) for c, m in zip(x, mean)]))]).write.parquet(path)
+    z, whitened = [F.col(f"_z{i}") for i in range(n)], spark.read.parquet(path)
     w = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))[0]
     for _ in range(rounds):
-        g = np.tanh(w @ z)
-        new = g @ z.T / z.shape[1] - (1 - g**2).mean(axis=1)[:, None] * w
+        bent = whitened.select(*z, *[F.tanh(c).alias(f"_g{i}") for i, c in enumerate(mixed(w, z))])
+        g = [F.col(f"_g{i}") for i in range(n)]
+        moments = np.array(bent.agg(*[F.avg(a * b) for a in g for b in z], *[F.avg(1 - a * a) for a in g]).first(), dtype=float)
+        new = moments[: n * n].reshape(n, n) - moments[n * n :, None] * w
         u, _, vt = np.linalg.svd(new)
         new = u @ vt
         done = np.abs(np.abs((new * w).sum(axis=1)) - 1).max() < 1e-10
@@ -473,6 +488,5 @@ def independent_components(voxels: DataFrame, by: str, n: int, seed: int = 1, ro
             break
     unmix = w @ white
     unmix = unmix * np.where(unmix[np.arange(n), np.abs(unmix).argmax(axis=1)] < 0, -1, 1)[:, None]
-    scores = [sum((float(unmix[i, j]) * F.col(f"`{c}`") for j, c in enumerate(names)), F.lit(0.0)) for i in range(n)]
-    rows = wide.select(*VOXEL, F.posexplode(F.array(*scores)).alias("component", "value"))
+    rows = wide.select(*VOXEL, F.posexplode(F.array(*mixed(unmix, x))).alias("component", "value"))
     return unmix, rows

@@ -214,15 +214,39 @@ def numbered_sums(counts: DataFrame, value: str) -> DataFrame:
     return rows.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn("before", F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
 
 
+def permuted_names(distances: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """``permutation, old, new``: names in order against names in the order of a seeded hash, for each permutation.
+
+    Permutation 0 leaves all names as they are.
+    """
+    names = _names(distances).withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations)))) if permutations else None
+    same = _names(distances).select(F.lit(0).alias("permutation"), F.col("id").alias("old"), F.col("id").alias("new"))
+    if names is None:
+        return same
+    each = Window.partitionBy("permutation")
+    mixed = F.xxhash64("id", F.lit(seed - 1) + F.col("permutation"))
+    placed = names.select("permutation", "id", F.row_number().over(each.orderBy("id")).alias("place"), F.row_number().over(each.orderBy(mixed, "id")).alias("other"))
+    old, new = placed.select("permutation", "place", F.col("id").alias("old")), placed.select("permutation", F.col("other").alias("place"), F.col("id").alias("new"))
+    return same.unionByName(old.join(new, ["permutation", "place"]).select("permutation", "old", "new"))
+
+
+def permuted_correlations(one: DataFrame, two: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """``permutation, r, n``: correlation of two distance tables under every renaming of the second, in one plan."""
+    names = permuted_names(two, permutations, seed)
+    a, b = (names.select("permutation", F.col("old").alias(side), F.col("new").alias(f"n{side}")) for side in "ab")
+    moved = two.select("a", "b", "d").join(a, "a").join(b, ["permutation", "b"])
+    moved = moved.select("permutation", F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), F.col("d").alias("d2"))
+    own = one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("d").alias("d1"))
+    return moved.join(own, ["a", "b"]).groupBy("permutation").agg(F.corr("d1", "d2").alias("r"), F.count("*").alias("n"))
+
+
 def mantel(one: DataFrame, two: DataFrame, permutations: int, seed: int) -> DataFrame:
     """Correlation of two distance tables, and the share of random renamings that reach it."""
-    r = lambda other: matched_distances(one, other).agg(F.corr("d1", "d2").alias("r"))
-    found = r(two)
-    for i in range(permutations):
-        found = found.unionByName(r(randomise(two, seed + i)))
-    rows = [x[0] for x in found.collect()]  # one number a permutation
-    least = sum(x >= rows[0] for x in rows[1:] if x is not None)
-    return one.sparkSession.createDataFrame([(rows[0], (1 + least) / (1 + permutations))], "r double, p double")
+    found = permuted_correlations(one, two, permutations, seed)
+    least = F.max(F.when(F.col("permutation") == 0, F.col("r")))
+    reached = found.crossJoin(F.broadcast(found.agg(least.alias("r0"))))
+    share = (1 + F.count_if((F.col("permutation") > 0) & (F.col("r") >= F.col("r0")))) / F.lit(1.0 + permutations)
+    return reached.agg(F.max("r0").alias("r"), share.alias("p"))
 
 
 def prefix_match(keys: DataFrame, key: str, names: DataFrame, name: str) -> DataFrame:

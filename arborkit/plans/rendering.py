@@ -152,8 +152,8 @@ def dendrogram(spark, sf_dir):
     from arborkit.operators import clustering
 
     pairs = sim.pairwise(sim.packed(clouds(spark, sf_dir)), partial(sim.median_distance, both=True), "d double")
-    names, matrix = clustering.square(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "d"))
-    merges = clustering.ward(matrix)
+    names, apart = clustering.condensed(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "d"))
+    merges = clustering.merged(apart)
     labels = rd.merged_labels(merges, [int(x) for x in np.array(names) % 2])
     rows = [(*row, labels[row[1]]) for row in rd.dendrogram(merges, len(names))]
     return spark.createDataFrame(rows, "place int, node int, depth int, height double, first_leaf int, leaves int, label int")
@@ -167,6 +167,32 @@ def clusters_in_order(spark, sf_dir):
     return clustering.clusters(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "d"), 7)
 
 
+#: Sales by part type and ship month, as a matrix.
+HEAT = """cell AS (SELECT p_type AS kind, month(l_shipdate) AS month, avg(l_extendedprice) AS value FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)"""
+
+
+@register("heat_map_cells", f"WITH {HEAT}, s AS (SELECT kind, avg(value) AS m, stddev_samp(value) AS d FROM cell GROUP BY 1) SELECT kind, month, round((value - m) / nullif(d, 0), 6) AS value FROM cell JOIN s USING (kind)")
+def heat_map_cells(spark, sf_dir):
+    """Cells of the ordered heat map, scaled by row (the orders of rows and columns: ``heat_map_order``)."""
+    from arborkit.operators import clustering
+
+    out = clustering.heat_map(_heat(spark, sf_dir), "kind", "month", "value")
+    return out.select("kind", "month", r(F.col("value"), 6).alias("value"))
+
+
+@register("heat_map_order")
+def heat_map_order(spark, sf_dir):
+    from arborkit.operators import clustering
+
+    return clustering.heat_order(_heat(spark, sf_dir), "kind", "month", "value")
+
+
+def _heat(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.month("l_shipdate").alias("month"), "l_extendedprice")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("kind"))
+    return lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).groupBy("kind", "month").agg(F.avg("l_extendedprice").alias("value"))
+
+
 # ------------------------------------------------------------------ text coordinates
 LINE = "concat('  ( ', printf('%.6f', l_quantity), '   ', printf('%.6f', l_extendedprice / 1000), ' ', printf('%.6f', l_discount * 100), '  0.97)  ; R-1, ', l_linenumber)"
 
