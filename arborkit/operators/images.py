@@ -60,6 +60,61 @@ def mesh(spark, n: tuple[int, int, int], size: tuple[float, float, float]) -> Da
     return spark.range(n[0] * n[1] * n[2]).select(*[(i * d).alias(c) for c, i, d in zip(AXES, index, step)])
 
 
+# Tables of grids: ``n_x, low_x, high_x`` and so on, a row each.
+def _spread(rows: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """A row for every combination of indices 0.. below the counts."""
+    for name, n in counts.items():
+        rows = rows.withColumn(name, F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+    return rows
+
+
+def boxes(points: DataFrame, by: list[str]) -> DataFrame:
+    """``low_x, high_x`` .. of each group's points."""
+    return points.groupBy(*by).agg(*[f(a).alias(f"{t}_{a}") for a in AXES for t, f in (("low", F.min), ("high", F.max))])
+
+
+def centres(grids: DataFrame, by: list[str]) -> DataFrame:
+    """Every voxel of each grid (bounds are outer edges) with its centre."""
+    rows = _spread(grids, {v: F.col(f"n_{a}") for a, v in zip(AXES, VOXEL)})
+    at = {a: F.col(f"low_{a}") + (F.col(v) + 0.5) * (F.col(f"high_{a}") - F.col(f"low_{a}")) / F.col(f"n_{a}") for a, v in zip(AXES, VOXEL)}
+    return rows.select(*by, *VOXEL, *[v.alias(a) for a, v in at.items()])
+
+
+def regular_points(grids: DataFrame, by: list[str], spacing: float, margins: bool = False) -> DataFrame:
+    """Points every ``spacing`` within each box: centres of cells, or their margins."""
+    shift = 0.0 if margins else spacing / 2
+    counts = {v: F.floor((F.col(f"high_{a}") - F.col(f"low_{a}") - shift) / spacing + 1e-9) + 1 for a, v in zip(AXES, VOXEL)}
+    rows = _spread(grids.where(" and ".join(f"high_{a} - low_{a} >= {shift}" for a in AXES)), counts)
+    return rows.select(*by, *VOXEL, *[(F.col(f"low_{a}") + shift + F.col(v) * spacing).alias(a) for a, v in zip(AXES, VOXEL)])
+
+
+def meshes(grids: DataFrame, by: list[str]) -> DataFrame:
+    """``n`` points an axis from one bound of each box to the other."""
+    rows = _spread(grids, {v: F.col(f"n_{a}") for a, v in zip(AXES, VOXEL)})
+    step = {a: (F.col(f"high_{a}") - F.col(f"low_{a}")) / F.greatest(F.lit(1), F.col(f"n_{a}") - 1) for a in AXES}
+    return rows.select(*by, *VOXEL, *[(F.col(f"low_{a}") + F.col(v) * step[a]).alias(a) for a, v in zip(AXES, VOXEL)])
+
+
+def geometry_of(grids: DataFrame, by: list[str]) -> DataFrame:
+    """Per axis: voxel size, outer edges, and centres of the first and last voxel, of grids whose bounds are such centres."""
+    def axis(a):
+        size = (F.col(f"high_{a}") - F.col(f"low_{a}")) / F.nullif(F.col(f"n_{a}") - 1, F.lit(0))
+        return F.struct(F.lit(a).alias("axis"), size.alias("voxel"), (F.col(f"low_{a}") - size / 2).alias("low"), (F.col(f"high_{a}") + size / 2).alias("high"), F.col(f"low_{a}").alias("first"), F.col(f"high_{a}").alias("last"))
+
+    return grids.select(*by, F.explode(F.array(*[axis(a) for a in AXES])).alias("g")).select(*by, "g.*")
+
+
+def targets(rows: DataFrame, numbers: str, by: list[str]) -> DataFrame:
+    """Grids from arrays of six numbers (sizes, voxel sizes; origin 0) or nine (origin of the first centre last); others null."""
+    known = F.size(numbers).isin(6, 9)
+    at = lambda i: F.when(known, F.get(numbers, F.lit(i)).cast("double"))
+    out = []
+    for i, a in enumerate(AXES):
+        low = F.when(F.size(numbers) == 9, at(6 + i)).otherwise(F.when(known, F.lit(0.0))) - at(3 + i) / 2
+        out += [at(i).cast("int").alias(f"n_{a}"), low.alias(f"low_{a}"), (low + at(i) * at(3 + i)).alias(f"high_{a}")]
+    return rows.select(*by, *out)
+
+
 def as_cube(values: DataFrame, place: str, count: int) -> DataFrame:
     """Voxels of a vector whose length is a cube, x fastest."""
     side = round(count ** (1 / 3))

@@ -119,6 +119,19 @@ def jet(spark, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("level"), ramp(3).alias("r"), ramp(2).alias("g"), ramp(1).alias("b"))
 
 
+def jet_colour(share: Column) -> list[Column]:
+    """Red, green and blue (0..1) of a share from 0 (dark blue) over cyan and yellow to 1 (dark red)."""
+    return [F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.5 - F.abs(4 * share - middle))) for middle in (3, 2, 1)]
+
+
+def bars(values: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
+    """Edges and middles of the ``n`` levels of each group's scale bar, from its least to its greatest value."""
+    span = values.groupBy(*by).agg(F.min(value).cast("double").alias("_l"), F.max(value).cast("double").alias("_h"))
+    rows = span.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    edge = lambda shift: F.col("_l") + (F.col("level") + shift) * (F.col("_h") - F.col("_l")) / n
+    return rows.select(*by, "level", edge(0).alias("low"), edge(1).alias("high"), edge(0.5).alias("middle"))
+
+
 #: Turns (degrees about x, y, z) that bring a named side to the front.
 VIEWS = {"front": (0, 0, 0), "left": (0, 90, 0), "right": (0, -90, 0), "back": (0, 180, 0), "ventral": (90, 0, 0), "dorsal": (-90, 0, 0)}
 

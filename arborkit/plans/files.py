@@ -288,17 +288,37 @@ _volume_query("nrrd_from_lattice", _lattice("binary", "big", "ushort"), lambda d
 _volume_query("nrrd_detached", lambda v: f.write_nrrd(v, "float", "raw"), lambda d: f.read_nrrd(f.detached_header(d, "x.nrrd"), d)[1], ".nrrd")
 
 
-@register("nrrd_headers", f"""{VOX}, h(field, value) AS (VALUES ('type', 'float'), ('encoding', 'gzip'), ('endian', 'little'), ('dimension', '3'), ('sizes', '10 12 8'), ('spacings', '5.1 9 1.4'), ('space origin', '(1,2,3)'), ('content', 'density'))
-SELECT DISTINCT density_id, field, h.value FROM vox, h""")
+#: Of each volume the greatest value, the sum and the number of voxels that are not empty.
+TOLD = f"{VOX}, told AS (SELECT density_id, max(value)::INTEGER AS top, sum(value)::INTEGER AS total, count(*)::INTEGER AS filled FROM vox GROUP BY 1)"
+
+
+def _described(v):
+    """A volume cut on its first axis, with what it holds in its header."""
+    top, total, filled = int(v.max()), int(v.sum()), int((v > 0).sum())
+    cut = v[: 3 + top % 5]
+    return f.write_nrrd(cut, "float", "gzip", [1 + top / 8, 2 + filled / 16, 0.5], [float(top), float(-filled), float(total)]), top, total, filled
+
+
+@register("nrrd_headers", f"""{TOLD}, h AS (SELECT density_id, unnest([{{'field': 'type', 'value': 'float'}}, {{'field': 'encoding', 'value': 'gzip'}}, {{'field': 'endian', 'value': 'little'}}, {{'field': 'dimension', 'value': '3'}},
+  {{'field': 'sizes', 'value': (3 + top % 5) || ' 12 8'}}, {{'field': 'spacings', 'value': top || ' ' || filled || ' 1'}}, {{'field': 'axismins', 'value': top || ' -' || filled || ' ' || total}}, {{'field': 'space origin', 'value': '(' || top || ',' || total || ',3)'}}, {{'field': 'content', 'value': 'sum ' || total}}]) AS x FROM told)
+SELECT density_id, x.field AS field, x.value AS value FROM h""")
 def nrrd_headers(spark, sf_dir):
-    write = lambda v: f.edit_nrrd(f.edit_nrrd(f.write_nrrd(v, "float", "gzip", [5.1, 9.0, 1.4]), {"space origin": "(1,2,3)", "content": "x"}), {"content": "density"}, "replaceonly")
+    """Fields added to and replaced in headers, whose values come from the volumes."""
+    def write(v):
+        data, top, total, filled = _described(v)
+        data = f.edit_nrrd(data, {"space origin": f"({top},{total},3)", "content": "x"})
+        return f.edit_nrrd(data, {"content": f"sum {total}", "spacings": f"{top} {filled} 1", "units": "never added"}, "replaceonly")
+
     rows = decoded(_volumes(spark, sf_dir, write, ".nrrd"), lambda name, data: list(f.read_nrrd_header(data)[0].items()), "field string, value string")
     return rows.select(F.substring_index("name", ".", 1).alias("density_id"), "field", "value")
 
 
-@register("nrrd_geometry", f"{VOX} SELECT DISTINCT density_id, 5.1 AS dx, 9.0 AS dy, 1.4 AS dz, 1.0 AS x0, 2.0 AS y0, 3.0 AS z0, true AS intact, true AS long_enough, 10 * 12 * 8 * 4 AS actual FROM vox")
+@register("nrrd_geometry", f"{TOLD} SELECT density_id, 1 + top / 8.0 AS dx, 2 + filled / 16.0 AS dy, 0.5::DOUBLE AS dz, top::DOUBLE AS x0, -filled::DOUBLE AS y0, total::DOUBLE AS z0, total % 2 = 0 AS intact, total % 2 = 0 AS long_enough, CASE WHEN total % 2 = 0 THEN (3 + top % 5) * 12 * 8 * 4 END AS actual FROM told")
 def nrrd_geometry(spark, sf_dir):
-    write = lambda v: f.write_nrrd(v, "float", "gzip", [5.1, 9.0, 1.4], [1.0, 2.0, 3.0])
+    """Voxel sizes, origins and integrity; volumes with an odd sum lose the end of their file."""
+    def write(v):
+        data, _, total, _ = _described(v)
+        return data if total % 2 == 0 else data[:-9]
 
     def read(name, data):
         fields, checks = f.read_nrrd_header(data)[0], f.nrrd_checks(data)
@@ -308,6 +328,17 @@ def nrrd_geometry(spark, sf_dir):
     return rows.select(F.substring_index("name", ".", 1).alias("density_id"), *rows.columns[1:])
 
 
+@register("origins_repaired", f"{TOLD} SELECT density_id, top::DOUBLE AS x0, total::DOUBLE AS y0, filled::DOUBLE AS z0, (3 + top % 5) * 12 * 8 AS n FROM told")
+def origins_repaired(spark, sf_dir):
+    """Headers whose origin is missing or wrong get one from a table; the data stay."""
+    def write(v):
+        data, top, total, filled = _described(v)
+        return f.edit_nrrd(data, {"space origin": f"({top}, {total}, {filled})"}, "addreplace")
+
+    rows = decoded(_volumes(spark, sf_dir, write, ".nrrd"), lambda name, data: [(*f.nrrd_origin(f.read_nrrd_header(data)[0]), int(f.read_nrrd(data)[1].size))], "x0 double, y0 double, z0 double, n int")
+    return rows.select(F.substring_index("name", ".", 1).alias("density_id"), *rows.columns[1:])
+
+
 @register("histogram_files", """WITH b AS (SELECT event_type, least(floor(value / (100.0 / 50)), 49)::INTEGER AS bin FROM events WHERE value BETWEEN 0 AND 100),
 c AS (SELECT event_type, bin, count(*)::DOUBLE AS count FROM b GROUP BY ALL), g AS (SELECT e.event_type, n.bin::INTEGER AS bin FROM (SELECT DISTINCT event_type FROM c) e, range(50) n(bin))
 SELECT g.event_type, g.bin, coalesce(count, 0) AS count, round(coalesce(count, 0) / sum(count) OVER (PARTITION BY g.event_type), 6) AS density, round(2.0 * g.bin, 6) AS low, round(2.0 * g.bin + 1, 6) AS mid FROM g LEFT JOIN c USING (event_type, bin)""")
@@ -432,13 +463,15 @@ def contour_files(spark, sf_dir):
     return rows.select(_set("name"), "number", "marker_no", *[r(F.col(a), 5).alias(a) for a in "xyz"])
 
 
-@register("mesh_headers", f"{VOX} SELECT DISTINCT density_id, 'Lattice' AS grp, 'ScalarField' AS name, 'ushort' AS kind, 10 * 12 * 8 AS n, 'uniform' AS parameter FROM vox")
+@register("mesh_headers", f"{TOLD} SELECT density_id, 'Lattice' AS grp, 'ScalarField' AS name, 'ushort' AS kind, (3 + top % 5) * 12 * 8 AS n, 'uniform' AS parameter FROM told")
 def mesh_headers(spark, sf_dir):
+    """Sections of lattices cut to a length that depends on the volume."""
     def read(name, data):
         mesh = f.read_mesh(data, only_header=True)
         return [(x["group"], x["name"], x["kind"], x["n"], mesh["parameters"]["CoordType"]) for x in mesh["sections"]]
 
-    rows = decoded(_volumes(spark, sf_dir, _lattice("binary", "big", "ushort"), ".am"), read, "grp string, section string, kind string, n int, parameter string")
+    write = _lattice("binary", "big", "ushort")
+    rows = decoded(_volumes(spark, sf_dir, lambda v: write(v[: 3 + int(v.max()) % 5]), ".am"), read, "grp string, section string, kind string, n int, parameter string")
     return rows.select(F.substring_index("name", ".", 1).alias("density_id"), "grp", F.col("section").alias("name"), "kind", "n", "parameter")
 
 

@@ -12,7 +12,7 @@ from arborkit.operators import images as im
 from arborkit.operators import registration as reg
 from arborkit.operators import regions as rg
 from arborkit.operators import stats
-from arborkit.sources.adapters import ARBORS_SQL, arbors, clouds, points, table
+from arborkit.sources.adapters import ARBORS_SQL, BOXES_SQL, arbors, boxed, clouds, points, table
 
 from .files import DENSE
 from .morphometry import r
@@ -24,24 +24,40 @@ DX, DY, DZ = GRID.voxel
 
 
 # ---------------------------------------------------------------------------- grids
-@register("voxel_centres", f"SELECT i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, round({CENTRES[0]!r} + i * {DX!r}, 6) AS x, round({CENTRES[1]!r} + j * {DY!r}, 6) AS y, round({CENTRES[2]!r} + k * {DZ!r}, 6) AS z FROM range(10) a(i), range(12) b(j), range(8) c(k)")
+_AT = {v: f"range(200) {v}_({v})" for v in "ijk"}
+
+
+def _grid_sql(place: str, counts: str = "{v} < n_{a}") -> str:
+    """Every index triple of each neuron's grid, with ``place`` of each axis."""
+    where = " AND ".join(counts.format(a=a, v=v) for a, v in zip("xyz", "ijk"))
+    return f"WITH {BOXES_SQL} SELECT neuron_id, i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, {', '.join(f'round({place.format(a=a, v=v)}, 9) AS {a}' for a, v in zip('xyz', 'ijk'))} FROM box, {', '.join(_AT.values())} WHERE {where}"
+
+
+def _rounded(rows):
+    return rows.select("neuron_id", "i", "j", "k", *[r(F.col(c), 9).alias(c) for c in "xyz"])
+
+
+@register("voxel_centres", _grid_sql("low_{a} + ({v} + 0.5) * (high_{a} - low_{a}) / n_{a}"))
 def voxel_centres(spark, sf_dir):
-    return im.expanded(spark, GRID).select("i", "j", "k", *[r(F.col(c), 6).alias(c) for c in "xyz"])
+    return _rounded(im.centres(boxed(spark, sf_dir), ["neuron_id"]))
+
+
+_FITS = "low_{a} + {shift} + {v} * 7.0 <= high_{a} + 7e-9"
 
 
-@register("regular_grid", "SELECT round(0.7 + i * 1.4, 6) AS x, round(0.7 + j * 1.4, 6) AS y, round(0.7 + k * 1.4, 6) AS z FROM range(20) a(i), range(10) b(j), range(5) c(k)")
+@register("regular_grid", _grid_sql("low_{a} + 3.5 + {v} * 7.0", _FITS.replace("{shift}", "3.5")))
 def regular_grid(spark, sf_dir):
-    return im.regular_grid(spark, (0.0, 0.0, 0.0), (28.0, 14.0, 7.0), 1.4).select(*[r(F.col(c), 6).alias(c) for c in "xyz"])
+    return _rounded(im.regular_points(boxed(spark, sf_dir), ["neuron_id"], 7.0))
 
 
-@register("grid_margins", "SELECT round(i * 1.4, 6) AS x, round(j * 1.4, 6) AS y, round(k * 1.4, 6) AS z FROM range(21) a(i), range(11) b(j), range(6) c(k)")
+@register("grid_margins", _grid_sql("low_{a} + {v} * 7.0", _FITS.replace("{shift}", "0")))
 def grid_margins(spark, sf_dir):
-    return im.regular_grid(spark, (0.0, 0.0, 0.0), (28.0, 14.0, 7.0), 1.4, margins=True).select(*[r(F.col(c), 6).alias(c) for c in "xyz"])
+    return _rounded(im.regular_points(boxed(spark, sf_dir), ["neuron_id"], 7.0, margins=True))
 
 
-@register("cubic_mesh", "SELECT round(i * 168.45 / 9, 6) AS x, round(j * 168.45 / 7, 6) AS y, round(k * 87.0 / 4, 6) AS z FROM range(10) a(i), range(8) b(j), range(5) c(k)")
+@register("cubic_mesh", _grid_sql("low_{a} + {v} * (high_{a} - low_{a}) / (n_{a} - 1)"))
 def cubic_mesh(spark, sf_dir):
-    return im.mesh(spark, (10, 8, 5), (168.45, 168.45, 87.0)).select(*[r(F.col(c), 6).alias(c) for c in "xyz"])
+    return _rounded(im.meshes(boxed(spark, sf_dir), ["neuron_id"]))
 
 
 @register("vector_as_cube", "WITH v AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, value FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (ORDER BY event_id) <= 125) SELECT (place % 5)::INTEGER AS i, (place // 5 % 5)::INTEGER AS j, (place // 25)::INTEGER AS k, round(value, 4) AS value FROM v")
@@ -52,12 +68,11 @@ def vector_as_cube(spark, sf_dir):
     return im.as_cube(v, "place", 125).select("i", "j", "k", r(F.col("value")).alias("value"))
 
 
-@register("grid_geometry", f"SELECT axis, round(voxel, 6) AS voxel, round(low, 6) AS low, round(high, 6) AS high, round(first, 6) AS first, round(last, 6) AS last FROM (VALUES ('x', {DX!r}, 0.0, 51.0, {CENTRES[0]!r}, {51.0 - CENTRES[0]!r}), ('y', {DY!r}, 0.0, 108.0, {CENTRES[1]!r}, {108.0 - CENTRES[1]!r}), ('z', {DZ!r}, 0.0, 11.2, {CENTRES[2]!r}, {11.2 - CENTRES[2]!r})) t(axis, voxel, low, high, first, last)")
+@register("grid_geometry", f"WITH {BOXES_SQL}, g AS (" + " UNION ALL ".join(f"SELECT neuron_id, '{a}' AS axis, (high_{a} - low_{a}) / (n_{a} - 1) AS voxel, low_{a} AS first, high_{a} AS last FROM box" for a in "xyz") + ") SELECT neuron_id, axis, round(voxel, 6) AS voxel, round(first - voxel / 2, 6) AS low, round(last + voxel / 2, 6) AS high, round(first, 6) AS first, round(last, 6) AS last FROM g")
 def grid_geometry(spark, sf_dir):
-    box = GRID.bounding_box
-    bounds, size = im.bounds_from_box(box, GRID.n), im.voxel_size(box, GRID.n)
-    rows = [(a, *(round(float(v), 6) for v in (size[i], *bounds[i], *box[i]))) for i, a in enumerate("xyz")]
-    return spark.createDataFrame(rows, "axis string, voxel double, low double, high double, first double, last double")
+    """Voxel sizes and outer edges of grids whose first and last centres are given."""
+    out = im.geometry_of(boxed(spark, sf_dir), ["neuron_id"])
+    return out.select("neuron_id", "axis", *[r(F.col(c), 6).alias(c) for c in ("voxel", "low", "high", "first", "last")])
 
 
 @register("positions_of_voxels", f"{VOX} SELECT density_id, i, j, k, round({CENTRES[0]!r} + i * {DX!r}, 6) AS x, round({CENTRES[1]!r} + j * {DY!r}, 6) AS y, round({CENTRES[2]!r} + k * {DZ!r}, 6) AS z FROM vox")
@@ -162,10 +177,15 @@ def flipped_masks_united(spark, sf_dir):
     return im.flipped_or(masks, "i", 10, BY)
 
 
-@register("target_grids", "SELECT * FROM (VALUES ('six', 20, -1.275, 49.725), ('nine', 20, 0.0, 51.0)) t(how, n, low, high)")
+@register("target_grids", f"WITH {BOXES_SQL}, t AS (SELECT neuron_id, " + ", ".join(f"n_{a}, (high_{a} - low_{a}) / (n_{a} - 1) AS d_{a}, CASE WHEN neuron_id % 2 = 0 THEN low_{a} ELSE 0 END AS o_{a}" for a in "xyz") + " FROM box) SELECT neuron_id, " + ", ".join(f"n_{a}, round(o_{a} - d_{a} / 2, 6) AS low_{a}, round(o_{a} - d_{a} / 2 + n_{a} * d_{a}, 6) AS high_{a}" for a in "xyz") + " FROM t")
 def target_grids(spark, sf_dir):
-    six, nine = im.grid_of([20, 12, 8, 2.55, 9.0, 1.4]), TARGET
-    return spark.createDataFrame([(how, t.n[0], round(t.low[0], 6), round(t.high[0], 6)) for how, t in (("six", six), ("nine", nine))], "how string, n int, low double, high double")
+    """Targets of nine numbers (origin of the first centre last) and, for odd neurons, of six."""
+    rows = boxed(spark, sf_dir)
+    voxel = [((F.col(f"high_{a}") - F.col(f"low_{a}")) / (F.col(f"n_{a}") - 1)) for a in "xyz"]
+    six = [*[F.col(f"n_{a}").cast("double") for a in "xyz"], *voxel]
+    numbers = F.when(F.col("neuron_id") % 2 == 0, F.array(*six, *[F.col(f"low_{a}") for a in "xyz"])).otherwise(F.array(*six))
+    out = im.targets(rows.withColumn("target", numbers), "target", ["neuron_id"])
+    return out.select("neuron_id", *[c if c.startswith("n_") else r(F.col(c), 6).alias(c) for a in "xyz" for c in (f"n_{a}", f"low_{a}", f"high_{a}")])
 
 
 # ----------------------------------------------------------------------- statistics
@@ -266,15 +286,16 @@ def paired_deviations_t(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- cumulative normal
-@register("normal_fits", "SELECT n_nationkey AS id, round(20.0 + n_nationkey, 3) AS mu, round(3.0 + n_nationkey / 10, 3) AS sigma, round(20.0 + n_nationkey + 2 * (3.0 + n_nationkey / 10), 3) AS threshold FROM nation")
+@register("normal_fits", "WITH c AS (SELECT c_nationkey AS id, avg(c_acctbal) AS mu, stddev_pop(c_acctbal) AS sigma FROM customer GROUP BY 1) SELECT id, round(mu, 2) AS mu, round(sigma, 2) AS sigma, round(mu + 2 * sigma, 1) AS threshold FROM c WHERE sigma > 0")
 def normal_fits(spark, sf_dir):
-    """Histograms made of a normal distribution: the fit must find it."""
+    """Histograms of normal distributions with each nation's mean and deviation of balances: the fit must find them."""
     from arborkit.functions.scalars import cumnorm
 
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("bin"))
-    mu, sigma = F.col("id") + 20.0, F.col("id") / 10 + 3.0
-    hist = n.select("id", "bin", (F.col("bin") + 1.0).alias("hi"), (1e9 * (cumnorm(F.col("bin") + 1.0, mu, sigma) - cumnorm(F.col("bin").cast("double"), mu, sigma))).alias("count"))
-    return im.background(hist, "id").select("id", *[r(F.col(c), 3).alias(c) for c in ("mu", "sigma", "threshold")])
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.avg("c_acctbal").alias("mu"), F.stddev_pop("c_acctbal").alias("sigma")).where("sigma > 0")
+    rows = c.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(119))))
+    edge = lambda n: F.col("mu") + (n - 60) / 10 * F.col("sigma")
+    share = cumnorm(edge(F.col("bin") + 1), F.col("mu"), F.col("sigma")) - cumnorm(edge(F.col("bin")), F.col("mu"), F.col("sigma"))
+    return im.background(rows.select("id", "bin", edge(F.col("bin") + 1).alias("hi"), (1e9 * share).alias("count")), "id").select("id", r(F.col("mu"), 2).alias("mu"), r(F.col("sigma"), 2).alias("sigma"), r(F.col("threshold"), 1).alias("threshold"))
 
 
 @register("background_fits")

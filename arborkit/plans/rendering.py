@@ -15,7 +15,7 @@ from arborkit.operators import rendering as rd
 from arborkit.operators import segments as s
 from arborkit.operators import similarity as sim
 from arborkit.operators import skeleton as k
-from arborkit.sources.adapters import ARBORS_SQL, arbors, clouds, neurons, table
+from arborkit.sources.adapters import ARBORS_SQL, BOXES_SQL, arbors, boxed, clouds, neurons, table
 
 from .morphometry import r
 from .skeletons import WALK
@@ -57,12 +57,12 @@ def scene_points(spark, sf_dir):
     return rd.spheres(arbors(spark, sf_dir), ["neuron_id", "point_no"], colour="Blue")
 
 
-@register("scene_mesh", f"SELECT (i + 6 * j + 36 * k)::BIGINT AS n, concat('sphere {{ ', {V.format('i * 30.0', 'j * 30.0', 'k * 15.0')}, ', 0.5 translate clock*', {V.format('i * 30.0', '0.0', '2.0')}, ' pigment {{ color Red }} }}') AS line FROM range(6) a(i), range(6) b(j), range(4) c(k)")
+@register("scene_mesh", f"""WITH {BOXES_SQL}, m AS (SELECT neuron_id, i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, low_x + i * (high_x - low_x) / (n_x - 1) AS x, low_y + j * (high_y - low_y) / (n_y - 1) AS y, low_z + k * (high_z - low_z) / (n_z - 1) AS z FROM box, range(5) a(i), range(5) b(j), range(5) c(k) WHERE i < n_x AND j < n_y AND k < n_z)
+SELECT neuron_id, i, j, k, concat('sphere {{ ', {V.format('x', 'y', 'z')}, ', 0.5 translate clock*', {V.format('x', '0.0', '2.0')}, ' pigment {{ color Red }} }}') AS line FROM m""")
 def scene_mesh(spark, sf_dir):
-    from arborkit.operators.matching import numbered
-
-    before = numbered(im.mesh(spark, (6, 6, 4), (150.0, 150.0, 45.0)), [F.col("z"), F.col("y"), F.col("x")]).withColumnRenamed("place", "n")
-    return rd.moving_spheres(before, before.withColumns({"x": F.col("x") * 2, "z": F.col("z") + 2}), ["n"])
+    """Spheres on a mesh over each neuron's box, moving to twice their x and a shifted z."""
+    before = im.meshes(boxed(spark, sf_dir), ["neuron_id"])
+    return rd.moving_spheres(before, before.withColumns({"x": F.col("x") * 2, "z": F.col("z") + 2}), ["neuron_id", "i", "j", "k"])
 
 
 @register("scene_polygons", f"WITH {ARBORS_SQL}, q AS (SELECT neuron_id, list({V.format('x', 'y', 'z')} ORDER BY point_no) AS c FROM arbors GROUP BY 1) SELECT neuron_id, concat('polygon {{ ', len(c) + 1, ', ', array_to_string(c, ', '), ', ', c[1], ' }}') AS line FROM q")
@@ -115,14 +115,18 @@ def slice_levels(spark, sf_dir):
     return rd.levels(voxels(spark, sf_dir).where("k = 3"), 1.0, 11.0, 5).select("density_id", "i", "j", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
-@register("scale_bar", "SELECT i::INTEGER AS level, round(2 + i * 0.5, 6) AS low, round(2.5 + i * 0.5, 6) AS high, round(2.25 + i * 0.5, 6) AS middle FROM range(12) t(i)")
+@register("scale_bar", f"{VOX}, s AS (SELECT density_id, min(value)::DOUBLE AS l, max(value)::DOUBLE AS h FROM vox GROUP BY 1) SELECT density_id, i::INTEGER AS level, round(l + i * (h - l) / 12, 6) AS low, round(l + (i + 1) * (h - l) / 12, 6) AS high, round(l + (i + 0.5) * (h - l) / 12, 6) AS middle FROM s, range(12) t(i)")
 def scale_bar(spark, sf_dir):
-    return rd.scale_levels(spark, 2.0, 8.0, 12)
+    return rd.bars(voxels(spark, sf_dir), ["density_id"], "value", 12).select("density_id", "level", *[r(F.col(c), 6).alias(c) for c in ("low", "high", "middle")])
 
 
-@register("jet_colours", "SELECT i::INTEGER AS level, round(greatest(0, least(1, 1.5 - abs(4 * i / 63.0 - 3))), 6) AS r, round(greatest(0, least(1, 1.5 - abs(4 * i / 63.0 - 2))), 6) AS g, round(greatest(0, least(1, 1.5 - abs(4 * i / 63.0 - 1))), 6) AS b FROM range(64) t(i)")
+@register("jet_colours", f"{VOX}, s AS (SELECT *, (value - min(value) OVER q) / nullif(max(value) OVER q - min(value) OVER q, 0)::DOUBLE AS t FROM vox WINDOW q AS (PARTITION BY density_id)) SELECT density_id, i, j, k, round(greatest(0, least(1, 1.5 - abs(4 * t - 3))), 6) AS r, round(greatest(0, least(1, 1.5 - abs(4 * t - 2))), 6) AS g, round(greatest(0, least(1, 1.5 - abs(4 * t - 1))), 6) AS b FROM s")
 def jet_colours(spark, sf_dir):
-    return rd.jet(spark, 64).select("level", *[r(F.col(c), 6).alias(c) for c in "rgb"])
+    """Every voxel's colour by its place between its volume's least and greatest value."""
+    rows = voxels(spark, sf_dir)
+    span = rows.groupBy("density_id").agg(F.min("value").alias("l"), F.max("value").alias("h"))
+    red, green, blue = rd.jet_colour((F.col("value") - F.col("l")) / F.nullif(F.col("h") - F.col("l"), F.lit(0)))
+    return rows.join(span, "density_id").select("density_id", "i", "j", "k", r(red, 6).alias("r"), r(green, 6).alias("g"), r(blue, 6).alias("b"))
 
 
 @register("views", f"WITH {ARBORS_SQL} SELECT 'left' AS side, neuron_id, point_no, round(-z, 5) AS x, round(y, 5) AS y, round(x, 5) AS z FROM arbors UNION ALL SELECT 'dorsal', neuron_id, point_no, round(x, 5), round(z, 5), round(-y, 5) FROM arbors UNION ALL SELECT 'back', neuron_id, point_no, round(-x, 5), round(y, 5), round(-z, 5) FROM arbors")

@@ -250,30 +250,63 @@ def decomposed_affine(spark, sf_dir):
     return _composed(spark, sf_dir, again=True)
 
 
-def _fit(name, kind, params):
-    """Landmarks moved by known parameters: the fit must find their matrix."""
-    m = reg.compose(np.array(params, dtype=float))
-    values = ", ".join(repr(round(float(x), 4) + 0.0) for x in m[:3].ravel())
-    names = [f"m{i}{j}" for i in range(3) for j in range(4)]
+#: Landmarks: a customer's balance, key and name digits as a place, moved by a matrix that depends on the nation, with noise.
+_MARKS = """mark AS (SELECT c_nationkey AS pair_id, c_custkey AS marker_no, c_acctbal / 1000 AS x, (c_custkey % 17)::DOUBLE AS y, ((c_custkey * 7) % 23)::DOUBLE AS z FROM customer),
+kept AS (SELECT * FROM mark WHERE pair_id IN (SELECT pair_id FROM mark GROUP BY 1 HAVING count(*) >= 8))"""
+_NAMES = [f"m{i}{j}" for i in range(3) for j in range(4)]
+#: Entries of each nation's matrix, k being its key: any affine map, and a turn about z with a shift.
+_AFFINE = ["1.2", "0.1", "0.02 * {k}", "3.0 + {k}", "-0.1", "0.9", "0.05", "4.0", "0.01 * {k}", "0.1", "1.1", "-5.0"]
+_RIGID = ["cos({k} / 10.0)", "sin({k} / 10.0)", "0.0", "3.0 + {k}", "-sin({k} / 10.0)", "cos({k} / 10.0)", "0.0", "4.0", "0.0", "0.0", "1.0", "-5.0"]
+_MOVE = ["1.0", "0.0", "0.0", "3.0 + {k}", "0.0", "1.0", "0.0", "4.0", "0.0", "0.0", "1.0", "-5.0"]
+_SCALED = ["1.2 * cos({k} / 10.0)", "0.8 * sin({k} / 10.0)", "0.0", "3.0 + {k}", "-1.2 * sin({k} / 10.0)", "0.8 * cos({k} / 10.0)", "0.0", "4.0", "0.0", "0.0", "1.1", "-5.0"]
 
-    @register(name, f"SELECT r_regionkey AS pair_id, {', '.join(f'{v} AS {n}' for v, n in zip(values.split(', '), names))} FROM region")
+
+def _moved(entries, noise):
+    k = [e.format(k="pair_id") for e in entries]
+    return ", ".join(f"{k[4 * i]} * x + {k[4 * i + 1]} * y + {k[4 * i + 2]} * z + {k[4 * i + 3]} + {noise.format(i=i)} AS q{a}" for i, a in enumerate("xyz"))
+
+
+#: Noise of a few tenths; an outlier every fifth marker.
+_NOISE, _OUTLIER = "((marker_no * (7 + {i}) + pair_id) % 11 - 5) / 10.0", "CASE WHEN marker_no % 5 = 0 THEN 20.0 + (marker_no * (3 + {i})) % 13 ELSE 0.0 END"
+
+
+def _least_squares_sql(noise):
+    """The affine map of least squares from covariances, by determinants."""
+    c = lambda a, b: f"covar_pop({a}, {b})"
+    cov = ", ".join(f"{c(a, b)} AS {a}{b}" for a in "xyz" for b in ("x", "y", "z", "qx", "qy", "qz"))
+    det = lambda m: f"({m[0][0]}*({m[1][1]}*{m[2][2]} - {m[1][2]}*{m[2][1]}) - {m[0][1]}*({m[1][0]}*{m[2][2]} - {m[1][2]}*{m[2][0]}) + {m[0][2]}*({m[1][0]}*{m[2][1]} - {m[1][1]}*{m[2][0]}))"
+    own = [[a + b for b in "xyz"] for a in "xyz"]
+    slopes = [", ".join(f"{det([[f'{a}q{t}' if j == n else own[i][j] for j in range(3)] for i, a in enumerate('xyz')])} / {det(own)} AS s{t}{n}" for n in range(3)) for t in "xyz"]
+    means = ", ".join(f"avg({a}) AS m{a}" for a in ("x", "y", "z", "qx", "qy", "qz"))
+    out = ", ".join(f"round(s{t}0, 4) AS m{i}0, round(s{t}1, 4) AS m{i}1, round(s{t}2, 4) AS m{i}2, round(mq{t} - s{t}0 * mx - s{t}1 * my - s{t}2 * mz, 4) AS m{i}3" for i, t in enumerate("xyz"))
+    return f"WITH {_MARKS}, pair AS (SELECT *, {_moved(_AFFINE, noise)} FROM kept), cov AS (SELECT pair_id, {cov}, {means} FROM pair GROUP BY 1), slope AS (SELECT *, {', '.join(slopes)} FROM cov) SELECT pair_id, {out} FROM slope"
+
+
+def _entries_sql(entries):
+    """The matrices that moved the landmarks."""
+    return f"WITH {_MARKS} SELECT DISTINCT pair_id, {', '.join(f'round(({e})::DOUBLE, 4) + 0.0::DOUBLE AS {n}' for e, n in zip([e.format(k='pair_id') for e in entries], _NAMES))} FROM kept"
+
+
+def _fit(name, kind, entries, noise, sql):
+    @register(name, sql)
     def run(spark, sf_dir):
-        n = table(spark, sf_dir, "nation")
-        one = n.select(F.col("n_regionkey").alias("pair_id"), F.lit(1).alias("set_no"), F.col("n_nationkey").alias("marker_no"), (F.col("n_nationkey") * 7 % 23).cast("double").alias("x"), (F.col("n_nationkey") ** 2 % 31).alias("y"), (F.col("n_nationkey") * 5 % 17).cast("double").alias("z"))
-        two = g.transform_points(one, m).withColumn("set_no", F.lit(2))
-        fitted = reg.fit_landmarks(one.unionByName(two), kind)
-        return fitted.select("pair_id", *[r(F.get("matrix", F.lit(i))).alias(c) for i, c in enumerate(names)])
+        c = table(spark, sf_dir, "customer")
+        one = c.select(F.col("c_nationkey").alias("pair_id"), F.col("c_custkey").alias("marker_no"), (F.col("c_acctbal") / 1000).alias("x"), (F.col("c_custkey") % 17).cast("double").alias("y"), (F.col("c_custkey") * 7 % 23).cast("double").alias("z"))
+        one = one.join(one.groupBy("pair_id").count().where("count >= 8").select("pair_id"), "pair_id")
+        two = one.selectExpr("pair_id", "marker_no", *_moved(entries, noise).split(", ")).withColumnsRenamed({f"q{a}": a for a in "xyz"})
+        fitted = reg.fit_landmarks(one.withColumn("set_no", F.lit(1)).unionByName(two.withColumn("set_no", F.lit(2))), kind)
+        return fitted.select("pair_id", *[(r(F.get("matrix", F.lit(i))) + 0.0).alias(c) for i, c in enumerate(_NAMES)])
 
     return run
 
 
-_fit("landmark_fit_affine", "affine", [[3, 4, 5], [10, 20, -15], [1.2, 0.8, 1.1], [0.02, 0.01, 0.03], [0, 0, 0]])
-_fit("landmark_fit_absolute", "affine_l1", [[3, 4, 5], [10, 20, -15], [1.2, 0.8, 1.1], [0.02, 0.01, 0.03], [0, 0, 0]])
-_fit("landmark_fit_rigid", "rigid", [[3, 4, 5], [10, 20, -15], [1, 1, 1], [0, 0, 0], [0, 0, 0]])
-_fit("landmark_fit_3_parameters", "params3", [[3, 4, 5], [0, 0, 0], [1, 1, 1], [0, 0, 0], [0, 0, 0]])
-_fit("landmark_fit_6_parameters", "params6", [[3, 4, 5], [10, 20, -15], [1, 1, 1], [0, 0, 0], [0, 0, 0]])
-_fit("landmark_fit_9_parameters", "params9", [[3, 4, 5], [10, 20, -15], [1.2, 0.8, 1.1], [0, 0, 0], [0, 0, 0]])
-_fit("landmark_fit_12_parameters", "params12", [[3, 4, 5], [10, 20, -15], [1.2, 0.8, 1.1], [0.02, 0.01, 0.03], [0, 0, 0]])
+_fit("landmark_fit_affine", "affine", _AFFINE, _NOISE, _least_squares_sql(_NOISE))
+_fit("landmark_fit_12_parameters", "params12", _AFFINE, _NOISE, _least_squares_sql(_NOISE))
+_fit("landmark_fit_absolute", "affine_l1", _AFFINE, _OUTLIER, _entries_sql(_AFFINE))
+_fit("landmark_fit_rigid", "rigid", _RIGID, "0.0", _entries_sql(_RIGID))
+_fit("landmark_fit_6_parameters", "params6", _RIGID, "0.0", _entries_sql(_RIGID))
+_fit("landmark_fit_9_parameters", "params9", _SCALED, "0.0", _entries_sql(_SCALED))
+_fit("landmark_fit_3_parameters", "params3", _MOVE, _NOISE, f"WITH {_MARKS}, pair AS (SELECT *, {_moved(_MOVE, _NOISE)} FROM kept) SELECT pair_id, {', '.join(f'{int(i == j)}::DOUBLE AS m{i}{j}' if j < 3 else f'round(avg(q{a} - {a}), 4) AS m{i}3' for i, a in enumerate('xyz') for j in range(4))} FROM pair GROUP BY 1")
 
 
 @register("flipped_by_registration", f"{WITH} SELECT neuron_id, point_no, round(49 * 1.4 - x, 4) AS x, round(y, 6) AS y, round(z, 6) AS z FROM points")

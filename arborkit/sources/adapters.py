@@ -91,3 +91,14 @@ arbors AS MATERIALIZED (
 
 #: One tree a neuron.
 TREES_SQL = ARBORS_SQL.replace("arbors AS", "trees AS").replace(" OR point_no % 401 = 0", "")
+
+
+#: A grid over each neuron's box: three to five points an axis, more for higher numbers.
+BOXES_SQL = ARBORS_SQL + """, box AS (SELECT neuron_id, min(x) AS low_x, max(x) AS high_x, min(y) AS low_y, max(y) AS high_y, min(z) AS low_z, max(z) AS high_z,
+  (3 + neuron_id % 3)::INTEGER AS n_x, 4 AS n_y, (2 + count(*) % 2)::INTEGER AS n_z FROM arbors GROUP BY neuron_id)"""
+
+
+def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = [f(a).alias(f"{t}_{a}") for a in "xyz" for t, f in (("low", F.min), ("high", F.max))]
+    rows = arbors(spark, sf_dir).groupBy("neuron_id").agg(*ends, F.count("*").alias("n"))
+    return rows.select("neuron_id", *[f"{t}_{a}" for a in "xyz" for t in ("low", "high")], (3 + F.col("neuron_id") % 3).cast("int").alias("n_x"), F.lit(4).alias("n_y"), (2 + F.col("n") % 2).cast("int").alias("n_z"))
