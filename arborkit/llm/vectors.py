@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of the vectors of a shard and of a block of queries; shards of a group; rows of a sample.
-SHARD_BYTES, BLOCK_BYTES, GROUP_SHARDS, SAMPLE = 2 << 20, 1 << 20, 16, 2048
+SHARD_BYTES, BLOCK_BYTES, GROUP_SHARDS, SAMPLE = 2 << 20, 1 << 20, 16, 128
 PACKED = "shard long, ids binary, dim int, vectors binary"
 
 
@@ -61,23 +61,50 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b)
 
 
+def sampled(ids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query its ``k``-th score among the first ``SAMPLE`` rows, and the ids and scores of its ``k`` best there (none: -inf)."""
+    own, v = own[:SAMPLE], v[:SAMPLE]
+    scores = q @ v.T
+    scores[ids[:, None] == own[None, :]] = -np.inf
+    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
+    there = np.take_along_axis(scores, order, axis=1) > -np.inf
+    top = np.where(there, dot(np.repeat(q, order.shape[1], axis=0), v[order.ravel()]).reshape(order.shape), -np.inf)
+    if top.shape[1] < k:
+        fill = ((0, 0), (0, k - top.shape[1]))
+        order, top = np.pad(order, fill), np.pad(top, fill, constant_values=-np.inf)
+    return top[:, k - 1].copy(), own[order], top
+
+
 def with_floors(blocks: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Adds ``extra``: for each query a score that ``k`` other vectors reach, its k-th in a sample."""
-    sample = index.groupBy("dim").agg(F.max_by(F.struct("ids", "vectors"), F.struct(F.length("ids"), "shard")).alias("s"))
+    """Adds ``extra``: what a small sample of the table (one a dimension, of bounded size) tells of each query.
+
+    That is the score that ``k`` other vectors reach, and its ``k`` best there, which
+    are results like any other: a search that finds nothing better still has them.
+    """
+    sample = index.groupBy("dim").agg(F.max_by(F.struct("ids", "vectors", "shard"), F.struct(F.length("ids"), "shard")).alias("s"))
+    width = 8 * SAMPLE
+    sample = sample.select("dim", F.substring("s.ids", 1, width).alias("known_ids"), F.expr(f"substring(s.vectors, 1, {width} * dim)").alias("known"), F.col("s.shard").alias("known_shard"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("dim", pa.int32()), ("vectors", pa.binary()), ("extra", pa.binary())])
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 ids, q = unpack(row)
                 own, v = unpack({"ids": row.pop("known_ids"), "vectors": row.pop("known")})
-                own, v = own[:SAMPLE], v[:SAMPLE]
-                scores = q @ v.T
-                scores[ids[:, None] == own[None, :]] = -np.inf
-                row["extra"] = (np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), -np.inf)).tobytes()
-                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("dim", pa.int32()), ("vectors", pa.binary()), ("extra", pa.binary())]))
+                floor, names, scores = sampled(ids, q, own, v, k)
+                row["extra"] = b"".join([np.int64(row.pop("known_shard")).tobytes(), floor.tobytes(), names.astype(np.int64).tobytes(), scores.astype(np.float64).tobytes()])
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    # as many rows as there are dimensions, each of SAMPLE vectors
+    return blocks.join(F.broadcast(sample), "dim").select("shard", "ids", "dim", "vectors", "known_ids", "known", "known_shard").mapInArrow(run, PACKED + ", extra binary")
+
 
-    both = blocks.join(sample, "dim").select("shard", "ids", "dim", "vectors", F.col("s.ids").alias("known_ids"), F.col("s.vectors").alias("known"))
-    return both.mapInArrow(run, PACKED + ", extra binary")
+def told(extra: bytes, n: int, k: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`with_floors` packed for ``n`` queries."""
+    at = 8 + 8 * n
+    ids = np.frombuffer(extra, dtype=np.int64, offset=at, count=n * k).reshape(n, k)
+    return int(np.frombuffer(extra, dtype=np.int64, count=1)[0]), np.frombuffer(extra, dtype=np.float64, offset=8, count=n), ids, np.frombuffer(extra, dtype=np.float64, offset=at + 8 * n * k).reshape(n, k)
 
 
 def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -106,6 +133,9 @@ def top_k(queries: DataFrame, index: DataFrame, shards: int, k: int, open_shard:
     ``open_shard(v, extra)`` prepares a shard once, ``search(shard, q, floor, own)``
     gives pairs (query, row) and their scores; rows whose score is below a
     query's floor need not be among them, ``own`` is a query's own row or -1.
+    Where that may lose some (scores in double), the sample's best join the results
+    of the group that holds the sample's shard, so every query has ``k`` results, or
+    all candidates if there are fewer.
     """
     parallel = 4 * index.sparkSession.sparkContext.defaultParallelism
     groups = max(1, -(-shards // GROUP_SHARDS), min(shards, parallel))
@@ -124,13 +154,22 @@ def top_k(queries: DataFrame, index: DataFrame, shards: int, k: int, open_shard:
                 if row["kind"] == 0:
                     opened.append((ids, open_shard(v, row["extra"])))
                     continue
-                floor = np.frombuffer(row["extra"], dtype=np.float64)
-                who, to, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64 if kind == "long" else np.float64)
+                known_shard, floor, known, known_score = told(row["extra"], len(ids), k)
+                number = np.int64 if kind == "long" else np.float64
+                who, to, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, number)
+                here = kind == "double" and known_shard % groups == row["grp"]  # whole scores come from the exact search alone
+                if here:
+                    who, place = np.nonzero(known_score > -np.inf)
+                    to, score = known[who, place], known_score[who, place]
                 for names, shard in opened:
                     order = np.argsort(names, kind="stable")
                     place = order[np.minimum(np.searchsorted(names[order], ids), len(names) - 1)]
                     a, b, s = search(shard, v, floor, np.where(names[place] == ids, place, -1))
                     who, to, score = np.concatenate([who, a]), np.concatenate([to, names[b]]), np.concatenate([score, s])
+                    if here:  # the sample's rows are met again in their shard
+                        order = np.lexsort((to, who))
+                        new = np.r_[True, (who[order][1:] != who[order][:-1]) | (to[order][1:] != to[order][:-1])] if len(who) else np.zeros(0, bool)
+                        who, to, score = who[order][new], to[order][new], score[order][new]
                     keep = best(who, to, score, k)
                     who, to, score = who[keep], to[keep], score[keep]
                     floor = raised(floor, who, score, k)

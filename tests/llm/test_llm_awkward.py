@@ -193,9 +193,28 @@ def test_recall_at_the_registered_factor(spark):
     got = collections.defaultdict(set)
     for r in vptree.nearest(df).collect():
         got[r.query_id].add(r.vec_id)
+    assert set(got) == set(want) and all(len(found) == 20 for found in got.values())
     assert sum(len(got[i] & want[i]) for i in want) >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("factor", [0.0, 0.22, 1.0])
+def test_every_query_has_all_its_results(spark, monkeypatch, factor):
+    """Whatever is pruned, each query gets k rows, or all candidates of its dimension if there are fewer."""
+    monkeypatch.setattr(vectors, "SAMPLE", 40)
+    monkeypatch.setattr(vptree, "SHARD_BYTES", 4096)
+    x = np.random.default_rng(8).normal(size=(400, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, [1.0, float(i)]) for i in range(1000, 1006)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in vptree.nearest(df, k=20, factor=factor).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {*range(0, 400, 20), 1000}
+    for q, found in got.items():
+        due = 5 if q == 1000 else 20
+        assert [f[0] for f in found] == list(range(1, due + 1)) and len({f[1] for f in found}) == due and q not in {f[1] for f in found}
+        assert [f[2] for f in found] == sorted((f[2] for f in found), reverse=True)
+
+
 def test_trees_leave_rows_without_a_distance():
     x = np.random.default_rng(1).normal(size=(3000, 32))
     x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
