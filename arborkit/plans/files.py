@@ -15,6 +15,7 @@ from arborkit.operators import skeleton as k
 from arborkit.operators import tree
 from arborkit.sources import formats as f
 from arborkit.sources.adapters import ARBORS_SQL, TREES_SQL, arbors, table
+from arborkit.sources.datasources import save_files, volumes
 from arborkit.sources.files import decoded, encoded, files, scratch, write_files
 from arborkit.sources.swc import read_swc, write_swc
 
@@ -288,6 +289,21 @@ _volume_query("nrrd_from_lattice", _lattice("binary", "big", "ushort"), lambda d
 _volume_query("nrrd_detached", lambda v: f.write_nrrd(v, "float", "raw"), lambda d: f.read_nrrd(f.detached_header(d, "x.nrrd"), d)[1], ".nrrd")
 
 
+@register("volumes_by_slabs", f"{DENSE} SELECT * FROM dense")
+def volumes_by_slabs(spark, sf_dir):
+    """Files of three formats, saved and read as a data source, each by several tasks."""
+    kinds = {"A": (lambda v: f.write_nrrd(v, "float", "raw", endian="big"), ".nrrd"), "N": (_lattice("binary", "big", "float"), ".am")}
+    folder, made = scratch(spark, "volume-files"), None
+    for region in ("A", "N", None):
+        write, suffix = kinds.get(region, (lambda v: f.write_raw_stack(v, 4, True), ".raw"))
+        own = voxels(spark, sf_dir).where(F.col("density_id") == region if region else ~F.col("density_id").isin(*kinds))
+        part = encoded(own, "density_id", [], ["i", "j", "k", "value"], lambda c, w=write: w(dense(c)), suffix)
+        made = part if made is None else made.unionByName(part)
+    save_files(made, folder)
+    rows = volumes(spark, folder, slab_bytes=1000)
+    return rows.select(F.substring_index("name", ".", 1).alias("density_id"), "i", "j", "k", "value")
+
+
 #: Of each volume the greatest value, the sum and the number of voxels that are not empty.
 TOLD = f"{VOX}, told AS (SELECT density_id, max(value)::INTEGER AS top, sum(value)::INTEGER AS total, count(*)::INTEGER AS filled FROM vox GROUP BY 1)"
 

@@ -37,7 +37,8 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 def write_files(table: DataFrame, folder: str, force: bool = False) -> DataFrame:
     """Write ``(name, content)`` rows into a folder that all workers share; ``name, written``.
 
-    Existing files stay (``written`` false) unless ``force``.
+    Existing files stay (``written`` false) unless ``force``.  A file gets its name once
+    it is whole, so a task that is run again finds no half of one.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,8 +54,10 @@ def write_files(table: DataFrame, folder: str, force: bool = False) -> DataFrame
                 free = force or place.get_file_info(to).type == fs.FileType.NotFound
                 if free:
                     place.create_dir(posixpath.dirname(to), recursive=True)
-                    with place.open_output_stream(to, compression=None) as f:
+                    part = f"{to}.{uuid.uuid4().hex}.part"
+                    with place.open_output_stream(part, compression=None) as f:
                         f.write(content)
+                    place.move(part, to)
                 done.append(free)
             yield pa.record_batch([batch.column(0), pa.array(done, pa.bool_())], names=["name", "written"])
 
