@@ -10,21 +10,24 @@ cut counts (ties: smallest k).  Candidates that lie in a longer one which occurs
 least ``percent`` per cent as often are dropped.  The best ``top`` of each language
 stay: by score, then ``a`` (both descending), then phrase (bytes, ascending).
 
-How it runs: each task cuts its texts into shards, one language each, of a bounded
-number of words.  A shard numbers its word places (a piece's end takes one too) and
-keeps, for each word, the 64-place blocks in which it occurs and their bits.  A
-phrase's bitmap marks the places of its last word; shifted by one place and ANDed
-with a word's bitmap it is that of the longer phrase, and its popcount is added up
-over shards.  Depth-first, some first words at a time, phrases are extended as long
-as what is known of the whole corpus lets them reach ``least``:
+How it runs: texts are cut into shards, one language each, of a bounded number of
+words, which are numbered and written once.  A shard's word places are counted on (a
+piece's end takes one too); each word keeps the 64-place blocks in which it occurs and
+their bits.  A phrase's bitmap marks the places of its last word; shifted by one place
+and ANDed with a word's bitmap it is that of the longer phrase, and its popcount is
+added up over shards.  Depth-first, some first words at a time, phrases are extended
+as long as what is known of the whole corpus lets them reach ``least``:
 
 1. words: counts of all;
-2. pairs of words that both occur often enough;
-3. phrases of three to ``longest`` words of which every adjacent pair does.
+2. pairs of words that both occur often enough: their popcounts go into a count-min
+   sketch, which never falls short, and those whose sketched count reaches ``least``
+   are counted exactly;
+3. phrases of three to ``longest`` words of which every adjacent pair does: likewise,
+   exactly where the sketched count of each beginning reaches ``least``, too.
 
-What occurs often enough reaches the tasks as a filter of bits of bounded size
-(``RepeatSketch``); past that size it lets more through to the exact sums, and
-never loses a phrase.  Scores are computed in decimals of 38 digits.
+What occurs often enough reaches the tasks as a filter of bits of bounded size; past
+that size it lets more through to the exact sums, and never loses a phrase.  Scores are
+computed in decimals of 38 digits.
 
 Null or empty text: no words.  Texts of any length are read whole, in parts that
 end with a piece.  Repeated rows count again.  Other columns are not read.  An
@@ -38,15 +41,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, RepeatSketch, discard, hash_words, materialize, mix64, slices
+from .common import U64, RepeatSketch, discard, hash_words, materialize, mix64, pack_ascending, slices, unpack_ascending
 
 #: Word places of a shard, block entries whose phrases are extended together, bytes of text split at once.
 SHARD, ROOTS, PART = 2_000_000, 250_000, 4_000_000
-#: log2 of the filters' counters a row at most: two rows' bitmaps take 34 MB.
-FILTER_BITS = 27
+#: log2 of the filters' counters a row at most: two rows' bitmaps take 34 MB (sketch: 67 MB).
+FILTER_BITS, SKETCH_BITS = 27, 28
 END = b"\xff"  # in no UTF-8 text
 _TABLE = bytes(ord("\n") if c in b".,;:!?\x0a\x0b\x0c\x0d" else ord(" ") if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PAIR = U64(0x9E3779B97F4A7C15)
@@ -79,11 +83,17 @@ class Shard:
         self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=len(words)))
         self.size += len(words)
 
-    def close(self) -> Shard:
-        self.ids = np.concatenate(self.parts)
-        self.words = list(self.numbers)
-        self.numbers, self.parts = None, []
-        return self
+    def packed(self) -> tuple[bytes, bytes]:
+        """Words in order of their numbers, and numbers in order of places, compressed."""
+        put = zstandard.ZstdCompressor(level=1).compress
+        return put(b" ".join(list(self.numbers)[1:])), put(np.concatenate(self.parts).tobytes())
+
+    @classmethod
+    def opened(cls, words: bytes, ids: bytes) -> Shard:
+        get = zstandard.ZstdDecompressor().decompress
+        shard = cls()
+        shard.words, shard.ids = [END, *get(words).split(b" ")], np.frombuffer(get(ids), dtype=np.int32)
+        return shard
 
     def text(self) -> pa.Array:
         return pa.array([b"", *self.words[1:]], pa.binary()).cast(pa.string())
@@ -106,9 +116,26 @@ def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
                 if shard.size >= SHARD or held >= 2 * SHARD:
                     full = max(open_, key=lambda x: open_[x].size)
                     held -= open_[full].size
-                    yield full, open_.pop(full).close()
+                    yield full, open_.pop(full)
     for lang in list(open_):
-        yield lang, open_.pop(lang).close()
+        yield lang, open_.pop(lang)
+
+
+def written_shards(docs: DataFrame) -> DataFrame:
+    """All texts as a table of packed shards."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, shard in shards(batches):
+            words, ids = shard.packed()
+            yield pa.record_batch([pa.array([lang], pa.string()), pa.array([words], pa.binary()), pa.array([ids], pa.binary())], names=["lang", "words", "ids"])
+
+    return materialize(docs.mapInArrow(run, "lang string, words binary, ids binary"), "phrase-shards")
+
+
+def opened(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
+    for batch in batches:
+        for lang, words, ids in zip(*batch.columns):
+            yield lang.as_py(), Shard.opened(words.as_py(), ids.as_py())
 
 
 class Bitmaps:
@@ -153,46 +180,47 @@ class Bitmaps:
         return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def mined(shard: Shard, kept: np.ndarray, lengths: range, adjacent=None) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Phrases and their counts in a shard, for every length of ``lengths``, depth-first.
+def mined(shard: Shard, own: np.ndarray, kept: np.ndarray, lengths: range, may=None, named: bool = True) -> Iterator[tuple[np.ndarray, pa.Array | None, np.ndarray]]:
+    """Keys, phrases (if ``named``) and counts in a shard, for every length of ``lengths``, depth-first.
 
-    ``adjacent(before, words)``: which pairs of word numbers may stand side by side.
+    ``own`` has a hash and ``kept`` a mark for each word.  ``may(length, last, new,
+    keys)`` says which phrases stay: by the numbers of their last two words and by key.
     """
     maps = Bitmaps(shard.ids, kept)
-    text = shard.text()
+    text = shard.text() if named else None
     # first words in lots of about ROOTS entries; a word's entries stay together
     starts = np.flatnonzero(np.r_[True, maps.word[1:] != maps.word[:-1]]) if len(maps.word) else np.zeros(0, np.int64)
     lot = starts // ROOTS
     lots = starts[np.flatnonzero(np.r_[True, lot[1:] != lot[:-1]])] if len(starts) else starts
     for lo, hi in zip(lots, [*lots[1:], len(maps.word)]):
-        own = maps.word[lo:hi]
-        words = own[np.r_[True, own[1:] != own[:-1]]]
-        phrase, block, bits = np.cumsum(np.r_[0, own[1:] != own[:-1]]), maps.block[lo:hi], maps.bits[lo:hi]
-        names = text.take(pa.array(words))
+        first_words = maps.word[lo:hi]
+        words = first_words[np.r_[True, first_words[1:] != first_words[:-1]]]
+        phrase, block, bits = np.cumsum(np.r_[0, first_words[1:] != first_words[:-1]]), maps.block[lo:hi], maps.bits[lo:hi]
+        names, keys = text.take(pa.array(words)) if named else None, own[words]
         for length in range(2, lengths.stop):
             phrase, entry, bits = maps.extended(phrase, block, bits)
             if not len(phrase):
                 break
-            last = maps.word[entry]
-            key = phrase * len(shard.words) + last
-            order = np.argsort(key, kind="stable")
-            key, entry, bits = key[order], entry[order], bits[order]
-            new = np.r_[True, key[1:] != key[:-1]]
+            grown = phrase * len(shard.words) + maps.word[entry]
+            order = np.argsort(grown, kind="stable")
+            grown, entry, bits = grown[order], entry[order], bits[order]
+            new = np.r_[True, grown[1:] != grown[:-1]]
             first = np.flatnonzero(new)
-            before, after = np.divmod(key[first], len(shard.words))
+            before, after = np.divmod(grown[first], len(shard.words))
             times = np.add.reduceat(np.bitwise_count(bits), first, dtype=np.int64)
-            phrase = np.cumsum(new) - 1
-            if adjacent is not None:
-                ok = adjacent(words[before], after)
-                before, after, times = before[ok], after[ok], times[ok]
+            phrase, keys = np.cumsum(new) - 1, _pair_keys(keys[before], own[after])
+            if may is not None:
+                ok = may(length, words[before], after, keys)
+                before, after, times, keys = before[ok], after[ok], times[ok], keys[ok]
                 stays = ok[phrase]
                 phrase, entry, bits = (np.cumsum(ok) - 1)[phrase[stays]], entry[stays], bits[stays]
             if not len(before):
                 break
             block, words = maps.block[entry], after
-            names = pc.binary_join_element_wise(names.take(pa.array(before)), text.take(pa.array(after)), " ")
+            if named:
+                names = pc.binary_join_element_wise(names.take(pa.array(before)), text.take(pa.array(after)), " ")
             if length in lengths:
-                yield names, times
+                yield keys, names, times
 
 
 # --------------------------------------------------------------------------- filters
@@ -216,20 +244,87 @@ def frequent(found: DataFrame, size: int):
     return sketch, found.sparkSession.sparkContext.broadcast(table)
 
 
+class CountSketch(RepeatSketch):
+    """Count-min sketch of counted keys; counters stop at ``least``, and the bitmap tells which got there.
+
+    ``mass`` is the sum of all counts at most: an eighth of ``least`` falls on a
+    counter, up to the largest size.  With so little noise one row is enough.
+    """
+
+    depth = 1
+
+    def __init__(self, mass: float, least: int):
+        super().__init__(min(SKETCH_BITS, int(np.ceil(np.log2(max(2.0, 8 * mass / least))))))
+        self.least = least
+
+    def emit_counts(self, keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        names, payloads = [], []
+        for row in range(self.depth):
+            touched, at = np.unique(self.slots(keys, row), return_inverse=True)
+            counts = np.minimum(np.bincount(at, weights=times, minlength=len(touched)), self.least).astype(np.uint32)
+            blocks, starts = np.unique(touched >> self.block_bits, return_index=True)
+            offsets = (touched & ((1 << self.block_bits) - 1)).astype(np.uint32)
+            for name, lo, hi in zip(blocks, starts, [*starts[1:], len(touched)]):
+                wide = np.uint8 if counts[lo:hi].max() < 256 else np.uint32
+                head = np.array([hi - lo, np.dtype(wide).itemsize], dtype=np.uint32).tobytes()
+                names.append(row << 32 | int(name))
+                payloads.append(head + counts[lo:hi].astype(wide).tobytes() + pack_ascending(offsets[lo:hi]))
+        return pa.record_batch([pa.array(names, pa.int64()), pa.array(payloads, pa.binary())], names=["block", "part"])
+
+    def merge(self, parts: DataFrame) -> np.ndarray:
+        width = 1 << self.block_bits
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, counts = None, np.zeros(width, dtype=np.uint32)
+
+            def out():
+                return pa.record_batch([pa.array([current], pa.int64()), pa.array([np.packbits(counts >= self.least, bitorder="little").tobytes()], pa.binary())], names=["block", "part"])
+
+            for batch in batches:
+                for block, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if block != current:
+                        if current is not None:
+                            yield out()
+                        current, counts = block, np.zeros(width, dtype=np.uint32)
+                    data = part.as_buffer()
+                    n, size = np.frombuffer(data, dtype=np.uint32, count=2)
+                    own = np.frombuffer(data, dtype=np.uint8 if size == 1 else np.uint32, offset=8, count=n)
+                    at = unpack_ascending(data.slice(8 + int(n) * int(size)))
+                    counts[at] = np.minimum(counts[at] + own, self.least)
+            if current is not None:
+                yield out()
+
+        merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, part binary")
+        table = np.zeros((self.depth, 1 << (self.bits - 3)), dtype=np.uint8)
+        for block, part in merged.collect():  # size fixed by bits
+            lo = (block & 0xFFFFFFFF) << (self.block_bits - 3)
+            table[block >> 32, lo : lo + (width >> 3)] = np.frombuffer(part, dtype=np.uint8)
+        return table
+
+
 # ------------------------------------------------------------------------- the mining
 COUNTED = "lang string, phrase string, times long"
+#: Counted phrases that a task holds to add them up.
+HELD = 500_000
 
 
 def _counted(lang: str, names: pa.Array, times: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array([lang] * len(names), pa.string()), names, pa.array(times, pa.int64())], names=["lang", "phrase", "times"])
 
 
+def _added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    whole = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("times", "sum")])
+    return whole.select(["lang", "phrase", "times_sum"]).rename_columns(["lang", "phrase", "times"]).to_batches(50_000)
+
+
 def phrase_counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, f`` of all phrases (words, too) with ``f >= least``, and ``lang, n``."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
 
+    cut = written_shards(docs)
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, shard in shards(batches):
+        for lang, shard in opened(batches):
             times = np.bincount(shard.ids, minlength=len(shard.words))
             # the END stands for the language: its row counts all words
             times[0] = len(shard.ids) - times[0]
@@ -239,27 +334,64 @@ def phrase_counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame,
     def summed(rows: DataFrame) -> DataFrame:
         return rows.groupBy("lang", "phrase").agg(F.sum("times").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
 
-    words = materialize(summed(docs.mapInArrow(count, COUNTED)), "word-counts")
+    words = materialize(summed(cut.mapInArrow(count, COUNTED)), "word-counts")
     totals, words = words.where("phrase is null").select("lang", F.col("f").alias("n")), words.where("phrase is not null")
-    sketch, often = frequent(words, 1)
-
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, shard in shards(batches):
-            kept = sketch.repeated(often.value, shard.hashes(lang))
-            for names, times in mined(shard, kept, range(2, 3)):
-                yield _counted(lang, names, times)
-
-    two = materialize(summed(docs.mapInArrow(pairs, COUNTED)), "pair-counts")
-    pair_sketch, often_two = frequent(two, 2)
-
-    def phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, shard in shards(batches):
-            own = shard.hashes(lang)
-            kept = sketch.repeated(often.value, own)
-            for names, times in mined(shard, kept, range(3, longest + 1), lambda a, b: pair_sketch.repeated(often_two.value, _pair_keys(own[a], own[b]))):
-                yield _counted(lang, names, times)
-
-    more = materialize(summed(docs.mapInArrow(phrases, COUNTED)), "phrase-counts")
+    words_sketch, often = frequent(words, 1)
+
+    def sketched(sketch: CountSketch, lengths: range, may) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for lang, shard in opened(batches):
+                own = shard.hashes(lang)
+                found = [(keys, times) for keys, _, times in mined(shard, own, words_sketch.repeated(often.value, own), lengths, may(own), named=False)]
+                if found:
+                    yield sketch.emit_counts(*(np.concatenate(c) for c in zip(*found)))
+
+        return cut.sparkSession.sparkContext.broadcast(sketch.merge(cut.mapInArrow(run, "block long, part binary")))
+
+    def exact(lengths: range, may) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, rows = [], 0
+            for lang, shard in opened(batches):
+                own = shard.hashes(lang)
+                for _, names, times in mined(shard, own, words_sketch.repeated(often.value, own), lengths, may(own)):
+                    held.append(_counted(lang, names, times))
+                    rows += len(times)
+                if rows >= HELD:  # shards of a task are added up as far as they fit
+                    yield from _added(held)
+                    held, rows = [], 0
+            if held:
+                yield from _added(held)
+
+        return materialize(summed(cut.mapInArrow(run, COUNTED)), f"phrases-{lengths.start}")
+
+    # a pair has a first word, and a longer phrase a first pair, that occurs as often
+    pair_sketch = CountSketch(words.agg(F.sum("f")).first()[0] or 0, least)
+    likely_two = sketched(pair_sketch, range(2, 3), lambda own: None)
+    two = exact(range(2, 3), lambda own: lambda length, last, new, keys: pair_sketch.repeated(likely_two.value, keys))
+    if longest < 3:
+        discard(cut)
+        return words.unionByName(two), totals
+    two_sketch, often_two = frequent(two, 2)
+
+    def adjacent(own: np.ndarray):
+        return lambda length, last, new, keys: two_sketch.repeated(often_two.value, keys if length == 2 else _pair_keys(own[last], own[new]))
+
+    long_sketch = CountSketch((longest - 2) * (two.agg(F.sum("f")).first()[0] or 0), least)
+    likely = sketched(long_sketch, range(3, longest + 1), adjacent)
+
+    def beginning(own: np.ndarray):
+        paired = adjacent(own)
+
+        def may(length, last, new, keys):
+            ok = paired(length, last, new, keys)
+            if length > 2:
+                ok[ok] = long_sketch.repeated(likely.value, keys[ok])
+            return ok
+
+        return may
+
+    more = exact(range(3, longest + 1), beginning)
+    discard(cut)
     return words.unionByName(two).unionByName(more), totals
 
 

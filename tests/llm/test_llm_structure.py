@@ -340,6 +340,7 @@ def test_collocations_equal_brute_force(spark, monkeypatch, least, longest, perc
     monkeypatch.setattr(collocations, "SHARD", 60)
     monkeypatch.setattr(collocations, "ROOTS", 9)
     monkeypatch.setattr(collocations, "PART", 20)
+    monkeypatch.setattr(collocations, "HELD", 50)
     assert sorted(map(tuple, collocations.collocations(table, least, longest, percent, top).collect())) == want
 
 
@@ -363,10 +364,31 @@ def test_bitmaps_shift_over_block_edges():
     ids = np.array([1, 2] * 200 + [0, 1, 1, 0], dtype=np.int32)
     shard = collocations.Shard()
     shard.ids, shard.words = ids, [b"\xff", b"a", b"b"]
-    found = {name: int(t) for names, times in collocations.mined(shard, np.array([False, True, True]), range(2, 5)) for name, t in zip(names.to_pylist(), times)}
+    own = np.array([3, 5, 9], dtype=np.uint64)
+    found = {name: int(t) for _, names, times in collocations.mined(shard, own, np.array([False, True, True]), range(2, 5)) for name, t in zip(names.to_pylist(), times)}
     assert found == {"a b": 200, "b a": 199, "a a": 1, "a b a": 199, "b a b": 199, "a b a b": 199, "b a b a": 198}
 
 
+def test_count_sketch_never_falls_short(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    monkeypatch.setattr(collocations.CountSketch, "block_bits", 8)
+    keys, times = r.integers(0, 2**63, size=3000, dtype=np.uint64), r.integers(1, 400, size=(4, 3000))
+    sketch = collocations.CountSketch(2**17 * 300 / 8, 300)
+    parts = [sketch.emit_counts(keys, t) for t in times]
+    rows = [(b, bytes(p)) for part in parts for b, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+    table = sketch.merge(spark.createDataFrame(rows, "block long, part binary"))
+    told, total = sketch.repeated(table, keys), times.sum(axis=0)
+    assert told[total >= 300].all() and not told[total < 300].all()
+
+
+def test_shards_come_back_as_packed():
+    shard = collocations.Shard()
+    for part in collocations.tokens("A b, a c. d!"):
+        shard.add(part)
+    again = collocations.Shard.opened(*shard.packed())
+    assert [again.words[i] for i in again.ids] == [b"a", b"b", b"\xff", b"a", b"c", b"\xff", b"d", b"\xff", b"\xff"]
+
+
 def test_queries_are_registered():
     from arborkit.llm import queries
 
