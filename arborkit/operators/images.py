@@ -73,6 +73,12 @@ def boxes(points: DataFrame, by: list[str]) -> DataFrame:
     return points.groupBy(*by).agg(*[f(a).alias(f"{t}_{a}") for a in AXES for t, f in (("low", F.min), ("high", F.max))])
 
 
+def is_grid() -> Column:
+    """Whether a row has whole bounds and at least one voxel on every axis."""
+    own = [F.coalesce((F.col(f"n_{a}") >= 1) & (F.col(f"high_{a}") > F.col(f"low_{a}")), F.lit(False)) for a in AXES]
+    return own[0] & own[1] & own[2]
+
+
 def centres(grids: DataFrame, by: list[str]) -> DataFrame:
     """Every voxel of each grid (bounds are outer edges) with its centre."""
     rows = _spread(grids, {v: F.col(f"n_{a}") for a, v in zip(AXES, VOXEL)})
@@ -475,6 +481,22 @@ def hull_2d(xy: np.ndarray) -> np.ndarray:
     return np.unique(half(order) + half(order[::-1]))
 
 
+def contours(points: DataFrame, by: str, contour: str, number: str, least: int = 5, thin: bool = True) -> DataFrame:
+    """Contours of each ``by`` along z: ``place`` numbers all their points by z, then contour, then order.
+
+    Contours of fewer than ``least`` points are left out; ``thin`` keeps the corners of
+    each one's hull in x and y only.
+    """
+    from pyspark.sql import Window
+
+    rows = points.where("x is not null and y is not null and z is not null").select(by, contour, number, *AXES)
+    if thin:
+        kept = outlines(rows, [by, contour], number, least).drop("place")
+    else:
+        kept = rows.withColumn("_n", F.count("*").over(Window.partitionBy(by, contour))).where(F.col("_n") >= least).drop("_n")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("z", contour, number)))
+
+
 def outlines(points: DataFrame, by: list[str], number: str, least: int = 3) -> DataFrame:
     """Contours thinned to the corners of their hull in x and y, in their own order, as ``place`` from 1.
 

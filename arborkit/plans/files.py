@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from arborkit.catalog import register
+from arborkit.operators import images as im
 from arborkit.operators import registration as g
 from arborkit.operators import skeleton as k
 from arborkit.operators import tree
@@ -289,6 +290,33 @@ _volume_query("nrrd_from_lattice", _lattice("binary", "big", "ushort"), lambda d
 _volume_query("nrrd_detached", lambda v: f.write_nrrd(v, "float", "raw"), lambda d: f.read_nrrd(f.detached_header(d, "x.nrrd"), d)[1], ".nrrd")
 
 
+@register("contours_thinned", """WITH cl AS (SELECT vec_id AS set_id, dot_id::INTEGER AS dot_id, dot_id // 7 AS number, round(embedding[dot_id*3+1]::DOUBLE, 6) AS x, round(embedding[dot_id*3+2]::DOUBLE, 6) AS y, round(embedding[(dot_id // 7)*21+3]::DOUBLE, 6) AS z
+FROM (SELECT vec_id, embedding, unnest(range(0, 21)) AS dot_id FROM embeddings)),
+side AS (SELECT a.set_id, a.number, a.dot_id, a.x, a.y, a.z, b.dot_id AS other, bool_and((b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) > 0) AS edge
+  FROM cl a JOIN cl b ON a.set_id = b.set_id AND a.number = b.number AND a.dot_id <> b.dot_id JOIN cl c ON c.set_id = a.set_id AND c.number = a.number AND c.dot_id NOT IN (a.dot_id, b.dot_id) GROUP BY ALL)
+SELECT set_id, (number + 1)::BIGINT AS number, row_number() OVER (PARTITION BY set_id ORDER BY z, number, dot_id)::INTEGER AS place, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM side WHERE edge""")
+def contours_thinned(spark, sf_dir):
+    """Three contours a tracing file, drawn in any order of z: read, thinned to their outlines and brought in order of z."""
+    dots = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("set_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("dot_id"))
+    at = lambda i: F.round(F.get("embedding", i.cast("int")).cast("double"), 6)
+    own = F.floor(F.col("dot_id") / 7)
+    dots = dots.select("set_id", "dot_id", at(F.col("dot_id") * 3).alias("x"), at(F.col("dot_id") * 3 + 1).alias("y"), at(own * 21 + 2).alias("z"))
+
+    def write(c):
+        rows, out = _rows(c, ["x", "y", "z"]), []
+        for lo in range(0, len(rows), 7):
+            out += ['("LH"', *[f"  ( {x!r} {y!r} {z!r} 0.5)" for x, y, z in rows[lo : lo + 7]], ")"]
+        return "\n".join(out).encode()
+
+    made = encoded(dots, "set_id", ["dot_id"], ["x", "y", "z"], write, ".asc")
+
+    def read(name, data):
+        return [(number, n, *xyz) for n, (_, number, *xyz) in enumerate(f.read_asc(data)["contours"])]
+
+    rows = decoded(made, read, "number long, n int, x double, y double, z double").withColumn("set_id", _set("name"))
+    return im.contours(rows, "set_id", "number", "n").select(F.col("set_id").cast("long").alias("set_id"), "number", "place", *[r(F.col(a), 6).alias(a) for a in "xyz"])
+
+
 @register("volumes_by_slabs", f"{DENSE} SELECT * FROM dense")
 def volumes_by_slabs(spark, sf_dir):
     """Files of three formats, saved and read as a data source, each by several tasks."""

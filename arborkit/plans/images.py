@@ -37,6 +37,13 @@ def _rounded(rows):
     return rows.select("neuron_id", "i", "j", "k", *[r(F.col(c), 9).alias(c) for c in "xyz"])
 
 
+@register("grids_checked", f"WITH {BOXES_SQL} SELECT neuron_id, neuron_id % 4 <> 0 AND high_x > low_x AND high_y > low_y AND high_z > low_z AS is_grid FROM box")
+def grids_checked(spark, sf_dir):
+    """Which rows describe a density's grid; every fourth lacks a bound."""
+    rows = boxed(spark, sf_dir).withColumn("high_z", F.when(F.col("neuron_id") % 4 != 0, F.col("high_z")))
+    return rows.select("neuron_id", im.is_grid().alias("is_grid"))
+
+
 @register("voxel_centres", _grid_sql("low_{a} + ({v} + 0.5) * (high_{a} - low_{a}) / n_{a}"))
 def voxel_centres(spark, sf_dir):
     return _rounded(im.centres(boxed(spark, sf_dir), ["neuron_id"]))
@@ -286,16 +293,25 @@ def paired_deviations_t(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- cumulative normal
-@register("normal_fits", "WITH c AS (SELECT c_nationkey AS id, avg(c_acctbal) AS mu, stddev_pop(c_acctbal) AS sigma FROM customer GROUP BY 1) SELECT id, round(mu, 2) AS mu, round(sigma, 2) AS sigma, round(mu + 2 * sigma, 1) AS threshold FROM c WHERE sigma > 0")
-def normal_fits(spark, sf_dir):
-    """Histograms of normal distributions with each nation's mean and deviation of balances: the fit must find them."""
+def _balances(spark, sf_dir, width=1.0):
+    """Histograms of normal distributions with each nation's mean and deviation of balances."""
     from arborkit.functions.scalars import cumnorm
 
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.avg("c_acctbal").alias("mu"), F.stddev_pop("c_acctbal").alias("sigma")).where("sigma > 0")
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.avg("c_acctbal").alias("mu"), (width * F.stddev_pop("c_acctbal")).alias("sigma")).where("sigma > 0")
     rows = c.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(119))))
     edge = lambda n: F.col("mu") + (n - 60) / 10 * F.col("sigma")
     share = cumnorm(edge(F.col("bin") + 1), F.col("mu"), F.col("sigma")) - cumnorm(edge(F.col("bin")), F.col("mu"), F.col("sigma"))
-    return im.background(rows.select("id", "bin", edge(F.col("bin") + 1).alias("hi"), (1e9 * share).alias("count")), "id").select("id", r(F.col("mu"), 2).alias("mu"), r(F.col("sigma"), 2).alias("sigma"), r(F.col("threshold"), 1).alias("threshold"))
+    return rows.select("id", "bin", edge(F.col("bin") + 1).alias("hi"), (1e9 * share).alias("count"))
+
+
+BALANCES_SQL = "WITH c AS (SELECT c_nationkey AS id, avg(c_acctbal) AS mu, stddev_pop(c_acctbal) AS sigma FROM customer GROUP BY 1)"
+
+
+@register("normal_fits", f"{BALANCES_SQL} SELECT id, round(mu, 2) AS mu, round(sigma, 2) AS sigma, round(mu + 2 * sigma, 1) AS threshold FROM c WHERE sigma > 0")
+def normal_fits(spark, sf_dir):
+    """The fit must find the distributions that the histograms were made of."""
+    out = im.background(_balances(spark, sf_dir), "id")
+    return out.select("id", r(F.col("mu"), 2).alias("mu"), r(F.col("sigma"), 2).alias("sigma"), r(F.col("threshold"), 1).alias("threshold"))
 
 
 @register("background_fits")
@@ -310,13 +326,19 @@ def cumulative_corners(spark, sf_dir):
     return im.cumulative_corner(hist, "event_type")
 
 
-@register("background_refreshed", "SELECT n_nationkey AS image, CASE WHEN n_nationkey % 5 = 0 OR n_nationkey % 7 = 3 THEN 'new' ELSE 'old' END AS state FROM nation WHERE n_nationkey % 11 <> 10")
+@register("background_refreshed", f"{BALANCES_SQL} SELECT id, CASE WHEN id % 5 = 0 OR id % 7 = 3 THEN 2 ELSE 1 END AS version, round(mu, 2) AS mu, round(sigma, 2) AS sigma FROM c WHERE sigma > 0 AND id % 11 <> 10")
 def background_refreshed(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("image"))
-    images = n.where("image % 11 <> 10").withColumn("md5", F.md5(F.concat("image", F.when(F.col("image") % 5 == 0, "b").otherwise("a"))))
-    known = n.where("image % 7 <> 3").select("image", F.md5(F.concat("image", F.lit("a"))).alias("md5"), F.lit("old").alias("state"))
-    fresh = rg.changed_or_new(images, known).withColumn("state", F.lit("new"))
-    return rg.spliced(known, fresh, images).select("image", "state")
+    """Fits kept between two runs: before the second, some histograms change, some are added and some removed."""
+    from arborkit.operators import refresh
+    from arborkit.sources.files import scratch
+
+    path = scratch(spark, "backgrounds")
+    now, wide = _balances(spark, sf_dir), _balances(spark, sf_dir, 2.0)
+    before = now.where("id % 5 <> 0").unionByName(wide.where("id % 5 = 0")).where("id % 7 <> 3")
+    first = refresh.refreshed_backgrounds(spark, path, before, "id").select("id", "digest", F.lit(True).alias("old"))
+    second = refresh.refreshed_backgrounds(spark, path, now.where("id % 11 <> 10"), "id")
+    out = second.join(first, ["id", "digest"], "left")
+    return out.select("id", F.when(F.col("old"), 1).otherwise(2).alias("version"), r(F.col("mu"), 2).alias("mu"), r(F.col("sigma"), 2).alias("sigma"))
 
 
 @register("neuron_table", f"""WITH {ARBORS_SQL}, a AS (SELECT neuron_id, count(*) AS n_points, count(*) FILTER (WHERE parent = -1) AS n_trees FROM arbors GROUP BY 1)

@@ -14,7 +14,7 @@ from arborkit.operators import segments as s
 from arborkit.operators import skeleton as k
 from arborkit.sources.adapters import ARBORS_SQL, POINTS_SQL, arbors, neurons, points, table
 
-from .files import LINKS, REGS, _params, regs  # noqa: F401
+from .files import LINKS, MOVES, REGS, _params, regs  # noqa: F401
 from .morphometry import r
 from .skeletons import WALK
 
@@ -250,6 +250,43 @@ def decomposed_affine(spark, sf_dir):
     return _composed(spark, sf_dir, again=True)
 
 
+def _converted(spark, sf_dir, invert):
+    """Registrations as typed streams, as rows of sixteen numbers, and back; applied to points."""
+    from arborkit.sources import formats as f
+    from arborkit.sources.files import decoded, encoded
+
+    def params(c):
+        p = _params(c)
+        p[4] = 1, 2, 3
+        return p
+
+    streams = encoded(regs(spark, sf_dir), "reg_id", [], MOVES, lambda c: f.write_typed_stream(reg.registration(params(c))), "")
+    to_text = lambda name, data: [(f.write_transform_text(reg.matrix_of(f.read_typed_stream(data)), invert=invert),)]
+    texts = decoded(streams, to_text, "content binary").select("name", "content")
+
+    def to_stream(name, data):
+        return [(f.write_typed_stream(reg.registration(reg.decompose(f.read_transform_text(data, invert=invert), (5, 6, 7)))),)]
+
+    again = decoded(texts, to_stream, "content binary").select("name", "content")
+    matrices = decoded(again, lambda name, data: [(reg.matrix_of(f.read_typed_stream(data)).ravel().tolist(),)], "matrix array<double>")
+    matrices = matrices.select(F.col("name").cast("long").alias("reg_id"), "matrix")
+    moved = reg.transform_by(points(spark, sf_dir).withColumn("reg_id", F.col("neuron_id") % 25), matrices, "reg_id")
+    return moved.select("neuron_id", "point_no", *[r(F.col(a), 6).alias(a) for a in "xyz"])
+
+
+_CONVERTED = CHAIN.replace(", 7)", ", 6)")
+
+
+@register("registrations_converted", _CONVERTED)
+def registrations_converted(spark, sf_dir):
+    return _converted(spark, sf_dir, False)
+
+
+@register("registrations_converted_inverse", _CONVERTED)
+def registrations_converted_inverse(spark, sf_dir):
+    return _converted(spark, sf_dir, True)
+
+
 #: Landmarks: a customer's balance, key and name digits as a place, moved by a matrix that depends on the nation, with noise.
 _MARKS = """mark AS (SELECT c_nationkey AS pair_id, c_custkey AS marker_no, c_acctbal / 1000 AS x, (c_custkey % 17)::DOUBLE AS y, ((c_custkey * 7) % 23)::DOUBLE AS z FROM customer),
 kept AS (SELECT * FROM mark WHERE pair_id IN (SELECT pair_id FROM mark GROUP BY 1 HAVING count(*) >= 8))"""
