@@ -93,7 +93,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: list[float]) -> Data
     before, whole = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
     starts = starts.select(*by, "_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"), F.sum("_m").over(whole).alias("_all"))
     own = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_own", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(F.broadcast(starts), [*by, "_part"]).withColumn("_first", F.col("_start") + F.col("_own"))
+    placed = rows.withColumn("_own", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(starts, [*by, "_part"]).withColumn("_first", F.col("_start") + F.col("_own"))
     held = lambda rank: F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n")), F.col("_v")))
     out, place = [], {}
     for i, q in enumerate(at):

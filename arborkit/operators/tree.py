@@ -62,18 +62,21 @@ def _sums_to_root(points: DataFrame) -> DataFrame:
     """``value`` of ``(neuron_id, point_no, parent, value)`` summed from each point up to its root.
 
     Pointer doubling: each round adds the sum that the ancestor reached holds and
-    doubles the reach, so a path of n points takes log2(n) joins.  Points that
-    no root is above (a missing parent, a cycle) give none.
+    doubles the reach, so a path of n points takes log2(n) joins.  A round writes
+    only the points that are still under way; those that have reached their root
+    stay in the table of the round in which they did.  Points that no root is above
+    (a missing parent, a cycle) give none.
     """
     now, path = _written(points.select(KEY, "point_no", F.col("parent").alias("above"), "value"))
     rounds = now.count().bit_length() + 1  # a point still under way after these is on or below a cycle
+    done = now.where("above = -1")
     while rounds and now.where("above <> -1").limit(1).count():
-        up = now.select(KEY, F.col("point_no").alias("above"), F.col("above").alias("next"), F.col("value").alias("more"))
+        reached = done.unionByName(now.where("above <> -1"))
+        up = reached.select(KEY, F.col("point_no").alias("above"), F.col("above").alias("next"), F.col("value").alias("more"))
         moved = now.where("above <> -1").join(up, [KEY, "above"]).select(KEY, "point_no", F.col("next").alias("above"), (F.col("value") + F.col("more")).alias("value"))
-        after, new_path = _written(now.where("above = -1").unionByName(moved))
-        _drop(now, path)
-        now, path, rounds = after, new_path, rounds - 1
-    return now.where("above = -1").select(KEY, "point_no", "value")
+        now, path = _written(moved)
+        done, rounds = done.unionByName(now.where("above = -1")), rounds - 1
+    return done.select(KEY, "point_no", "value")
 
 
 def depths(points: DataFrame) -> DataFrame:

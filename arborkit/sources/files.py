@@ -19,13 +19,32 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder's name in the cluster's shared folder (a local one only on one machine)."""
+_LOCAL_FOLDER: list[str] = []
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's part of the cluster's shared folder (a local one only where none is set on one machine)."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None)
-    if not folder and not context.master.startswith("local"):
+    if folder:
+        return f"{folder.rstrip('/')}/arborkit-{context.applicationId}"
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(folder or 'file://' + tempfile.mkdtemp(prefix='arborkit-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if not _LOCAL_FOLDER:
+        _LOCAL_FOLDER.append("file://" + tempfile.mkdtemp(prefix="arborkit-"))
+    return _LOCAL_FOLDER[0]
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's name in :func:`scratch_folder`."""
+    return f"{scratch_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote on the way, once its results are saved elsewhere."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _LOCAL_FOLDER.clear()
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
