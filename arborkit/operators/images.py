@@ -155,14 +155,28 @@ def interpolated(points: DataFrame, voxels: DataFrame, grid: Grid, keys: list[st
     rows = points.withColumns({f"_{c}": (F.col(c) - (grid.low[a] + grid.voxel[a] / 2)) / grid.voxel[a] for a, c in enumerate(AXES)})
     for c, n in zip(AXES, grid.n):
         inside = inside & F.col(f"_{c}").between(0, n - 1)
-    rows = rows.withColumn("_in", inside)
-    for c, v, n in zip(AXES, VOXEL, grid.n):
-        low = F.least(F.floor(F.col(f"_{c}")), F.lit(n - 2))
-        part = F.col(f"_{c}") - low
-        rows = rows.select("*", F.explode(F.array(F.struct(low.cast("int").alias("at"), (1 - part).alias("w")), F.struct((low + 1).cast("int").alias("at"), part.alias("w")))).alias(f"_p{c}")).withColumn(v, F.col(f"_p{c}.at"))
-    met = rows.crossJoin(volumes).join(voxels.select(*by, *VOXEL, "value"), [*by, *VOXEL], "left")
-    total = F.sum(F.col("_px.w") * F.col("_py.w") * F.col("_pz.w") * F.coalesce("value", F.lit(0)))
-    return met.groupBy("_key", *by).agg(F.when(F.first("_in"), total).alias("value")).select(*own, "value")
+    low = {c: F.least(F.floor(F.col(f"_{c}")), F.lit(n - 2)).cast("int") for c, n in zip(AXES, grid.n)}
+    rows = rows.withColumn("_in", inside).withColumns({f"_c{c}": v for c, v in low.items()}).withColumns({f"_u{c}": F.col(f"_{c}") - v for c, v in low.items()})
+    cell = [f"_c{c}" for c in AXES]
+    met = rows.crossJoin(volumes).join(corner_values(voxels, grid, by), [*by, *cell], "left")
+    weights = [[1 - F.col(f"_u{c}"), F.col(f"_u{c}")] for c in AXES]
+    total = sum((weights[0][o >> 2] * weights[1][o >> 1 & 1] * weights[2][o & 1] * F.coalesce(f"_v{o}", F.lit(0.0)) for o in range(8)), F.lit(0.0))
+    return met.select(*own, F.when(F.col("_in"), total).alias("value"))
+
+
+def corner_values(voxels: DataFrame, grid: Grid, by: list[str]) -> DataFrame:
+    """For each cell between centres that has any, the values ``_v0`` .. ``_v7`` at its corners; ``_cx, _cy, _cz`` name it by its lowest.
+
+    Voxels are spread to the cells that they are corners of, so that points meet one
+    row a cell and are not multiplied.
+    """
+    corners = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_o")
+    rows = voxels.select(*by, *VOXEL, F.col("value").cast("double").alias("value"), corners)
+    shift = {"_cx": F.col("i") - F.shiftright("_o", 2), "_cy": F.col("j") - F.shiftright("_o", 1) % 2, "_cz": F.col("k") - F.col("_o") % 2}
+    rows = rows.select(*by, *[v.cast("int").alias(c) for c, v in shift.items()], "_o", "value")
+    for c, n in zip(shift, grid.n):
+        rows = rows.where(F.col(c).between(min(0, n - 2), n - 2))
+    return rows.groupBy(*by, *shift).agg(*[F.sum(F.when(F.col("_o") == o, F.col("value"))).alias(f"_v{o}") for o in range(8)])
 
 
 def resampled(spark, voxels: DataFrame, grid: Grid, target: Grid, by: list[str], matrix: np.ndarray | None = None, method: str = "linear") -> DataFrame:

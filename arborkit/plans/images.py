@@ -109,10 +109,10 @@ ip AS (SELECT co.*, d.density_id, {w} AS w FROM co, (SELECT DISTINCT density_id
 _MET = "LEFT JOIN vox v ON v.density_id = ip.density_id AND v.i = lx + ox AND v.j = ly + oy AND v.k = lz + oz"
 
 
-@register("interpolated_linear", f"{VOX}, pts AS (SELECT neuron_id, point_no, x, y, z FROM points), {_linear('pts')} SELECT neuron_id, point_no, ip.density_id, CASE WHEN any_value(inside) THEN round(sum(w * coalesce(v.value, 0)), 6) END AS value FROM ip {_MET} GROUP BY ALL")
+@register("interpolated_linear", f"{VOX}, pts AS (SELECT neuron_id, point_no, x, y, z FROM points), {_linear('pts')} SELECT neuron_id, point_no, ip.density_id, CASE WHEN any_value(inside) THEN round(sum(w * coalesce(v.value, 0)), 9) END AS value FROM ip {_MET} GROUP BY ALL")
 def interpolated_linear(spark, sf_dir):
     p = points(spark, sf_dir).select("neuron_id", "point_no", *"xyz")
-    return im.interpolated(p, voxels(spark, sf_dir), GRID, ["neuron_id", "point_no"], BY).withColumn("value", r(F.col("value"), 6))
+    return im.interpolated(p, voxels(spark, sf_dir), GRID, ["neuron_id", "point_no"], BY).withColumn("value", r(F.col("value"), 9))
 
 
 @register("interpolated_constant", f"{VOX}, q AS (SELECT neuron_id, point_no, floor(x / {DX!r})::INTEGER AS i, floor(y / {DY!r})::INTEGER AS j, floor(z / {DZ!r})::INTEGER AS k FROM points) SELECT neuron_id, point_no, d.density_id, CASE WHEN q.i BETWEEN 0 AND 9 AND q.j BETWEEN 0 AND 11 AND q.k BETWEEN 0 AND 7 THEN coalesce(v.value, 0)::DOUBLE END AS value FROM q, (SELECT DISTINCT density_id FROM vox) d LEFT JOIN vox v ON v.density_id = d.density_id AND v.i = q.i AND v.j = q.j AND v.k = q.k")
