@@ -191,7 +191,7 @@ def lineset_mismatch(a: np.ndarray, others: np.ndarray, starts: np.ndarray, size
     return (np.maximum(0.0, sums(length * d[:, 0] ** 2 + length**3 / 6 * (1 - cosine), starts)),)
 
 
-def polyline_mismatch(a: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray]:
+def polyline_mismatch_all(a: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray]:
     """The same for polylines of as many points as ``a``, point by point; others get NaN."""
     out = np.full(len(sizes), np.nan)
     same = np.flatnonzero(sizes == len(a))
@@ -213,7 +213,7 @@ def divided(xyz: np.ndarray, n: int) -> np.ndarray:
 
 def longest_segment_mismatch(clouds: DataFrame, n: int = 10) -> DataFrame:
     """``id_a, id_b, mismatch`` of lines, each brought to ``n + 1`` points once."""
-    return pairwise(clouds, polyline_mismatch, "mismatch double", prepare=lambda xyz: divided(xyz[:, :3], n))
+    return pairwise(clouds, polyline_mismatch_all, "mismatch double", prepare=lambda xyz: divided(xyz[:, :3], n))
 
 
 # -------------------------------------------------------------------- alignments
@@ -242,7 +242,7 @@ def _diagonals(n: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield i, d - i
 
 
-def aligned(a: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int = 10, missing: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+def aligned_all(a: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int = 10, missing: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Dynamic time warping with point sequences: cost by steps of both lines, and path length.
 
     A pair costs its distance where the other's point is among the ``k`` nearest of
@@ -281,7 +281,7 @@ def steps_of(xyz: np.ndarray, delta: float) -> np.ndarray:
     return np.diff(divided(xyz[:, :3], max(1, int(length // delta))), axis=0)
 
 
-def chunks_matched(u: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray, delta: float, skip_ends: bool = False) -> tuple[np.ndarray, ...]:
+def chunks_matched_all(u: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes: np.ndarray, delta: float, skip_ends: bool = False) -> tuple[np.ndarray, ...]:
     """Edit distance of a string of steps (:func:`steps_of`) to others: cost, mutations, insertions, deletions.
 
     Turning one step into another costs the length of their difference, leaving
@@ -325,6 +325,23 @@ def chunks_matched(u: np.ndarray, others: np.ndarray, starts: np.ndarray, sizes:
     return final, *counts
 
 
+def aligned(a: np.ndarray, b: np.ndarray, k: int = 10, missing: float | None = None) -> tuple[float, int]:
+    """:func:`aligned_all` of one pair."""
+    cost, steps = aligned_all(a, *stacked([b]), k=k, missing=missing)
+    return float(cost[0]), int(steps[0])
+
+
+def chunks_matched(a: np.ndarray, b: np.ndarray, delta: float, skip_ends: bool = False) -> tuple[float, int, int, int]:
+    """:func:`chunks_matched_all` of one pair of lines."""
+    cost, *counts = chunks_matched_all(steps_of(a, delta), *stacked([steps_of(b, delta)]), delta=delta, skip_ends=skip_ends)
+    return (float(cost[0]), *(int(c[0]) for c in counts))
+
+
+def polyline_mismatch(a: np.ndarray, b: np.ndarray) -> tuple[float]:
+    """:func:`polyline_mismatch_all` of one pair."""
+    return (float(polyline_mismatch_all(a, *stacked([b]))[0][0]),)
+
+
 def nearest_to(dots: DataFrame, query: tuple[float, float, float], k: int = 1) -> DataFrame:
     """Each cloud's ``k`` points nearest to one place, ties to smaller ``dot_id``: one aggregation, no window."""
     d2 = sum(((F.col(a) - q) ** 2 for a, q in zip("xyz", query)), F.lit(0.0))

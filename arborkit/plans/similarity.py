@@ -100,7 +100,7 @@ def pair_median_both_ways(spark, sf_dir):
 j AS (SELECT a.neuron_id AS id_a, b.neuron_id AS id_b, sqrt(a.dx**2+a.dy**2+a.dz**2) AS l, sqrt(b.dx**2+b.dy**2+b.dz**2) AS o, a.dx*b.dx + a.dy*b.dy + a.dz*b.dz AS dot, (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 AS g FROM p a JOIN p b ON a.dot_id = b.dot_id AND a.neuron_id < b.neuron_id WHERE a.dx IS NOT NULL)
 SELECT id_a, id_b, round(sum(l * g + l**3 / 6 * (1 - dot / (l * o))), 5) AS mismatch FROM j GROUP BY ALL""")
 def pair_polyline_mismatch(spark, sf_dir):
-    out = sim.pairwise(sim.packed(dotted(spark, sf_dir)), sim.polyline_mismatch, "mismatch double")
+    out = sim.pairwise(sim.packed(dotted(spark, sf_dir)), sim.polyline_mismatch_all, "mismatch double")
     return out.withColumn("mismatch", r(F.col("mismatch"), 5))
 
 
@@ -152,14 +152,14 @@ def longest_segment_mismatch(spark, sf_dir):
 def alignments(spark, sf_dir):
     points_ = arbors(spark, sf_dir)
     longest = k.longest_segment(k.segment_list(points_), points_)
-    return sim.pairwise(sim.packed(longest, "pos"), sim.aligned, "cost double, steps int").withColumn("cost", r(F.col("cost")))
+    return sim.pairwise(sim.packed(longest, "pos"), sim.aligned_all, "cost double, steps int").withColumn("cost", r(F.col("cost")))
 
 
 @register("step_strings_matched")
 def step_strings_matched(spark, sf_dir):
     points_ = arbors(spark, sf_dir)
     longest = k.longest_segment(k.segment_list(points_), points_)
-    out = sim.pairwise(sim.packed(longest, "pos"), partial(sim.chunks_matched, delta=10.0), "cost double, mutated int, inserted int, deleted int", prepare=partial(sim.steps_of, delta=10.0))
+    out = sim.pairwise(sim.packed(longest, "pos"), partial(sim.chunks_matched_all, delta=10.0), "cost double, mutated int, inserted int, deleted int", prepare=partial(sim.steps_of, delta=10.0))
     return out.withColumn("cost", r(F.col("cost")))
 
 
@@ -169,7 +169,7 @@ def segments_aligned(spark, sf_dir):
     points_ = arbors(spark, sf_dir)
     segments = k.segment_list(points_).where("tree_no = 1 and seg_order <= 2")
     rows = k.with_places(segments, points_).withColumn("neuron_id", F.col("neuron_id") * 1_000_000 + F.col("seg_no"))
-    return sim.pairwise(sim.packed(rows, "pos"), sim.aligned, "cost double, steps int").withColumn("cost", r(F.col("cost")))
+    return sim.pairwise(sim.packed(rows, "pos"), sim.aligned_all, "cost double, steps int").withColumn("cost", r(F.col("cost")))
 
 
 @register("nearest_to_place", f"""WITH {ARBORS_SQL}, d AS (SELECT neuron_id, point_no AS dot_id, sqrt((x-25)**2 + (y-50)**2 + (z-5)**2) AS distance FROM arbors)

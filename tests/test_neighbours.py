@@ -101,7 +101,7 @@ def test_alignments_by_diagonals(monkeypatch, cells):
     monkeypatch.setattr(similarity, "CELLS", cells)
     r = np.random.default_rng(5)
     a, others = r.normal(size=(17, 3)), [r.normal(size=(n, 3)) for n in (1, 5, 40, 17, 30, 8, 2)]
-    cost, steps = similarity.aligned(a, *similarity.stacked(others))
+    cost, steps = similarity.aligned_all(a, *similarity.stacked(others))
     want = [plain_alignment(a, b) for b in others]
     assert np.allclose(cost, [w[0] for w in want]) and steps.tolist() == [w[1] for w in want]
 
@@ -110,7 +110,7 @@ def test_alignments_by_diagonals(monkeypatch, cells):
 def test_step_strings_by_diagonals(skip):
     r = np.random.default_rng(6)
     u, others, delta = r.normal(size=(9, 3)), [r.normal(size=(n, 3)) for n in (1, 5, 12, 9)], 1.2
-    cost, changed, put, out = similarity.chunks_matched(u, *similarity.stacked(others), delta=delta, skip_ends=skip)
+    cost, changed, put, out = similarity.chunks_matched_all(u, *similarity.stacked(others), delta=delta, skip_ends=skip)
     for n, v in enumerate(others):
         change, table_ = np.sqrt(((u[:, None] - v[None]) ** 2).sum(axis=2)), np.zeros((10, len(v) + 1))
         edge = 0 if skip else delta
