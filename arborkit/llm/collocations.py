@@ -247,14 +247,14 @@ def frequent(found: DataFrame, size: int):
 class CountSketch(RepeatSketch):
     """Count-min sketch of counted keys; counters stop at ``least``, and the bitmap tells which got there.
 
-    ``mass`` is the sum of all counts at most: an eighth of ``least`` falls on a
-    counter, up to the largest size.  With so little noise one row is enough.
+    ``mass`` is the sum of all counts at most: a thirty-second of ``least`` falls on
+    a counter, up to the largest size.  With so little noise one row is enough.
     """
 
     depth = 1
 
     def __init__(self, mass: float, least: int):
-        super().__init__(min(SKETCH_BITS, int(np.ceil(np.log2(max(2.0, 8 * mass / least))))))
+        super().__init__(min(SKETCH_BITS, int(np.ceil(np.log2(max(2.0, 32 * mass / least))))))
         self.least = least
 
     def emit_counts(self, keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
@@ -312,9 +312,52 @@ def _counted(lang: str, names: pa.Array, times: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array([lang] * len(names), pa.string()), names, pa.array(times, pa.int64())], names=["lang", "phrase", "times"])
 
 
-def _added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-    whole = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("times", "sum")])
-    return whole.select(["lang", "phrase", "times_sum"]).rename_columns(["lang", "phrase", "times"]).to_batches(50_000)
+def _sums(held: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(held).group_by(["lang", "block", "phrase"]).aggregate([("times", "sum")]).rename_columns(["lang", "block", "phrase", "times"])
+
+
+def _packed(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """A row for each language and block of phrases: its phrases, one a line, and their counts."""
+    whole = _sums(held).sort_by([("lang", "ascending"), ("block", "ascending")])
+    lang, block = whole.column("lang").combine_chunks().dictionary_encode(), whole.column("block").to_numpy()
+    code = lang.indices.to_numpy()
+    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])]) if len(block) else np.zeros(0, np.int64)
+    phrases, times = whole.column("phrase").to_pylist(), whole.column("times").to_numpy()
+    cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(block)]))
+    names = ["block", "lang", "phrases", "times"]
+    for lo in range(0, len(cuts), 1000):
+        own = cuts[lo : lo + 1000]
+        columns = ([int(block[a]) for a, _ in own], [lang.dictionary[int(code[a])].as_py() for a, _ in own], ["\n".join(phrases[a:b]).encode() for a, b in own], [times[a:b].astype(np.int64).tobytes() for a, b in own])
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=names)
+
+
+def _added_up(parts: DataFrame, least: int) -> DataFrame:
+    """``lang, phrase, f`` of phrases that reach ``least``; a block's parts are added up as they pass."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, rows, sum_rows = None, [], 0, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = _sums(held)
+            found = found.filter(pc.greater_equal(found.column("times"), least))
+            yield from found.select(["lang", "phrase", "times"]).rename_columns(["lang", "phrase", "f"]).to_batches(50_000)
+
+        for batch in batches:
+            for block, lang, phrases, times in zip(*batch.columns):
+                if (block.as_py(), lang.as_py()) != at:
+                    if at is not None:
+                        yield from out()
+                    at, held, rows, sum_rows = (block.as_py(), lang.as_py()), [], 0, 0
+                names = pa.array(phrases.as_py().decode().split("\n"), pa.string())
+                held.append(pa.table({"lang": pa.array([at[1]] * len(names), pa.string()), "block": pa.array([at[0]] * len(names), pa.int64()), "phrase": names, "times": pa.array(np.frombuffer(times.as_py(), dtype=np.int64))}))
+                rows += len(names)
+                if rows >= max(HELD, 2 * sum_rows):
+                    held = [_sums(held)]
+                    rows = sum_rows = held[0].num_rows
+        if at is not None:
+            yield from out()
+
+    return parts.repartition("block", "lang").sortWithinPartitions("block", "lang").mapInArrow(run, "lang string, phrase string, f long")
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
@@ -348,26 +391,31 @@ def phrase_counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame,
 
         return cut.sparkSession.sparkContext.broadcast(sketch.merge(cut.mapInArrow(run, "block long, part binary")))
 
-    def exact(lengths: range, may) -> DataFrame:
+    def exact(lengths: range, may, mass: float) -> DataFrame:
+        # some 20,000 phrases a block, by the most that can reach least
+        blocks = 1 << min(20, max(4, int(np.ceil(np.log2(max(1.0, mass / least / 20_000))))))
+
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, rows = [], 0
             for lang, shard in opened(batches):
                 own = shard.hashes(lang)
-                for _, names, times in mined(shard, own, words_sketch.repeated(often.value, own), lengths, may(own)):
-                    held.append(_counted(lang, names, times))
+                for keys, names, times in mined(shard, own, words_sketch.repeated(often.value, own), lengths, may(own)):
+                    held.append(pa.table({"lang": pa.array([lang] * len(times), pa.string()), "phrase": names, "times": pa.array(times), "block": pa.array((keys % U64(blocks)).astype(np.int64))}))
                     rows += len(times)
                 if rows >= HELD:  # shards of a task are added up as far as they fit
-                    yield from _added(held)
+                    yield from _packed(held)
                     held, rows = [], 0
             if held:
-                yield from _added(held)
+                yield from _packed(held)
 
-        return materialize(summed(cut.mapInArrow(run, COUNTED)), f"phrases-{lengths.start}")
+        parts = cut.mapInArrow(run, "block long, lang string, phrases binary, times binary")
+        return materialize(_added_up(parts, least), f"phrases-{lengths.start}")
 
     # a pair has a first word, and a longer phrase a first pair, that occurs as often
-    pair_sketch = CountSketch(words.agg(F.sum("f")).first()[0] or 0, least)
+    mass = words.agg(F.sum("f")).first()[0] or 0
+    pair_sketch = CountSketch(mass, least)
     likely_two = sketched(pair_sketch, range(2, 3), lambda own: None)
-    two = exact(range(2, 3), lambda own: lambda length, last, new, keys: pair_sketch.repeated(likely_two.value, keys))
+    two = exact(range(2, 3), lambda own: lambda length, last, new, keys: pair_sketch.repeated(likely_two.value, keys), mass)
     if longest < 3:
         discard(cut)
         return words.unionByName(two), totals
@@ -376,7 +424,8 @@ def phrase_counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame,
     def adjacent(own: np.ndarray):
         return lambda length, last, new, keys: two_sketch.repeated(often_two.value, keys if length == 2 else _pair_keys(own[last], own[new]))
 
-    long_sketch = CountSketch((longest - 2) * (two.agg(F.sum("f")).first()[0] or 0), least)
+    mass = (longest - 2) * (two.agg(F.sum("f")).first()[0] or 0)
+    long_sketch = CountSketch(mass, least)
     likely = sketched(long_sketch, range(3, longest + 1), adjacent)
 
     def beginning(own: np.ndarray):
@@ -390,7 +439,7 @@ def phrase_counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame,
 
         return may
 
-    more = exact(range(3, longest + 1), beginning)
+    more = exact(range(3, longest + 1), beginning, mass)
     discard(cut)
     return words.unionByName(two).unionByName(more), totals
 

@@ -373,7 +373,7 @@ def test_count_sketch_never_falls_short(spark, monkeypatch):
     r = np.random.default_rng(7)
     monkeypatch.setattr(collocations.CountSketch, "block_bits", 8)
     keys, times = r.integers(0, 2**63, size=3000, dtype=np.uint64), r.integers(1, 400, size=(4, 3000))
-    sketch = collocations.CountSketch(2**17 * 300 / 8, 300)
+    sketch = collocations.CountSketch(2**17 * 300 / 32, 300)
     parts = [sketch.emit_counts(keys, t) for t in times]
     rows = [(b, bytes(p)) for part in parts for b, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
     table = sketch.merge(spark.createDataFrame(rows, "block long, part binary"))
