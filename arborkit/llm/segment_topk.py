@@ -32,7 +32,7 @@ from .vectors import BLOCK_BYTES, SHARD_BYTES, distinct_vectors, packed, raised,
 
 SCALE = 64.0
 SEGMENTS = (1, 4, 16, 32)
-TILE, WORTH = 1024, 0.05
+TILE, JUDGED, WORTH = 512, 1, 0.05
 #: Widest vectors that are turned (finding the axes takes the cube of the width).
 TURNED = 1024
 #: Sums of products below this are exact in double precision.
@@ -97,12 +97,12 @@ class SegmentSearch:
                 else:
                     bound = np.einsum("ij,ij->i", a[i], b[start + j])
                 kept = bound >= floor[i] - slack
-                if start == 0 and kept.sum() > (1 - WORTH) * len(i):
+                if start == JUDGED * TILE and kept.sum() > (1 - WORTH) * len(i):  # by then floors have risen
                     use.remove(level)
                 i, j = i[kept], j[kept]
                 self.left[level] += len(i)
             for level in set(range(len(self.levels))) - set(use):
-                self.left[level] += alive.size if start else 0
+                self.left[level] += alive.size if start > JUDGED * TILE else 0
             exact = (q @ tile.T)[i, j].astype(np.int64) if reach < EXACT and len(i) > 0.05 * alive.size else integer_dot(q[i], tile[j])
             kept = exact >= floor[i] - slack
             i, j, exact = i[kept], j[kept], exact[kept]
