@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -381,13 +383,41 @@ def cumulative_corner(hist: DataFrame, by: str, slope: float = 1.0, span: float
 
 
 # ------------------------------------------------------------------------------ hulls
+#: Points whose hull is found by looking at all triples at once.
+FEW = 24
+
+
+@lru_cache(maxsize=FEW)
+def _triples(n: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), 3)))
+
+
+def _hull_of_few(p: np.ndarray, eps: float) -> np.ndarray | None:
+    """The triples with all other points on one side; None where a facet holds more than three points."""
+    i, j, k = _triples(len(p)).T
+    normal = np.cross(p[j] - p[i], p[k] - p[i])
+    reach = eps * np.linalg.norm(normal, axis=1)[:, None]
+    side = normal @ p.T - (normal * p[i]).sum(axis=1)[:, None]
+    above, below = (side > reach).any(axis=1), (side < -reach).any(axis=1)
+    outer = np.flatnonzero(~(above & below))
+    if ((np.abs(side[outer]) <= reach[outer]).sum(axis=1) > 3).any():
+        return None
+    flip = above[outer]
+    return np.stack([p[i[outer]], p[np.where(flip, k[outer], j[outer])], p[np.where(flip, j[outer], k[outer])]], axis=1)
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
-    """Corners (counter-clockwise from outside) of the triangles around a point set, by adding points one at a time."""
+    """Corners (counter-clockwise from outside) of the triangles around a point set.
+
+    Few points in general position are looked at in triples, others are added one at a time.
+    """
     p = np.unique(np.asarray(points, dtype=float), axis=0)
     if len(p) < 4:
         return np.zeros((0, 3, 3))
     size = np.ptp(p, axis=0).max() or 1.0
     eps = 1e-9 * size
+    if len(p) <= FEW and (found := _hull_of_few(p, eps)) is not None:
+        return found
     a, b = p[p[:, 0].argmin()], p[p[:, 0].argmax()]
     line = np.linalg.norm(np.cross(p - a, b - a), axis=1)
     c = p[line.argmax()]

@@ -136,6 +136,23 @@ def test_volumes_of_random_hulls_equal_facet_sums():
         assert np.isclose(volume, total)
 
 
+@pytest.mark.parametrize("n", [4, 5, 12, 24])
+def test_few_points_have_the_hull_of_many(monkeypatch, n):
+    measured = []
+    p = np.random.default_rng(n).normal(size=(n, 3))
+    for few in (24, 0):
+        monkeypatch.setattr(images, "FEW", few)
+        h = images.convex_hull(p)
+        cross = np.cross(h[:, 1] - h[:, 0], h[:, 2] - h[:, 0])
+        outward = (cross * (h[:, 0] - p.mean(axis=0))).sum(axis=1)
+        assert (outward > 0).all() and len(h) == 2 * len(np.unique(h.reshape(-1, 3), axis=0)) - 4
+        measured.append((outward.sum() / 6, np.linalg.norm(cross, axis=1).sum() / 2, len(h)))
+    assert np.allclose(measured[0], measured[1])
+    flat = np.c_[p[:, :2], np.zeros(n)]
+    monkeypatch.setattr(images, "FEW", 24)
+    assert len(images.convex_hull(flat)) == 0 and len(images.convex_hull(np.array(cube((0, 0, 0), (1, 1, 1))))) == 12
+
+
 @pytest.mark.parametrize(
     ("xy", "want"),
     [([(0, 0), (1, 0), (2, 0), (2, 2), (1, 1), (0, 2)], [0, 2, 3, 5]), ([(0, 0), (1, 1), (2, 2)], [0, 2]), ([(1, 1), (1, 1)], [0]), ([], [])],
