@@ -132,15 +132,33 @@ class LogFrequencyFilter:
     def counted(self, parts: DataFrame, tag: str) -> DataFrame:
         """Merge ``block, hashes, counts`` parts: a row a block with its n-grams and their levels."""
 
+        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            h, n = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            return h[first], np.add.reduceat(n, first) if len(h) else n
+
+        def row(block: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            h, n = merged(parts)
+            return _block_row(block, self.packed(h), self.level(n).astype(np.uint8))
+
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for (block,), t in runs(batches, 1):
-                h = self.unpacked(b"".join(t.column(1).to_pylist()), block)
-                n = np.frombuffer(b"".join(t.column(2).to_pylist()), dtype=np.uint32).astype(np.int64)
-                order = np.argsort(h)
-                h, n = h[order], n[order]
-                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                n, h = np.add.reduceat(n, first), h[first]
-                yield _block_row(block, self.packed(h), self.level(n).astype(np.uint8))
+            # a block's parts are added up as they pass, never held all at once
+            at, parts, new = None, [], 0
+            for batch in batches:
+                for block, hashes, counts in zip(*batch.columns):
+                    if block.as_py() != at:
+                        if at is not None:
+                            yield row(at, parts)
+                        at, parts, new = block.as_py(), [], 0
+                    n = np.frombuffer(counts.as_buffer(), dtype=np.uint32).astype(np.int64)
+                    parts.append((self.unpacked(hashes.as_py(), at), n))
+                    new += len(n)
+                    if new >= max(HELD_PARTS, len(parts[0][1])):  # no less than what is there: each entry is merged few times
+                        parts, new = [merged(parts)], 0
+            if at is not None:
+                yield row(at, parts)
 
         made = parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, COUNTED)
         return materialize(made, tag)
@@ -206,6 +224,8 @@ class LogFrequencyFilter:
         )
 
 
+#: N-grams of a block's parts that are held before they are added up.
+HELD_PARTS = 1_000_000
 PARTS = "block long, hashes binary, counts binary"
 COUNTED = "block long, put long, top long, hashes binary, levels binary"
 

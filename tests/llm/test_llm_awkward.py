@@ -162,6 +162,17 @@ def test_held_out_accuracy(spark):
     assert clean.where("found").count() <= 0.02 * clean.count()
 
 
+def test_toxicity_recall_on_held_out_rows(spark):
+    """Most toxic rows that the fit never saw are found, and few clean ones."""
+    docs, marks = (spark.read.parquet(f"{TABLES}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    asked = docs.join(marks.where(fold).select("doc_id"), "doc_id", "left_semi").unionByName(docs.join(marks.where(~fold).select("doc_id"), "doc_id", "left_semi"))
+    judged = toxicity.score_toxicity(asked, marks.where(~fold)).select("doc_id", F.col("toxic").alias("found")).join(marks.where(fold), "doc_id")
+    told = {r.toxic: r for r in judged.groupBy("toxic").agg(F.count_if("found").alias("found"), F.count("*").alias("n")).collect()}
+    assert told[1].n > 50 and told[1].found >= 0.8 * told[1].n
+    assert told[0].found <= 0.01 * told[0].n
+
+
 def exact_nearest(x, q, k):
     """Ids by exact inner product as the operator sums it, ties to smaller ids."""
     s = np.array([vectors.dot(np.repeat(x[i : i + 1], len(x), axis=0), x) for i in q])
@@ -339,3 +350,22 @@ def test_no_shared_folder_on_a_cluster_is_an_error(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         common.shared_folder(Session())
+
+
+def test_parts_of_a_block_are_added_up_as_they_pass(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "HELD_PARTS", 50)
+    r = np.random.default_rng(9)
+    sized = lm_score.LogFrequencyFilter(1 << 20, 16)
+    want, rows = collections.Counter(), []
+    for _ in range(30):
+        h = np.unique(sized.told_apart(common.mix64(r.integers(0, 500, size=80).astype(np.uint64))))
+        n = r.integers(1, 9, size=len(h))
+        want.update(dict(zip(h.tolist(), n.tolist())))
+        part = sized.parts(h, n)
+        rows += [(b, bytes(x), bytes(y)) for b, x, y in zip(*(c.to_pylist() for c in part.columns))]
+    found = {}
+    for row in sized.counted(spark.createDataFrame(rows, lm_score.PARTS).repartition(5), "test").collect():
+        levels = np.frombuffer(bytes(row.levels), dtype=np.uint8)
+        assert row.put == levels.sum() and row.top == levels.max()
+        found.update(zip(sized.unpacked(bytes(row.hashes), row.block).tolist(), levels.tolist()))
+    assert found == {h: int(sized.level(np.array([n]))[0]) for h, n in want.items()}
