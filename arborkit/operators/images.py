@@ -482,7 +482,7 @@ def hull_planes(points: DataFrame, by: str) -> DataFrame:
         n = np.cross(h[:, 1] - h[:, 0], h[:, 2] - h[:, 0]) if len(h) else np.zeros((0, 3))
         n = n / np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-300)
         d = -(n * h[:, 0]).sum(axis=1) if len(h) else np.zeros(0)
-        planes = np.unique(np.round(np.c_[n, d], 9), axis=0)
+        planes = np.c_[n, d][np.unique(np.round(np.c_[n, d], 9), axis=0, return_index=True)[1]]
         return pa.table({by: pa.array([t.column(by)[0].as_py()] * len(planes), t.schema.field(by).type), **{c: pa.array(planes[:, i]) for i, c in enumerate("abcd")}})
 
     return points.select(by, *AXES).distinct().groupBy(by).applyInArrow(run, f"{by} {kind}, a double, b double, c double, d double")

@@ -307,11 +307,11 @@ def _balances(spark, sf_dir, width=1.0):
 BALANCES_SQL = "WITH c AS (SELECT c_nationkey AS id, avg(c_acctbal) AS mu, stddev_pop(c_acctbal) AS sigma FROM customer GROUP BY 1)"
 
 
-@register("normal_fits", f"{BALANCES_SQL} SELECT id, round(mu, 2) AS mu, round(sigma, 2) AS sigma, round(mu + 2 * sigma, 1) AS threshold FROM c WHERE sigma > 0")
+@register("normal_fits", f"{BALANCES_SQL} SELECT id, round(mu / sigma, 4) AS mu_by_sigma, round(sigma, 2) AS sigma, round(mu + 2 * sigma, 1) AS threshold FROM c WHERE sigma > 0")
 def normal_fits(spark, sf_dir):
     """The fit must find the distributions that the histograms were made of."""
     out = im.background(_balances(spark, sf_dir), "id")
-    return out.select("id", r(F.col("mu"), 2).alias("mu"), r(F.col("sigma"), 2).alias("sigma"), r(F.col("threshold"), 1).alias("threshold"))
+    return out.select("id", r(F.col("mu") / F.col("sigma")).alias("mu_by_sigma"), r(F.col("sigma"), 2).alias("sigma"), r(F.col("threshold"), 1).alias("threshold"))
 
 
 @register("background_fits")
@@ -326,7 +326,7 @@ def cumulative_corners(spark, sf_dir):
     return im.cumulative_corner(hist, "event_type")
 
 
-@register("background_refreshed", f"{BALANCES_SQL} SELECT id, CASE WHEN id % 5 = 0 OR id % 7 = 3 THEN 2 ELSE 1 END AS version, round(mu, 2) AS mu, round(sigma, 2) AS sigma FROM c WHERE sigma > 0 AND id % 11 <> 10")
+@register("background_refreshed", f"{BALANCES_SQL} SELECT id, CASE WHEN id % 5 = 0 OR id % 7 = 3 THEN 2 ELSE 1 END AS version, round(mu / sigma, 4) AS mu_by_sigma, round(sigma, 2) AS sigma FROM c WHERE sigma > 0 AND id % 11 <> 10")
 def background_refreshed(spark, sf_dir):
     """Fits kept between two runs: before the second, some histograms change, some are added and some removed."""
     from arborkit.operators import refresh
@@ -338,7 +338,7 @@ def background_refreshed(spark, sf_dir):
     first = refresh.refreshed_backgrounds(spark, path, before, "id").select("id", "digest", F.lit(True).alias("old"))
     second = refresh.refreshed_backgrounds(spark, path, now.where("id % 11 <> 10"), "id")
     out = second.join(first, ["id", "digest"], "left")
-    return out.select("id", F.when(F.col("old"), 1).otherwise(2).alias("version"), r(F.col("mu"), 2).alias("mu"), r(F.col("sigma"), 2).alias("sigma"))
+    return out.select("id", F.when(F.col("old"), 1).otherwise(2).alias("version"), r(F.col("mu") / F.col("sigma")).alias("mu_by_sigma"), r(F.col("sigma"), 2).alias("sigma"))
 
 
 @register("neuron_table", f"""WITH {ARBORS_SQL}, a AS (SELECT neuron_id, count(*) AS n_points, count(*) FILTER (WHERE parent = -1) AS n_trees FROM arbors GROUP BY 1)

@@ -289,7 +289,7 @@ def registrations_converted_inverse(spark, sf_dir):
 
 #: Landmarks: a customer's balance, key and name digits as a place, moved by a matrix that depends on the nation, with noise.
 _MARKS = """mark AS (SELECT c_nationkey AS pair_id, c_custkey AS marker_no, c_acctbal / 1000 AS x, (c_custkey % 17)::DOUBLE AS y, ((c_custkey * 7) % 23)::DOUBLE AS z FROM customer),
-kept AS (SELECT * FROM mark WHERE pair_id IN (SELECT pair_id FROM mark GROUP BY 1 HAVING count(*) >= 8))"""
+kept AS (SELECT * FROM mark WHERE pair_id IN (SELECT pair_id FROM mark GROUP BY 1 HAVING count(*) >= 20))"""
 _NAMES = [f"m{i}{j}" for i in range(3) for j in range(4)]
 #: Entries of each nation's matrix, k being its key: any affine map, and a turn about z with a shift.
 _AFFINE = ["1.2", "0.1", "0.02 * {k}", "3.0 + {k}", "-0.1", "0.9", "0.05", "4.0", "0.01 * {k}", "0.1", "1.1", "-5.0"]
@@ -329,7 +329,7 @@ def _fit(name, kind, entries, noise, sql):
     def run(spark, sf_dir):
         c = table(spark, sf_dir, "customer")
         one = c.select(F.col("c_nationkey").alias("pair_id"), F.col("c_custkey").alias("marker_no"), (F.col("c_acctbal") / 1000).alias("x"), (F.col("c_custkey") % 17).cast("double").alias("y"), (F.col("c_custkey") * 7 % 23).cast("double").alias("z"))
-        one = one.join(one.groupBy("pair_id").count().where("count >= 8").select("pair_id"), "pair_id")
+        one = one.join(one.groupBy("pair_id").count().where("count >= 20").select("pair_id"), "pair_id")
         two = one.selectExpr("pair_id", "marker_no", *_moved(entries, noise).split(", ")).withColumnsRenamed({f"q{a}": a for a in "xyz"})
         fitted = reg.fit_landmarks(one.withColumn("set_no", F.lit(1)).unionByName(two.withColumn("set_no", F.lit(2))), kind)
         return fitted.select("pair_id", *[(r(F.get("matrix", F.lit(i))) + 0.0).alias(c) for i, c in enumerate(_NAMES)])
