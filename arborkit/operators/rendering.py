@@ -6,6 +6,7 @@ row a shape, which :func:`scenes` joins into a file a neuron.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +171,17 @@ def merged_labels(merges, labels: list):
 
 
 def digests(dots: DataFrame, number: str = "dot_id") -> DataFrame:
-    """MD5 of each cloud's places to six decimals, and its number of dots."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number, "x", "y", "z"))), lambda p: F.format_string("%.6f,%.6f,%.6f", p["x"], p["y"], p["z"])), ";")
-    return dots.groupBy(KEY).agg(F.md5(text).alias("digest"), F.count("*").alias("n"))
+    """MD5 of each cloud's places to six decimals, and its number of dots; dots without all coordinates add no text.
+
+    Decimals are those of the exact binary values, ties to even, as C's ``printf`` gives
+    them: ``format_string`` rounds the shortest decimal form half up.
+    """
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: ";".join("%.6f,%.6f,%.6f" % tuple(p) for p in v.reshape(-1, 3).tolist()) if len(v) else None)
+
+    whole = lambda p: p["x"].isNotNull() & p["y"].isNotNull() & p["z"].isNotNull()
+    places = F.transform(F.filter(F.array_sort(F.collect_list(F.struct(number, "x", "y", "z"))), whole), lambda p: F.array(*[p[a].cast("double") for a in "xyz"]))
+    rows = dots.groupBy(KEY).agg(F.flatten(places).alias("places"), F.count("*").alias("n"))
+    return rows.select(KEY, F.md5(text("places")).alias("digest"), "n")
