@@ -67,3 +67,23 @@ def test_numbers_within_keys_of_many_partitions(spark):
     for k in (0, 1, None):
         own = sorted((x.v, x.n) for x in got if x.k == k)
         assert [n for _, n in own] == list(range(1, len(own) + 1)) and len(own) == 1000
+
+
+def test_crowded_segments_meet_in_blocks(spark, monkeypatch):
+    """Blocks give what the grid gives, whole, for segments of several a neuron."""
+    from arborkit.operators import matching as m
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 17), *map(float, p)) for i, p in enumerate(rng.uniform(0, 3, (60, 6)))]
+    rows += [(3, *[1.0] * 6), (4, *[1.0] * 6), (5, 1.0, 1.0, 1.0, 2.0, 1.0, 1.0), (6, None, *[1.0] * 5)]
+    t = spark.createDataFrame(rows, "neuron_id long, " + ", ".join(f"{c} double" for c in m.SEG))
+    for method, s, scale in (("direct", 0.3, None), ("expected", 0.5, 0.4)):
+        got = {}
+        for pruned in (0, 10**9):  # never, always
+            monkeypatch.setattr(m, "PRUNED", pruned)
+            monkeypatch.setattr(m, "BLOCK_SEGMENTS", 20)
+            out = m.potential_synapses(t, t, s, method, scale)
+            assert ("FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()) == bool(pruned)
+            got[pruned] = {(r[0], r[1]): r[2] for r in out.collect()}
+        one, two = got.values()
+        assert one.keys() == two.keys() and len(one) > 50 and all(abs(one[k] - two[k]) < 1e-9 * max(1, abs(one[k])) for k in one)
