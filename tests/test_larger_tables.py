@@ -87,3 +87,17 @@ def test_crowded_segments_meet_in_blocks(spark, monkeypatch):
             got[pruned] = {(r[0], r[1]): r[2] for r in out.collect()}
         one, two = got.values()
         assert one.keys() == two.keys() and len(one) > 50 and all(abs(one[k] - two[k]) < 1e-9 * max(1, abs(one[k])) for k in one)
+
+
+def test_pairs_travel_by_blocks_that_do_not_grow_in_number(spark, monkeypatch):
+    """Clouds are copied at most once a block; all pairs are given, in batches, whatever the blocks."""
+    from arborkit.operators import similarity as sim
+
+    rows = [(c, d, float(c), float(d), 1.0) for c in range(40) for d in range(3)]
+    packed = sim.packed(spark.createDataFrame(rows, "neuron_id int, dot_id int, x double, y double, z double"))
+    monkeypatch.setattr(sim, "PAIRS", 7)
+    met = sim.pairwise(packed, sim.median_distance, "d double", block=1)
+    assert sorted(tuple(r) for r in met.collect()) == [(a, b, float(b - a)) for a in range(40) for b in range(a + 1, 40)]
+    assert [sim.blocks_of(n, n * 21) for n in (1, 2000, 12_000, 51_282)] == [1, 8, 16, 26] and sim.blocks_of(10, 4_000_000) == 10
+    both = sim.pairwise(packed, sim.median_distance, "d double", both=True, block=3)
+    assert both.count() == 40 * 39
