@@ -101,3 +101,20 @@ def test_pairs_travel_by_blocks_that_do_not_grow_in_number(spark, monkeypatch):
     assert [sim.blocks_of(n, n * 21) for n in (1, 2000, 12_000, 51_282)] == [1, 8, 16, 26] and sim.blocks_of(10, 4_000_000) == 10
     both = sim.pairwise(packed, sim.median_distance, "d double", both=True, block=3)
     assert both.count() == 40 * 39
+
+
+def test_segments_of_a_neuron_share_a_call(spark):
+    """One group a neuron, not one a segment; each segment is smoothed by itself."""
+    import re
+
+    from arborkit.operators import skeleton as k
+
+    points = spark.createDataFrame([(n, p, p - 1 if p > 1 and p != 7 else (3 if p == 7 else -1), float(p), float(p * p % 5), float(n)) for n in (1, 2) for p in range(1, 12)], "neuron_id long, point_no int, parent int, x double, y double, z double")
+    segments = k.segment_list(points)
+    for smooth in (k.spline_smooth, k.bspline_smooth):
+        out = smooth(segments, points)
+        assert re.search(r"FlatMapGroupsInArrow \[neuron_id#\d+L?\], run", out._jdf.queryExecution().optimizedPlan().toString())
+        got = {n: sorted(tuple(r)[1:] for r in out.collect() if r.neuron_id == n) for n in (1, 2)}
+        assert [r[:4] for r in got[1]] == [r[:4] for r in got[2]] and len(got[1]) == segments.where("neuron_id = 1").count()
+        alone = smooth(segments.where("neuron_id = 1 and seg_no = 3"), points).collect()
+        assert sorted(tuple(r)[1:] for r in alone) == [r for r in got[1] if r[1] == 3] and len(alone) == 6
