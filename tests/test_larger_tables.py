@@ -118,3 +118,13 @@ def test_segments_of_a_neuron_share_a_call(spark):
         assert [r[:4] for r in got[1]] == [r[:4] for r in got[2]] and len(got[1]) == segments.where("neuron_id = 1").count()
         alone = smooth(segments.where("neuron_id = 1 and seg_no = 3"), points).collect()
         assert sorted(tuple(r)[1:] for r in alone) == [r for r in got[1] if r[1] == 3] and len(alone) == 6
+
+
+def test_columns_as_lists():
+    import pyarrow as pa
+
+    from arborkit.sources.files import lists
+
+    t = pa.table({"a": pa.array([1, 2], pa.int32()), "b": [0.5, float("inf")], "c": pa.array([1, None], pa.int64()), "d": ["x", None], "e": [True, False], "f": [[1, 2], None]})
+    got = lists(t, t.column_names)
+    assert got == {c: t.column(c).to_pylist() for c in t.column_names} and type(got["a"][0]) is int and type(got["b"][0]) is float
