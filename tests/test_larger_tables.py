@@ -128,3 +128,19 @@ def test_columns_as_lists():
     t = pa.table({"a": pa.array([1, 2], pa.int32()), "b": [0.5, float("inf")], "c": pa.array([1, None], pa.int64()), "d": ["x", None], "e": [True, False], "f": [[1, 2], None]})
     got = lists(t, t.column_names)
     assert got == {c: t.column(c).to_pylist() for c in t.column_names} and type(got["a"][0]) is int and type(got["b"][0]) is float
+
+
+def test_distances_of_a_clustering_are_found_once(spark):
+    from arborkit.operators import clustering
+
+    met = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"n{a}", f"n{b}", float(b * b - a)) for a in range(9) for b in range(a + 1, 9)] + [("n0", "n9", None)]
+    names, d = clustering.condensed(spark.createDataFrame(rows, "a string, b string, d double").repartition(3).mapInArrow(run, "a string, b string, d double"))
+    assert met.value == len(rows) and names == [f"n{i}" for i in range(10)]
+    assert d.values[d.place(2, 7)] == 47.0 and d.values[d.place(0, 9)] == float("inf")
