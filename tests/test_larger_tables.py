@@ -144,3 +144,30 @@ def test_distances_of_a_clustering_are_found_once(spark):
     names, d = clustering.condensed(spark.createDataFrame(rows, "a string, b string, d double").repartition(3).mapInArrow(run, "a string, b string, d double"))
     assert met.value == len(rows) and names == [f"n{i}" for i in range(10)]
     assert d.values[d.place(2, 7)] == 47.0 and d.values[d.place(0, 9)] == float("inf")
+
+
+def test_clouds_that_meet_one_stand_in_one_run(spark):
+    """A cloud's others are a view of its block, axis by axis, not gathered cloud by cloud; kernels keep their results."""
+    from arborkit.operators import neighbours as nb
+    from arborkit.operators import similarity as sim
+
+    rows = [(c * 7 % 40, d, float(c * 7 % 40), float(d), 1.0) for c in range(40) for d in range(3)]
+    packed = sim.packed(spark.createDataFrame(rows, "neuron_id int, dot_id int, x double, y double, z double"))
+
+    def seen(a, others, starts, sizes):
+        return np.full(len(sizes), others.flags.owndata or not others[:, 0].flags.c_contiguous).astype(int), others[starts, 0] - a[0, 0]
+
+    for both in (False, True):
+        got = sim.pairwise(packed, seen, "copied int, apart double", both=both, block=9).collect()
+        assert not any(r.copied for r in got) and all(r.apart == r.id_b - r.id_a for r in got) and len({(r.id_a, r.id_b) for r in got}) == len(got) == 780 * (1 + both)
+    rng = np.random.default_rng(2)
+    a, others = rng.integers(0, 4, (21, 3)).astype(float), rng.integers(0, 4, (9000, 3)).astype(float)
+    d = np.sqrt(nb.squares(others, a))
+    at, far = nb.nearest(others, a)
+    assert (at[:, 0] == d.argmin(axis=1)).all() and (far[:, 0] == d.min(axis=1)).all() and (nb.least_distances(others, a) == d.min(axis=1)).all()
+    for sizes in (np.full(3000, 3), np.tile([2, 4, 3], 1000)):
+        starts = np.cumsum(sizes) - sizes
+        want = [np.median(x) for x in np.split(d.min(axis=1), starts[1:])]
+        back = [np.median(np.sqrt(nb.squares(a, x).min(axis=1))) for x in np.split(others, starts[1:])]
+        assert np.array_equal(sim.median_distance(a, others, starts, sizes)[0], want)
+        assert np.allclose(sim.median_distance(a, others, starts, sizes, both=True)[0], (np.array(want) + back) / 2, rtol=0, atol=1e-15)
