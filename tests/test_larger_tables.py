@@ -171,3 +171,20 @@ def test_clouds_that_meet_one_stand_in_one_run(spark):
         back = [np.median(np.sqrt(nb.squares(a, x).min(axis=1))) for x in np.split(others, starts[1:])]
         assert np.array_equal(sim.median_distance(a, others, starts, sizes)[0], want)
         assert np.allclose(sim.median_distance(a, others, starts, sizes, both=True)[0], (np.array(want) + back) / 2, rtol=0, atol=1e-15)
+
+
+def test_tangents_of_a_cloud_in_boxes_are_those_of_the_whole(spark):
+    """Boxes of a few points give the same nearest, ties too, as one task that holds the cloud."""
+    from arborkit.operators import large_clouds
+    from arborkit.operators import similarity as sim
+
+    rng = np.random.default_rng(7)
+    rows = [("big", i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(zip(rng.integers(0, 9, 1500), rng.integers(0, 60, 1500), rng.normal(size=1500)))]
+    rows += [("ties", i, float(i % 3), float(i // 3 % 4), 1.0) for i in range(400)] + [("few", i, float(i), float(i * i), 0.5) for i in range(3)]
+    rows += [("same", i, 1.0, 2.0, 3.0) for i in range(200)] + [("few", 9, None, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "neuron_id string, point_no int, x double, y double, z double").repartition(5)
+    kept = lambda df: sorted((r.neuron_id, r.dot_id, r.x, r.y, r.z, round(r.alpha, 9)) for r in df.collect())
+    for k in (5, 20):
+        boxed = large_clouds.dot_properties(points, k, size=40)
+        assert kept(boxed) == kept(sim.dot_properties(points, k))
+    assert len(large_clouds.boxes_of(np.array([r[2:] for r in rows[:1500]]), 1500, 40)[1]) > 30
