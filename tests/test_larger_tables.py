@@ -188,3 +188,30 @@ def test_tangents_of_a_cloud_in_boxes_are_those_of_the_whole(spark):
         boxed = large_clouds.dot_properties(points, k, size=40)
         assert kept(boxed) == kept(sim.dot_properties(points, k))
     assert len(large_clouds.boxes_of(np.array([r[2:] for r in rows[:1500]]), 1500, 40)[1]) > 30
+
+
+def test_expected_synapses_shuffle_segments_not_pairs(spark, monkeypatch):
+    """Where a grid is of use, segments meet over it within blocks: each pair once, summed where it is found."""
+    from arborkit.operators import matching as m
+
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 23), *map(float, np.r_[p, p + q])) for i, (p, q) in enumerate(zip(rng.uniform(0, 30, (700, 3)), rng.uniform(-1, 1, (700, 3))))]
+    rows += [(3, *[1.0] * 6), (6, None, *[1.0] * 5), (7, *rows[0][1:])]
+    t = spark.createDataFrame(rows, "neuron_id long, " + ", ".join(f"{c} double" for c in m.SEG))
+    monkeypatch.setattr(m, "GRID_SEGMENTS", 200)
+    monkeypatch.setattr(m, "STEP_PAIRS", 50)
+    wanted = {}
+    whole = [r for r in rows if None not in r and r[1:4] != r[4:]]
+    for a in whole:
+        for b in whole:
+            (p, q), (u, v) = (np.array(x[1:]).reshape(2, 3) for x in (a, b))
+            r2 = (((p + q - u - v) / 2) ** 2).sum()
+            if a[0] < b[0] and r2 <= 9:
+                p, u = q - p, v - u
+                size = np.sqrt((p @ p) * (u @ u))
+                wanted[a[0], b[0]] = wanted.get((a[0], b[0]), 0) + 2 * 0.5 * size * np.arccos(np.clip(p @ u / size, -1, 1)) * np.exp(-r2 / 0.36) / (np.pi * 0.36) ** 1.5
+    for other in (t, t.select("*")):  # the same table, and one like it
+        out = m.potential_synapses(t, other, 0.5, "expected", 0.3)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r[0], r[1]): r[2] for r in out.collect()}
+        assert got.keys() == wanted.keys() and len(got) > 100 and all(abs(got[k] - wanted[k]) < 1e-9 * max(1, wanted[k]) for k in got)
