@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arborkit.operators import neighbours, similarity
 
@@ -121,3 +122,30 @@ def test_step_strings_by_diagonals(skip):
         assert np.isclose(cost[n], min(table_[9].min(), table_[:, -1].min()) if skip else table_[-1, -1])
         if not skip:
             assert changed[n] + out[n] == 9 and changed[n] + put[n] == len(v)
+
+
+def test_alignments_with_ties_and_short_others():
+    r = np.random.default_rng(7)
+    a, others = r.integers(0, 3, (14, 3)).astype(float), [r.integers(0, 3, (n, 3)).astype(float) for n in (25, 11, 10, 3, 25, 18)]
+    cost, steps = similarity.aligned_all(a, *similarity.stacked(others))
+    want = [plain_alignment(a, b) for b in others]
+    assert np.allclose(cost, [w[0] for w in want]) and steps.tolist() == [w[1] for w in want]
+
+
+def test_mismatch_by_products_far_from_the_origin():
+    r = np.random.default_rng(8)
+    lines = [r.normal(size=(11, 3)) + 1e5 for _ in range(6)]
+    lines[3][4] = lines[3][5]  # a step of no length
+    rows = similarity._products(lines)
+    for n, a in enumerate(lines):
+        found = similarity._mismatch_by_products(rows[n], np.concatenate(rows), np.arange(6), np.ones(6, int))[0]
+        want = [similarity.polyline_mismatch(a, b)[0] for b in lines]
+        assert np.allclose(found, want, atol=1e-9) and (found >= 0).all()
+
+
+def test_pairs_of_small_clouds_are_spread_over_tasks(spark):
+    rows = [(i, j, float(i), float(j), 0.0) for i in range(40) for j in range(3)]
+    packed = similarity.packed(spark.createDataFrame(rows, "neuron_id long, dot_id int, x double, y double, z double"))
+    found = similarity.pairwise(packed, similarity.polyline_mismatch_all, "mismatch double", block=10)
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and sum(x["count"] for x in tasks) == 40 * 39 // 2
