@@ -361,10 +361,14 @@ def tetrahedra(points: DataFrame, side: float = 1.0) -> DataFrame:
     return points.select("*", F.posexplode(corners).alias("corner", "_d")).withColumns({a: F.col(a) + F.col(f"_d.d{a}") for a in AXES}).drop("_d")
 
 
-def corner_volume(corners: DataFrame, keys: list[str]) -> DataFrame:
-    """Absolute volume of each tetrahedron."""
-    at = {f"{a}{n}": F.max(F.when(F.col("corner") == n, F.col(a))) for a in AXES for n in range(4)}
-    e = lambda a, n: F.col(f"{a}{n}") - F.col(f"{a}0")
-    cross = [e("y", 2) * e("z", 3) - e("z", 2) * e("y", 3), e("z", 2) * e("x", 3) - e("x", 2) * e("z", 3), e("x", 2) * e("y", 3) - e("y", 2) * e("x", 3)]
-    v = sum((e(a, 1) * c for a, c in zip(AXES, cross)), F.lit(0.0))
-    return corners.groupBy(*keys).agg(*[c.alias(n) for n, c in at.items()]).select(*keys, (F.abs(v) / 6).alias("volume"))
+def corner_volume(corners: DataFrame, keys: list[str], before: bool = False) -> DataFrame:
+    """Absolute ``volume`` of each tetrahedron; ``before``: that of the places that a warp took it from, too (``from_x`` ..)."""
+    sides = {"volume": ""} | ({"before": "from_"} if before else {})
+    at = {f"_{p}{a}{n}": F.max(F.when(F.col("corner") == n, F.col(p + a))) for p in sides.values() for a in AXES for n in range(4)}
+
+    def volume(p: str) -> Column:
+        e = lambda a, n: F.col(f"_{p}{a}{n}") - F.col(f"_{p}{a}0")
+        cross = [e("y", 2) * e("z", 3) - e("z", 2) * e("y", 3), e("z", 2) * e("x", 3) - e("x", 2) * e("z", 3), e("x", 2) * e("y", 3) - e("y", 2) * e("x", 3)]
+        return F.abs(sum((e(a, 1) * c for a, c in zip(AXES, cross)), F.lit(0.0))) / 6
+
+    return corners.groupBy(*keys).agg(*[c.alias(n) for n, c in at.items()]).select(*keys, *[volume(p).alias(n) for n, p in sides.items()])

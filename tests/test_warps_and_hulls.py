@@ -166,3 +166,14 @@ def test_outlines_keep_order_and_drop_short_contours(spark):
     points = sets(spark, {"a": square, "b": square[:2]}).unionByName(spark.createDataFrame([("a", 99, None, 0.0, 0.0)], "s string, n int, x double, y double, z double"))
     got = images.outlines(points, ["s"], "n").orderBy("place").collect()
     assert [(r.s, r.n, r.place) for r in got] == [("a", 0, 1), ("a", 1, 2), ("a", 3, 3), ("a", 4, 4)]
+
+
+def test_corner_volumes_before_and_after_in_one_pass(spark):
+    from arborkit.operators import registration as reg
+
+    points = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (1, 2, 3.0, 1.0, 2.0)], "neuron_id long, point_no int, x double, y double, z double")
+    corners = reg.tetrahedra(points, 0.5)
+    moved = corners.selectExpr("*", "x AS from_x", "y AS from_y", "z AS from_z").selectExpr("neuron_id", "point_no", "corner", "from_x", "from_y", "from_z", "2 * x AS x", "CASE WHEN point_no = 1 THEN y END AS y", "z")
+    found = {r.point_no: (r.volume, r.before) for r in reg.corner_volume(moved, ["neuron_id", "point_no"], before=True).collect()}
+    plain = 0.5**3 / (6 * 2**0.5)
+    assert found[1] == pytest.approx((2 * plain, plain)) and found[2][0] is None and found[2][1] == pytest.approx(plain)
