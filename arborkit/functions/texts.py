@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NUMBER = r"[-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?"
@@ -28,12 +28,23 @@ def scaled_axes(points: DataFrame, scale: tuple[float, float, float], shift: tup
     return points.withColumns({a: d + s * F.col(a) if shift_last else s * (d + F.col(a)) for a, s, d in zip("xyz", scale, shift)})
 
 
-def turned(points: DataFrame, how: str, centre: tuple[float, float]) -> DataFrame:
-    """Mirrored (``h``, ``v``) or turned by a right angle (``l``, ``r``) about an image's centre."""
+def _turned_axes(how: str, centre: tuple[float, float]) -> dict[str, Column]:
     cx, cy = centre
     dx, dy = F.col("x") - cx, F.col("y") - cy
     x, y = {"h": (cx - dx, F.col("y")), "v": (F.col("x"), cy - dy), "l": (cx + dy, cy - dx), "r": (cx - dy, cy + dx)}[how]
-    return points.withColumns({"x": x, "y": y})
+    return {"x": x, "y": y}
+
+
+def turned(points: DataFrame, how: str, centre: tuple[float, float]) -> DataFrame:
+    """Mirrored (``h``, ``v``) or turned by a right angle (``l``, ``r``) about an image's centre."""
+    return points.withColumns(_turned_axes(how, centre))
+
+
+def turned_each(points: DataFrame, hows: str, centre: tuple[float, float]) -> DataFrame:
+    """:func:`turned` in several ways, a row for each with ``how``; the points are made once."""
+    ways = F.array(*[F.struct(F.lit(how).alias("how"), *[c.alias(n) for n, c in _turned_axes(how, centre).items()]) for how in hows])
+    rows = points.withColumn("_way", F.explode(ways))
+    return rows.withColumns({n: F.col(f"_way.{n}") for n in ("how", "x", "y")}).drop("_way")
 
 
 def file_lists(scores: DataFrame, paths: DataFrame, by: str, most: int) -> DataFrame:
