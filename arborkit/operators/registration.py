@@ -10,7 +10,8 @@ transformed by expressions, landmark sets are fitted one Arrow call a set.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -226,7 +227,7 @@ def warp_cells(controls: DataFrame) -> DataFrame:
     A control point belongs to the 64 cells whose lowest index is up to three less on
     each axis; of several with one index the least counts.
     """
-    one = controls.groupBy("i", "j", "k").agg(F.min(F.struct("cx", "cy", "cz")).alias("c")).where("c.cx is not null and c.cy is not null and c.cz is not null")
+    one = _single_controls(controls)
     spread = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("o")
     rows = one.select("i", "j", "k", "c", spread)
     place = {"_ci": F.col("i") - F.floor(F.col("o") / 16), "_cj": F.col("j") - F.floor(F.col("o") / 4) % 4, "_ck": F.col("k") - F.col("o") % 4}
@@ -240,6 +241,66 @@ IMAGES = [f"_t{a}" for a in AXES]
 SLOPES = [f"_j{a}{b}" for a in AXES for b in AXES]
 
 
+#: Control points of a grid that every task may hold whole (24 bytes each); the cells of larger grids are joined to the points.
+HELD = 1 << 18
+
+
+class HeldGrid(NamedTuple):
+    """A control grid over its box: lowest indices, places (0 where one is missing) and the cells that have all 64."""
+
+    low: np.ndarray
+    places: np.ndarray
+    whole: np.ndarray
+
+    def evaluated(self, at: np.ndarray, spacing: tuple[float, float, float], slopes: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Images of (n, 3) places in the first column of (n, 3, 1 or 4), derivatives by each axis in the others; and which places have a cell."""
+        own = at / np.array(spacing, dtype=float)
+        floor = np.clip(np.nan_to_num(np.floor(own)), -(2.0**60), 2.0**60)
+        cell = floor.astype(np.int64) - self.low
+        known = ((cell >= 0) & (cell < self.whole.shape)).all(axis=1)
+        known[known] = self.whole[tuple(cell[known].T)]
+        out = np.zeros((len(at), 3, 4 if slopes else 1))
+        windows = np.moveaxis(np.lib.stride_tricks.sliding_window_view(self.places, (4, 4, 4), axis=(0, 1, 2)), 3, -1)
+        rows = np.flatnonzero(known)
+        for lo in range(0, len(rows), 1024):
+            lot = rows[lo : lo + 1024]
+            n, u = len(lot), own[lot] - floor[lot]
+            # an axis after the other is contracted, by weights and, if asked, by slopes
+            sets = [np.stack([bspline_weights(u[:, a]), *([bspline_slopes(u[:, a]) / spacing[a]] if slopes else [])], axis=1) for a in range(3)]
+            m = sets[0].shape[1]
+            value = sets[0] @ windows[tuple(cell[lot].T)].reshape(n, 4, 48)
+            value = sets[1][:, None] @ value.reshape(n, m, 4, 12)
+            value = sets[2][:, None, None] @ value.reshape(n, m, m, 4, 3)
+            out[lot, :, 0] = value[:, 0, 0, 0]
+            if slopes:
+                out[lot, :, 1], out[lot, :, 2], out[lot, :, 3] = value[:, 1, 0, 0], value[:, 0, 1, 0], value[:, 0, 0, 1]
+        return out, known
+
+
+def _single_controls(controls: DataFrame) -> DataFrame:
+    """Control points ``i, j, k, c`` (the least of several with one index) that are whole."""
+    one = controls.groupBy("i", "j", "k").agg(F.min(F.struct("cx", "cy", "cz")).alias("c"))
+    return one.where("i is not null and j is not null and k is not null and c.cx is not null and c.cy is not null and c.cz is not null")
+
+
+def held_grid(controls: DataFrame, most: int | None = None) -> HeldGrid | None:
+    """The control grid as arrays, or None where it (or its box, four times as much) has more than ``most`` points."""
+    most = HELD if most is None else most
+    rows = _single_controls(controls).select("i", "j", "k", *[F.col(f"c.c{a}").cast("double") for a in AXES]).limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return None
+    index = np.stack([rows.column(n).to_numpy().astype(np.int64) for n in range(3)], axis=1)
+    low, high = (index.min(axis=0), index.max(axis=0)) if len(index) else (np.zeros(3, dtype=np.int64),) * 2
+    shape = [max(4, int(h) - int(lo) + 1) for lo, h in zip(low, high)]
+    if math.prod(shape) > max(4 * most, 64):
+        return None
+    places, there = np.zeros((*shape, 3)), np.zeros(shape, dtype=bool)
+    at = tuple((index - low).T)
+    places[at] = np.stack([rows.column(n).to_numpy() for n in (3, 4, 5)], axis=1)
+    there[at] = True
+    return HeldGrid(low, places, np.lib.stride_tricks.sliding_window_view(there, (4, 4, 4)).all(axis=(3, 4, 5)))
+
+
 def _contracted(control: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
     """Sums of (n, 4, 4, 4) control points by three (n, 4) weights."""
     for w in reversed(weights):
@@ -247,6 +308,37 @@ def _contracted(control: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
     return control
 
 
+def _in_batches(points: DataFrame, at: list[Column], fn: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], added: list[str]) -> DataFrame:
+    """Adds columns ``added``: values (n, columns) that ``fn`` gives at (n, 3) places ``at``, null where its mask says so or a place is null."""
+    rows = points.select("*", *[c.cast("double").alias(f"_at{n}") for n, c in enumerate(at)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, x, y, z = batch.columns
+            there = np.flatnonzero(np.all([c.is_valid().to_numpy(zero_copy_only=False) for c in (x, y, z)], axis=0))
+            values, missing = np.zeros((batch.num_rows, len(added))), np.ones(batch.num_rows, dtype=bool)
+            found, known = fn(np.stack([c.take(pa.array(there)).to_numpy() for c in (x, y, z)], axis=1))
+            values[there], missing[there] = found, ~known
+            yield pa.record_batch([*own, *[pa.array(v, mask=missing) for v in values.T.copy()]], names=[*batch.schema.names[: len(own)], *added])
+
+    schema = T.StructType([*points.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
+    return rows.mapInArrow(run, schema)
+
+
+def _warped(points: DataFrame, controls: DataFrame, spacing: tuple[float, float, float], slopes: bool) -> DataFrame:
+    """Adds the warp's images and derivatives at the points, by tasks that hold the grid or, for a large one, by a join with its cells."""
+    grid = held_grid(controls)
+    if grid is None:
+        return _evaluated(points, warp_cells(controls), spacing, AXES, slopes)
+    shared = points.sparkSession.sparkContext.broadcast(grid)
+
+    def values(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, known = shared.value.evaluated(at, spacing, slopes)
+        return np.concatenate([found[:, :, 0], found[:, :, 1:].reshape(len(at), 9 * slopes)], axis=1), known
+
+    return _in_batches(points, [F.col(a) for a in AXES], values, IMAGES + (SLOPES if slopes else []))
+
+
 def _evaluated(points: DataFrame, cells: DataFrame, spacing: tuple[float, float, float], at: tuple[str, ...], slopes: bool) -> DataFrame:
     """Adds the warp's images ``_tx`` .. of the places ``at`` and, if asked, its derivatives ``_jxx`` (of x by x) ..; null without a cell."""
     place = {c: F.floor(F.col(a) / d).cast("long") for c, a, d in zip(CELL, at, spacing)}
@@ -280,29 +372,68 @@ def _evaluated(points: DataFrame, cells: DataFrame, spacing: tuple[float, float,
 def warp_points(points: DataFrame, controls: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
     """Points through a B-spline warp given by absolute control points ``controls(i, j, k, cx, cy, cz)``.
 
-    Control point (i, j, k) stands at ``(index - 1) * spacing``.  Each point meets its
-    cell, one row with 64 control points; where the cell lacks one the result is
-    null.  ``from_x``, ``from_y`` and ``from_z`` keep the places before.
+    Control point (i, j, k) stands at ``(index - 1) * spacing``.  A grid of at most
+    :data:`HELD` control points is held by every task; of a larger one each point meets
+    its cell, one row with 64.  Where the cell lacks one the result is null.  ``from_x``, ``from_y`` and ``from_z`` keep the places before.
     """
-    met = _evaluated(points, warp_cells(controls), spacing, AXES, slopes=False)
+    met = _warped(points, controls, spacing, slopes=False)
     return met.withColumns({f"from_{a}": F.col(a) for a in AXES}).withColumns({a: F.col(f"_t{a}") for a in AXES}).drop(*IMAGES)
 
 
 def warp_jacobians(points: DataFrame, controls: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
     """Adds the warp's derivatives at each point, ``jxx`` (of x by x), ``jxy`` ..., and their determinant ``change``."""
-    met = _evaluated(points, warp_cells(controls), spacing, AXES, slopes=True).drop(*IMAGES)
+    met = _warped(points, controls, spacing, slopes=True).drop(*IMAGES)
     named = met.withColumnsRenamed({c: c[1:] for c in SLOPES})
     return named.withColumn("change", det3([[F.col(f"j{a}{b}") for b in AXES] for a in AXES]))
 
 
+def _newton(grid: HeldGrid, places: np.ndarray, spacing: tuple[float, float, float], rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where (n, 3) places come from, as :func:`unwarp_points` finds it, and which were found."""
+    found, known = places.copy(), np.zeros(len(places), dtype=bool)
+    cells = np.argwhere(grid.whole)
+    if not len(cells):
+        return found, known
+    d = np.array(spacing, dtype=float)
+    low, high = (grid.low + cells.min(axis=0)) * d, np.nextafter((grid.low + cells.max(axis=0) + 1) * d, -np.inf)
+    hold = lambda c: np.fmin(np.fmax(c, low), high)
+    at, guess = np.arange(len(places)), hold(places)
+    with np.errstate(all="ignore"):
+        for _ in range(rounds):
+            value, there = grid.evaluated(guess, spacing, True)
+            rest = places[at] - value[:, :, 0]
+            slope, right = [[value[:, i, j + 1] for j in range(3)] for i in range(3)], rest.T
+            whole = det3(slope)
+            swapped = [det3([[right[i] if j == c else slope[i][j] for j in range(3)] for i in range(3)]) for c in range(3)]
+            step = np.stack(swapped, axis=1) / np.where(whole == 0, np.nan, whole)[:, None]
+            moved = hold(guess + np.where(np.isnan(step), d, np.clip(step, -d, d)))
+            done = there & (np.abs(rest).max(axis=1) <= tolerance)
+            found[at[done]], known[at[done]] = guess[done], True
+            on = there & ~done & (moved != guess).any(axis=1)
+            at, guess = at[on], moved[on]
+            if not len(at):
+                break
+    return found, known
+
+
+def _unwarped(points: DataFrame, grid: HeldGrid, spacing: tuple[float, float, float], rounds: int, tolerance: float) -> DataFrame:
+    shared = points.sparkSession.sparkContext.broadcast(grid)
+    back = _in_batches(points, [F.col(a) for a in AXES], lambda at: _newton(shared.value, at, spacing, rounds, tolerance), IMAGES)
+    own = [F.col(f"_t{c}").alias(c) if c in AXES else F.col(f"`{c}`") for c in points.columns]
+    return back.select(*own, *[F.col(a).cast("double").alias(f"from_{a}") for a in AXES])
+
+
 def unwarp_points(points: DataFrame, controls: DataFrame, spacing: tuple[float, float, float], rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
     """Places that a warp takes to the points: Newton steps with the warp's own derivatives.
 
-    Each round the rows that are not done meet the cell of their present guess; they
-    are done when the guess's image is within ``tolerance`` on every axis.  Guesses
+    Tasks that hold the grid take all steps of a batch at once; with a grid of more than
+    :data:`HELD` control points the rows that are not done meet the cell of their present
+    guess each round.  They are done when the guess's image is within ``tolerance`` on every axis.  Guesses
     start at the point, move by a spacing at most and stay within the grid.  Rows that
     stand still, meet an incomplete cell or are not done after ``rounds`` get nulls.
     """
+    grid = held_grid(controls)
+    if grid is not None:
+        return _unwarped(points, grid, spacing, rounds, tolerance)
     from arborkit.sources.files import scratch
 
     spark = points.sparkSession

@@ -84,6 +84,26 @@ def test_inverse_of_a_curved_warp(spark):
         assert max(abs(r[a] - want[r.id][a]) for a in "xyz") < 1e-6
 
 
+def test_tasks_that_hold_a_grid_and_joins_with_its_cells_agree(spark, monkeypatch):
+    controls = grid(spark, leave_out=[(7, 6, 5), (3, 3, 0)])
+    asked = places(spark, 300, 3).unionByName(spark.createDataFrame([(900, -50.0, 1.0, 1.0), (901, None, 1.0, 1.0), (902, math.nan, 1.0, 1.0), (903, math.inf, 1.0, 1.0)], "id int, x double, y double, z double"))
+
+    def both():
+        made = registration.warp_points(asked, controls, SPACING), registration.warp_jacobians(asked, controls, SPACING), registration.unwarp_points(asked, controls, SPACING)
+        plans = [m._jdf.queryExecution().optimizedPlan().toString() for m in made]
+        return ["Join" in p for p in plans[:2]], [{r.id: r for r in m.collect()} for m in made], [m.columns for m in made]
+
+    held, few, columns = both()
+    monkeypatch.setattr(registration, "HELD", 10)
+    joined, want, wanted = both()
+    assert held == [False, False] and joined == [True, True] and columns == wanted
+    for a, b in zip(few, want):
+        assert a.keys() == b.keys()
+        for i in b:
+            for x, y in zip(a[i], b[i]):
+                assert (x is None) == (y is None) and (x is None or np.isclose(x, y, atol=1e-8, equal_nan=True))
+
+
 def test_unreachable_points_and_empty_grids_give_nulls(spark):
     far = spark.createDataFrame([(1, 500.0, 0.0, 0.0), (2, None, 0.0, 0.0)], "id int, x double, y double, z double")
     rows = registration.unwarp_points(far, grid(spark), SPACING).collect()
