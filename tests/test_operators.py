@@ -136,6 +136,18 @@ def test_swc_round_trip(spark, points, tmp_path):
     assert len(spark.read.text(str(tmp_path / "out")).collect()) == 6
 
 
+def test_swc_files_lie_in_one_folder_and_keep_every_name(spark, tmp_path):
+    names = ["a/b", "_hidden", "0012", "x%20y", "50% +", "é .swc", None]
+    made = spark.createDataFrame([(n, i, 2, float(i), 1.5, -2.0, 0.5, i - 1 if i > 1 else -1) for n in names for i in range(1, 4)], "neuron_id string, point_no int, label int, x double, y double, z double, w double, parent int")
+    write_swc(made.repartition(5), str(tmp_path / "out"))
+    assert sum(f.is_file() and f.suffix == ".swc" for f in (tmp_path / "out").iterdir()) == len(names)
+    assert not [f for f in tmp_path.rglob("*") if f.name.endswith(".part") or f.is_dir() and f.parent != tmp_path]
+    back = read_swc(spark, str(tmp_path / "out"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, made.select(back.columns).collect()))
+    with pytest.raises(FileExistsError):
+        write_swc(made, str(tmp_path / "out"))
+
+
 def test_long_paths(spark):
     n = 150
     path = spark.createDataFrame([("n", i, i - 1 if i > 1 else -1) for i in range(1, n + 1)] + [("n", n + 1, 1), ("n", n + 3, n + 2)], "neuron_id string, point_no int, parent int")
