@@ -90,6 +90,17 @@ def test_resampled_tables_hang_together(spark):
     assert all(abs(x.y) < 1e-9 and abs(x.x - round(x.x)) < 1e-3 for x in line.collect())
 
 
+def test_resampling_walks_a_neuron_once_and_keeps_places_without_values(spark):
+    rows = [("n", i, p, x, 0.0, 0.0, 1.0) for i, p, x in [(1, -1, 0.0), (2, 1, 2.5), (3, 2, None), (4, 2, 2.5), (5, 4, 6.0), (9, -1, 1.0)]]
+    points = spark.createDataFrame(rows, "neuron_id string, point_no int, parent int, x double, y double, z double, w double")
+    new = skeleton.resample_segments(skeleton.segment_list(points), points, 1.0)
+    assert new._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 2
+    got = [(x.tree_no, x.seg_no, x.point_no, x.parent, x.s, x.x) for x in new.orderBy("point_no").collect()]
+    first = [(1, 1, n + 1, n if n else -1, s, s) for n, s in enumerate((0.0, 1.0, 2.0, 2.5))]
+    ahead = [(1, 3, n, p, s, 2.5 + s) for n, p, s in ((6, 4, 1.0), (7, 6, 2.0), (8, 7, 3.0), (9, 8, 3.5))]
+    assert got == [*first, (1, 2, 5, 4, 0.0, None), *ahead, (2, 1, 10, -1, 0.0, 1.0)]
+
+
 # ---------------------------------------------------------------------- registrations
 #: Two published parameter sets and their matrices (by column).
 PLAIN = [100, 50, 10, 3, 3, 3, 1.1, 0.9, 1, 0, 0, 0, 10, 50, 50]
