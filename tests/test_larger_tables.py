@@ -215,3 +215,18 @@ def test_expected_synapses_shuffle_segments_not_pairs(spark, monkeypatch):
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
         got = {(r[0], r[1]): r[2] for r in out.collect()}
         assert got.keys() == wanted.keys() and len(got) > 100 and all(abs(got[k] - wanted[k]) < 1e-9 * max(1, wanted[k]) for k in got)
+
+
+def test_points_are_not_shuffled_to_few_voxels(spark, monkeypatch):
+    from arborkit.operators import density, images
+
+    grid = density.Grid((3, 3, 3), (0.0, 0.0, 0.0), (3.0, 3.0, 3.0))
+    voxels = spark.createDataFrame([(v, i, j, 1, float(i + 3 * j)) for v in "ab" for i in range(3) for j in range(3)], "name string, i int, j int, k int, value double")
+    points = spark.createDataFrame([(n, 0.1 * n, 1.0, 1.5) for n in range(30)], "id int, x double, y double, z double")
+    for method in ("linear", "constant"):
+        made = [images.interpolated(points, voxels, grid, ["id"], ["name"], method)]
+        monkeypatch.setattr(images, "HELD_CELLS", 0)
+        made.append(images.interpolated(points, voxels, grid, ["id"], ["name"], method))
+        monkeypatch.undo()
+        hints = [m._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") for m in made]
+        assert hints == [2, 1] and sorted(map(tuple, made[0].collect()), key=str) == sorted(map(tuple, made[1].collect()), key=str)
