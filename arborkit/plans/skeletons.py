@@ -102,7 +102,7 @@ def reduced_edge_adjacency(spark, sf_dir):
 
 @register("sub_trees", f"{WALK}, t AS (SELECT neuron_id, root, point_no, min(point_no) OVER (PARTITION BY neuron_id, root) AS tree, count(*) OVER (PARTITION BY neuron_id, root) AS n FROM walk) SELECT neuron_id, point_no, tree FROM t WHERE n > 1")
 def sub_trees(spark, sf_dir):
-    return k.sub_trees(tree.double_edges(tree.edges(arbors(spark, sf_dir))))
+    return k.sub_trees(tree.edges(arbors(spark, sf_dir)))
 
 
 @register("trees_in_edge_list", f"{WITH}, e AS (SELECT neuron_id, parent AS a, point_no AS b FROM arbors WHERE parent <> -1), v AS (SELECT neuron_id, a AS v FROM e UNION SELECT neuron_id, b FROM e) SELECT neuron_id, (nv - ne)::BIGINT AS n_trees FROM (SELECT neuron_id, count(*) AS nv FROM v GROUP BY 1) JOIN (SELECT neuron_id, count(*) AS ne FROM e GROUP BY 1) USING (neuron_id)")
