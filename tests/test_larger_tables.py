@@ -230,3 +230,13 @@ def test_points_are_not_shuffled_to_few_voxels(spark, monkeypatch):
         monkeypatch.undo()
         hints = [m._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") for m in made]
         assert hints == [2, 1] and sorted(map(tuple, made[0].collect()), key=str) == sorted(map(tuple, made[1].collect()), key=str)
+
+
+def test_edge_lists_are_sorted_not_hashed(spark):
+    from arborkit.operators import tree
+
+    single = spark.createDataFrame([("a", 1, 2), ("a", 2, 1), ("a", 2, 3), ("a", 2, 3), ("b", 7, 9), ("b", 4, 5), ("b", 5, 6)], "neuron_id string, src int, dst int")
+    double = tree.double_edges(single)
+    assert sorted(map(tuple, double.collect())) == sorted({(k, *e) for k, a, b in map(tuple, single.collect()) for e in ((a, b), (b, a))})
+    assert "Aggregate" not in double._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, tree.trees_in_edges(double).collect())) == [("a", 1), ("b", 2)]
