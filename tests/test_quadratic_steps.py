@@ -32,3 +32,16 @@ def test_rounding_in_tasks_is_sparks(spark):
     found = [x.r for x in rows.select("i", (F.round("v", 5) + F.lit(0.0)).alias("r")).orderBy("i").collect()]
     got = sim.rounded(lambda x: (x, np.arange(3)), 5)(v)
     assert got[0].tolist() == found and not np.signbit(got[0][found.index(0.0)]) and got[1].tolist() == [0, 1, 2]
+
+
+def test_nearest_both_ways_is_exact():
+    rng = np.random.default_rng(7)
+    for trial in range(40):
+        n, m = (int(x) for x in rng.integers(1, 30, 2))
+        a, *others = (_points(rng, trial % 4, k) for k in [int(rng.integers(1, 65)), *[m] * n])
+        whole, starts, sizes = sim.stacked(others)
+        d = [np.sqrt(((a[:, None, 0] - b[None, :, 0]) ** 2 + (a[:, None, 1] - b[None, :, 1]) ** 2) + (a[:, None, 2] - b[None, :, 2]) ** 2) for b in others]
+        one, back = sim._nearest_both_ways(a, np.asfortranarray(whole), n)
+        assert one.tolist() == np.concatenate([x.min(axis=0) for x in d]).tolist() and back.tolist() == np.concatenate([x.min(axis=1) for x in d]).tolist()
+        found = sim.median_distance(a, np.asfortranarray(whole), starts, sizes, both=True)[0]
+        assert found.tolist() == [(np.median(x.min(axis=0)) + np.median(x.min(axis=1))) / 2 for x in d]
