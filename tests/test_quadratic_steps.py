@@ -45,3 +45,67 @@ def test_nearest_both_ways_is_exact():
         assert one.tolist() == np.concatenate([x.min(axis=0) for x in d]).tolist() and back.tolist() == np.concatenate([x.min(axis=1) for x in d]).tolist()
         found = sim.median_distance(a, np.asfortranarray(whole), starts, sizes, both=True)[0]
         assert found.tolist() == [(np.median(x.min(axis=0)) + np.median(x.min(axis=1))) / 2 for x in d]
+
+
+def test_contacts_are_those_of_all_pairs(monkeypatch):
+    from arborkit.operators import matching as m
+
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(m, "TILE", (7, 20))
+    monkeypatch.setattr(m, "HELD", 30)
+    for trial in range(40):
+        far, s = (0.0, 1e6)[trial % 2], (0.05, 0.5)[trial // 2 % 2]
+        x = rng.integers(0, 5, (90, 6)).astype(float) if trial % 3 else rng.uniform(0, 5, (90, 6))  # touching, parallel and empty ones, or none such
+        x[:5, 3:] = x[:5, :3]
+        x += far
+        if trial % 5 == 0:
+            x[7], x[8, 2] = np.nan, np.inf
+        of = np.sort(rng.integers(0, 30, 90))
+        with np.errstate(invalid="ignore"):
+            want = (np.sqrt(m.pair_squares(x.T[:, :, None], x.T[:, None, :])) <= s)[:60]
+        found = [np.concatenate(c) for c in zip(*m.contacts(x[:60], x, s))]
+        assert sorted(zip(*found)) == sorted(zip(*np.nonzero(want)))
+        pairs = np.array([[want[of[:60] == i][:, of == j].sum() for j in range(30)] for i in range(30)])
+        got = np.zeros((30, 30), dtype=int)
+        for a, b, n in m._contacts_of_neurons(x[:60], x, of[:60], of, s):
+            assert not got[a, b].any()
+            got[a, b] = n
+        assert (got == np.triu(pairs, 1)).all()
+
+
+def test_expected_counts_of_neurons_of_any_size(monkeypatch):
+    from arborkit.operators import matching as m
+
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(m, "TILE", (5, 8))
+    x = rng.uniform(0, 3, (120, 6))
+    x[3, 0] = np.nan
+    of = np.sort(np.r_[np.full(60, 4), rng.integers(0, 25, 60)])
+    u, mid = x[:, 3:] - x[:, :3], (x[:, 3:] + x[:, :3]) / 2
+    length = np.sqrt((u**2).sum(axis=1))
+    r2 = ((mid[:, None] - mid[None]) ** 2).sum(axis=2)
+    term = length[:, None] * length * np.arccos(np.clip(u @ u.T / (length[:, None] * length), -1, 1)) * np.exp(-r2 / 0.5) * 3.0
+    got = {}
+    for a, b, n in m._expected_of_neurons(x, x, of, of, 1.0, 0.5, 3.0, 3):
+        got |= {(int(i), int(j)): v for i, j, v in zip(a, b, n)}
+    want = {(i, j): term[np.ix_(of == i, of == j)][hit].sum() for i in range(25) for j in range(i + 1, 25) if (hit := (r2 <= 1.0)[np.ix_(of == i, of == j)]).any()}
+    assert got.keys() == want.keys() and len(want) > 50 and all(abs(got[k] - want[k]) < 5.1e-4 for k in want)
+
+
+def test_segments_of_synapses_are_found_once(spark, monkeypatch):
+    """The sets are counted, measured and met from a table of their own."""
+    from arborkit.operators import matching as m
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(i % 9, *map(float, p)) for i, p in enumerate(np.random.default_rng(4).uniform(0, 3, (40, 6)))]
+    t = spark.createDataFrame(rows, "neuron_id long, " + ", ".join(f"{c} double" for c in m.SEG))
+    for method, scale in (("direct", None), ("expected", 0.4)):
+        made.value = 0
+        segments = t.mapInArrow(seen, t.schema)
+        assert m.potential_synapses(segments, segments, 0.3, method, scale).count() > 20 and made.value == 40
