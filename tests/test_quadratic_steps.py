@@ -109,3 +109,10 @@ def test_segments_of_synapses_are_found_once(spark, monkeypatch):
         made.value = 0
         segments = t.mapInArrow(seen, t.schema)
         assert m.potential_synapses(segments, segments, 0.3, method, scale).count() > 20 and made.value == 40
+
+
+def test_blocks_of_segments_do_not_grow_in_number():
+    """Each segment travels once a block; a block of any table fits a task."""
+    from arborkit.operators import matching as m
+
+    assert [m.dense_blocks(n) for n in (1, 540_000, 2_700_000, 10**8)] == [1, 24, 24, 100]
