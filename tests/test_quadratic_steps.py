@@ -116,3 +116,19 @@ def test_blocks_of_segments_do_not_grow_in_number():
     from arborkit.operators import matching as m
 
     assert [m.dense_blocks(n) for n in (1, 540_000, 2_700_000, 10**8)] == [1, 24, 24, 100]
+
+
+def test_lines_are_prepared_once_before_they_travel(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def half(xyz):
+        made.add(1)
+        return xyz[::2]
+
+    rng = np.random.default_rng(3)
+    clouds = spark.createDataFrame([(n, rng.normal(size=3 * m).tolist(), 3) for n, m in enumerate(rng.integers(0, 7, 40))], "neuron_id int, dots array<double>, width int")
+    count = lambda a, others, starts, sizes: (sizes + len(a),)
+    got = {(x.id_a, x.id_b): x.n for x in sim.pairwise(clouds, count, "n long", block=5, prepare=half).collect()}
+    size = {x.neuron_id: (len(x.dots) // 3 + 1) // 2 for x in clouds.collect() if x.dots}
+    assert made.value == len(size) and got == {(a, b): size[a] + size[b] for a in size for b in size if a < b}
+    assert sim.blocks_of(360_000, 360_000 * 11, largest=4 * sim.LARGEST) == 44
